@@ -1,11 +1,133 @@
-"""Registry of the core queries."""
+"""Registry of the core queries and their SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from driftmesh.operators.dense import dense_stats
+from driftmesh.operators.sweep import near_and_inside
+from driftmesh.sources.tables import last_arrived, placed_points, run_params, table
+
+AXES = ("x", "y", "z")
+
+
+def rank_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Box and number of the usable particles of every run and rank."""
+    runs = run_params(spark, sf_dir)
+    placed = placed_points(table(spark, sf_dir, "particles"), runs, "particle_id", AXES, keep=("rank_no",))
+    stats = dense_stats(placed, "run_id", "rank_no", AXES)
+    return stats.select(F.col("run_id").cast("int").alias("run_id"), F.col("rank_no").cast("int").alias("rank_no"), "n", *[f"{m}_{a}" for a in AXES for m in ("min", "max")])
+
+
+def ghost_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of different ghosts that each rank of each run sent."""
+    ghosts = table(spark, sf_dir, "ghost_points").where("ghost_id is not null").select("run_id", "source_rank", "ghost_id").distinct()
+    counts = dense_stats(ghosts, "run_id", "source_rank")
+    return counts.select(F.col("run_id").cast("int").alias("run_id"), F.col("source_rank").cast("int").alias("rank_no"), F.col("n").alias("n_ghosts"))
+
+
+def announced_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sum of the last announced sizes of the buffers of each source rank."""
+    posted = table(spark, sf_dir, "ghost_buffers").where("ghost_count is not null and run_id is not null and source_rank is not null")
+    last = last_arrived(posted, ["run_id", "dest_rank", "source_rank"], ["ghost_count"], at="posted_at")
+    return last.groupBy("run_id", F.col("source_rank").alias("rank_no")).agg(F.sum("ghost_count").alias("n_announced"))
+
+
+def p2_rank_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per run and rank the box of its particles, their number and the number of its ghosts."""
+    stats, ghosts = rank_stats(spark, sf_dir), ghost_counts(spark, sf_dir)
+    return stats.join(ghosts, ["run_id", "rank_no"], "full").select(
+        "run_id", "rank_no", F.coalesce("n", F.lit(0)).alias("n_particles"), *[f"{m}_{a}" for a in AXES for m in ("min", "max")], F.coalesce("n_ghosts", F.lit(0)).alias("n_ghosts")
+    )
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks whose local box or announced ghosts disagree with their rows."""
+    stats = rank_stats(spark, sf_dir).join(run_params(spark, sf_dir).select("run_id", "dim"), "run_id")
+    local = table(spark, sf_dir, "bounding_boxes").where("box_kind = 'local'").select("run_id", "rank_no", "lo", "hi").distinct()
+    same = F.lit(True)
+    for k, a in enumerate(AXES):
+        fits = F.get("lo", F.lit(k)).eqNullSafe(F.col(f"min_{a}")) & F.get("hi", F.lit(k)).eqNullSafe(F.col(f"max_{a}"))
+        same = same & (fits if k < 2 else (fits | (F.col("dim") == 2)))
+    bbox = stats.join(local, ["run_id", "rank_no"], "left").where(~same).select("run_id", "rank_no", F.lit("bbox").alias("fault"))
+    both = ghost_counts(spark, sf_dir).join(announced_counts(spark, sf_dir), ["run_id", "rank_no"], "full")
+    count = both.where(F.coalesce("n_ghosts", F.lit(0)) != F.coalesce("n_announced", F.lit(0))).select("run_id", "rank_no", F.lit("count").alias("fault"))
+    return bbox.unionByName(count).distinct()
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ghost points near each other, and the boxes each of them lies in."""
+    runs = run_params(spark, sf_dir)
+    points = placed_points(table(spark, sf_dir, "ghost_points"), runs, "ghost_id", ("xx", "yy", "zz")).withColumnRenamed("ghost_id", "id")
+    bound = lambda side, k: F.get(side, F.lit(k))
+    far = F.lit(float("inf"))
+    boxes = (
+        table(spark, sf_dir, "bounding_boxes")
+        .join(runs.select("run_id", "dim"), "run_id")
+        .select(
+            "run_id", "box_id", *[bound(s, k).alias(f"{s}_{a}") for k, a in enumerate("xy") for s in ("lo", "hi")],
+            F.when(F.col("dim") == 3, bound("lo", 2)).otherwise(-far).alias("lo_z"), F.when(F.col("dim") == 3, bound("hi", 2)).otherwise(far).alias("hi_z"),
+        )
+        .distinct()
+    )
+    return near_and_inside(points, boxes)
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in (p2_found, p2_rank_stats, p3_found)}
+
+
+#: Usable rows of a point table, the last arrived of each id.
+_LAST = """
+{name} AS (
+  SELECT run_id, {id} AS id, dim, link_len, rank_no, x, y, z FROM (
+    SELECT p.run_id, p.{id}, r.dim, r.link_len, {rank} AS rank_no, p.{x} AS x, p.{y} AS y, CASE WHEN r.dim = 3 THEN p.{z} ELSE 0.0 END AS z,
+           row_number() OVER (PARTITION BY p.run_id, p.{id} ORDER BY p.arrived_at DESC NULLS LAST) AS k
+    FROM {table} p JOIN runs r ON p.run_id = r.run_id
+    WHERE p.{id} IS NOT NULL AND isfinite(p.{x}) AND isfinite(p.{y}) AND (r.dim = 2 OR isfinite(p.{z}))
+  ) WHERE k = 1
+)"""
+PARTICLES_SQL = _LAST.format(name="part_rows", id="particle_id", rank="p.rank_no", x="x", y="y", z="z", table="particles")
+GHOSTS_SQL = _LAST.format(name="ghost_rows", id="ghost_id", rank="0", x="xx", y="yy", z="zz", table="ghost_points")
+
+_COUNTS_SQL = """
+ghost_n AS (SELECT run_id, source_rank AS rank_no, count(DISTINCT ghost_id) AS n FROM ghost_points WHERE ghost_id IS NOT NULL AND source_rank IS NOT NULL AND run_id IS NOT NULL GROUP BY 1, 2)"""
+
+_BOX_SQL = """
+stat AS (SELECT run_id, rank_no, any_value(dim) AS dim, count(*) AS n, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z
+         FROM part_rows WHERE rank_no IS NOT NULL GROUP BY 1, 2)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p2_found": f"""
+WITH {PARTICLES_SQL}, {_BOX_SQL}, {_COUNTS_SQL},
+said AS (
+  SELECT run_id, source_rank AS rank_no, sum(ghost_count) AS n FROM (
+    SELECT *, row_number() OVER (PARTITION BY run_id, dest_rank, source_rank ORDER BY posted_at DESC NULLS LAST, ghost_count DESC) AS k
+    FROM ghost_buffers WHERE ghost_count IS NOT NULL AND source_rank IS NOT NULL AND run_id IS NOT NULL) WHERE k = 1 GROUP BY 1, 2)
+SELECT DISTINCT s.run_id, s.rank_no, 'bbox' AS fault FROM stat s LEFT JOIN (SELECT DISTINCT run_id, rank_no, lo, hi FROM bounding_boxes WHERE box_kind = 'local') b
+  ON s.run_id = b.run_id AND s.rank_no = b.rank_no
+WHERE b.lo[1] IS DISTINCT FROM min_x OR b.hi[1] IS DISTINCT FROM max_x OR b.lo[2] IS DISTINCT FROM min_y OR b.hi[2] IS DISTINCT FROM max_y
+   OR (s.dim = 3 AND (b.lo[3] IS DISTINCT FROM min_z OR b.hi[3] IS DISTINCT FROM max_z))
+UNION ALL
+SELECT coalesce(g.run_id, a.run_id) AS run_id, coalesce(g.rank_no, a.rank_no) AS rank_no, 'count' AS fault
+FROM ghost_n g FULL JOIN said a ON g.run_id = a.run_id AND g.rank_no = a.rank_no WHERE coalesce(g.n, 0) <> coalesce(a.n, 0)""",
+        "p2_rank_stats": f"""
+WITH {PARTICLES_SQL}, {_BOX_SQL}, {_COUNTS_SQL}
+SELECT coalesce(s.run_id, g.run_id) AS run_id, coalesce(s.rank_no, g.rank_no) AS rank_no, coalesce(s.n, 0) AS n_particles,
+       min_x, max_x, min_y, max_y, min_z, max_z, coalesce(g.n, 0) AS n_ghosts
+FROM stat s FULL JOIN ghost_n g ON s.run_id = g.run_id AND s.rank_no = g.rank_no""",
+        "p3_found": f"""
+WITH {GHOSTS_SQL},
+cell AS (SELECT *, floor(x / link_len) AS cx, floor(y / link_len) AS cy FROM ghost_rows),
+moved AS (SELECT c.*, c.cx + i AS jx, c.cy + j AS jy FROM cell c, (VALUES (-1), (0), (1)) u(i), (VALUES (-1), (0), (1)) v(j)),
+box AS (SELECT DISTINCT b.box_id, b.run_id, b.lo, b.hi, r.dim FROM bounding_boxes b JOIN runs r ON b.run_id = r.run_id)
+SELECT 'near' AS rel, a.id AS left_id, b.id AS right_id
+FROM moved a JOIN cell b ON a.run_id = b.run_id AND a.jx = b.cx AND a.jy = b.cy
+WHERE a.id < b.id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= a.link_len * a.link_len
+UNION ALL
+SELECT 'inside' AS rel, p.id AS left_id, b.box_id AS right_id FROM ghost_rows p JOIN box b ON p.run_id = b.run_id
+WHERE p.x BETWEEN b.lo[1] AND b.hi[1] AND p.y BETWEEN b.lo[2] AND b.hi[2] AND (b.dim = 2 OR p.z BETWEEN b.lo[3] AND b.hi[3])""",
+    }
