@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from driftmesh.llm.groups import connected_groups
-from driftmesh.sources.tables import table
+from driftmesh.llm.neighbours import graph_search, neighbour_graph
+from driftmesh.llm.peaks import density_peaks
+from driftmesh.scratch import Scratch
+from driftmesh.sources.tables import placed_nodes, run_params, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,9 +29,87 @@ def p5_group_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.groupBy("group_id").agg(F.count("*").alias("n_ids"), F.max("elem").alias("last_id"))
 
 
+def tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of all runs: g (the run), id, x, y, z, link_len."""
+    nodes = placed_nodes(table(spark, sf_dir, "kd_nodes"), run_params(spark, sf_dir))
+    return nodes.select(F.col("run_id").alias("g"), "id", "x", "y", "z", "link_len")
+
+
+#: Radius of density peaks in linking lengths, and the least size of a cluster.
+PEAK_RADIUS, MIN_SIZE = 6.0, 12
+
+
+def node_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Density peaks over the nodes of every run."""
+    nodes = tree_nodes(spark, sf_dir).withColumn("r", F.col("link_len") * PEAK_RADIUS)
+    return density_peaks(nodes, MIN_SIZE)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of the clusters whose nodes are all within the radius of each other and of no other node.
+
+    The clusters are those of density peaks; one is reported if the records
+    within the radius of each member are exactly its members.
+    """
+    peaks = node_peaks(spark, sf_dir).where("cluster is not null")
+    peaks = Scratch(spark, "found").save(peaks, "peaks")
+    whole = (
+        peaks.groupBy("g", "cluster")
+        .agg(F.count("*").alias("n"), F.min("density").alias("d0"), F.max("density").alias("d1"), F.min("first").alias("f0"), F.max("first").alias("f1"), F.min("sign").alias("s0"), F.max("sign").alias("s1"), F.min("id").alias("cluster_id"))
+        .where(f"n >= {MIN_SIZE} and d0 = n and d1 = n and f0 = f1 and s0 = s1")
+    )
+    return peaks.join(whole.select("g", "cluster", "cluster_id"), ["g", "cluster"]).select("cluster_id", F.col("id").alias("node_id"))
+
+
+def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cluster with its size and its three most typical nodes, the densest ones."""
+    peaks = Scratch(spark, "clusters").save(node_peaks(spark, sf_dir).where("cluster is not null"), "peaks")
+    best = Window.partitionBy("g", "cluster").orderBy(F.desc("density"), "id")
+    typical = peaks.withColumn("k", F.row_number().over(best)).where("k <= 3").groupBy("g", "cluster").agg(F.sort_array(F.collect_list(F.struct("k", "id"))).alias("t"))
+    size = peaks.groupBy("g", "cluster").agg(F.count("*").alias("size"), F.max("density").alias("density"))
+    return size.join(typical, ["g", "cluster"]).select(F.col("g").alias("run_id"), F.col("cluster").alias("peak_id"), "size", "density", F.col("t.id").alias("typical_ids"))
+
+
+def p1_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node with its density and its cluster, or none."""
+    return node_peaks(spark, sf_dir).select(F.col("g").alias("run_id"), F.col("id").alias("node_id"), "density", F.col("cluster").alias("peak_id"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of nodes of which at least one is among the five nearest of the other."""
+    graph = neighbour_graph(tree_nodes(spark, sf_dir), 5)
+    return graph.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
+
+
+def p4_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy graph search from every node whose id is divisible by 100, against all nodes of its run."""
+    nodes = Scratch(spark, "nodes").save(tree_nodes(spark, sf_dir), "nodes")
+    found = graph_search(nodes.where("id % 100 = 0"), nodes, neighbour_graph(nodes, 5), 5)
+    return found.select(F.col("g").alias("run_id"), F.col("a").alias("query_id"), "place", F.col("b").alias("id"), "d2")
+
+
+NODES_SQL = """
+node AS (
+  SELECT run_id, id, dim, link_len, point[1] AS x, point[2] AS y, CASE WHEN dim = 3 THEN point[3] ELSE 0.0 END AS z FROM (
+    SELECT n.*, r.dim, r.link_len, row_number() OVER (PARTITION BY n.run_id, n.id ORDER BY n.arrived_at DESC NULLS LAST) AS k
+    FROM kd_nodes n JOIN runs r ON n.run_id = r.run_id
+    WHERE n.id IS NOT NULL AND len(point) = dim AND isfinite(point[1]) AND isfinite(point[2]) AND (dim = 2 OR isfinite(point[3])))
+  WHERE k = 1)"""
+
+P1_SQL = f"""
+WITH {NODES_SQL},
+cell AS (SELECT *, 6 * link_len AS r, floor(x / (6 * link_len)) AS cx, floor(y / (6 * link_len)) AS cy FROM node),
+moved AS (SELECT c.*, c.cx + i AS jx, c.cy + j AS jy FROM cell c, (VALUES (-1), (0), (1)) u(i), (VALUES (-1), (0), (1)) v(j)),
+near AS (
+  SELECT a.run_id, a.id, count(*) AS n, min(b.id) AS first, sum(hash(b.id)::HUGEINT) AS sign
+  FROM moved a JOIN cell b ON a.run_id = b.run_id AND a.jx = b.cx AND a.jy = b.cy
+  WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= a.r * a.r GROUP BY 1, 2)
+SELECT first AS cluster_id, id AS node_id FROM (SELECT *, count(*) OVER (PARTITION BY run_id, first, n, sign) AS m FROM near) WHERE m = n AND n >= 12"""
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p5_found, p5_group_sizes)}
+    return {f.__name__: f for f in (p1_found, p1_clusters, p1_labels, p4_found, p4_search, p5_found, p5_group_sizes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p1_found": P1_SQL}
