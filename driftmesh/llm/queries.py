@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from driftmesh.llm.groups import connected_groups
+from driftmesh.llm.leaks import leaked_items
 from driftmesh.llm.neighbours import graph_search, neighbour_graph
 from driftmesh.llm.peaks import density_peaks
 from driftmesh.scratch import Scratch
@@ -88,6 +89,11 @@ def p4_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("g").alias("run_id"), F.col("a").alias("query_id"), "place", F.col("b").alias("id"), "d2")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the test items that leak into them."""
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 NODES_SQL = """
 node AS (
   SELECT run_id, id, dim, link_len, point[1] AS x, point[2] AS y, CASE WHEN dim = 3 THEN point[3] ELSE 0.0 END AS z FROM (
@@ -108,7 +114,7 @@ SELECT first AS cluster_id, id AS node_id FROM (SELECT *, count(*) OVER (PARTITI
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_clusters, p1_labels, p4_found, p4_search, p5_found, p5_group_sizes)}
+    return {f.__name__: f for f in (p1_found, p1_clusters, p1_labels, p4_found, p4_search, p5_found, p5_group_sizes, p6_found)}
 
 
 def oracle_sql() -> dict[str, str]:
