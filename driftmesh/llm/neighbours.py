@@ -1,6 +1,7 @@
 """The k nearest vectors of every vector: NN-descent, and greedy search in its graph.
 
-The first graph comes from two sorts along shifted space-filling curves.  Each
+The first graph comes from sorts along shifted space-filling curves, through
+which every node carries its best neighbours so far.  Each
 round of NN-descent is one join: whoever is linked to a pivot, in either
 direction, is offered the pivot's neighbours, and keeps the k best of what it
 has and was offered.  Only links that are new since the last round are
@@ -23,7 +24,7 @@ from driftmesh.scratch import Scratch
 #: Neighbours on either side along a curve that the first graph is chosen from.
 WINDOW = 10
 #: Links a node holds during the descent beyond the k asked for; with k alone the descent gets stuck.
-SPARE = 5
+SPARE = 3
 #: Bits of an axis in a curve's code.
 BITS = 20
 #: Shares of the extent by which the curves are shifted.
@@ -70,7 +71,7 @@ def _coded(nodes: DataFrame, shift: float) -> DataFrame:
     return scaled.mapInArrow(code, ", ".join(f"{n} {t}" for n, t in nodes.dtypes) + ", code long")
 
 
-def _in_chunks(batches: Iterable[pa.RecordBatch], names: list[str], overlap: int) -> Iterator[tuple[dict[str, np.ndarray], int]]:
+def _in_chunks(batches: Iterable[pa.RecordBatch], names: list[str], overlap: int, packed: Callable | None = None) -> Iterator[tuple[dict[str, np.ndarray], int]]:
     """Consecutive stretches of a sorted partition with ``overlap`` earlier rows; the number of those comes along."""
     held: list[dict[str, np.ndarray]] = []
     rows, tail = 0, None
@@ -82,7 +83,7 @@ def _in_chunks(batches: Iterable[pa.RecordBatch], names: list[str], overlap: int
     for batch in batches:
         if not batch.num_rows:
             continue
-        held.append({n: batch.column(n).to_numpy(zero_copy_only=False) for n in names})
+        held.append({n: packed(batch.column(n)) if n == "list" else batch.column(n).to_numpy(zero_copy_only=False) for n in names})
         rows += batch.num_rows
         if rows >= CHUNK:
             m = merged()
@@ -110,26 +111,53 @@ def _levels(g: np.ndarray, code: np.ndarray) -> Iterator[np.ndarray]:
             yield used
 
 
-def _along_curve(k: int) -> Callable:
-    """Links from nodes to the k nearest of the ``WINDOW`` nodes before and after them, on every level."""
+def _packed(column: pa.Array, k: int) -> np.ndarray:
+    """Neighbour lists of equal length, as rows of k ids and 3 k coordinates."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.int64).reshape(len(column), 4 * k)
+
+
+def _along_curve(k: int, last: bool) -> Callable:
+    """Adds to every node's list the nearest of the ``WINDOW`` nodes before and after it, on every level.
+
+    The list is k ids, -1 for none, and the k points.  The last curve's pass
+    gives one row a link.
+    """
     steps = np.concatenate([np.arange(-WINDOW, 0), np.arange(1, WINDOW + 1)])
+    names = ["g", "id", "x", "y", "z", "code", "list"]
 
     def links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for m, _ in _in_chunks(batches, ["g", "id", "x", "y", "z", "code"], 2 * WINDOW):
+        for m, old in _in_chunks(batches, names, 2 * WINDOW, lambda c: _packed(c, k)):
+            point = np.stack([m[c] for c in "xyz"], 1)
+            ids, places = m["list"][:, :k].copy(), m["list"][:, k:].copy().view(float).reshape(-1, k, 3)
             for at in _levels(m["g"], m["code"]):
                 place = np.arange(len(at))[:, None] + steps
                 ok = (place >= 0) & (place < len(at))
                 other = at[np.clip(place, 0, len(at) - 1)]
                 ok &= (m["g"][other] == m["g"][at][:, None]) & (m["id"][other] != m["id"][at][:, None])
-                d2 = sum((m[c][other] - m[c][at][:, None]) ** 2 for c in "xyz")
-                d2[~ok] = np.inf
-                best = np.lexsort((m["id"][other], d2), axis=1)[:, :k]
-                src = np.repeat(at, best.shape[1])
-                dst, dist = np.take_along_axis(other, best, 1).ravel(), np.take_along_axis(d2, best, 1).ravel()
-                use = np.isfinite(dist)
-                src, dst, dist = src[use], dst[use], dist[use]
-                cols = [m["g"][src], m["id"][src], *[m[c][src] for c in "xyz"], m["id"][dst], *[m[c][dst] for c in "xyz"], dist]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=[c.split()[0] for c in LINK.split(", ")])
+                ends = np.concatenate([ids[at], np.where(ok, m["id"][other], -1)], 1)
+                spots = np.concatenate([places[at], point[other]], 1)
+                d2 = ((spots - point[at][:, None]) ** 2).sum(2)
+                d2[ends < 0] = np.inf
+                order = np.lexsort((ends, d2), axis=1)
+                ends, d2 = np.take_along_axis(ends, order, 1), np.take_along_axis(d2, order, 1)
+                twice = np.zeros(ends.shape, bool)
+                twice[:, 1:] = ends[:, 1:] == ends[:, :-1]
+                d2[twice] = np.inf
+                best = np.argsort(d2, axis=1, kind="stable")[:, :k]
+                ids[at] = np.where(np.isfinite(np.take_along_axis(d2, best, 1)), np.take_along_axis(ends, best, 1), -1)
+                places[at] = np.take_along_axis(spots, np.take_along_axis(order, best, 1)[:, :, None], 1)
+            if not last:
+                lists = np.concatenate([ids, places.reshape(-1, 3 * k).view(np.int64)], 1)[old:]
+                raw, size = lists.tobytes(), 32 * k
+                cols = [*[pa.array(m[c][old:]) for c in names[:5]], pa.array([raw[j : j + size] for j in range(0, len(raw), size)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=[*names[:5], "list"])
+                continue
+            src, col = np.nonzero(ids[old:] >= 0)
+            src += old
+            dst = places[src, col]
+            d = point[src] - dst
+            cols = [m["g"][src], m["id"][src], *point[src].T, ids[src, col], *dst.T, d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=[c.split()[0] for c in LINK.split(", ")])
 
     return links
 
@@ -157,13 +185,15 @@ def neighbour_graph(nodes: DataFrame, k: int = 5) -> DataFrame:
     spark = nodes.sparkSession
     scratch = Scratch(spark, "neighbours")
     wanted, k = k, k + SPARE
-    nodes = scratch.save(nodes.select(F.col("g").cast("int").alias("g"), "id", "x", "y", "z"), "nodes")
-    first = None
-    for shift in SHIFTS:
-        run = _coded(nodes, shift).repartitionByRange("g", "code", "id").sortWithinPartitions("g", "code", "id")
-        found = run.mapInArrow(_along_curve(k), LINK)
-        first = found if first is None else first.unionByName(found)
-    graph = scratch.save(_best(first.withColumn("fresh", F.lit(True)), k), "graph0")
+    nodes = nodes.select(F.col("g").cast("int").alias("g"), "id", "x", "y", "z")
+    empty = np.concatenate([np.full(k, -1), np.zeros(3 * k, np.int64)]).astype(np.int64).tobytes()
+    lists = scratch.save(nodes.withColumn("list", F.lit(empty)), "curve")
+    for c, shift in enumerate(SHIFTS):
+        run = _coded(lists, shift).repartitionByRange("g", "code", "id").sortWithinPartitions("g", "code", "id")
+        last = c == len(SHIFTS) - 1
+        lists = scratch.save(run.mapInArrow(_along_curve(k, last), LINK if last else "g int, id long, x double, y double, z double, list binary"), f"curve{c}")
+        scratch.drop(f"curve{c - 1}" if c else "curve")
+    graph = lists.withColumn("fresh", F.lit(True))
     size = graph.count()
     for r in range(MAX_ROUNDS):
         reach = graph.groupBy("g", "a").agg(F.max("d2").alias("reach"), F.count("*").alias("n")).select("g", F.col("a").alias("q"), F.when(F.col("n") < k, F.lit(float("inf"))).otherwise(F.col("reach")).alias("reach"))
@@ -174,7 +204,7 @@ def neighbour_graph(nodes: DataFrame, k: int = 5) -> DataFrame:
         met = asks.join(offers, ["g", "p"]).where("(f1 or f2) and q <> r").withColumn("d2", _distance2("q", "r")).where("d2 <= reach")
         met = met.select("g", F.col("q").alias("a"), F.col("qx").alias("ax"), F.col("qy").alias("ay"), F.col("qz").alias("az"), F.col("r").alias("b"), F.col("rx").alias("bx"), F.col("ry").alias("by"), F.col("rz").alias("bz"), "d2", F.lit(True).alias("fresh"))
         graph = scratch.save(_best(graph.withColumn("fresh", F.lit(False)).unionByName(met), k), f"graph{r + 1}")
-        scratch.drop(f"graph{r}")
+        scratch.drop(f"graph{r}" if r else f"curve{len(SHIFTS) - 1}")
         if graph.where("fresh").count() <= SETTLED * size:
             break
     near = Window.partitionBy("g", "a").orderBy("d2", "b")
