@@ -209,65 +209,81 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _may_align(a: np.ndarray, b: np.ndarray, least: int, edit: int) -> bool:
-    """False if no stretch of the item can align: the edits of a whole item spread its equal words over few diagonals.
-
-    For every band of so many diagonals each item word that has an equal word
-    on one of them counts 1, each other word ``1 - edit``; an alignment needs
-    a stretch of at least ``least`` words that does not sum up below 0.
+def _diagonals(equal: np.ndarray, least: int, edit: int) -> tuple[int, int] | None:
+    """Range of the diagonals on which a stretch of the item may align, or None.
+
+    ``equal`` holds word i of the item against word j of the region; diagonals
+    are numbered ``n + j - i``.  The edits of a whole item drift an alignment
+    by fewer than ``width`` diagonals to either side.  For every band of so
+    many diagonals each item word with an equal word on one of them counts 1,
+    each other word ``1 - edit``; an alignment needs a stretch of at least
+    ``least`` words that does not sum up below 0.
     """
-    n, m = len(a), len(b)
-    width = n // edit + 1
-    band = np.zeros((n + m, n), bool)  # row n + j - i, column i holds word i against word j: rows are diagonals
-    rows, cols = np.nonzero(a[:, None] == b)
+    n, m = equal.shape
+    reach = 2 * (n // edit) + 1
+    band = np.zeros((n + m, n), bool)
+    rows, cols = np.nonzero(equal)
     band[n + cols - rows, rows] = True
     done = 1
-    while done < 2 * width - 1:  # an alignment drifts by up to `width - 1` to either side
-        step = min(done, 2 * width - 1 - done)
+    while done < reach:
+        step = min(done, reach - done)
         band[:-step] |= band[step:]
         done += step
-    band = band[band.sum(1) >= least - least // edit]
-    total = np.zeros((len(band), n + 1), np.int32)
-    np.cumsum(np.where(band, 1, 1 - edit), axis=1, out=total[:, 1:])
+    full = np.flatnonzero(band.sum(1) >= least - least // edit)
+    if not len(full):
+        return None
+    total = np.zeros((len(full), n + 1), np.int32)
+    np.cumsum(np.where(band[full], 1, 1 - edit), axis=1, out=total[:, 1:])
     lowest = np.minimum.accumulate(total, axis=1)
-    return bool((total[:, least:] >= lowest[:, : n + 1 - least]).any())
+    good = full[(total[:, least:] >= lowest[:, : n + 1 - least]).any(1)]
+    return (int(good[0]), int(good[-1]) + reach) if len(good) else None
+
 
+def numbered(item: list[str]) -> tuple[np.ndarray, dict[str, int]]:
+    """The words of an item as numbers, and the number of each word."""
+    numbers: dict[str, int] = {}
+    return np.array([numbers.setdefault(w, len(numbers)) for w in item], np.int32), numbers
 
-def leaks_at(item: list[str], region: list[str], share: float = SHARE, edit: int = EDIT) -> bool:
+
+def leaks_at(item: tuple[np.ndarray, dict[str, int]], region: list[str], share: float = SHARE, edit: int = EDIT) -> bool:
     """True if a stretch of at least ``share`` of the item's words aligns within the region, one edit in ``edit`` words.
 
-    Edit distances of all starts in the item at once, each free to begin
-    anywhere in the region; the band is what the edits of a whole item allow.
+    Edit distances from all starts in the item at once, along the diagonals
+    that can hold an alignment, each free to begin on any of them.
     """
-    n, m = len(item), len(region)
+    a, numbers = item
+    n, m = len(a), len(region)
     least = int(np.ceil(share * n))
     if not n or m < least - least // edit:
         return False
-    there = set(region)
-    known = np.cumsum([0, *[w in there for w in item]])
-    if (known[least:] - known[:-least]).max() < least - least // edit:
+    b = np.array([numbers.get(w, -1) for w in region], np.int32)
+    there = np.zeros(len(numbers) + 1, bool)
+    there[b] = True
+    there[-1] = False
+    known = np.zeros(n + 1, np.int32)
+    np.cumsum(there[a], out=known[1:])
+    if (known[least:] - known[: n + 1 - least]).max() < least - least // edit:
         return False
-    numbers: dict[str, int] = {}
-    a = np.array([numbers.setdefault(w, len(numbers)) for w in item])
-    b = np.array([numbers.setdefault(w, len(numbers)) for w in region])
-    if not _may_align(a, b, least, edit):
+    equal = a[:, None] == b
+    span = _diagonals(equal, least, edit)
+    if span is None:
         return False
+    place = np.arange(n)[:, None] + np.arange(*span) - n
+    other = ~(equal[np.arange(n)[:, None], np.clip(place, 0, m - 1)] & (place >= 0) & (place < m))
     starts = n - least + 1
-    cost = np.zeros((starts, m + 1), np.int32)
-    along = np.arange(m + 1, dtype=np.int32)
+    along = np.arange(other.shape[1], dtype=np.int32)
+    cost = np.zeros((starts, len(along)), np.int32)
     for k in range(n):  # k + 1 words of the item from each start that still has so many
         live = min(starts, n - k)
-        cost = cost[:live]
-        word = a[k : k + live, None]
-        step = np.empty_like(cost)
-        step[:, 0] = cost[:, 0] + 1
-        step[:, 1:] = np.minimum(cost[:, :-1] + (word != b), cost[:, 1:] + 1)
-        cost = np.minimum.accumulate(step - along, axis=1) + along
-        best = cost.min(1)
-        if k + 1 >= least and (best * edit <= k + 1).any():
-            return True
-        if (best > n // edit).all():
-            return False
+        step = cost[:live] + other[k : k + live]
+        np.minimum(step[:, :-1], cost[:live, 1:] + 1, out=step[:, :-1])  # a word of the item left out
+        cost = np.minimum.accumulate(step - along, axis=1) + along  # words added
+        if k + 1 >= least:
+            best = cost.min(1)
+            if (best * edit <= k + 1).any():
+                return True
+            if (best > n // edit).all():
+                return False
     return False
 
 
@@ -343,7 +359,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item
         size = np.array([sum(map(len, w)) + len(w) for _, w in pairs])
         index = [_Index(q, sorted(part)) for q, part in by_q.items()]
         for_filter = sc.broadcast((index, bound, size))
-        for_check = sc.broadcast(([w for _, w in pairs], [k for k, _ in pairs]))
+        for_check = sc.broadcast(([numbered(w) for _, w in pairs], [k for k, _ in pairs]))
         regions = docs.mapInArrow(_filter(for_filter), "doc_id long, item long, region string")
         regions = Scratch(spark, "leaks").save(regions, "regions")
         spread = regions.repartition("doc_id", "item")
