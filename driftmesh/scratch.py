@@ -8,6 +8,7 @@ only a local session without that setting gets a folder of its own.
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -54,3 +55,6 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(conf).delete(path, True)
+        # shuffle files of a finished round go once its plans are garbage; a long loop must not wait for the driver to fill up
+        gc.collect()
+        jvm.System.gc()
