@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from driftmesh.llm.groups import connected_groups
 from driftmesh.llm.leaks import leaked_items
+from driftmesh.llm.mixing import TOKENIZER, budget_tree, one_language, one_spelling, selected, with_tokens
 from driftmesh.llm.neighbours import graph_search, neighbour_graph
 from driftmesh.llm.peaks import density_peaks
 from driftmesh.scratch import Scratch
@@ -94,6 +95,44 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def source_tokens(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents of the wanted sources with their tokens (doc_id, source, lang, tokens), the targets, and all leaves.
+
+    The tree's first level is the source, which has the target weight; the
+    second is the language.  Copies count as often as they are there.
+    """
+    targets = table(spark, sf_dir, "mix_targets").select("source", F.col("target_share").alias("weight"), "max_repeats").where("source is not null")
+    docs = table(spark, sf_dir, "documents").select("doc_id", one_spelling(F.col("source")).alias("source"), one_language(F.col("lang")).alias("lang"), "text")
+    wanted = docs.join(targets.select(one_spelling(F.col("source")).alias("source"), F.col("source").alias("named")), "source").drop("source").withColumnRenamed("named", "source")
+    docs = Scratch(spark, "mix").save(with_tokens(wanted.select("doc_id", "source", "lang", "text"), "text", tokenizer), "tokens")
+    leaves = docs.groupBy("source", "lang").agg(F.sum("tokens").alias("tokens"))
+    leaves = targets.join(leaves, "source", "left").select("source", "lang", F.coalesce("tokens", F.lit(0)).alias("tokens"), "max_repeats")
+    return docs, targets, leaves
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources that fall short of their target even if used as often as they may be."""
+    _, targets, leaves = source_tokens(spark, sf_dir)
+    budgets = budget_tree(leaves, ["source", "lang"], targets.select("source", "weight"))
+    return budgets.where("top_capacity < top_wanted").select("source").distinct()
+
+
+def p7_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often every document is used in the mixture."""
+    docs, targets, leaves = source_tokens(spark, sf_dir)
+    return selected(docs, budget_tree(leaves, ["source", "lang"], targets.select("source", "weight")), ["source", "lang"])
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of every source, and how often its documents are repeated."""
+    docs, targets, leaves = source_tokens(spark, sf_dir)
+    chosen = selected(docs, budget_tree(leaves, ["source", "lang"], targets.select("source", "weight")), ["source", "lang"])
+    used = chosen.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.sum(F.col("tokens") * F.col("uses")).alias("used"), F.max("uses").alias("most_uses"))
+    share = F.col("used") / F.sum("used").over(Window.partitionBy(F.lit(1)))
+    table_ = targets.join(used, "source", "left").select("source", F.col("weight").alias("target_share"), "max_repeats", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("used", F.lit(0)).alias("used"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"))
+    return table_.withColumn("reached_share", share)
+
+
 NODES_SQL = """
 node AS (
   SELECT run_id, id, dim, link_len, point[1] AS x, point[2] AS y, CASE WHEN dim = 3 THEN point[3] ELSE 0.0 END AS z FROM (
@@ -113,9 +152,16 @@ near AS (
 SELECT first AS cluster_id, id AS node_id FROM (SELECT *, count(*) OVER (PARTITION BY run_id, first, n, sign) AS m FROM near) WHERE m = n AND n >= 12"""
 
 
+#: Bytes stand for tokens: every usual tokenizer gives the same sources.
+P7_SQL = """
+WITH doc AS (SELECT regexp_replace(lower(trim(source)), '[-_ ]+', '_', 'g') AS source, strlen(text) AS n FROM documents WHERE text IS NOT NULL),
+have AS (SELECT m.source, m.target_share, m.max_repeats, coalesce(sum(d.n), 0) AS n FROM mix_targets m LEFT JOIN doc d ON d.source = m.source GROUP BY 1, 2, 3)
+SELECT source FROM have WHERE max_repeats * n < target_share * (SELECT sum(n) FROM have)"""
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_clusters, p1_labels, p4_found, p4_search, p5_found, p5_group_sizes, p6_found)}
+    return {f.__name__: f for f in (p1_found, p1_clusters, p1_labels, p4_found, p4_search, p5_found, p5_group_sizes, p6_found, p7_found, p7_selection, p7_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL}
+    return {"p1_found": P1_SQL, "p7_found": P7_SQL}
