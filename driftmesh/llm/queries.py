@@ -13,6 +13,7 @@ from driftmesh.llm.leaks import leaked_items
 from driftmesh.llm.mixing import TOKENIZER, budget_tree, one_language, one_spelling, selected, with_tokens
 from driftmesh.llm.neighbours import graph_search, neighbour_graph
 from driftmesh.llm.peaks import density_peaks
+from driftmesh.llm.sentences import sentence_ends
 from driftmesh.scratch import Scratch
 from driftmesh.sources.tables import placed_nodes, run_params, table
 
@@ -133,6 +134,11 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_.withColumn("reached_share", share)
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every sentence end of every article."""
+    return sentence_ends(table(spark, sf_dir, "documents"))
+
+
 NODES_SQL = """
 node AS (
   SELECT run_id, id, dim, link_len, point[1] AS x, point[2] AS y, CASE WHEN dim = 3 THEN point[3] ELSE 0.0 END AS z FROM (
@@ -160,7 +166,7 @@ SELECT source FROM have WHERE max_repeats * n < target_share * (SELECT sum(n) FR
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_clusters, p1_labels, p4_found, p4_search, p5_found, p5_group_sizes, p6_found, p7_found, p7_selection, p7_shares)}
+    return {f.__name__: f for f in (p1_found, p1_clusters, p1_labels, p4_found, p4_search, p5_found, p5_group_sizes, p6_found, p7_found, p7_selection, p7_shares, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
