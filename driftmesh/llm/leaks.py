@@ -146,7 +146,8 @@ class _Index:
     def __init__(self, q: int, items: list[tuple[int, list[str]]]):
         self.q = q
         grams, item, place = [], [], []
-        for k, words in items:
+        self.number = np.array([k for k, _ in items])  # of the items that use this q
+        for k, (_, words) in enumerate(items):
             h = _hashes(_codes(" ".join(words)), q)
             grams.append(h)
             item.append(np.full(len(h), k, np.int32))
@@ -159,7 +160,7 @@ class _Index:
         self.seen[self.grams >> np.uint64(64 - self.BITS)] = True
 
     def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Place in ``codes``, item and place in the item of every shared q-gram."""
+        """Place in ``codes``, item (its place among those of this q) and place in the item of every shared q-gram."""
         h = _hashes(codes, self.q)
         at = np.flatnonzero(self.seen[h >> np.uint64(64 - self.BITS)])
         k = np.searchsorted(self.grams, h[at])
@@ -187,8 +188,9 @@ def _regions(index: list[_Index], bound: np.ndarray, size: np.ndarray, texts: li
         diagonal = at - place + margin * 2 * BAND
         cell = item.astype(np.int64) * bands
         for half in (0, BAND):
-            count = np.bincount(cell + (diagonal + half) // (2 * BAND), minlength=len(size) * bands)
-            for i, band in np.argwhere(count.reshape(len(size), bands) >= bound[:, None]).tolist():
+            count = np.bincount(cell + (diagonal + half) // (2 * BAND), minlength=len(part.number) * bands)
+            for i, band in np.argwhere(count.reshape(-1, bands) >= bound[part.number][:, None]).tolist():
+                i = int(part.number[i])
                 begin = (band - margin) * 2 * BAND - half
                 end = begin + 2 * BAND + int(size[i])
                 for t in range(max(0, int(np.searchsorted(starts, begin, "right")) - 1), len(texts)):
