@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from driftmesh.functions import metrics
+from driftmesh.operators import codec, domain, edit, grid, pairs
+from driftmesh.operators.components import clusters, components
 from driftmesh.operators.dense import dense_stats
 from driftmesh.operators.sweep import near_and_inside
+from driftmesh.plans.sql import GHOSTS, PARTICLES, core_sql
+from driftmesh.scratch import Scratch
 from driftmesh.sources.tables import last_arrived, placed_points, run_params, table
 
 AXES = ("x", "y", "z")
@@ -74,22 +80,390 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_and_inside(points, boxes)
 
 
+def particles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The usable particles of all runs: run_id, id, x, y, z, dim, link_len, rank_no."""
+    placed = placed_points(table(spark, sf_dir, "particles"), run_params(spark, sf_dir), "particle_id", AXES, keep=("rank_no",))
+    return Scratch(spark, "particles").save(placed.withColumnRenamed("particle_id", "id"), "points")
+
+
+def celled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The particles with their grid cells."""
+    points = particles(spark, sf_dir)
+    return grid.with_cells(points, grid.grid_params(points))
+
+
+def visited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The particles in visiting order with their codes and reconstruction."""
+    visits = grid.visit_order(celled(spark, sf_dir))
+    return Scratch(spark, "visits").save(codec.quantised(visits), "codes")
+
+
+def recon_of(codes: DataFrame) -> DataFrame:
+    return codes.select("run_id", "id", *[F.col(f"recon_{a}").alias(a) for a in AXES])
+
+
+def _ints(df: DataFrame, *names: str) -> list:
+    return [F.col(n).cast("long").alias(n) for n in names]
+
+
+def run_ranges(spark, sf_dir):
+    """Extent of every run."""
+    return grid.axis_ranges(particles(spark, sf_dir)).drop("dim", "link_len")
+
+
+def derive_params(spark, sf_dir):
+    """Error bound, cell side and grid of every run."""
+    p = grid.grid_params(particles(spark, sf_dir))
+    return p.select("run_id", "b", "xi", "g", *_ints(p, "cells_x", "cells_y", "cells_z"))
+
+
+def extent_linking_length(spark, sf_dir):
+    """Linking length of every run by its extent and number of points."""
+    r = grid.linking_length(grid.axis_ranges(particles(spark, sf_dir)))
+    return r.select("run_id", F.round("b_of_extent", 6).alias("b_of_extent"))
+
+
+def grid_coarsen(spark, sf_dir):
+    """Cell side of every run at most four points a cell on average."""
+    return grid.coarsened(grid.grid_params(particles(spark, sf_dir))).select("run_id", F.round("g", 6).alias("g"))
+
+
+def cell_assign(spark, sf_dir):
+    """Cell of every particle."""
+    return celled(spark, sf_dir).select("run_id", "id", "cx", "cy", "cz", "cell_id")
+
+
+def cell_histogram(spark, sf_dir):
+    """Particles of every occupied cell."""
+    return celled(spark, sf_dir).groupBy("run_id", "cell_id").agg(F.count("*").alias("n"))
+
+
+def cell_decode_coords(spark, sf_dir):
+    """Corner and centre of every occupied cell, from its number."""
+    points = particles(spark, sf_dir)
+    params = grid.grid_params(points)
+    cells = grid.with_cells(points, params).select("run_id", "cell_id").distinct().join(params, "run_id")
+    return grid.cell_coords(cells).select("run_id", "cell_id", "cx", "cy", "cz", *[f"corner_{a}" for a in AXES], *[f"centre_{a}" for a in AXES])
+
+
+def cell_offsets(spark, sf_dir):
+    """Number of particles before each occupied cell in raster order."""
+    counts = cell_histogram(spark, sf_dir)
+    return grid.prefix_sum(counts, ["run_id"], "cell_id", "n", "start").select("run_id", "cell_id", "n", "start")
+
+
+def cell_gap_runs(spark, sf_dir):
+    """Empty cells between each occupied cell and the one before it in raster order."""
+    ranked = grid.cell_gaps(celled(spark, sf_dir).select("run_id", "cell_id").distinct())
+    before = ranked.select("run_id", (F.col("rank") + 1).alias("rank"), F.col("cell_id").alias("prev"))
+    return ranked.join(before, ["run_id", "rank"], "left").select("run_id", "cell_id", (F.col("cell_id") - F.coalesce("prev", F.lit(-1)) - 1).alias("gap"))
+
+
+def morton_code(spark, sf_dir):
+    """Morton code of every particle within its cell."""
+    cells = celled(spark, sf_dir)
+    return cells.select("run_id", "id", "cell_id", grid.morton(cells).alias("morton"))
+
+
+def visit_order(spark, sf_dir):
+    """Place of every particle in its cell's and its run's visiting order."""
+    return grid.visit_order(celled(spark, sf_dir)).select("run_id", "id", "cell_id", "seq", "visit_pos")
+
+
+def kd_order(spark, sf_dir):
+    """Greedy nearest-neighbour order of the particles of every cell."""
+    return codec.greedy_order(celled(spark, sf_dir))
+
+
+def quantize_codes(spark, sf_dir):
+    """Quantisation codes of every particle."""
+    return visited(spark, sf_dir).select("run_id", "id", "code_x", "code_y", "code_z")
+
+
+def quantize_recon(spark, sf_dir):
+    """Reconstruction of every particle, rounded."""
+    return visited(spark, sf_dir).select("run_id", "id", *[F.round(F.col(f"recon_{a}"), 6).alias(f"recon_{a}") for a in AXES])
+
+
+def outlier_flags(spark, sf_dir):
+    """Outliers of every run and axis."""
+    q = visited(spark, sf_dir)
+    return q.groupBy("run_id").agg(*[F.coalesce(F.sum(f"outlier_{a}"), F.lit(0)).alias(f"outliers_{a}") for a in AXES])
+
+
+def decode_recon(spark, sf_dir):
+    """Reconstruction from the codes alone, rounded."""
+    codes = visited(spark, sf_dir).select("run_id", "cell_id", "seq", "id", "dim", "xi", "ox", "oy", "oz", "code_x", "code_y", "code_z")
+    return codec.decoded(codes).select("run_id", "id", *[F.round(F.col(f"recon_{a}"), 6).alias(f"recon_{a}") for a in AXES])
+
+
+def roundtrip_check(spark, sf_dir):
+    """Particles of every run, and those whose decoded place is off by more than the error bound."""
+    q = visited(spark, sf_dir)
+    back = codec.decoded(q.select("run_id", "cell_id", "seq", "id", "dim", "xi", "ox", "oy", "oz", "code_x", "code_y", "code_z"))
+    both = q.select("run_id", "id", *AXES).join(back.select("run_id", "id", "xi", "recon_x", "recon_y", "recon_z"), ["run_id", "id"])
+    off = F.greatest(*[F.abs(F.col(a) - F.col(f"recon_{a}")) for a in AXES]) > F.col("xi") * (1 + 1e-9)
+    return both.groupBy("run_id").agg(F.count("*").alias("n"), F.count_if(off).alias("violations"))
+
+
+def fof_links(spark, sf_dir):
+    """Pairs of particles within the linking length."""
+    return pairs.links(celled(spark, sf_dir))
+
+
+def fof_clusters(spark, sf_dir):
+    """Friends-of-friends cluster of every linked particle."""
+    return components(pairs.links(celled(spark, sf_dir)))
+
+
+def halo_catalog(spark, sf_dir):
+    """Size, centre and extent of every cluster."""
+    points = particles(spark, sf_dir)
+    found = components(pairs.links(grid.with_cells(points, grid.grid_params(points))))
+    members = points.join(found, ["run_id", "id"])
+    return members.groupBy("run_id", "cluster_id").agg(F.count("*").alias("size"), *[F.round(F.avg(a), 6).alias(f"mean_{a}") for a in AXES], *[f(a).alias(f"{n}_{a}") for a in AXES for f, n in ((F.min, "min"), (F.max, "max"))])
+
+
+def halo_size_hist(spark, sf_dir):
+    """Clusters of every size."""
+    return fof_clusters(spark, sf_dir).groupBy("run_id", "cluster_id").count().groupBy("run_id", F.col("count").alias("size")).agg(F.count("*").alias("clusters"))
+
+
+def halo_topk(spark, sf_dir):
+    """The ten largest clusters of every run."""
+    sizes = fof_clusters(spark, sf_dir).groupBy("run_id", "cluster_id").agg(F.count("*").alias("size"))
+    place = Window.partitionBy("run_id").orderBy(F.desc("size"), "cluster_id")
+    return sizes.withColumn("place", F.row_number().over(place).cast("long")).where("place <= 10")
+
+
+def vulnerable_pairs(spark, sf_dir):
+    """Pairs whose link a reconstruction may flip."""
+    return pairs.vulnerable_pairs(celled(spark, sf_dir)).select("run_id", "i", "j", "sign")
+
+
+def editable_points(spark, sf_dir):
+    """Particles of at least one vulnerable pair."""
+    return pairs.editable_points(pairs.vulnerable_pairs(celled(spark, sf_dir)))
+
+
+def pair_summary(spark, sf_dir):
+    """Vulnerable pairs of every run, by what they must stay."""
+    return pairs.vulnerable_pairs(celled(spark, sf_dir)).groupBy("run_id").agg(F.count("*").alias("pairs"), F.sum("sign").alias("apart"))
+
+
+def _measured(spark, sf_dir):
+    q = visited(spark, sf_dir)
+    vp = Scratch(spark, "pairs").save(pairs.vulnerable_pairs(q.select("run_id", "id", *AXES, "dim", "b", "xi", "cx", "cy", "cz")), "pairs")
+    return q, vp, pairs.with_distance(vp, recon_of(q))
+
+
+def violated_pairs(spark, sf_dir):
+    """Vulnerable pairs whose link the reconstruction flips."""
+    _, _, measured = _measured(spark, sf_dir)
+    return measured.where((F.col("r2") > F.col("b") * F.col("b")).cast("long") != F.col("sign")).select("run_id", "i", "j", "sign")
+
+
+def link_confusion(spark, sf_dir):
+    """Vulnerable pairs by what they must be and what the reconstruction makes of them, and Matthews correlation."""
+    _, _, measured = _measured(spark, sf_dir)
+    return metrics.matthews(pairs.link_confusion(measured)).withColumn("mcc", F.round("mcc", 6))
+
+
+def _two_clusterings(spark, sf_dir, recon=None):
+    """Contingency of the clusters of the particles and of a reconstruction, by default the unedited one."""
+    q = visited(spark, sf_dir)
+    points = q.select("run_id", "id", *AXES, "dim", "link_len")
+    params = grid.grid_params(points)
+    other = (recon or (lambda q: recon_of(q)))(q).select("run_id", "id", *AXES).join(points.select("run_id", "id", "dim", "link_len"), ["run_id", "id"])
+    one = clusters(points, pairs.links(grid.with_cells(points, params)))
+    two = clusters(other, pairs.links(grid.with_cells(other, grid.grid_params(other))))
+    return metrics.contingency(one, two)
+
+
+def contingency(spark, sf_dir):
+    """Particles that each pair of original and reconstructed clusters shares, where either has more than one."""
+    return _two_clusterings(spark, sf_dir).select("run_id", F.col("one").alias("cluster_id"), F.col("other").alias("recon_cluster_id"), "n")
+
+
+def pair_confusion(spark, sf_dir):
+    """Pairs of particles together in both clusterings, in one or in none, with the adjusted Rand index."""
+    return metrics.adjusted_rand(metrics.pair_confusion(_two_clusterings(spark, sf_dir))).withColumn("ari", F.round("ari", 9))
+
+
+def ari_sampled(spark, sf_dir, share=0.25):
+    """Adjusted Rand index over a sample of particles drawn by the hash of their id."""
+    q = visited(spark, sf_dir)
+    some = q.where(F.pmod(F.xxhash64("id", F.lit(42)), F.lit(1000)) < int(share * 1000))
+    points = some.select("run_id", "id", *AXES, "dim", "link_len")
+    other = recon_of(some).join(points.select("run_id", "id", "dim", "link_len"), ["run_id", "id"])
+    one = clusters(points, pairs.links(grid.with_cells(points, grid.grid_params(points))))
+    two = clusters(other, pairs.links(grid.with_cells(other, grid.grid_params(other))))
+    return metrics.adjusted_rand(metrics.pair_confusion(metrics.contingency(one, two))).withColumn("ari", F.round("ari", 9))
+
+
+def error_stats(spark, sf_dir):
+    """Errors of the reconstruction, rounded."""
+    q = visited(spark, sf_dir)
+    points = q.select("run_id", "id", *AXES, "dim", "link_len")
+    e = metrics.error_stats(points, recon_of(q), grid.axis_ranges(points))
+    return e.select("run_id", "n", *[F.round(c, 6).alias(c) for c in ("max_error", "mse", "rmse", "nrmse", "psnr")])
+
+
+def auto_xi(spark, sf_dir):
+    """Error bound that the reconstruction keeps, from its largest error."""
+    q = visited(spark, sf_dir)
+    return q.groupBy("run_id").agg(F.round(F.max(F.greatest(*[F.abs(F.col(a) - F.col(f"recon_{a}")) for a in AXES])), 9).alias("xi"))
+
+
+def _pgd_terms(spark, sf_dir):
+    _, _, measured = _measured(spark, sf_dir)
+    tol = 2 * F.col("xi") / 65535 * 2 * F.sqrt(F.col("dim").cast("double"))
+    return measured.withColumn("d", F.sqrt("r2")).withColumn("tol", tol)
+
+
+def pgd_loss0(spark, sf_dir):
+    """Loss of the unedited reconstruction."""
+    t = _pgd_terms(spark, sf_dir)
+    over = F.when((F.col("sign") == 1) & (F.col("d") <= F.col("b") + F.col("tol")), F.col("d") - (F.col("b") + F.col("tol"))).when((F.col("sign") == 0) & (F.col("d") > F.col("b") - F.col("tol")), F.col("d") - (F.col("b") - F.col("tol"))).otherwise(F.lit(0.0))
+    return t.groupBy("run_id").agg(F.round(F.sum(over * over), 6).alias("loss"))
+
+
+def pgd_gradient0(spark, sf_dir):
+    """Gradient of every editable particle at the unedited reconstruction, where it isn't zero."""
+    t = _pgd_terms(spark, sf_dir).where((F.col("d") >= F.col("tol")) & (F.col("sign") == (F.col("d") <= F.col("b")).cast("long")))
+    pull = 2 * (F.col("d") - F.col("b")) / F.col("d")
+    ends = F.explode(F.array(F.struct(F.col("i").alias("id"), F.lit(1.0).alias("way")), F.struct(F.col("j").alias("id"), F.lit(-1.0).alias("way"))))
+    e = t.select("run_id", pull.alias("pull"), "dx", "dy", "dz", ends.alias("e"))
+    return e.groupBy("run_id", "e.id").agg(*[F.round(F.sum(F.col("e.way") * F.col("pull") * F.col(f"d{a}")) + 0.0, 6).alias(f"grad_{a}") for a in AXES])
+
+
+def pgd_edit(spark, sf_dir):
+    """Vulnerable pairs of every run before and after gradient edits, and how many are violated."""
+    q, vp, before = _measured(spark, sf_dir)
+    edited = edit.gradient_edit(recon_of(q), q.select("run_id", "id", *AXES), vp, max_iter=200)
+    wrong = ((F.col("r2") > F.col("b") * F.col("b")).cast("long") != F.col("sign"))
+    count = lambda df, name: df.groupBy("run_id").agg(F.count("*").alias(f"pairs_{name}"), F.count_if(wrong).alias(f"violated_{name}"))
+    return count(before, "before").join(count(pairs.with_distance(vp, edited), "after"), "run_id")
+
+
+def lossless_edit(spark, sf_dir):
+    """The reconstruction with exact vulnerable particles, rounded."""
+    q, vp, _ = _measured(spark, sf_dir)
+    out = edit.exact_edit(recon_of(q), q.select("run_id", "id", *AXES), vp)
+    return out.select("run_id", "id", "edited", *[F.round(a, 6).alias(a) for a in AXES])
+
+
+def lossless_edit_ari(spark, sf_dir):
+    """Adjusted Rand index after exact edits: 1 for every run."""
+    exact = lambda q: edit.exact_edit(recon_of(q), q.select("run_id", "id", *AXES), pairs.vulnerable_pairs(q.select("run_id", "id", *AXES, "dim", "b", "xi", "cx", "cy", "cz")))
+    return metrics.adjusted_rand(metrics.pair_confusion(_two_clusterings(spark, sf_dir, exact))).select("run_id", F.round("ari", 9).alias("ari"))
+
+
+def symbol_freq(spark, sf_dir):
+    """How often each quantisation code occurs."""
+    return codec.symbol_counts(codec.code_rows(visited(spark, sf_dir)))
+
+
+def huffman_code_lengths(spark, sf_dir):
+    """Every code's frequency and length of its Huffman code."""
+    counts = Scratch(spark, "symbols").save(symbol_freq(spark, sf_dir), "counts")
+    lengths = spark.createDataFrame([(int(s), n) for s, (_, n) in codec.code_table(counts).items()], "symbol long, length int")
+    return counts.join(lengths, "symbol").select("symbol", "freq", "length")
+
+
+def huffman_bits(spark, sf_dir):
+    """Coded blocks of every run, their bits and packed bytes."""
+    codes = Scratch(spark, "codes").save(codec.code_rows(visited(spark, sf_dir)), "codes")
+    blocks = codec.pack_codes(codes, codec.code_table(codec.symbol_counts(codes)))
+    return blocks.groupBy("run_id").agg(F.count("*").alias("blocks"), F.sum("n").alias("codes"), F.sum("n_bits").alias("bits"), F.sum(F.octet_length("blob")).alias("bytes"))
+
+
+def entropy_roundtrip(spark, sf_dir):
+    """Codes of every run and how many come out of coding and decoding changed."""
+    codes = Scratch(spark, "codes").save(codec.code_rows(visited(spark, sf_dir)), "codes")
+    tab = codec.code_table(codec.symbol_counts(codes))
+    back = codec.unpack_codes(codec.pack_codes(codes, tab), tab).select("run_id", "pos", F.col("code").alias("back"))
+    both = codes.join(back, ["run_id", "pos"], "full")
+    return both.groupBy("run_id").agg(F.count("*").alias("codes"), F.count_if(~F.col("code").eqNullSafe(F.col("back"))).alias("changed"))
+
+
+def _edit_mask(spark, sf_dir):
+    q, vp, _ = _measured(spark, sf_dir)
+    mark = pairs.editable_points(vp).withColumn("flag", F.lit(1))
+    return q.select("run_id", "id", "visit_pos").join(mark, ["run_id", "id"], "left").select("run_id", F.col("visit_pos").alias("pos"), F.coalesce("flag", F.lit(0)).alias("flag"))
+
+
+def pack_flags(spark, sf_dir):
+    """The mask of editable particles in visiting order, packed into bytes."""
+    return codec.packed_bits(_edit_mask(spark, sf_dir), ["run_id"], "pos", "flag").select("run_id", "byte_no", F.col("byte").cast("long").alias("byte"))
+
+
+def unpack_flags(spark, sf_dir):
+    """Bits of the packed mask, set and in all, of every run."""
+    bits = codec.unpacked_bits(codec.packed_bits(_edit_mask(spark, sf_dir), ["run_id"], "pos", "flag"), ["run_id"])
+    return bits.groupBy("run_id").agg(F.count("*").alias("bits"), F.sum("flag").alias("set_bits"))
+
+
+def size_accounting(spark, sf_dir):
+    """Bytes of the coded stream against raw doubles, and bits per particle and axis."""
+    sizes = huffman_bits(spark, sf_dir)
+    return sizes.select("run_id", (F.col("codes") * 8).alias("raw_bytes"), F.col("bytes").alias("payload_bytes"), (F.col("codes") * 8 / F.col("bytes")).alias("ratio"), (F.col("bytes") * 8 / F.col("codes")).alias("bits_per_value"))
+
+
+def _widths(points: DataFrame) -> DataFrame:
+    return grid.grid_params(points).select("run_id", F.col("g").alias("width"))
+
+
+def bbox_by_block(spark, sf_dir):
+    """Box of every rank of every run."""
+    return domain.rank_boxes(particles(spark, sf_dir))
+
+
+def neighbor_blocks(spark, sf_dir):
+    """Ranks whose boxes meet within the ghost width."""
+    points = particles(spark, sf_dir)
+    return domain.neighbour_ranks(domain.rank_boxes(points), _widths(points))
+
+
+def ghost_rows(spark, sf_dir):
+    """Particles that other ranks need as ghosts."""
+    points = particles(spark, sf_dir)
+    return domain.ghosts(points, domain.rank_boxes(points), _widths(points))
+
+
+def extended_block(spark, sf_dir):
+    """Own and ghost particles of every rank."""
+    points = particles(spark, sf_dir)
+    ghosts = domain.ghosts(points, domain.rank_boxes(points), _widths(points)).select("run_id", F.col("dest_rank").alias("rank_no"), "id", F.lit(1).alias("ghost"))
+    both = points.where("rank_no is not null").select("run_id", "rank_no", "id", F.lit(0).alias("ghost")).unionByName(ghosts)
+    return both.groupBy("run_id", "rank_no").agg(F.count_if(F.col("ghost") == 0).alias("own"), F.count_if(F.col("ghost") == 1).alias("ghosts"))
+
+
+def axis_islands(spark, sf_dir):
+    """Stretches of every axis without a gap wider than the ghost width."""
+    points = particles(spark, sf_dir)
+    return domain.islands(domain.axis_islands(points, _widths(points)))
+
+
+def occupied_boxes(spark, sf_dir):
+    """Products of axis islands that hold particles."""
+    points = particles(spark, sf_dir)
+    return domain.occupied_boxes(points, domain.axis_islands(points, _widths(points)), _widths(points)).drop("lo_z", "hi_z")
+
+
+_QUERIES = (
+    p2_found, p2_rank_stats, p3_found, run_ranges, derive_params, extent_linking_length, grid_coarsen, cell_assign, cell_histogram, cell_decode_coords,
+    cell_offsets, cell_gap_runs, morton_code, visit_order, kd_order, quantize_codes, quantize_recon, outlier_flags, decode_recon, roundtrip_check,
+    fof_links, fof_clusters, halo_catalog, halo_size_hist, halo_topk, vulnerable_pairs, editable_points, pair_summary, violated_pairs, link_confusion,
+    contingency, pair_confusion, ari_sampled, error_stats, auto_xi, pgd_loss0, pgd_gradient0, pgd_edit, lossless_edit, lossless_edit_ari, symbol_freq,
+    huffman_code_lengths, huffman_bits, entropy_roundtrip, pack_flags, unpack_flags, size_accounting, bbox_by_block, neighbor_blocks, ghost_rows,
+    extended_block, axis_islands, occupied_boxes,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_rank_stats, p3_found)}
-
-
-#: Usable rows of a point table, the last arrived of each id.
-_LAST = """
-{name} AS (
-  SELECT run_id, {id} AS id, dim, link_len, rank_no, x, y, z FROM (
-    SELECT p.run_id, p.{id}, r.dim, r.link_len, {rank} AS rank_no, p.{x} AS x, p.{y} AS y, CASE WHEN r.dim = 3 THEN p.{z} ELSE 0.0 END AS z,
-           row_number() OVER (PARTITION BY p.run_id, p.{id} ORDER BY p.arrived_at DESC NULLS LAST) AS k
-    FROM {table} p JOIN runs r ON p.run_id = r.run_id
-    WHERE p.{id} IS NOT NULL AND isfinite(p.{x}) AND isfinite(p.{y}) AND (r.dim = 2 OR isfinite(p.{z}))
-  ) WHERE k = 1
-)"""
-PARTICLES_SQL = _LAST.format(name="part_rows", id="particle_id", rank="p.rank_no", x="x", y="y", z="z", table="particles")
-GHOSTS_SQL = _LAST.format(name="ghost_rows", id="ghost_id", rank="0", x="xx", y="yy", z="zz", table="ghost_points")
+    return {f.__name__: f for f in _QUERIES}
+
 
 _COUNTS_SQL = """
 ghost_n AS (SELECT run_id, source_rank AS rank_no, count(DISTINCT ghost_id) AS n FROM ghost_points WHERE ghost_id IS NOT NULL AND source_rank IS NOT NULL AND run_id IS NOT NULL GROUP BY 1, 2)"""
@@ -100,9 +474,9 @@ stat AS (SELECT run_id, rank_no, any_value(dim) AS dim, count(*) AS n, min(x) AS
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    return core_sql() | {
         "p2_found": f"""
-WITH {PARTICLES_SQL}, {_BOX_SQL}, {_COUNTS_SQL},
+WITH {PARTICLES}, {_BOX_SQL}, {_COUNTS_SQL},
 said AS (
   SELECT run_id, source_rank AS rank_no, sum(ghost_count) AS n FROM (
     SELECT *, row_number() OVER (PARTITION BY run_id, dest_rank, source_rank ORDER BY posted_at DESC NULLS LAST, ghost_count DESC) AS k
@@ -115,12 +489,12 @@ UNION ALL
 SELECT coalesce(g.run_id, a.run_id) AS run_id, coalesce(g.rank_no, a.rank_no) AS rank_no, 'count' AS fault
 FROM ghost_n g FULL JOIN said a ON g.run_id = a.run_id AND g.rank_no = a.rank_no WHERE coalesce(g.n, 0) <> coalesce(a.n, 0)""",
         "p2_rank_stats": f"""
-WITH {PARTICLES_SQL}, {_BOX_SQL}, {_COUNTS_SQL}
+WITH {PARTICLES}, {_BOX_SQL}, {_COUNTS_SQL}
 SELECT coalesce(s.run_id, g.run_id) AS run_id, coalesce(s.rank_no, g.rank_no) AS rank_no, coalesce(s.n, 0) AS n_particles,
        min_x, max_x, min_y, max_y, min_z, max_z, coalesce(g.n, 0) AS n_ghosts
 FROM stat s FULL JOIN ghost_n g ON s.run_id = g.run_id AND s.rank_no = g.rank_no""",
         "p3_found": f"""
-WITH {GHOSTS_SQL},
+WITH {GHOSTS},
 cell AS (SELECT *, floor(x / link_len) AS cx, floor(y / link_len) AS cy FROM ghost_rows),
 moved AS (SELECT c.*, c.cx + i AS jx, c.cy + j AS jy FROM cell c, (VALUES (-1), (0), (1)) u(i), (VALUES (-1), (0), (1)) v(j)),
 box AS (SELECT DISTINCT b.box_id, b.run_id, b.lo, b.hi, r.dim FROM bounding_boxes b JOIN runs r ON b.run_id = r.run_id)
