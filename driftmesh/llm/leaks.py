@@ -176,8 +176,8 @@ def _regions(index: list[_Index], bound: np.ndarray, size: np.ndarray, texts: li
     """Per (text, item) the stretches of the text in which the item reaches its bound in some diagonal band."""
     starts = np.cumsum([0, *[len(t) + 1 for t in texts]])
     codes = _codes("\n".join(texts))
-    margin = int(size.max()) // (2 * BAND) + 2
-    bands = int(starts[-1]) // (2 * BAND) + 2 * margin
+    margin = int(size.max()) // BAND + 2
+    bands = int(starts[-1]) // BAND + 2 * margin
     found: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for part in index:
         at, item, place = part.hits(codes)
@@ -185,18 +185,16 @@ def _regions(index: list[_Index], bound: np.ndarray, size: np.ndarray, texts: li
             continue
         # a diagonal is the place at which the item would begin; hits of two texts can share a band only near their
         # border, which at worst sends a region on to be verified
-        diagonal = at - place + margin * 2 * BAND
-        cell = item.astype(np.int64) * bands
-        for half in (0, BAND):
-            count = np.bincount(cell + (diagonal + half) // (2 * BAND), minlength=len(part.number) * bands)
-            for i, band in np.argwhere(count.reshape(-1, bands) >= bound[part.number][:, None]).tolist():
-                i = int(part.number[i])
-                begin = (band - margin) * 2 * BAND - half
-                end = begin + 2 * BAND + int(size[i])
-                for t in range(max(0, int(np.searchsorted(starts, begin, "right")) - 1), len(texts)):
-                    if starts[t] >= end:
-                        break
-                    found.setdefault((t, i), []).append((max(0, begin - BAND - int(starts[t])), end + BAND - int(starts[t])))
+        band = (at - place) // BAND + margin
+        count = np.bincount(item * np.int64(bands) + band, minlength=len(part.number) * bands).reshape(-1, bands)
+        for i, band in np.argwhere(count[:, :-1] + count[:, 1:] >= bound[part.number][:, None]).tolist():
+            i = int(part.number[i])
+            begin = (band - margin) * BAND
+            end = begin + 2 * BAND + int(size[i])
+            for t in range(max(0, int(np.searchsorted(starts, begin, "right")) - 1), len(texts)):
+                if starts[t] >= end:
+                    break
+                found.setdefault((t, i), []).append((max(0, begin - BAND - int(starts[t])), end + BAND - int(starts[t])))
     return found
 
 
