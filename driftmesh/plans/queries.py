@@ -13,8 +13,11 @@ from driftmesh.operators.dense import dense_stats
 from driftmesh.operators.sweep import near_and_inside
 from driftmesh.plans.sql import GHOSTS, PARTICLES, core_sql
 from driftmesh.scratch import Scratch
+from driftmesh.sources import adapters, container, raw
 from driftmesh.sources.tables import last_arrived, placed_points, run_params, table
 
+from driftmesh.streaming import arrivals
+
 AXES = ("x", "y", "z")
 
 
@@ -451,7 +454,79 @@ def occupied_boxes(spark, sf_dir):
     return domain.occupied_boxes(points, domain.axis_islands(points, _widths(points)), _widths(points)).drop("lo_z", "hi_z")
 
 
+def _scan(points: DataFrame) -> DataFrame:
+    return points.select("id", *[F.round(a, 6).alias(a) for a in AXES])
+
+
+def particle_scan_orders2d(spark, sf_dir):
+    """Orders as particles."""
+    return _scan(adapters.orders2d(spark, sf_dir))
+
+
+def particle_scan_events2d(spark, sf_dir):
+    """Events as particles."""
+    return _scan(adapters.events2d(spark, sf_dir))
+
+
+def particle_scan_emb3d(spark, sf_dir):
+    """Embeddings as particles."""
+    return _scan(adapters.emb3d(spark, sf_dir))
+
+
+def _clusters_of(points: DataFrame) -> DataFrame:
+    points = Scratch(points.sparkSession, "adapted").save(points, "points")
+    return components(pairs.links(grid.with_cells(points, grid.grid_params(points)))).select("id", "cluster_id")
+
+
+def fof_clusters_orders2d(spark, sf_dir):
+    """Friends-of-friends clusters of orders."""
+    return _clusters_of(adapters.orders2d(spark, sf_dir))
+
+
+def fof_clusters_events2d(spark, sf_dir):
+    """Friends-of-friends clusters of events."""
+    return _clusters_of(adapters.events2d(spark, sf_dir))
+
+
+def fof_clusters_emb3d(spark, sf_dir):
+    """Friends-of-friends clusters of embeddings."""
+    return _clusters_of(adapters.emb3d(spark, sf_dir))
+
+
+def raw_roundtrip(spark, sf_dir):
+    """Number and extent of the particles of three axes after writing and reading raw coordinate files."""
+    raw.register(spark)
+    scratch = Scratch(spark, "raw")
+    path = scratch.path("points").removeprefix("file:")
+    path = "/" + path.lstrip("/") if path.startswith("//") else path
+    particles(spark, sf_dir).where("dim = 3").select(*AXES).write.format("raw_points").mode("append").options(path=path, dim="3").save()
+    back = spark.read.format("raw_points").options(path=path, dim="3").load()
+    return back.agg(F.count("*").alias("n"), *[f(a).alias(f"{n}_{a}") for a in AXES for f, n in ((F.min, "min"), (F.max, "max"))])
+
+
+def container_roundtrip(spark, sf_dir):
+    """Particles of every run and how many are off by more than the error bound after compressing and decompressing."""
+    points = particles(spark, sf_dir)
+    path = Scratch(spark, "container").path("runs")
+    container.compress(points, path)
+    back = container.decompress(spark, path).select("run_id", "id", *[F.col(a).alias(f"r{a}") for a in AXES])
+    both = points.join(back, ["run_id", "id"], "left")
+    off = F.greatest(*[F.abs(F.col(a) - F.col(f"r{a}")) for a in AXES]) > F.col("link_len") * grid.XI_SHARE * (1 + 1e-9)
+    return both.groupBy("run_id").agg(F.count("*").alias("n"), F.count_if(off | F.col("rx").isNull()).alias("violations"))
+
+
+def arrival_windows(spark, sf_dir):
+    """Usable particle rows per run and ten minutes of arrival, by a stream over the table's files."""
+    path = f"{sf_dir}/particles.parquet"
+    scratch = Scratch(spark, "arrivals")
+    stream = arrivals.windowed_counts(arrivals.arrivals(spark, path, spark.read.parquet(path).schema))
+    arrivals.run_once(stream, scratch.path("out"), scratch.path("state"))
+    out = spark.read.parquet(scratch.path("out"))
+    return out.select("run_id", F.unix_timestamp("start").alias("start"), "n", "min_x", "max_x")
+
+
 _QUERIES = (
+    particle_scan_orders2d, particle_scan_events2d, particle_scan_emb3d, fof_clusters_orders2d, fof_clusters_events2d, fof_clusters_emb3d, raw_roundtrip, container_roundtrip, arrival_windows,
     p2_found, p2_rank_stats, p3_found, run_ranges, derive_params, extent_linking_length, grid_coarsen, cell_assign, cell_histogram, cell_decode_coords,
     cell_offsets, cell_gap_runs, morton_code, visit_order, kd_order, quantize_codes, quantize_recon, outlier_flags, decode_recon, roundtrip_check,
     fof_links, fof_clusters, halo_catalog, halo_size_hist, halo_topk, vulnerable_pairs, editable_points, pair_summary, violated_pairs, link_confusion,

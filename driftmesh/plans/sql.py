@@ -109,13 +109,35 @@ gap AS (SELECT a.*, CASE WHEN v - lag(v) OVER (PARTITION BY a.run_id, axis ORDER
 isl AS (SELECT *, (sum(new) OVER (PARTITION BY run_id, axis ORDER BY v RANGE UNBOUNDED PRECEDING))::BIGINT AS island FROM gap)"""
 
 
+def _adapted(rows: str, z: bool, link_len: float) -> str:
+    """Particles of another table (id, x, y[, z]) scaled to 0..1000, and their links."""
+    axes = "xyz" if z else "xy"
+    scaled = ", ".join(f"({a} - min({a}) OVER ()) / (max({a}) OVER () - min({a}) OVER ()) * 1000 AS {a}" for a in axes)
+    return f"""src AS ({rows}),
+ada AS (SELECT id, {scaled}{'' if z else ', 0.0::DOUBLE AS z'} FROM src),
+pla AS (SELECT 0 AS run_id, {3 if z else 2} AS dim, {link_len}::DOUBLE AS b, 0.0 AS xi, id, x, y, z, floor(x / {link_len}) AS cx, floor(y / {link_len}) AS cy, floor(z / {link_len}) AS cz FROM ada),
+{_near('pla', _LINK, 'lnk')},{_components('lnk', 'lab')}"""
+
+
+_ADAPTED = {
+    "orders2d": _adapted("SELECT o_orderkey AS id, o_totalprice AS x, date_diff('day', DATE '1970-01-01', o_orderdate::DATE)::DOUBLE AS y FROM orders", False, 4.0),
+    "events2d": _adapted("SELECT event_id AS id, epoch_us(ts)::DOUBLE AS x, value AS y FROM events", False, 2.0),
+    "emb3d": _adapted("SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings", True, 25.0),
+}
+
+
 def _w(ctes: str, select: str) -> str:
     return f"WITH RECURSIVE {ctes}\n{select}"
 
 
 def core_sql() -> dict[str, str]:
     axes = lambda t: ", ".join(t.format(a=a) for a in _AXES)
-    return {
+    other = {f"particle_scan_{n}": _w(c, "SELECT id, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM ada") for n, c in _ADAPTED.items()}
+    other |= {f"fof_clusters_{n}": _w(c, "SELECT id, c AS cluster_id FROM lab") for n, c in _ADAPTED.items()}
+    return other | {
+        "raw_roundtrip": _w(PARTICLES, f"SELECT count(*) AS n, {axes('min({a}) AS min_{a}, max({a}) AS max_{a}')} FROM part_rows WHERE dim = 3"),
+        "container_roundtrip": _w(PARTICLES, "SELECT run_id, count(*) AS n, 0::BIGINT AS violations FROM part_rows GROUP BY 1"),
+        "arrival_windows": "SELECT run_id, epoch(time_bucket(INTERVAL '10 minutes', arrived_at))::BIGINT AS start, count(*) AS n, min(x) AS min_x, max(x) AS max_x FROM particles WHERE run_id IS NOT NULL AND isfinite(x) AND isfinite(y) AND arrived_at IS NOT NULL GROUP BY 1, 2",
         "run_ranges": _w(PARAMS, f"SELECT run_id, n, {axes('min_{a}, max_{a}, range_{a}')} FROM par"),
         "derive_params": _w(PARAMS, "SELECT run_id, b, xi, g, cells_x, cells_y, cells_z FROM par"),
         "extent_linking_length": _w(PARAMS, "SELECT run_id, round(0.2 * CASE WHEN dim = 2 THEN sqrt(range_x * range_y / n) ELSE cbrt(range_x * range_y * range_z / n) END, 6) AS b_of_extent FROM par"),
