@@ -1,7 +1,9 @@
 """The k nearest vectors of every vector: NN-descent, and greedy search in its graph.
 
 The first graph comes from sorts along shifted space-filling curves, through
-which every node carries its best neighbours so far.  Each
+which every node carries its best neighbours so far; the last pass runs two
+rounds of NN-descent inside each task's stretch of the curve, so that only
+links that leave their stretch, or are new, are left to the joins.  Each
 round of NN-descent is one join: whoever is linked to a pivot, in either
 direction, is offered the pivot's neighbours, and keeps the k best of what it
 has and was offered.  Only links that are new since the last round are
@@ -37,7 +39,12 @@ CHUNK = 40_000
 SETTLED = 0.0002
 MAX_ROUNDS = 16
 
-LINK = "g int, a long, ax double, ay double, az double, b long, bx double, by double, bz double, d2 double"
+#: Rounds of descent inside a stretch, and its rows that are compared at once.
+LOCAL_ROUNDS, LOCAL_ROWS = 2, 4000
+#: Keys that a semi-join broadcasts (about 40 bytes each); more are joined by a shuffle.
+MAX_BROADCAST_KEYS = 500_000
+
+LINK = "g int, a long, ax double, ay double, az double, b long, bx double, by double, bz double, d2 double, fresh boolean"
 
 
 def _distance2(p: str, q: str):
@@ -116,6 +123,65 @@ def _packed(column: pa.Array, k: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.int64).reshape(len(column), 4 * k)
 
 
+def _merged(own: np.ndarray, ends: np.ndarray, spots: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest different ends of each row and their points; -1 ends are none."""
+    d2 = ((spots - own[:, None]) ** 2).sum(2)
+    d2[ends < 0] = np.inf
+    order = np.lexsort((ends, d2), axis=1)
+    ends, d2 = np.take_along_axis(ends, order, 1), np.take_along_axis(d2, order, 1)
+    twice = np.zeros(ends.shape, bool)
+    twice[:, 1:] = ends[:, 1:] == ends[:, :-1]
+    d2[twice] = np.inf
+    best = np.argsort(d2, axis=1, kind="stable")[:, :k]
+    kept = np.where(np.isfinite(np.take_along_axis(d2, best, 1)), np.take_along_axis(ends, best, 1), -1)
+    return kept, np.take_along_axis(spots, np.take_along_axis(order, best, 1)[:, :, None], 1)
+
+
+def _inside(m: dict[str, np.ndarray], point: np.ndarray, ids: np.ndarray, places: np.ndarray, old: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """NN-descent among the nodes of one stretch: lists, their points, and which links are left to be followed."""
+    n = len(ids)
+    order = np.argsort(m["id"], kind="stable")
+    names = m["id"][order]
+
+    def rows_of(ends):
+        at = np.clip(np.searchsorted(names, ends), 0, n - 1)
+        row = order[at]
+        return np.where((names[at] == ends) & (m["g"][row] == m["g"][:, None]), row, -1)
+
+    changed = np.zeros(ids.shape, bool)
+    for _ in range(LOCAL_ROUNDS):
+        there = rows_of(ids)
+        src, col = np.nonzero(there >= 0)
+        dst = there[src, col]
+        gap = ((point[src] - point[dst]) ** 2).sum(1)
+        by = np.lexsort((gap, dst))
+        src, dst = src[by], dst[by]
+        turn = np.arange(len(dst)) - np.searchsorted(dst, dst)
+        back = np.full((n, k), -1)
+        back[dst[turn < k], turn[turn < k]] = src[turn < k]
+        via = np.concatenate([there, back], 1)
+        reach = ((places - point[:, None]) ** 2).sum(2)
+        reach[ids < 0] = np.inf
+        reach = reach.max(1)
+        before = ids
+        ids, places = ids.copy(), places.copy()
+        for a in range(0, n, LOCAL_ROWS):
+            s = slice(a, min(n, a + LOCAL_ROWS))
+            offer = np.where(via[s][:, :, None] >= 0, there[via[s]], -1).reshape(s.stop - a, -1)
+            d2 = ((point[offer] - point[s][:, None]) ** 2).sum(2)
+            d2[(offer < 0) | (offer == np.arange(a, s.stop)[:, None]) | (d2 > reach[s][:, None])] = np.inf
+            some = np.flatnonzero(np.isfinite(d2).any(1))
+            few = np.argpartition(d2[some], min(4 * k, d2.shape[1] - 1), axis=1)[:, : 4 * k]
+            offer, use = np.take_along_axis(offer[some], few, 1), np.isfinite(np.take_along_axis(d2[some], few, 1))
+            at = some + a
+            ids[at], places[at] = _merged(point[at], np.concatenate([before[at], np.where(use, m["id"][offer], -1)], 1), np.concatenate([places[at], point[offer]], 1), k)
+        changed = ~(ids[:, :, None] == before[:, None, :]).any(2)
+    there = rows_of(ids)
+    there[there < old] = -1
+    whole = (there >= 0).all(1)
+    return ids, places, changed | (there < 0) | ~whole[:, None] | ~whole[there]
+
+
 def _along_curve(k: int, last: bool) -> Callable:
     """Adds to every node's list the nearest of the ``WINDOW`` nodes before and after it, on every level.
 
@@ -135,28 +201,19 @@ def _along_curve(k: int, last: bool) -> Callable:
                 other = at[np.clip(place, 0, len(at) - 1)]
                 ok &= (m["g"][other] == m["g"][at][:, None]) & (m["id"][other] != m["id"][at][:, None])
                 ends = np.concatenate([ids[at], np.where(ok, m["id"][other], -1)], 1)
-                spots = np.concatenate([places[at], point[other]], 1)
-                d2 = ((spots - point[at][:, None]) ** 2).sum(2)
-                d2[ends < 0] = np.inf
-                order = np.lexsort((ends, d2), axis=1)
-                ends, d2 = np.take_along_axis(ends, order, 1), np.take_along_axis(d2, order, 1)
-                twice = np.zeros(ends.shape, bool)
-                twice[:, 1:] = ends[:, 1:] == ends[:, :-1]
-                d2[twice] = np.inf
-                best = np.argsort(d2, axis=1, kind="stable")[:, :k]
-                ids[at] = np.where(np.isfinite(np.take_along_axis(d2, best, 1)), np.take_along_axis(ends, best, 1), -1)
-                places[at] = np.take_along_axis(spots, np.take_along_axis(order, best, 1)[:, :, None], 1)
+                ids[at], places[at] = _merged(point[at], ends, np.concatenate([places[at], point[other]], 1), k)
             if not last:
                 lists = np.concatenate([ids, places.reshape(-1, 3 * k).view(np.int64)], 1)[old:]
                 raw, size = lists.tobytes(), 32 * k
                 cols = [*[pa.array(m[c][old:]) for c in names[:5]], pa.array([raw[j : j + size] for j in range(0, len(raw), size)], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=[*names[:5], "list"])
                 continue
+            ids, places, fresh = _inside(m, point, ids, places, old, k)
             src, col = np.nonzero(ids[old:] >= 0)
             src += old
             dst = places[src, col]
             d = point[src] - dst
-            cols = [m["g"][src], m["id"][src], *point[src].T, ids[src, col], *dst.T, d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]]
+            cols = [m["g"][src], m["id"][src], *point[src].T, ids[src, col], *dst.T, d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2], fresh[src, col]]
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=[c.split()[0] for c in LINK.split(", ")])
 
     return links
@@ -193,24 +250,36 @@ def neighbour_graph(nodes: DataFrame, k: int = 5) -> DataFrame:
         last = c == len(SHIFTS) - 1
         lists = scratch.save(run.mapInArrow(_along_curve(k, last), LINK if last else "g int, id long, x double, y double, z double, list binary"), f"curve{c}")
         scratch.drop(f"curve{c - 1}" if c else "curve")
-    graph = lists.withColumn("fresh", F.lit(True))
-    size = graph.count()
+    graph, size = lists, lists.count()
     for r in range(MAX_ROUNDS):
-        reach = graph.groupBy("g", "a").agg(F.max("d2").alias("reach"), F.count("*").alias("n")).select("g", F.col("a").alias("q"), F.when(F.col("n") < k, F.lit(float("inf"))).otherwise(F.col("reach")).alias("reach"))
-        asks = graph.select("g", F.col("b").alias("p"), F.col("a").alias("q"), F.col("ax").alias("qx"), F.col("ay").alias("qy"), F.col("az").alias("qz"), F.col("fresh").alias("f1"))
-        asks = asks.unionByName(graph.select("g", F.col("a").alias("p"), F.col("b").alias("q"), F.col("bx").alias("qx"), F.col("by").alias("qy"), F.col("bz").alias("qz"), F.col("fresh").alias("f1")))
-        asks = asks.join(reach, ["g", "q"])
-        offers = graph.select("g", F.col("a").alias("p"), F.col("b").alias("r"), F.col("bx").alias("rx"), F.col("by").alias("ry"), F.col("bz").alias("rz"), F.col("fresh").alias("f2"))
-        met = asks.join(offers, ["g", "p"]).where("(f1 or f2) and q <> r").withColumn("d2", _distance2("q", "r")).where("d2 <= reach")
+        new = graph.where("fresh")
+        movers = _keys(scratch.save(new.select("g", F.col("a").alias("p")).distinct(), f"movers{r}"))
+        ends = _keys(scratch.save(new.select("g", F.explode(F.array("a", "b")).alias("p")).distinct(), f"ends{r}"))
+        both = graph.select("g", F.explode(F.array(F.struct(F.col("b").alias("p"), F.col("a").alias("q")), F.struct(F.col("a").alias("p"), F.col("b").alias("q")))).alias("e"), F.col("fresh").alias("f1"))
+        both = both.select("g", "e.p", "e.q", "f1")
+        asks = both.where("f1").unionByName(both.where("not f1").join(movers, ["g", "p"], "left_semi"))
+        reach = F.when(F.count("*") < k, F.lit(float("inf"))).otherwise(F.max("d2"))
+        asker = graph.groupBy("g", F.col("a").alias("q")).agg(*[F.min(f"a{c}").alias(f"q{c}") for c in "xyz"], reach.alias("reach"))
+        offers = graph.select("g", F.col("a").alias("p"), F.col("b").alias("r"), F.col("bx").alias("rx"), F.col("by").alias("ry"), F.col("bz").alias("rz"), F.col("fresh").alias("f2")).join(ends, ["g", "p"], "left_semi")
+        met = asks.join(asker, ["g", "q"]).join(offers, ["g", "p"]).where("(f1 or f2) and q <> r").withColumn("d2", _distance2("q", "r")).where("d2 <= reach")
         met = met.select("g", F.col("q").alias("a"), F.col("qx").alias("ax"), F.col("qy").alias("ay"), F.col("qz").alias("az"), F.col("r").alias("b"), F.col("rx").alias("bx"), F.col("ry").alias("by"), F.col("rz").alias("bz"), "d2", F.lit(True).alias("fresh"))
-        graph = scratch.save(_best(graph.withColumn("fresh", F.lit(False)).unionByName(met), k), f"graph{r + 1}")
-        scratch.drop(f"graph{r}" if r else f"curve{len(SHIFTS) - 1}")
+        met = scratch.save(met, f"met{r}")
+        told = _keys(scratch.save(met.select("g", "a").distinct(), f"told{r}"))
+        settled = graph.withColumn("fresh", F.lit(False))
+        better = _best(settled.join(told, ["g", "a"], "left_semi").unionByName(met), k)
+        graph = scratch.save(settled.join(told, ["g", "a"], "left_anti").unionByName(better), f"graph{r}")
+        scratch.drop(f"graph{r - 1}" if r else f"curve{len(SHIFTS) - 1}", f"movers{r}", f"ends{r}", f"met{r}", f"told{r}")
         if graph.where("fresh").count() <= SETTLED * size:
             break
     near = Window.partitionBy("g", "a").orderBy("d2", "b")
     return graph.withColumn("place", F.row_number().over(near)).where(F.col("place") <= wanted).drop("fresh", "place")
 
 
+def _keys(keys: DataFrame) -> DataFrame:
+    """Keys of a semi-join, broadcast if they are few."""
+    return F.broadcast(keys) if keys.count() <= MAX_BROADCAST_KEYS else keys
+
+
 def _entries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every query with the nodes just before and after it along the curve."""
     for m, old in _in_chunks(batches, ["g", "id", "x", "y", "z", "is_query"], 4 * WINDOW):
@@ -225,7 +294,7 @@ def _entries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = m["g"][src] == m["g"][dst]
         src, dst = src[use], dst[use]
         d2 = sum((m[c][src] - m[c][dst]) ** 2 for c in "xyz")
-        cols = [m["g"][src], m["id"][src], *[m[c][src] for c in "xyz"], m["id"][dst], *[m[c][dst] for c in "xyz"], d2]
+        cols = [m["g"][src], m["id"][src], *[m[c][src] for c in "xyz"], m["id"][dst], *[m[c][dst] for c in "xyz"], d2, np.ones(len(d2), bool)]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=[c.split()[0] for c in LINK.split(", ")])
 
 
@@ -248,7 +317,7 @@ def graph_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, k: int
         run = _coded(both, shift).repartitionByRange("g", "code", "id").sortWithinPartitions("g", "code", "id")
         found = run.mapInArrow(_entries, LINK)
         held = found if held is None else held.unionByName(found)
-    held = scratch.save(_best(held.withColumn("fresh", F.lit(True)), beam), "held0")
+    held = scratch.save(_best(held, beam), "held0")
     there = graph.select("g", F.col("a").alias("p"), F.col("b").alias("r"), F.col("bx").alias("rx"), F.col("by").alias("ry"), F.col("bz").alias("rz"))
     back = graph.select("g", F.col("b").alias("p"), F.col("a").alias("r"), F.col("ax").alias("rx"), F.col("ay").alias("ry"), F.col("az").alias("rz"))
     links = there.unionByName(back)
