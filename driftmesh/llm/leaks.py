@@ -43,7 +43,7 @@ LEAST = 16
 
 _CJK = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
 _WORD = re.compile(rf"\d+(?:[.,]\d+)+|[{_CJK}]|[^\W_{_CJK}]+")
-_HAS_CJK = re.compile(f"[{_CJK}]")
+_ASCII = re.compile(r"[a-z][a-z0-9]*|\d+(?:[.,]\d+)+|[a-z0-9]+")
 _MARKS = re.compile("[\u0300-\u036f\u3099\u309a\u00ad\u200b-\u200f\u2060\ufeff]+")
 _JOIN = re.compile(r"(?<=[^\s%])%[ \t]*\n[ \t]*")
 _LEAD = re.compile(r"^[ \t]*%[% \t]*", re.M)
@@ -83,7 +83,7 @@ def words_of(text: str) -> list[str]:
         for a, b in _FOLD:
             if a in text:
                 text = text.replace(a, b)
-    return _WORD.findall(text)
+    return _ASCII.findall(text) if text.isascii() else _WORD.findall(text)
 
 
 def _unmarked(text: str, macros: dict[str, tuple[int, str]], depth: int = 0) -> str:
@@ -141,7 +141,7 @@ def _codes(text: str) -> np.ndarray:
 class _Index:
     """The q-grams of the items that use one q: sorted hashes, and (item, place) of each."""
 
-    BITS = 22
+    BITS = 20
 
     def __init__(self, q: int, items: list[tuple[int, list[str]]]):
         self.q = q
@@ -154,21 +154,34 @@ class _Index:
             place.append(np.arange(len(h), dtype=np.int32))
         grams, item, place = (np.concatenate(x) for x in (grams, item, place))
         order = np.argsort(grams, kind="stable")
-        self.grams, self.first, self.many = np.unique(grams[order], return_index=True, return_counts=True)
+        self.grams, first, many = np.unique(grams[order], return_index=True, return_counts=True)
+        self.first, self.many = first.astype(np.int32), many.astype(np.int32)
         self.item, self.place = item[order], place[order]
-        self.seen = np.zeros(1 << self.BITS, bool)
-        self.seen[self.grams >> np.uint64(64 - self.BITS)] = True
+        # the first gram of every value of the top bits: few values have more than one gram
+        top = self.grams >> np.uint64(64 - self.BITS)
+        self.start = np.searchsorted(top, np.arange((1 << self.BITS) + 1, dtype=np.uint64)).astype(np.int32)
 
     def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Place in ``codes``, item (its place among those of this q) and place in the item of every shared q-gram."""
         h = _hashes(codes, self.q)
-        at = np.flatnonzero(self.seen[h >> np.uint64(64 - self.BITS)])
-        k = np.searchsorted(self.grams, h[at])
-        k[k == len(self.grams)] = 0
-        same = self.grams[k] == h[at]
-        at, k = at[same], k[same]
+        top = (h >> np.uint64(64 - self.BITS)).astype(np.int32)
+        k, stop = self.start[top], self.start[top + 1]
+        at = np.flatnonzero(k < stop).astype(np.int32)
+        h, k, stop = h[at], k[at], stop[at]
+        found_at, found = [], []
+        while len(at):
+            same = self.grams[k] == h
+            found_at.append(at[same])
+            found.append(k[same])
+            k = k + 1
+            more = ~same & (k < stop)
+            at, h, k, stop = at[more], h[more], k[more], stop[more]
+        if not found:
+            return (np.zeros(0, np.int32),) * 3
+        at, k = np.concatenate(found_at), np.concatenate(found)
         n = self.many[k]
-        post = np.repeat(self.first[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        post = np.repeat(self.first[k] - (np.cumsum(n, dtype=np.int32) - n), n)
+        post += np.arange(len(post), dtype=np.int32)
         return np.repeat(at, n), self.item[post], self.place[post]
 
 
@@ -185,8 +198,9 @@ def _regions(index: list[_Index], bound: np.ndarray, size: np.ndarray, texts: li
             continue
         # a diagonal is the place at which the item would begin; hits of two texts can share a band only near their
         # border, which at worst sends a region on to be verified
-        band = (at - place) // BAND + margin
-        count = np.bincount(item * np.int64(bands) + band, minlength=len(part.number) * bands).reshape(-1, bands)
+        cell = (at - place) // np.int32(BAND) + np.int32(margin)
+        cell += item * np.int32(bands)  # CELLS keeps this far below 2 ** 31
+        count = np.bincount(cell, minlength=len(part.number) * bands).reshape(-1, bands)
         for i, band in np.argwhere(count[:, :-1] + count[:, 1:] >= bound[part.number][:, None]).tolist():
             i = int(part.number[i])
             begin = (band - margin) * BAND
