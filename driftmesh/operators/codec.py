@@ -92,7 +92,7 @@ def decoded(codes: DataFrame) -> DataFrame:
 def greedy_order(cells: DataFrame, most: int = 4096) -> DataFrame:
     """``run_id, cell_id, seq, id``: each next point is the unvisited one nearest to the last, from the cell's centre.
 
-    The walk is a recurrence, so a cell is one group; a cell of more than
+    The walk is a recurrence within a cell; cells stream by in order. A cell of more than
     ``most`` points is walked in that many points at a time along its Morton
     code, one walk after the other.
     """
@@ -101,19 +101,39 @@ def greedy_order(cells: DataFrame, most: int = 4096) -> DataFrame:
     inside = Window.partitionBy("run_id", "cell_id").orderBy("m", "id")
     cut = cells.withColumn("m", morton(cells)).withColumn("part", F.floor((F.row_number().over(inside) - 1) / most))
 
-    def walk(cell: pd.DataFrame) -> pd.DataFrame:
-        cell = cell.sort_values("id")
-        points = cell[["x", "y", "z"]].to_numpy()
-        at = (cell[["ox", "oy", "oz"]].to_numpy()[0] + 0.5 * float(cell["g"].iloc[0])) * np.array([1, 1, int(cell["dim"].iloc[0]) == 3])
-        left, order = np.ones(len(points), bool), []
+    def walk(points: np.ndarray, centre: np.ndarray) -> list[int]:
+        at, left, order = centre, np.ones(len(points), bool), []
         for _ in range(len(points)):
-            d2 = np.where(left, ((points - at) ** 2).sum(1), np.inf)
-            k = int(d2.argmin())
+            k = int(np.where(left, ((points - at) ** 2).sum(1), np.inf).argmin())
             order.append(k)
             left[k], at = False, points[k]
-        return pd.DataFrame({"run_id": cell["run_id"].to_numpy()[order], "cell_id": cell["cell_id"].to_numpy()[order], "seq": np.arange(len(order)) + int(cell["part"].iloc[0]) * most, "id": cell["id"].to_numpy()[order]})
-
-    return cut.groupBy("run_id", "cell_id", "part").applyInPandas(walk, "run_id int, cell_id long, seq long, id long")
+        return order
+
+    def walks(batches):
+        rest = None
+        for batch in batches:
+            rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            key = rest[["run_id", "cell_id", "part"]].to_numpy()
+            cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+            if len(cuts):
+                yield block(rest.iloc[: cuts[-1]], [0, *cuts])
+                rest = rest.iloc[cuts[-1] :].reset_index(drop=True)
+        if rest is not None and len(rest):
+            yield block(rest, [0, len(rest)])
+
+    def block(rows: pd.DataFrame, cuts: list[int]) -> pd.DataFrame:
+        points, first = rows[["x", "y", "z"]].to_numpy(), rows[["ox", "oy", "oz"]].to_numpy()
+        flat = (rows["dim"] == 3).to_numpy()
+        side, part = rows["g"].to_numpy(), rows["part"].to_numpy()
+        order, seq = np.arange(len(rows)), part * most
+        for a, b in zip(cuts, cuts[1:]):
+            if b - a > 1:
+                order[a:b] = a + np.array(walk(points[a:b], (first[a] + 0.5 * side[a]) * np.array([1, 1, flat[a]])))
+                seq[a:b] += np.arange(b - a)
+        return pd.DataFrame({"run_id": rows["run_id"].to_numpy()[order], "cell_id": rows["cell_id"].to_numpy()[order], "seq": seq, "id": rows["id"].to_numpy()[order]})
+
+    keyed = cut.select("run_id", "cell_id", "part", "id", "x", "y", "z", "ox", "oy", "oz", "g", "dim").repartition("run_id", "cell_id", "part")
+    return keyed.sortWithinPartitions("run_id", "cell_id", "part", "id").mapInPandas(walks, "run_id int, cell_id long, seq long, id long")
 
 
 def code_rows(quantised_points: DataFrame) -> DataFrame:

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from driftmesh.scratch import Scratch
+
 #: Points a strip is filled up to; one band is never cut, so a strip may hold more.
 TARGET = 20_000
 #: Owners one task sweeps; a strip with more is swept in several equal shares.
@@ -45,7 +47,7 @@ def near_and_inside(points: DataFrame, boxes: DataFrame, target: int = TARGET, s
     """
     points = points.select("run_id", "id", "x", "y", "z", "link_len").dropna()
     band = lambda y: F.floor(F.greatest(F.lit(-_FAR), F.least(F.lit(_FAR), y / (F.col("link_len") * _HEIGHT))))
-    points = points.withColumn("band", band(F.col("y")))
+    points = Scratch(points.sparkSession, "sweep").save(points.withColumn("band", band(F.col("y"))), "points")
     bands = points.groupBy("run_id", "band").agg(F.count("*").alias("n"), F.first("link_len").alias("link_len"))
     upto = Window.partitionBy("run_id").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
     bands = bands.withColumn("strip", F.floor(F.coalesce(F.sum("n").over(upto), F.lit(0)) / target))

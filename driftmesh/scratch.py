@@ -11,11 +11,16 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Least seconds between two sweeps of the driver's garbage.
+SWEEP_S = 5.0
+
 _local_root: str | None = None
+_swept = 0.0
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -56,5 +61,8 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(conf).delete(path, True)
         # shuffle files of a finished round go once its plans are garbage; a long loop must not wait for the driver to fill up
-        gc.collect()
-        jvm.System.gc()
+        global _swept
+        if time.monotonic() - _swept > SWEEP_S:
+            gc.collect()
+            jvm.System.gc()
+            _swept = time.monotonic()
