@@ -158,6 +158,29 @@ near AS (
 SELECT first AS cluster_id, id AS node_id FROM (SELECT *, count(*) OVER (PARTITION BY run_id, first, n, sign) AS m FROM near) WHERE m = n AND n >= 12"""
 
 
+GROUPS_SQL = """
+WITH RECURSIVE link AS (SELECT DISTINCT elem::BIGINT AS a, parent::BIGINT AS b FROM uf_state WHERE elem IS NOT NULL AND parent >= 0 AND elem <> parent),
+both_ways AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+lab(id, c) USING KEY (id) AS (
+  SELECT a AS id, min(least(a, b)) AS c FROM both_ways GROUP BY 1
+  UNION
+  SELECT e.b AS id, min(l.c) AS c FROM lab l JOIN both_ways e ON e.a = l.id JOIN recurring.lab r ON r.id = e.b WHERE l.c < r.c GROUP BY 1)
+"""
+
+LABELS_SQL = f"""
+WITH RECURSIVE {NODES_SQL},
+cell AS (SELECT *, 6 * link_len AS r, floor(x / (6 * link_len)) AS cx, floor(y / (6 * link_len)) AS cy FROM node),
+moved AS (SELECT c.*, c.cx + i AS jx, c.cy + j AS jy FROM cell c, (VALUES (-1), (0), (1)) u(i), (VALUES (-1), (0), (1)) v(j)),
+pair AS (SELECT a.run_id, a.id AS a, b.id AS b, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2, a.r
+  FROM moved a JOIN cell b ON a.run_id = b.run_id AND a.jx = b.cx AND a.jy = b.cy),
+dens AS (SELECT run_id, a AS id, count(*) AS density FROM pair WHERE d2 <= r * r GROUP BY 1, 2),
+up AS (SELECT p.run_id, p.a AS id, first(p.b ORDER BY p.d2, p.b) AS up FROM pair p JOIN dens u ON u.run_id = p.run_id AND u.id = p.a JOIN dens v ON v.run_id = p.run_id AND v.id = p.b
+  WHERE p.d2 <= p.r * p.r AND (v.density > u.density OR (v.density = u.density AND v.id < u.id)) GROUP BY 1, 2),
+walk AS (SELECT d.run_id, d.id, d.id AS at FROM dens d UNION ALL SELECT w.run_id, w.id, u.up FROM walk w JOIN up u ON u.run_id = w.run_id AND u.id = w.at),
+top AS (SELECT w.run_id, w.id, w.at AS peak FROM walk w LEFT JOIN up u ON u.run_id = w.run_id AND u.id = w.at WHERE u.id IS NULL),
+named AS (SELECT t.run_id, t.id, d.density, CASE WHEN p.density >= 12 THEN t.peak END AS peak_id FROM top t JOIN dens d ON d.run_id = t.run_id AND d.id = t.id JOIN dens p ON p.run_id = t.run_id AND p.id = t.peak)
+"""
+
 #: Bytes stand for tokens: every usual tokenizer gives the same sources.
 P7_SQL = """
 WITH doc AS (SELECT regexp_replace(lower(trim(source)), '[-_ ]+', '_', 'g') AS source, strlen(text) AS n FROM documents WHERE text IS NOT NULL),
@@ -170,4 +193,11 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p7_found": P7_SQL}
+    return {
+        "p1_found": P1_SQL,
+        "p1_labels": f"{LABELS_SQL} SELECT run_id, id AS node_id, density, peak_id FROM named",
+        "p1_clusters": f"{LABELS_SQL} SELECT run_id, peak_id, count(*) AS size, max(density) AS density, list(id ORDER BY density DESC, id)[1:3] AS typical_ids FROM named WHERE peak_id IS NOT NULL GROUP BY 1, 2",
+        "p5_found": f"{GROUPS_SQL} SELECT c AS group_id, id AS elem FROM lab",
+        "p5_group_sizes": f"{GROUPS_SQL} SELECT c AS group_id, count(*) AS n_ids, max(id) AS last_id FROM lab GROUP BY 1",
+        "p7_found": P7_SQL,
+    }
