@@ -138,7 +138,7 @@ ITEM = "the quick survey of faint galaxies near the edge shows that every halo f
 
 def test_words_see_through_markup():
     tex = "\\newcommand{\\pk}{power spectrum}\nThe \\textit{quick} \\pk{} of caf\\'e{} na\\\"{\\i}ve gal%\n axies~{\\bf near}\\footnote{a note} the edge \\cite[e.g.][]{x1} 12\\% of 3.5, whene\\-ver.\n%% COMMENTED Draft % TODO later"
-    assert words_of(tex) == "the quick power spectrum of cafe naive galaxies near the edge 12 of 3.5 whenever commented draft todo later a note".split() or set(words_of(tex)) >= {"quick", "power", "spectrum", "cafe", "naive", "galaxies", "whenever", "commented", "note", "3.5"}
+    assert words_of(tex) == "the quick power spectrum of cafe naive galaxies near the edge 12 of 3.5 whenever commented draft todo later a note".split()
     assert words_of("平滑核。Ab") == ["平", "滑", "核", "ab"]
 
 
@@ -199,7 +199,7 @@ def test_shortage_goes_to_siblings_before_ancestors(spark):
     got = {(r.source, r.lang): (r.budget, r.top_wanted > r.top_capacity) for r in budget_tree(leaves, ["source", "lang"], weights).collect()}
     # of 1000, b wants 300 and has 100; the missing 200 go to a and c by 3 : 4
     assert got["b", "en"] == (100.0, True)
-    assert abs(got["a", "en"][0] + got["a", "de"][0] - 900 * 3 / 7) < 1e-6 or abs(got["a", "en"][0] + got["a", "de"][0] - 385.7142857) < 1e-3
+    assert abs(got["a", "en"][0] + got["a", "de"][0] - 900 * 3 / 7) < 1e-6 and abs(got["a", "en"][0] * 3 - got["a", "de"][0]) < 1e-6
     assert abs(sum(v for v, _ in got.values()) - 1000) < 1e-6
 
 
@@ -247,7 +247,7 @@ def test_abbreviations_numbers_quotes_and_paragraphs(spark):
 
 
 def test_scripts_without_blanks_or_periods(spark):
-    assert cut(spark, "模型太小。“很好。”他说。为什么？", "zh") == ["模型太小。", "“很好。”他说。", "为什么？"] or cut(spark, "模型太小。为什么？", "zh") == ["模型太小。", "为什么？"]
+    assert cut(spark, "模型太小。“很好。”他说。为什么？", "zh") == ["模型太小。", "“很好。”他说。", "为什么？"]
     assert cut(spark, "यह छोटा है। वह बड़ा है?", "hi") == ["यह छोटा है।", "वह बड़ा है?"]
 
 
@@ -255,3 +255,39 @@ def test_null_empty_and_commented_texts(spark):
     docs = spark.createDataFrame([(1, None, "en"), (2, "", None), (3, "% only. Comments.", "en"), (None, "Text. More.", "en"), (4, "\\begin{document}\n", "en"), (5, "Word " * 200_000 + "end.", None)], "doc_id long, text string, lang string").withColumn("end", F.lit(1)).withColumn("row", F.lit("x"))
     assert {tuple(r) for r in sentence_ends(docs).collect()} == {(5, 5 * 200_000 + 4)}
     assert sentence_ends(docs.where("doc_id > 9")).count() == 0
+
+
+# --- the SQL and the queries agree on the smallest data
+
+
+def test_found_queries_run_on_the_smallest_data(spark, sf_dir):
+    from driftmesh.llm.queries import queries
+
+    found = queries()
+    assert found["p1_found"](spark, sf_dir).columns == ["cluster_id", "node_id"]
+    assert found["p4_found"](spark, sf_dir).where("id_a >= id_b").count() == 0
+    assert found["p6_found"](spark, sf_dir).count() > 0
+    assert found["p7_found"](spark, sf_dir).columns == ["source"]
+    assert found["p8_found"](spark, sf_dir).count() > 100
+
+
+# --- nulls in any column and clashing names
+
+
+def test_leaks_selection_and_groups_ignore_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, ITEM, "a", 3)], "doc_id long, text string, region string, item long")
+    items = spark.createDataFrame([(10, ITEM, 1)], "item_id long, text string, doc_id long")
+    assert [tuple(r) for r in leaked_items(docs, items).collect()] == [(1, 10)]
+    groups = spark.createDataFrame([(1, 2, 9, 9)], "a long, b long, r long, elem long")
+    assert {(r.group_id, r.elem) for r in connected_groups(groups, "a", "b").collect()} == {(1, 1), (1, 2)}
+    nodes = spark.createDataFrame([(1, 1, 0.0, 0.0, 0.0, 5, 6), (1, 2, 1.0, 0.0, 0.0, 5, 6)], NODE + ", code int, list int")
+    assert neighbour_graph(nodes, 5).count() == 2
+    assert density_peaks(nodes.withColumn("r", F.lit(1.0)).withColumn("dens", F.lit("x"))).count() == 2
+
+
+def test_a_hot_group_of_identical_texts_and_a_hub(spark):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.lit(ITEM).alias("text"))
+    items = spark.createDataFrame([(10, ITEM)], "item_id long, text string")
+    assert leaked_items(docs, items).count() == 300
+    hub = spark.range(1, 3000).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    assert {r.group_id for r in connected_groups(hub, "a", "b").collect()} == {0}
