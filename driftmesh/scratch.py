@@ -21,6 +21,7 @@ SWEEP_S = 5.0
 
 _local_root: str | None = None
 _swept = 0.0
+_bases: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -44,6 +45,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.base = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+        _bases.append(self.base)
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
@@ -66,3 +68,18 @@ class Scratch:
             gc.collect()
             jvm.System.gc()
             _swept = time.monotonic()
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes every table this process wrote; results that were not written elsewhere can't be read any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _bases:
+        path = jvm.org.apache.hadoop.fs.Path(_bases.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+@atexit.register
+def _clear_local() -> None:
+    for base in _bases:
+        if base.startswith(("/", "file:/")):
+            shutil.rmtree("/" + base.removeprefix("file:").lstrip("/"), True)

@@ -281,3 +281,14 @@ def test_container_keeps_every_particle_within_the_bound(spark, tmp_path):
     container.compress(points, str(tmp_path / "c"))
     back = {r.id: (r.x, r.y, r.z) for r in container.decompress(spark, str(tmp_path / "c")).collect()}
     assert all(abs(u - v) <= 0.05 * (1 + 1e-9) for r in rows for u, v in zip(r[2:5], back[r[1]])) and len(back) == len(rows)
+
+
+def test_command_line(spark, tmp_path):
+    from driftmesh.cli import parse, score
+
+    with pytest.raises(SystemExit):
+        parse(["compress", "--out", "x"])
+    points, _ = cloud(spark, 150)
+    moved = points.withColumn("x", F.col("x") + 0.04)
+    r = score(points, moved, "exact").first()
+    assert r.ari == 1.0 and r.n == 150 and r.max_error <= 0.04 + 1e-9
