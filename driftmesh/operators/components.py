@@ -2,34 +2,74 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftmesh.scratch import Scratch
 
 MAX_ROUNDS = 200
+#: Links a task contracts at once.
+CHUNK = 300_000
+
+
+def _stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of a task, chunk by chunk, as links from each point to the smallest one its chunk connects it with."""
+
+    def contracted(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        run, i, j = (np.concatenate([p.column(k).to_numpy(zero_copy_only=False) for p in parts]) for k in range(3))
+        runs, r = np.unique(run, return_inverse=True)
+        ids, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+        nodes, at = np.unique(np.concatenate([r, r]) * len(ids) + place, return_inverse=True)  # ascending ids within a run
+        u, v = at[: len(i)], at[len(i) :]
+        label = np.arange(len(nodes))
+        while True:
+            old = label
+            label = label.copy()
+            np.minimum.at(label, u, old[v])
+            np.minimum.at(label, v, old[u])
+            label = np.minimum(label, label[label])
+            if (label == old).all():
+                break
+        own = np.flatnonzero(label != np.arange(len(nodes)))
+        name = lambda k: ids[nodes[k] % len(ids)]
+        return pa.RecordBatch.from_arrays([pa.array(runs[nodes[own] // len(ids)].astype(np.int32)), pa.array(name(own)), pa.array(name(label[own]))], names=["run_id", "i", "j"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= CHUNK:
+            yield contracted(held)
+            held = []
+    if held:
+        yield contracted(held)
 
 
 def components(links: DataFrame) -> DataFrame:
     """``run_id, id, cluster_id`` of every linked point; the cluster's id is its smallest point id.
 
-    ``links``: run_id, i, j.  Each round a point takes the smallest label
+    ``links``: run_id, i, j.  Every task first contracts the links it has, so
+    that crowded clusters are a star a task.  Each round a point takes the smallest label
     among its own and its neighbours', and then the label that the point of
     that number has; labels only fall and the jump halves long chains.  Nulls
     and self-links join nothing.
     """
     scratch = Scratch(links.sparkSession, "components")
-    pairs = links.where("i is not null and j is not null and i <> j").select("run_id", F.explode(F.array(F.struct(F.col("i").alias("u"), F.col("j").alias("v")), F.struct(F.col("j").alias("u"), F.col("i").alias("v")))).alias("e"))
+    clean = links.where("run_id is not null and i is not null and j is not null and i <> j").select(F.col("run_id").cast("int"), F.col("i").cast("long"), F.col("j").cast("long"))
+    pairs = clean.mapInArrow(_stars, "run_id int, i long, j long").select("run_id", F.explode(F.array(F.struct(F.col("i").alias("u"), F.col("j").alias("v")), F.struct(F.col("j").alias("u"), F.col("i").alias("v")))).alias("e"))
     edges = scratch.save(pairs.select("run_id", "e.u", "e.v").distinct(), "edges")
     labels = scratch.save(edges.groupBy("run_id", F.col("u").alias("id")).agg(F.min("v").alias("m")).select("run_id", "id", F.least("id", "m").alias("label")), "labels0")
     for k in range(MAX_ROUNDS):
         heard = edges.join(labels.select("run_id", F.col("id").alias("v"), F.col("label").alias("heard")), ["run_id", "v"]).groupBy("run_id", F.col("u").alias("id")).agg(F.min("heard").alias("heard"))
         lower = labels.join(heard, ["run_id", "id"]).select("run_id", "id", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
-        lower = scratch.save(lower, f"lower{k}")
-        jump = lower.select("run_id", F.col("id").alias("label"), F.col("label").alias("next"))
+        jump = labels.select("run_id", F.col("id").alias("label"), F.col("label").alias("next"))
         new = lower.join(jump, ["run_id", "label"], "left").select("run_id", "id", "old", F.least("label", F.coalesce("next", "label")).alias("label"))
         labels = scratch.save(new, f"labels{k + 1}")
-        scratch.drop(f"lower{k}", f"labels{k}")
+        scratch.drop(f"labels{k}")
         if not labels.where("label <> old").limit(1).count():
             break
     else:
