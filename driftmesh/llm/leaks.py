@@ -102,18 +102,25 @@ def _unmarked(text: str, macros: dict[str, tuple[int, str]], depth: int = 0) ->
     return _COMMAND.sub(command, text)
 
 
-def kept_grams(words: list[str], q: int) -> int:
-    """Fewest character q-grams that a stretch of the least length shares with its edited copy."""
+def kept_grams(words: list[str], qs: Iterable[int]) -> list[int]:
+    """For each q the fewest character q-grams that any stretch that makes a leak shares with its edited copy.
+
+    With the same number of edits a longer stretch keeps no fewer, so the
+    least length and the multiples of ``EDIT`` above it are tried.  A leak of
+    twice the least length or more has a half that is a leak by itself.
+    """
     n = len(words)
     span = max(1, int(np.ceil(SHARE * n)))
-    edits = span // EDIT
     sizes = np.array([len(w) + 1 for w in words])
-    least = None
-    for a in range(n - span + 1):
-        part = sizes[a : a + span]
-        kept = part.sum() - 1 - (q - 1) - (np.sort(part)[span - edits :] + q - 1).sum()
-        least = kept if least is None else min(least, kept)
-    return int(least or 0)
+    least: dict[int, int] = {}
+    for length in [span, *range(span + EDIT - span % EDIT, min(n + 1, 2 * span), EDIT)]:
+        edits = length // EDIT
+        part = np.partition(np.lib.stride_tricks.sliding_window_view(sizes, length), length - edits - 1, axis=1)
+        whole = int(part[:, : length - edits].sum(1).min())
+        for q in qs:
+            kept = whole - q - edits * (q - 1)
+            least[q] = min(least.get(q, kept), kept)
+    return [least[q] for q in qs]
 
 
 def _hashes(codes: np.ndarray, q: int) -> np.ndarray:
@@ -275,8 +282,8 @@ def leaks_at(item: tuple[np.ndarray, dict[str, int]], region: list[str], share:
     there[b] = True
     there[-1] = False
     known = np.zeros(n + 1, np.int32)
-    np.cumsum(there[a], out=known[1:])
-    if (known[least:] - known[: n + 1 - least]).max() < least - least // edit:
+    np.cumsum(np.where(there[a], 1, 1 - edit), out=known[1:])
+    if (known[least:] < np.minimum.accumulate(known)[: n + 1 - least]).all():
         return False
     equal = a[:, None] == b
     span = _diagonals(equal, least, edit)
@@ -366,7 +373,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item
         by_q: dict[int, list] = {}
         bound = np.zeros(len(pairs), np.int64)
         for k, (_, w) in enumerate(pairs):
-            kept = {q: kept_grams(w, q) for q in GRAMS}
+            kept = dict(zip(GRAMS, kept_grams(w, GRAMS)))
             q = next((q for q in GRAMS if kept[q] >= LEAST), GRAMS[-1])
             bound[k] = max(1, kept[q])
             by_q.setdefault(q, []).append((k, w))

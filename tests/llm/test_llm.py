@@ -155,6 +155,22 @@ def test_leaks_found_whole_partly_edited_and_not_below_the_share(spark):
     assert leaked_items(frame.where("doc_id < 0"), items).count() == 0 and leaked_items(frame, items.where("item_id < 0")).count() == 0
 
 
+def test_a_leak_longer_than_the_least_length_may_hold_one_edit_more(spark):
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 5))
+    item = [word() for _ in range(56)]
+    docs = []
+    for doc, start in enumerate(range(0, 33, 4)):
+        copy = item[start : start + 24]
+        for k in (5, 12, 18):
+            copy[k] = "other"
+        docs.append((doc, [*(word() for _ in range(40)), *copy, *(word() for _ in range(40))]))
+    assert all(leaks_at(numbered(item), d) for _, d in docs)
+    frame = spark.createDataFrame([(k, " ".join(d)) for k, d in docs], "doc_id long, text string")
+    items = spark.createDataFrame([(10, " ".join(item))], "item_id long, text string")
+    assert sorted(r.doc_id for r in leaked_items(frame, items).collect()) == list(range(9))
+
+
 def test_alignment_equals_plain_edit_distance():
     rng = np.random.default_rng(2)
 
