@@ -17,7 +17,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftmesh.llm.markup import closing
@@ -30,8 +30,9 @@ ABBREVIATION, GOES_ON = 0.3, 0.1
 FEW = 20
 #: Uses without a period, per use with one, that an abbreviation may have.
 WITHOUT = 0.2
-#: Share of a word's capitalised uses at sure beginnings from which it counts as a sentence starter.
-STARTER = 0.6
+#: Least log-likelihood ratios of a sentence starter, of one with at least the share MOSTLY of its capitalised uses at
+#: sure beginnings, and of a collocation across a period.
+STARTER, LIKELY, MOSTLY, COLLOCATION = 30, 7.88, 0.6, 7.88
 #: Share of capitalised followers that are no starters from which a period ends nothing.
 NO_STARTERS = 0.7
 #: Share of beginnings among all places of a caseless word, or of a Thai chunk, from which it begins sentences.
@@ -292,6 +293,15 @@ def _tail(body: str) -> int:
     return len(body)
 
 
+def _dunning(both: Column, first: Column, second: Column, total: Column) -> Column:
+    """Log-likelihood ratio of two things met together more often than by chance, 0 where they are met less often."""
+    log = lambda k, n, p: F.when(k > 0, k * F.log(p)).otherwise(0.0) + F.when(n > k, (n - k) * F.log(1 - p)).otherwise(0.0)
+    rest, others = second - both, total - first
+    p, p1, p2 = second / total, both / first, F.when(others > 0, rest / others)
+    ratio = 2 * (log(both, first, p1) + log(rest, others, p2) - log(both, first, p) - log(rest, others, p))
+    return F.when(p1 > p, ratio).otherwise(0.0)
+
+
 def sentence_ends(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """``doc_id, sent_end``: how many characters each sentence ends after.
 
@@ -325,30 +335,45 @@ def sentence_ends(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     bound = dots.join(lower, ["lang", "w"], "left").join(per_lang, "lang").where(seen | short | special).select("lang", "w", "n_dot", "n_on")
     bound = scratch.save(bound, "bound")
 
-    # Sentence starters: words that mostly stand at sure beginnings, which are those of blocks, behind other final
-    # marks, and behind the periods of words that are not bound to them.
+    # Sentence starters: words bound by their log-likelihood ratio to sure beginnings, which are those of blocks, behind
+    # other final marks, and behind the periods of words that are not bound to them.
     after = rows.where("row = 'dot'").select("lang", "w", "x")
     plain = after.join(bound, ["lang", "w"], "left_anti").groupBy("lang", "x").agg(F.count("*").alias("n"))
     starts = count("n_start", "x").unionByName(plain).groupBy("lang", "x").agg(F.sum("n").alias("n_start"))
     starts = scratch.save(starts, "starts")
-    begun = starts.join(words.select("lang", F.col("w").alias("x"), F.col("n").alias("n_all")), ["lang", "x"], "left")
-    starter = begun.where((F.col("n_start") >= 3) & (F.col("n_start") >= STARTER * F.col("n_all"))).select("lang", "x", F.lit(True).alias("starter"))
-
-    # Abbreviations: bound words behind whose periods the text visibly goes on, or goes on with words that begin nothing.
-    follow = after.join(starter, ["lang", "x"], "left").groupBy("lang", "w").agg(F.count("*").alias("n_open"), F.count_if(F.col("starter").isNull()).alias("n_other"))
+    breaks = starts.groupBy("lang").agg(F.sum("n_start").alias("n_breaks"))
+    begun = starts.join(words.select("lang", F.col("w").alias("x"), F.col("n").alias("n_all")), ["lang", "x"])
+    begun = begun.join(breaks, "lang").join(lower.groupBy("lang").agg(F.sum("n_all").alias("n_words")), "lang")
+    uses = F.greatest("n_all", "n_start")
+    ratio = _dunning(F.col("n_start"), uses, F.col("n_breaks"), F.greatest("n_words", F.col("n_breaks") + uses - F.col("n_start")))
+    mostly = F.col("n_start") >= MOSTLY * F.col("n_all")
+    starter = begun.where((ratio >= STARTER) | (ratio >= LIKELY) & mostly).select("lang", "x", F.lit(True).alias("starter"), mostly.alias("mostly"))
+
+    # Abbreviations: bound words behind whose periods the text visibly goes on, or goes on with words that mostly begin
+    # nothing.
+    follow = after.join(starter.where("mostly"), ["lang", "x"], "left").groupBy("lang", "w").agg(F.count("*").alias("n_open"), F.count_if(F.col("starter").isNull()).alias("n_other"))
     others = F.coalesce(F.col("n_other") / F.col("n_open"), F.lit(0.0))
     goes_on = F.when(F.col("w") == "##", (others >= 0.5) & (F.col("lang") != "en")).when(special, F.lit(True)).otherwise((F.col("n_on") / F.col("n_dot") >= GOES_ON) | ((others >= NO_STARTERS) & (F.col("n_open") >= 3)))
     abbreviation = bound.join(follow, ["lang", "w"], "left").where(goes_on).select("lang", "w", F.lit(True).alias("abbreviation"))
 
+    # Collocations: followers, other than those that mostly begin sentences, that the periods of an abbreviation or a
+    # number have more often than sure beginnings have them, by the log-likelihood ratio; such a period ends nothing.
+    pair = after.join(abbreviation.select("lang", "w").unionByName(bound.where("w = '##'").select("lang", "w")).distinct(), ["lang", "w"], "left_semi")
+    pair = scratch.save(pair.groupBy("lang", "w", "x").agg(F.count("*").alias("n_pair")), "pairs")
+    pair = pair.join(pair.groupBy("lang", "w").agg(F.sum("n_pair").alias("n_open")), ["lang", "w"])
+    pair = pair.join(starter.where("mostly"), ["lang", "x"], "left_anti").join(starts, ["lang", "x"], "left").join(breaks, "lang", "left").fillna(0, ["n_start", "n_breaks"])
+    ratio = _dunning(F.col("n_pair"), F.col("n_open"), F.col("n_pair") + F.col("n_start"), F.col("n_open") + F.col("n_breaks"))
+    collocation = pair.where((F.col("n_pair") > 1) & (ratio >= COLLOCATION)).select("lang", "w", "x", F.lit(True).alias("collocation"))
+
     # Caseless words, first characters and Thai chunks that begin sentences.
     closed = count("n_closed", "x").withColumnRenamed("n", "n_closed")
     begins = starts.join(closed, ["lang", "x"], "left").where((F.col("n_start") >= 2) & (F.col("n_start") >= BEGINS * F.coalesce("n_closed", F.lit(0)))).select("lang", "x", F.lit(True).alias("begins"))
     chunks = starts.join(count("n_place", "x"), ["lang", "x"]).where((F.col("n_start") >= 2) & (F.col("n_start") >= BEGINS * F.col("n"))).select("lang", "x", F.lit(True).alias("begins"))
 
     sure = rows.where("row = 'sure'").select("doc_id", "end")
-    dot = rows.where("row = 'dot'").select("doc_id", "end", "lang", "w", "x").join(abbreviation, ["lang", "w"], "left").join(starter, ["lang", "x"], "left")
+    dot = rows.where("row = 'dot'").select("doc_id", "end", "lang", "w", "x").join(abbreviation, ["lang", "w"], "left").join(starter, ["lang", "x"], "left").join(collocation, ["lang", "w", "x"], "left")
     initials = F.col("w").rlike(r"^\p{Lu}$") & (F.length("x") == 1)
-    dot = dot.where((F.col("abbreviation").isNull() | F.col("starter")) & ~initials).select("doc_id", "end")
+    dot = dot.where((F.col("abbreviation").isNull() | F.col("starter")) & F.col("collocation").isNull() & ~initials).select("doc_id", "end")
     close = rows.where("row = 'close'").select("doc_id", "end", "lang", "x").join(begins, ["lang", "x"], "left_semi").select("doc_id", "end")
     blank = rows.where("row = 'blank'").select("doc_id", "end", "lang", "x").join(chunks, ["lang", "x"], "left_semi").select("doc_id", "end")
     return sure.unionByName(dot).unionByName(close).unionByName(blank).distinct().select("doc_id", F.col("end").alias("sent_end"))

@@ -262,6 +262,12 @@ def test_abbreviations_numbers_quotes_and_paragraphs(spark):
     assert cut(spark, text, more=TRAIN) == ["The value is 3.5 here.", "We met Dr. Brown in May.", "``Is it so?'' asks Dr. Smith.", "It was late.", "A paragraph without mark", "\\section{Not. This.}\n\\begin{itemize}\n\\item one item", "\\item It stops.", "We go."]
 
 
+def test_a_starter_common_inside_sentences_and_a_collocation_across_a_period(spark):
+    train = ["We thank Dr. Smith and others here. It has masks, etc. and more. The Group met in the hall of the old town! Group members saw it. Smith was there. They left at noon when all the others had gone."] * 60
+    text = "We use lists, etc. Group members came. We met Dr. Smith in May."
+    assert cut(spark, text, more=train) == ["We use lists, etc.", "Group members came.", "We met Dr. Smith in May."]
+
+
 def test_scripts_without_blanks_or_periods(spark):
     assert cut(spark, "模型太小。“很好。”他说。为什么？", "zh") == ["模型太小。", "“很好。”他说。", "为什么？"]
     assert cut(spark, "यह छोटा है। वह बड़ा है?", "hi") == ["यह छोटा है।", "वह बड़ा है?"]
