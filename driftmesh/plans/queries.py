@@ -343,7 +343,7 @@ def pgd_gradient0(spark, sf_dir):
 def pgd_edit(spark, sf_dir):
     """Vulnerable pairs of every run before and after gradient edits, and how many are violated."""
     q, vp, before = _measured(spark, sf_dir)
-    edited = edit.gradient_edit(recon_of(q), q.select("run_id", "id", *AXES), vp, max_iter=200)
+    edited = edit.gradient_edit(recon_of(q), q.select("run_id", "id", *AXES), vp)
     wrong = ((F.col("r2") > F.col("b") * F.col("b")).cast("long") != F.col("sign"))
     count = lambda df, name: df.groupBy("run_id").agg(F.count("*").alias(f"pairs_{name}"), F.count_if(wrong).alias(f"violated_{name}"))
     return count(before, "before").join(count(pairs.with_distance(vp, edited), "after"), "run_id")

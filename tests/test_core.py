@@ -292,3 +292,27 @@ def test_command_line(spark, tmp_path):
     moved = points.withColumn("x", F.col("x") + 0.04)
     r = score(points, moved, "exact").first()
     assert r.ari == 1.0 and r.n == 150 and r.max_error <= 0.04 + 1e-9
+
+
+def test_registered_gradient_edit_runs_all_steps(monkeypatch):
+    import inspect
+    from unittest.mock import MagicMock
+
+    from driftmesh.operators import edit
+    from driftmesh.plans import queries
+
+    class Seen(Exception):
+        pass
+
+    steps = inspect.signature(edit.gradient_edit)
+
+    def seen(*args, **kwargs):
+        bound = steps.bind(*args, **kwargs)
+        bound.apply_defaults()
+        raise Seen(bound.arguments["max_iter"])
+
+    monkeypatch.setattr(queries, "_measured", lambda spark, sf_dir: (MagicMock(), MagicMock(), MagicMock()))
+    monkeypatch.setattr(queries, "recon_of", lambda q: q)
+    monkeypatch.setattr(edit, "gradient_edit", seen)
+    with pytest.raises(Seen, match="^1000$"):
+        queries.pgd_edit(None, "")
