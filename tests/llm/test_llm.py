@@ -171,6 +171,52 @@ def test_a_leak_longer_than_the_least_length_may_hold_one_edit_more(spark):
     assert sorted(r.doc_id for r in leaked_items(frame, items).collect()) == list(range(9))
 
 
+@pytest.mark.parametrize("block", [1_000_000, 3000])
+def test_leaks_of_long_items_drift_as_far_as_their_edits_allow(spark, block):
+    rng = np.random.default_rng(11)
+    word = lambda n=5: "".join(rng.choice(list("abcdefghijklmnop"), n))
+    items, docs = [], []
+    for number, (n, size) in enumerate([(100, 6), (200, 6), (200, 12), (400, 6), (400, 12), (800, 6), (800, 12), (800, 90)]):
+        item = [word(int(rng.integers(2, 9))) for _ in range(n)]
+        items.append((number, " ".join(item)))
+        span = int(np.ceil(0.4 * n))
+        copy = item[n // 4 : n // 4 + span]
+        for k in range(span // 8):
+            copy.insert(9 * k + 4, word(size))
+        doc = [*(word() for _ in range(60)), *copy, *(word() for _ in range(60))]
+        assert n > 200 or leaks_at(numbered(item), doc)
+        docs.append((number, " ".join(doc)))
+    docs.append((100, " ".join(word() for _ in range(500))))
+    got = leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_chars=block)
+    assert {tuple(r) for r in got.collect()} == {(k, k) for k in range(8)}
+
+
+def test_short_items_and_macros_with_arguments(spark):
+    docs = spark.createDataFrame([(1, "x y"), (2, "a b c d"), (3, "\\newcommand{\\eg}[1]{for example #1 and \\all{no} others}\\newcommand{\\all}[1]{every} We take \\eg{small grids} here")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "y"), (2, "b c"), (3, "for example small grids and every others")], "item_id long, text string")
+    assert {tuple(r) for r in leaked_items(docs, items).collect()} == {(1, 1), (2, 2), (3, 3)}
+    assert words_of("\\newcommand{\\w}{\\w x} \\w") == ["x"]
+
+
+def test_no_leak_is_lost_against_the_alignment_alone(spark):
+    rng = np.random.default_rng(4)
+    vocabulary = ["".join(rng.choice(list("abcdefg"), int(rng.integers(1, 8)))) for _ in range(60)]
+    items = [[vocabulary[v] for v in rng.integers(0, 60, int(rng.integers(1, 40)))] for _ in range(30)]
+    docs = []
+    for d in range(60):
+        words = [vocabulary[v] for v in rng.integers(0, 60, 30)]
+        source = items[d % 30]
+        a, b = sorted(rng.integers(0, len(source) + 1, 2))
+        copy = list(source[a:b])
+        for _ in range(int(rng.integers(0, 4))):
+            k = int(rng.integers(0, len(copy) + 1))
+            copy[k : k + int(rng.integers(0, 2))] = [vocabulary[int(rng.integers(0, 60))]] * int(rng.integers(0, 2))
+        docs.append(words[:15] + copy + words[15:])
+    want = {(d, i) for d, doc in enumerate(docs) for i, item in enumerate(items) if leaks_at(numbered(item), doc)}
+    frame = lambda rows, name: spark.createDataFrame([(k, " ".join(r)) for k, r in enumerate(rows)], f"{name} long, text string")
+    assert {tuple(r) for r in leaked_items(frame(docs, "doc_id"), frame(items, "item_id")).collect()} == want and len(want) > 30
+
+
 def test_alignment_equals_plain_edit_distance():
     rng = np.random.default_rng(2)
 
