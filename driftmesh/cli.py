@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from driftmesh.functions import metrics
 from driftmesh.operators import edit, grid, pairs
-from driftmesh.operators.components import clusters
 from driftmesh.sources import container
 
 
@@ -43,12 +42,12 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
 
 def fof(points: DataFrame) -> DataFrame:
     """Friends-of-friends cluster of every point."""
-    return clusters(points, pairs.links(grid.with_cells(points, grid.grid_params(points))))
+    return pairs.clusters(points)
 
 
 def score(points: DataFrame, recon: DataFrame, how: str = "none", xi: float = grid.XI_SHARE, lr: float = 0.01, steps: int = 1000) -> DataFrame:
     """Adjusted Rand index and errors of a reconstruction, after repairing it if asked; the reconstruction may come from anywhere."""
-    vulnerable = pairs.vulnerable_pairs(grid.with_cells(points, grid.grid_params(points, xi)))
+    vulnerable = pairs.vulnerable_pairs(points, grid.saved_params(points, xi))
     if how == "exact":
         recon = edit.exact_edit(recon, points, vulnerable)
     elif how == "gradient":

@@ -16,37 +16,45 @@ MAX_ROUNDS = 200
 CHUNK = 300_000
 
 
+def contracted(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links u - v as links from each number to the smallest one they connect it with, itself left out."""
+    ids, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    i, j = place[: len(u)], place[len(u) :]
+    label = np.arange(len(ids))
+    while len(i):
+        a, b = label[i], label[j]
+        apart = a != b
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))  # roots hook to smaller roots
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label = up
+    own = np.flatnonzero(label != np.arange(len(ids)))
+    return ids[own], ids[label[own]]
+
+
 def _stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The links of a task, chunk by chunk, as links from each point to the smallest one its chunk connects it with."""
 
-    def contracted(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def chunk(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run, i, j = (np.concatenate([p.column(k).to_numpy(zero_copy_only=False) for p in parts]) for k in range(3))
-        runs, r = np.unique(run, return_inverse=True)
-        ids, place = np.unique(np.concatenate([i, j]), return_inverse=True)
-        nodes, at = np.unique(np.concatenate([r, r]) * len(ids) + place, return_inverse=True)  # ascending ids within a run
-        u, v = at[: len(i)], at[len(i) :]
-        label = np.arange(len(nodes))
-        while True:
-            old = label
-            label = label.copy()
-            np.minimum.at(label, u, old[v])
-            np.minimum.at(label, v, old[u])
-            label = np.minimum(label, label[label])
-            if (label == old).all():
-                break
-        own = np.flatnonzero(label != np.arange(len(nodes)))
-        name = lambda k: ids[nodes[k] % len(ids)]
-        return pa.RecordBatch.from_arrays([pa.array(runs[nodes[own] // len(ids)].astype(np.int32)), pa.array(name(own)), pa.array(name(label[own]))], names=["run_id", "i", "j"])
+        order = np.argsort(run, kind="stable")
+        runs, first = np.unique(run[order], return_index=True)
+        for r, a, b in zip(runs, first, [*first[1:], len(run)]):
+            ids, roots = contracted(i[order[a:b]], j[order[a:b]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), r, np.int32)), pa.array(ids), pa.array(roots)], names=["run_id", "i", "j"])
 
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if batch.num_rows:
             held.append(batch)
         if sum(b.num_rows for b in held) >= CHUNK:
-            yield contracted(held)
+            yield from chunk(held)
             held = []
     if held:
-        yield contracted(held)
+        yield from chunk(held)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -77,7 +85,6 @@ def components(links: DataFrame) -> DataFrame:
     return labels.select("run_id", "id", F.col("label").alias("cluster_id"))
 
 
-def clusters(points: DataFrame, links: DataFrame) -> DataFrame:
-    """``run_id, id, cluster_id`` of every point; a point without links is its own cluster."""
-    linked = components(links)
+def every_point(points: DataFrame, linked: DataFrame) -> DataFrame:
+    """``run_id, id, cluster_id`` of every point; one that ``linked`` doesn't have is its own cluster."""
     return points.select("run_id", "id").join(linked, ["run_id", "id"], "left").select("run_id", "id", F.coalesce("cluster_id", "id").alias("cluster_id"))

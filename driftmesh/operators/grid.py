@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from driftmesh.scratch import Scratch
+
 AXES = ("x", "y", "z")
 #: Error bound as a share of the linking length, where none is given.
 XI_SHARE = 0.05
@@ -37,6 +39,11 @@ def grid_params(points: DataFrame, xi_share: float = XI_SHARE) -> DataFrame:
     return p.select("*", *[F.greatest(F.lit(1), F.ceil(F.col(f"range_{a}") / F.col("g"))).alias(f"cells_{a}") for a in AXES]).drop("link_len")
 
 
+def saved_params(points: DataFrame, xi_share: float = XI_SHARE) -> DataFrame:
+    """:func:`grid_params`, worked out once; a row a run, so Spark broadcasts it as long as it is small."""
+    return Scratch(points.sparkSession, "params").save(grid_params(points, xi_share), "params")
+
+
 def linking_length(ranges: DataFrame, d: float = 0.2) -> DataFrame:
     """``b = d * (volume / n) ** (1 / dim)`` of every run's own extent."""
     area = F.col("range_x") * F.col("range_y")
@@ -64,21 +71,13 @@ def with_cells(points: DataFrame, params: DataFrame) -> DataFrame:
     The largest coordinate of an axis falls into the last cell.
     """
     keep = ["run_id", "b", "xi", "g", *[f"{n}_{a}" for a in AXES for n in ("min", "cells")]]
-    joined = points.join(F.broadcast(params.select(keep)) if _few(params) else params.select(keep), "run_id")
+    joined = points.join(params.select(keep), "run_id")
     cell = lambda a: F.least(F.greatest(F.floor((F.col(a) - F.col(f"min_{a}")) / F.col("g")), F.lit(0)), F.col(f"cells_{a}") - 1)
     placed = joined.withColumns({f"c{a}": cell(a) for a in AXES})
     placed = placed.withColumn("cell_id", cell_id(F.col("cx"), F.col("cy"), F.col("cz")))
     return placed.withColumns({f"o{a}": F.col(f"min_{a}") + F.col(f"c{a}") * F.col("g") for a in AXES})
 
 
-#: Parameter rows that are broadcast (about 150 bytes each).
-MAX_BROADCAST_RUNS = 100_000
-
-
-def _few(params: DataFrame) -> bool:
-    return params.select("run_id").limit(MAX_BROADCAST_RUNS + 1).count() <= MAX_BROADCAST_RUNS
-
-
 def cell_id(cx: Column, cy: Column, cz: Column) -> Column:
     """Raster number of a cell."""
     return cz * F.col("cells_x") * F.col("cells_y") + cy * F.col("cells_x") + cx

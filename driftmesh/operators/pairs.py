@@ -1,37 +1,42 @@
-"""Distance self-joins on the grid: links, vulnerable pairs, what they make of a reconstruction."""
+"""Distance self-joins: links, clusters, vulnerable pairs, what they make of a reconstruction."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A cell and its forward neighbours: each unordered pair of cells once.
-FORWARD = [(i, j, k) for k in (0, 1) for j in (-1, 0, 1) for i in (-1, 0, 1) if (k, j, i) >= (0, 0, 0)]
+from driftmesh.operators.components import every_point
+from driftmesh.operators.sweep import friends, near_pairs
 
+def reaching(points: DataFrame, reach: str = "link_len") -> DataFrame:
+    """Points as the sweep takes them, with one of their columns as reach."""
+    return points.select("run_id", "id", "x", "y", "z", F.col(reach).alias("reach"))
 
-def neighbour_pairs(cells: DataFrame) -> DataFrame:
-    """Pairs i < j of points in the same or in neighbouring cells, with d2, b and xi: an equi-join on the cell, never a bare distance predicate."""
-    moves = F.array(*[F.struct(*[F.lit(v).cast("long").alias(a) for v, a in zip(m, "ijk")]) for m in FORWARD])
-    left = cells.select("run_id", "dim", "b", "xi", "cx", "cy", "cz", *[F.col(c).alias(f"a_{c}") for c in ("id", "x", "y", "z")]).withColumn("m", F.explode(moves))
-    left = left.where((F.col("dim") == 3) | (F.col("m.k") == 0))
-    own = (F.col("m.i") == 0) & (F.col("m.j") == 0) & (F.col("m.k") == 0)
-    left = left.select("run_id", "dim", "b", "xi", "a_id", "a_x", "a_y", "a_z", own.alias("own"), *[(F.col(f"c{a}") + F.col(f"m.{v}")).alias(f"c{a}") for a, v in zip("xyz", "ijk")])
-    right = cells.select("run_id", "cx", "cy", "cz", *[F.col(c).alias(f"b_{c}") for c in ("id", "x", "y", "z")])
-    met = left.join(right, ["run_id", "cx", "cy", "cz"]).where("not own or a_id < b_id")
-    d = [F.col(f"a_{a}") - F.col(f"b_{a}") for a in "xyz"]
-    return met.select("run_id", "dim", "b", "xi", F.least("a_id", "b_id").alias("i"), F.greatest("a_id", "b_id").alias("j"), (d[0] * d[0] + d[1] * d[1] + d[2] * d[2]).alias("d2"))
 
+def links(points: DataFrame, reach: str = "link_len") -> DataFrame:
+    """Friends: ``run_id, i, j, d2`` of pairs at most ``reach`` apart."""
+    return near_pairs(reaching(points, reach))
 
-def links(cells: DataFrame) -> DataFrame:
-    """Friends: pairs at most b apart."""
-    return neighbour_pairs(cells).where("d2 <= b * b").select("run_id", "i", "j", "d2")
 
+def fof(points: DataFrame, reach: str = "link_len") -> DataFrame:
+    """Friends-of-friends cluster of every linked point."""
+    return friends(reaching(points, reach))
 
-def vulnerable_pairs(cells: DataFrame) -> DataFrame:
-    """Pairs whose link may flip if every coordinate moves by xi; sign 1 where they must stay apart."""
+
+def clusters(points: DataFrame, reach: str = "link_len") -> DataFrame:
+    """Friends-of-friends cluster of every point; a point without friends is its own."""
+    return every_point(points, fof(points, reach))
+
+
+def vulnerable_pairs(points: DataFrame, params: DataFrame) -> DataFrame:
+    """Pairs whose link may flip if every coordinate moves by xi; sign 1 where they must stay apart.
+
+    ``params``: run_id, dim, b, xi, one row a run.
+    """
     slack = 2 * F.sqrt(F.col("dim").cast("double")) * F.col("xi")
-    low, high = F.greatest(F.lit(0.0), F.col("b") - slack), F.col("b") + slack
-    near = neighbour_pairs(cells).where((F.col("d2") > low * low) & (F.col("d2") <= high * high))
+    runs = params.select("run_id", "dim", "b", "xi", F.greatest(F.lit(0.0), F.col("b") - slack).alias("low"), (F.col("b") + slack).alias("high"))
+    near = near_pairs(points.select("run_id", "id", "x", "y", "z").join(runs.select("run_id", F.col("high").alias("reach")), "run_id"))
+    near = near.join(runs, "run_id").where(F.col("d2") > F.col("low") * F.col("low"))
     return near.select("run_id", "dim", "b", "xi", "i", "j", "d2", (F.col("d2") > F.col("b") * F.col("b")).cast("long").alias("sign"))
 
 

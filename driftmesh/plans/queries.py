@@ -8,7 +8,6 @@ from pyspark.sql.window import Window
 
 from driftmesh.functions import metrics
 from driftmesh.operators import codec, domain, edit, grid, pairs
-from driftmesh.operators.components import clusters, components
 from driftmesh.operators.dense import dense_stats
 from driftmesh.operators.sweep import near_and_inside
 from driftmesh.plans.sql import GHOSTS, PARTICLES, core_sql
@@ -84,15 +83,20 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def particles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The usable particles of all runs: run_id, id, x, y, z, dim, link_len, rank_no."""
+    """The usable particles of all runs, worked out once: run_id, id, x, y, z, dim, link_len, rank_no."""
+    return Scratch(spark, "particles").save(usable(spark, sf_dir), "points")
+
+
+def usable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The usable particles of all runs, for queries that read them once."""
     placed = placed_points(table(spark, sf_dir, "particles"), run_params(spark, sf_dir), "particle_id", AXES, keep=("rank_no",))
-    return Scratch(spark, "particles").save(placed.withColumnRenamed("particle_id", "id"), "points")
+    return placed.withColumnRenamed("particle_id", "id")
 
 
 def celled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The particles with their grid cells."""
     points = particles(spark, sf_dir)
-    return grid.with_cells(points, grid.grid_params(points))
+    return grid.with_cells(points, grid.saved_params(points))
 
 
 def visited(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,24 +115,24 @@ def _ints(df: DataFrame, *names: str) -> list:
 
 def run_ranges(spark, sf_dir):
     """Extent of every run."""
-    return grid.axis_ranges(particles(spark, sf_dir)).drop("dim", "link_len")
+    return grid.axis_ranges(usable(spark, sf_dir)).drop("dim", "link_len")
 
 
 def derive_params(spark, sf_dir):
     """Error bound, cell side and grid of every run."""
-    p = grid.grid_params(particles(spark, sf_dir))
+    p = grid.grid_params(usable(spark, sf_dir))
     return p.select("run_id", "b", "xi", "g", *_ints(p, "cells_x", "cells_y", "cells_z"))
 
 
 def extent_linking_length(spark, sf_dir):
     """Linking length of every run by its extent and number of points."""
-    r = grid.linking_length(grid.axis_ranges(particles(spark, sf_dir)))
+    r = grid.linking_length(grid.axis_ranges(usable(spark, sf_dir)))
     return r.select("run_id", F.round("b_of_extent", 6).alias("b_of_extent"))
 
 
 def grid_coarsen(spark, sf_dir):
     """Cell side of every run at most four points a cell on average."""
-    return grid.coarsened(grid.grid_params(particles(spark, sf_dir))).select("run_id", F.round("g", 6).alias("g"))
+    return grid.coarsened(grid.grid_params(usable(spark, sf_dir))).select("run_id", F.round("g", 6).alias("g"))
 
 
 def cell_assign(spark, sf_dir):
@@ -144,7 +148,7 @@ def cell_histogram(spark, sf_dir):
 def cell_decode_coords(spark, sf_dir):
     """Corner and centre of every occupied cell, from its number."""
     points = particles(spark, sf_dir)
-    params = grid.grid_params(points)
+    params = grid.saved_params(points)
     cells = grid.with_cells(points, params).select("run_id", "cell_id").distinct().join(params, "run_id")
     return grid.cell_coords(cells).select("run_id", "cell_id", "cx", "cy", "cz", *[f"corner_{a}" for a in AXES], *[f"centre_{a}" for a in AXES])
 
@@ -211,18 +215,18 @@ def roundtrip_check(spark, sf_dir):
 
 def fof_links(spark, sf_dir):
     """Pairs of particles within the linking length."""
-    return pairs.links(celled(spark, sf_dir))
+    return pairs.links(usable(spark, sf_dir))
 
 
 def fof_clusters(spark, sf_dir):
     """Friends-of-friends cluster of every linked particle."""
-    return components(pairs.links(celled(spark, sf_dir)))
+    return pairs.fof(usable(spark, sf_dir))
 
 
 def halo_catalog(spark, sf_dir):
     """Size, centre and extent of every cluster."""
     points = particles(spark, sf_dir)
-    found = components(pairs.links(grid.with_cells(points, grid.grid_params(points))))
+    found = pairs.fof(points)
     members = points.join(found, ["run_id", "id"])
     return members.groupBy("run_id", "cluster_id").agg(F.count("*").alias("size"), *[F.round(F.avg(a), 6).alias(f"mean_{a}") for a in AXES], *[f(a).alias(f"{n}_{a}") for a in AXES for f, n in ((F.min, "min"), (F.max, "max"))])
 
@@ -239,24 +243,35 @@ def halo_topk(spark, sf_dir):
     return sizes.withColumn("place", F.row_number().over(place).cast("long")).where("place <= 10")
 
 
+def _vulnerable(spark, sf_dir):
+    points = particles(spark, sf_dir)
+    return pairs.vulnerable_pairs(points, grid.saved_params(points))
+
+
 def vulnerable_pairs(spark, sf_dir):
     """Pairs whose link a reconstruction may flip."""
-    return pairs.vulnerable_pairs(celled(spark, sf_dir)).select("run_id", "i", "j", "sign")
+    return _vulnerable(spark, sf_dir).select("run_id", "i", "j", "sign")
 
 
 def editable_points(spark, sf_dir):
     """Particles of at least one vulnerable pair."""
-    return pairs.editable_points(pairs.vulnerable_pairs(celled(spark, sf_dir)))
+    return pairs.editable_points(_vulnerable(spark, sf_dir))
 
 
 def pair_summary(spark, sf_dir):
     """Vulnerable pairs of every run, by what they must stay."""
-    return pairs.vulnerable_pairs(celled(spark, sf_dir)).groupBy("run_id").agg(F.count("*").alias("pairs"), F.sum("sign").alias("apart"))
+    return _vulnerable(spark, sf_dir).groupBy("run_id").agg(F.count("*").alias("pairs"), F.sum("sign").alias("apart"))
+
+
+def _vulnerable_of(q):
+    """Vulnerable pairs of coded particles, which know their run's parameters."""
+    params = Scratch(q.sparkSession, "params").save(q.groupBy("run_id").agg(*[F.first(c).alias(c) for c in ("dim", "b", "xi")]), "params")
+    return pairs.vulnerable_pairs(q, params)
 
 
 def _measured(spark, sf_dir):
     q = visited(spark, sf_dir)
-    vp = Scratch(spark, "pairs").save(pairs.vulnerable_pairs(q.select("run_id", "id", *AXES, "dim", "b", "xi", "cx", "cy", "cz")), "pairs")
+    vp = Scratch(spark, "pairs").save(_vulnerable_of(q), "pairs")
     return q, vp, pairs.with_distance(vp, recon_of(q))
 
 
@@ -276,10 +291,8 @@ def _two_clusterings(spark, sf_dir, recon=None):
     """Contingency of the clusters of the particles and of a reconstruction, by default the unedited one."""
     q = visited(spark, sf_dir)
     points = q.select("run_id", "id", *AXES, "dim", "link_len")
-    params = grid.grid_params(points)
     other = (recon or (lambda q: recon_of(q)))(q).select("run_id", "id", *AXES).join(points.select("run_id", "id", "dim", "link_len"), ["run_id", "id"])
-    one = clusters(points, pairs.links(grid.with_cells(points, params)))
-    two = clusters(other, pairs.links(grid.with_cells(other, grid.grid_params(other))))
+    one, two = pairs.clusters(points), pairs.clusters(other)
     return metrics.contingency(one, two)
 
 
@@ -299,8 +312,7 @@ def ari_sampled(spark, sf_dir, share=0.25):
     some = q.where(F.pmod(F.xxhash64("id", F.lit(42)), F.lit(1000)) < int(share * 1000))
     points = some.select("run_id", "id", *AXES, "dim", "link_len")
     other = recon_of(some).join(points.select("run_id", "id", "dim", "link_len"), ["run_id", "id"])
-    one = clusters(points, pairs.links(grid.with_cells(points, grid.grid_params(points))))
-    two = clusters(other, pairs.links(grid.with_cells(other, grid.grid_params(other))))
+    one, two = pairs.clusters(points), pairs.clusters(other)
     return metrics.adjusted_rand(metrics.pair_confusion(metrics.contingency(one, two))).withColumn("ari", F.round("ari", 9))
 
 
@@ -358,7 +370,7 @@ def lossless_edit(spark, sf_dir):
 
 def lossless_edit_ari(spark, sf_dir):
     """Adjusted Rand index after exact edits: 1 for every run."""
-    exact = lambda q: edit.exact_edit(recon_of(q), q.select("run_id", "id", *AXES), pairs.vulnerable_pairs(q.select("run_id", "id", *AXES, "dim", "b", "xi", "cx", "cy", "cz")))
+    exact = lambda q: edit.exact_edit(recon_of(q), q.select("run_id", "id", *AXES), _vulnerable_of(q))
     return metrics.adjusted_rand(metrics.pair_confusion(_two_clusterings(spark, sf_dir, exact))).select("run_id", F.round("ari", 9).alias("ari"))
 
 
@@ -474,8 +486,7 @@ def particle_scan_emb3d(spark, sf_dir):
 
 
 def _clusters_of(points: DataFrame) -> DataFrame:
-    points = Scratch(points.sparkSession, "adapted").save(points, "points")
-    return components(pairs.links(grid.with_cells(points, grid.grid_params(points)))).select("id", "cluster_id")
+    return pairs.fof(points).select("id", "cluster_id")
 
 
 def fof_clusters_orders2d(spark, sf_dir):

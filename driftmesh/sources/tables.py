@@ -56,7 +56,7 @@ def placed_points(points: DataFrame, runs: DataFrame, id_col: str, axes: Sequenc
     and the columns of ``keep``.
     """
     x, y, z = (F.col(a) for a in axes)
-    rows = points.select("run_id", id_col, *axes, *keep, "arrived_at").join(F.broadcast(runs) if _small(runs) else runs, "run_id")
+    rows = points.select("run_id", id_col, *axes, *keep, "arrived_at").join(runs, "run_id")
     usable = rows.where(F.col(id_col).isNotNull() & finite(x) & finite(y) & ((F.col("dim") == 2) | finite(z))).withColumns(
         {"x": x + 0.0, "y": y + 0.0, "z": F.when(F.col("dim") == 3, z + 0.0).otherwise(F.lit(0.0))}
     )
@@ -70,7 +70,7 @@ def placed_nodes(nodes: DataFrame, runs: DataFrame) -> DataFrame:
     ``dim`` finite values.
     """
     p = F.col("point")
-    rows = nodes.select("run_id", "id", "point", "arrived_at").join(F.broadcast(runs) if _small(runs) else runs, "run_id")
+    rows = nodes.select("run_id", "id", "point", "arrived_at").join(runs, "run_id")
     ok = F.col("id").isNotNull() & (F.size(p) == F.col("dim"))
     get = [F.get(p, F.lit(k)) for k in range(3)]
     usable = rows.where(F.coalesce(ok, F.lit(False))).withColumns(
@@ -78,11 +78,3 @@ def placed_nodes(nodes: DataFrame, runs: DataFrame) -> DataFrame:
     )
     usable = usable.where(finite(F.col("x")) & finite(F.col("y")) & finite(F.col("z")))
     return last_arrived(usable, ["run_id", "id", "dim", "link_len"], ["x", "y", "z"])
-
-
-#: Runs are broadcast up to this many rows (24 bytes each); beyond it Spark chooses the join.
-MAX_BROADCAST_RUNS = 200_000
-
-
-def _small(runs: DataFrame) -> bool:
-    return runs.limit(MAX_BROADCAST_RUNS + 1).count() <= MAX_BROADCAST_RUNS

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from driftmesh.functions import metrics
 from driftmesh.operators import codec, domain, edit, grid, pairs
-from driftmesh.operators.components import clusters, components
+from driftmesh.operators.components import components, contracted
 from driftmesh.operators.dense import dense_stats
-from driftmesh.operators.sweep import near_and_inside
+from driftmesh.operators.sweep import _Tiles, friends, near_and_inside, near_pairs
 from driftmesh.sources import container, raw
 from driftmesh.sources.tables import last_arrived, placed_points
 
@@ -76,15 +76,15 @@ def test_dense_stats_hands_on_full_accumulators_and_takes_empty_tables(spark, mo
 # --- sweep (problem 3)
 
 
-@pytest.mark.parametrize("target,share", [(20_000, 200_000), (40, 15)])
-def test_sweep_equals_brute_force(spark, target, share):
+@pytest.mark.parametrize("target", [20_000, 40, 4])
+def test_sweep_equals_brute_force(spark, target):
     points, rows = cloud(spark, 260, side=6.0)
     extra = [(1, 1000, *rows[0][2:5], 3, 1.0), (2, 1001, *rows[0][2:5], 3, 1.0)]
     points = points.unionByName(spark.createDataFrame(extra, POINT))
     rows = rows + extra
     boxes = [(1, 1, 0.0, 3.0, 0.0, 3.0, 0.0, 6.0), (1, 2, 2.0, 1.0, 0.0, 9.0, 0.0, 9.0), (1, 3, None, 1.0, 0.0, 1.0, 0.0, 1.0), (2, 4, -9.0, 9.0, -9.0, 9.0, -9.0, 9.0), (1, 5, *(v for c in rows[3][2:5] for v in (c, c))), (1, 6, -1e308, 1e308, -1e308, 1e308, float("-inf"), float("inf"))]
     frame = spark.createDataFrame(boxes, "run_id int, box_id long, lo_x double, hi_x double, lo_y double, hi_y double, lo_z double, hi_z double")
-    got = [tuple(r) for r in near_and_inside(points, frame, target, share).collect()]
+    got = [tuple(r) for r in near_and_inside(points, frame, target).collect()]
     want = {("near", i, j) for i, j in brute_links(rows, 1.0)}
     for b in boxes:
         if None not in b:
@@ -92,6 +92,28 @@ def test_sweep_equals_brute_force(spark, target, share):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_a_crowded_band_is_cut_and_hardly_copied(spark):
+    n = 4000
+    points = spark.range(n).select(F.lit(1).alias("run_id"), "id", (F.col("id") * 0.25).alias("x"), (F.col("id") % 7 * 0.1).alias("y"), F.lit(0.0).alias("z"), F.lit(1.0).alias("reach"))
+    tiles = _Tiles(points, 100)
+    placed = tiles.placed()
+    sizes = [r["count"] for r in placed.groupBy("strip", "cut").count().collect()]
+    assert placed.count() < 1.1 * n and len(sizes) > 20 and max(sizes) < 220
+    boxes = spark.createDataFrame([(1, k, 10.0 * k, 10.0 * k + 5, -1e308, 1e308, -1.0, 1.0) for k in range(90)], "run_id int, box_id long, lo_x double, hi_x double, lo_y double, hi_y double, lo_z double, hi_z double")
+    assert tiles.caught(boxes).count() < 2 * 90
+    got = friends(points, 100).collect()
+    assert len(got) == n and {r.cluster_id for r in got} == {0}
+
+
+def test_contraction_of_random_links():
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 5, 300):
+        u, v = rng.integers(0, 400, (2, n))
+        ids, top = contracted(u, v)
+        want = roots(list(zip(u.tolist(), v.tolist())))
+        assert dict(zip(ids.tolist(), top.tolist())) == {k: r for k, r in want.items() if k != r}
+
+
 def test_sweep_of_empty_tables(spark):
     points, _ = cloud(spark, 5)
     boxes = spark.createDataFrame([], "run_id int, box_id long, lo_x double, hi_x double, lo_y double, hi_y double, lo_z double, hi_z double")
@@ -134,19 +156,22 @@ def test_largest_coordinate_falls_into_the_last_cell(spark):
 @pytest.mark.parametrize("dim", [2, 3])
 def test_links_and_clusters_equal_brute_force(spark, dim):
     points, rows = cloud(spark, 200, dim, seed=dim, side=8.0 if dim == 3 else 16.0)
-    cells = grid.with_cells(points, grid.grid_params(points))
-    got = {(r.i, r.j) for r in pairs.links(cells).collect()}
+    got = {(r.i, r.j) for r in pairs.links(points).collect()}
     want = brute_links(rows, 1.0)
     assert got == want
-    labels = {r.id: r.cluster_id for r in components(pairs.links(cells)).collect()}
+    labels = {r.id: r.cluster_id for r in components(pairs.links(points)).collect()}
     assert labels == roots(want)
-    assert clusters(points, pairs.links(cells)).count() == 200
+    for target in (20_000, 12, 3):
+        found = friends(pairs.reaching(points), target).collect()
+        assert {r.id: r.cluster_id for r in found} == labels and len(found) == len(labels)
+        assert {(r.i, r.j) for r in near_pairs(pairs.reaching(points), target).collect()} == want
+    assert pairs.clusters(points).count() == 200
 
 
 def test_pair_at_exactly_the_linking_length_and_coincident_points(spark):
     rows = [(1, 0, 0.0, 0.0, 0.0, 3, 1.0), (1, 1, 1.0, 0.0, 0.0, 3, 1.0), (1, 2, 1.0, 0.0, 0.0, 3, 1.0), (1, 3, 9.0, 9.0, 9.0, 3, 1.0)]
     points = spark.createDataFrame(rows, POINT)
-    got = {(r.i, r.j) for r in pairs.links(grid.with_cells(points, grid.grid_params(points))).collect()}
+    got = {(r.i, r.j) for r in pairs.links(points).collect()}
     assert got == {(0, 1), (0, 2), (1, 2)}
 
 
@@ -222,7 +247,7 @@ def test_edits_keep_the_links(spark):
     params = grid.grid_params(points)
     q = codec.quantised(grid.visit_order(grid.with_cells(points, params))).cache()
     recon = q.select("run_id", "id", *[F.col(f"recon_{a}").alias(a) for a in "xyz"])
-    vp = pairs.vulnerable_pairs(q).cache()
+    vp = pairs.vulnerable_pairs(q, params).cache()
     wrong = lambda r: pairs.with_distance(vp, r).where("(r2 > b * b) <> (sign = 1)").count()
     before = wrong(recon)
     assert before > 0 and wrong(edit.exact_edit(recon, points, vp)) == 0
