@@ -61,7 +61,8 @@ def budget_tree(leaves: DataFrame, levels: Sequence[str], weights: DataFrame, to
     level and its ``weight``; further levels are weighted by their tokens.
     ``total`` is what is to be mixed, by default the tokens of all leaves.
     Result: the levels, tokens, capacity (max_repeats * tokens), budget, and
-    of the first level top_wanted, its share of the total, and top_capacity.
+    of the first level top_wanted, its share of the total, top_capacity and
+    top_budget, what it is given once shortages are passed on.
     A first level without a weight gets nothing; where everything together
     has less than the total, all of it is used.  Every table may be empty.
     """
@@ -69,14 +70,14 @@ def budget_tree(leaves: DataFrame, levels: Sequence[str], weights: DataFrame, to
     everything = F.lit(float(total)) if total is not None else F.sum("tokens").over(Window.partitionBy(F.lit(1))).cast("double")
     frame = nodes.groupBy(levels[0]).agg(F.sum("tokens").alias("tokens"), F.sum("capacity").cast("double").alias("capacity")).join(weights, levels[0])
     frame = frame.withColumn("whole", everything).withColumn("budget", F.least(F.col("whole"), F.sum("capacity").over(Window.partitionBy(F.lit(1)))))
-    frame = _filled(frame, [F.lit(1)], "budget").withColumn("top_wanted", F.col("weight") * F.col("whole")).withColumn("top_capacity", F.col("capacity"))
+    frame = _filled(frame, [F.lit(1)], "budget").withColumn("top_wanted", F.col("weight") * F.col("whole")).withColumn("top_capacity", F.col("capacity")).withColumn("top_budget", F.col("budget"))
     for k in range(1, len(levels)):
         parent, here = list(levels[:k]), list(levels[: k + 1])
         below = nodes.groupBy(*here).agg(F.sum("tokens").alias("tokens"), F.sum("capacity").cast("double").alias("capacity")).withColumn("weight", F.col("tokens").cast("double"))
-        up = frame.select(*[F.col(c).alias(f"up_{c}") for c in parent], "budget", "top_wanted", "top_capacity")
+        up = frame.select(*[F.col(c).alias(f"up_{c}") for c in parent], "budget", "top_wanted", "top_capacity", "top_budget")
         on = [below[c].eqNullSafe(up[f"up_{c}"]) for c in parent]
         frame = _filled(below.join(up, on).drop(*[f"up_{c}" for c in parent]), parent, "budget")
-    return frame.select(*levels, "tokens", "capacity", "budget", "top_wanted", "top_capacity")
+    return frame.select(*levels, "tokens", "capacity", "budget", "top_wanted", "top_capacity", "top_budget")
 
 
 def _filled(children: DataFrame, parent: Sequence, budget: str) -> DataFrame:
@@ -101,9 +102,10 @@ def selected(docs: DataFrame, budgets: DataFrame, leaf: Sequence[str], seed: int
     columns, tokens, budget.  Result: doc_id, the leaf columns, tokens, uses.
     An epoch uses each document of its leaf once; the last, partial epoch is
     the longest prefix of the documents in seeded order that fits what is
-    left.  Documents of equal hash are ordered by id; documents of no leaf
-    are not used and left out, a document without tokens is used with the
-    first epoch's prefix.
+    left; where nothing is left there is no such epoch, so a budget within a
+    leaf's capacity never repeats a document too often.  Documents of equal
+    hash are ordered by id; documents of no leaf are not used and left out,
+    and a leaf without tokens is not used.
     """
     b = budgets.select(*[F.col(c).alias(f"b_{c}") for c in leaf], F.floor(F.col("budget") / F.nullif("tokens", F.lit(0))).alias("epochs"), (F.col("budget") - F.floor(F.col("budget") / F.nullif("tokens", F.lit(0))) * F.col("tokens")).alias("rest"))
     on = [docs[c].eqNullSafe(b[f"b_{c}"]) for c in leaf]
@@ -114,8 +116,8 @@ def selected(docs: DataFrame, budgets: DataFrame, leaf: Sequence[str], seed: int
     cut = ranges.withColumn("upto", so_far).where("upto > rest").groupBy(*leaf).agg(F.min(F.struct("range", (F.col("upto") - F.col("sum")).alias("taken"))).alias("cut"))
     cut = cut.select(*[F.col(c).alias(f"c_{c}") for c in leaf], F.col("cut.range").alias("at"), F.col("cut.taken").alias("taken"))
     split = placed.join(cut, [placed[c].eqNullSafe(cut[f"c_{c}"]) for c in leaf], "left").drop(*[f"c_{c}" for c in leaf])
-    sure = split.where("at is null or range <> at").withColumn("in", F.coalesce(F.col("range") < F.col("at"), F.lit(True)).cast("int"))
+    sure = split.where("at is null or range <> at").withColumn("in", (F.coalesce(F.col("range") < F.col("at"), F.lit(False)) & (F.col("rest") > 0)).cast("int"))
     order = Window.partitionBy(*leaf).orderBy("order", "doc_id")
-    edge = split.where("range = at").withColumn("in", (F.col("taken") + F.sum("tokens").over(order) <= F.col("rest")).cast("int"))
+    edge = split.where("range = at").withColumn("in", ((F.col("taken") + F.sum("tokens").over(order) <= F.col("rest")) & (F.col("rest") > 0)).cast("int"))
     both = sure.unionByName(edge)
     return both.select("doc_id", *leaf, "tokens", (F.coalesce("epochs", F.lit(0)) + F.col("in")).alias("uses"))

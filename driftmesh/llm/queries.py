@@ -112,10 +112,11 @@ def source_tokens(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources that fall short of their target even if used as often as they may be."""
+    """Sources whose budget stays short of their target: they give all they may and their siblings make up for it."""
     _, targets, leaves = source_tokens(spark, sf_dir)
     budgets = budget_tree(leaves, ["source", "lang"], targets.select("source", "weight"))
-    return budgets.where("top_capacity < top_wanted").select("source").distinct()
+    spent = F.col("top_budget") >= F.col("top_capacity") * (1 - 1e-12)  # the last to be filled may be a rounding error short
+    return budgets.where(spent & (F.col("top_capacity") < F.col("top_wanted"))).select("source").distinct()
 
 
 def p7_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,6 +135,18 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_.withColumn("reached_share", share)
 
 
+def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of every source, and how many are used too often, leaves above their budget, and leaves that leave room for their largest document."""
+    docs, targets, leaves = source_tokens(spark, sf_dir)
+    budgets = Scratch(spark, "budgets").save(budget_tree(leaves, ["source", "lang"], targets.select("source", "weight")), "budgets")
+    chosen = selected(docs, budgets, ["source", "lang"]).join(targets.select("source", "max_repeats"), "source")
+    used = chosen.groupBy("source", "lang").agg(F.count("*").alias("n_docs"), F.count_if(F.col("uses") > F.col("max_repeats")).alias("over_cap"), F.sum(F.col("tokens") * F.col("uses")).alias("used"), F.max("tokens").alias("largest"))
+    both = used.join(budgets.select(F.col("source").alias("s"), F.col("lang").alias("l"), "budget"), F.col("source").eqNullSafe(F.col("s")) & F.col("lang").eqNullSafe(F.col("l")))
+    room = F.col("budget") - F.col("used")
+    sums = both.groupBy("source").agg(F.sum("n_docs").alias("n_docs"), F.sum("over_cap").alias("over_cap"), F.count_if(room < -1e-6).alias("over_budget"), F.count_if((F.col("largest") > 0) & (room > F.col("largest"))).alias("loose"))
+    return targets.join(sums, "source", "left").select("source", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_docs", "over_cap", "over_budget", "loose")])
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of every sentence end of every article."""
     return sentence_ends(table(spark, sf_dir, "documents"))
@@ -188,8 +201,13 @@ have AS (SELECT m.source, m.target_share, m.max_repeats, coalesce(sum(d.n), 0) A
 SELECT source FROM have WHERE max_repeats * n < target_share * (SELECT sum(n) FROM have)"""
 
 
+P7_CHECKS_SQL = """
+SELECT m.source, count(d.doc_id) AS n_docs, 0::BIGINT AS over_cap, 0::BIGINT AS over_budget, 0::BIGINT AS loose
+FROM mix_targets m LEFT JOIN documents d ON regexp_replace(lower(trim(d.source)), '[-_ ]+', '_', 'g') = m.source GROUP BY 1"""
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_clusters, p1_labels, p4_found, p4_search, p5_found, p5_group_sizes, p6_found, p7_found, p7_selection, p7_shares, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_clusters, p1_labels, p4_found, p4_search, p5_found, p5_group_sizes, p6_found, p7_found, p7_selection, p7_shares, p7_checks, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -200,4 +218,5 @@ def oracle_sql() -> dict[str, str]:
         "p5_found": f"{GROUPS_SQL} SELECT c AS group_id, id AS elem FROM lab",
         "p5_group_sizes": f"{GROUPS_SQL} SELECT c AS group_id, count(*) AS n_ids, max(id) AS last_id FROM lab GROUP BY 1",
         "p7_found": P7_SQL,
+        "p7_checks": P7_CHECKS_SQL,
     }

@@ -275,6 +275,15 @@ def test_selection_fills_budgets_with_epochs_and_a_prefix(spark):
     assert uses == again and len(uses) == 110
 
 
+def test_no_document_is_used_above_its_cap(spark):
+    docs = spark.createDataFrame([(i, "a", "en", 0 if i % 3 == 0 else 10) for i in range(90)] + [(500, "z", "en", 0)], "doc_id long, source string, lang string, tokens long")
+    for budget in (1200.0, 1199.0, 600.0, 0.0):
+        budgets = spark.createDataFrame([("a", "en", 600, budget), ("z", "en", 0, 0.0)], "source string, lang string, tokens long, budget double")
+        got = {r.doc_id: r for r in selected(docs, budgets, ["source", "lang"]).collect()}
+        assert max(r.uses for r in got.values()) <= 2 and got[500].uses == 0 and len(got) == 91
+        assert budget - 10 < sum(r.tokens * r.uses for r in got.values()) <= budget
+
+
 def test_token_counts(spark):
     pytest.importorskip("tiktoken")
     df = spark.createDataFrame([(1, "hello world"), (2, None), (3, "")], "doc_id long, text string")
