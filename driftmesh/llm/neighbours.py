@@ -1,19 +1,22 @@
 """The k nearest vectors of every vector: NN-descent, and greedy search in its graph.
 
-The first graph comes from sorts along shifted space-filling curves, through
-which every node carries its best neighbours so far; the last pass runs two
-rounds of NN-descent inside each task's stretch of the curve, so that only
-links that leave their stretch, or are new, are left to the joins.  Each
-round of NN-descent is one join: whoever is linked to a pivot, in either
-direction, is offered the pivot's neighbours, and keeps the k best of what it
-has and was offered.  Only links that are new since the last round are
-followed, so the work fades as the graph settles.  A pivot with many links
-costs k offers for each of them, never all pairs.
+Vectors may have any number of values, all the same.  A coarse first graph
+links each node with nodes beside it on one curve through the projections of
+the vectors on a few random directions; the places along the curve also make
+buckets of about ``BUCKET`` nodes.  Each round of NN-descent is a join of the
+lists with the nodes that ask for them: a node asks every neighbour for its
+list, the members of a list are offered to each other and to the askers, the
+askers to the members, to the list's owner and to a few other askers, and
+whoever is offered something nearer takes it in a second join.  Asking goes by bucket, so a node sends its vector once to every
+bucket that holds neighbours of it and not once a neighbour.  Only pairs with
+a link that is new since the last round are looked at, so offers fade as the
+graph settles.  A node with many links costs k offers for each of them, never
+all pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,81 +26,145 @@ from pyspark.sql.window import Window
 
 from driftmesh.scratch import Scratch
 
-#: Neighbours on either side along a curve that the first graph is chosen from.
-WINDOW = 10
-#: Links a node holds during the descent beyond the k asked for; with k alone the descent gets stuck.
-SPARE = 3
-#: Bits of an axis in a curve's code.
-BITS = 20
-#: Shares of the extent by which the curves are shifted.
-SHIFTS = (0.0, 0.29, 0.61)
-#: A coarser level of a curve is used once it has at most this share of the nodes of the last one.
+#: Neighbours on either side along the curve that the first graph is chosen from.
+WINDOW = 4
+#: Links a node holds during the descent beyond the k asked for, or a quarter of the dimensions if that is more; with k
+#: alone the descent gets stuck.
+SPARE = 5
+#: Bits of a direction in a curve's code, and directions.
+BITS, DIRECTIONS = 20, 3
+#: Seeds of the curves' directions: the first gives the first graph, the others new starts once the descent has settled.
+SEEDS = (11, 12, 13)
+#: A coarser level of the curve is used once it has at most this share of the nodes of the last one.
 THINNED = 0.6
-#: Rows of a sorted partition that are worked on at once.
-CHUNK = 40_000
-#: The descent ends when a round changes at most this share of all links.
-SETTLED = 0.0002
-MAX_ROUNDS = 16
+#: Rows of a sorted partition that are worked on at once, nodes of a bucket, and distances computed at once.
+CHUNK, BUCKET, DISTANCES = 40_000, 2048, 500_000
+#: Other askers of the same list that each asker is offered on either side.
+BESIDE = 4
+#: The descent ends when a round changes at most this share of all links, and fails after so many rounds.
+SETTLED, MAX_ROUNDS = 0.001, 60
+#: Queries of one pass of the exact search: bounds what is broadcast.
+QUERIES = 100_000
 
-#: Rounds of descent inside a stretch, and its rows that are compared at once.
-LOCAL_ROUNDS, LOCAL_ROWS = 2, 4000
-#: Keys that a semi-join broadcasts (about 40 bytes each); more are joined by a shuffle.
-MAX_BROADCAST_KEYS = 500_000
+_LIST = "g int, id long, bucket long, v array<double>, ids array<long>, d2 array<double>, vecs array<double>, at array<long>, fresh array<boolean>"
+_ROW = f"kind int, {_LIST}"
+_NAMES = [c.split()[0] for c in _ROW.split(", ")]
 
-LINK = "g int, a long, ax double, ay double, az double, b long, bx double, by double, bz double, d2 double, fresh boolean"
 
+def _fixed(values: np.ndarray) -> pa.Array:
+    """A matrix as a column of lists."""
+    n = values.shape[1] if values.ndim > 1 else 0
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * n), pa.array(np.ascontiguousarray(values).ravel()))
 
-def _distance2(p: str, q: str):
-    d = [F.col(f"{p}{c}") - F.col(f"{q}{c}") for c in "xyz"]
-    return d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
+
+def _ragged(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(values))
+
+
+def _matrix(column: pa.Array, n: int) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(n, -1) if n else flat.reshape(0, 1)
+
+
+def _lists(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    """The columns of list rows as arrays and matrices."""
+    m = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("g", "id", "bucket")}
+    m |= {c: _matrix(batch.column(c), batch.num_rows) for c in ("v", "ids", "d2", "vecs", "at", "fresh")}
+    m["vecs"] = m["vecs"].reshape(*m["ids"].shape, m["v"].shape[1])
+    return m
+
+
+def _list_rows(m: dict[str, np.ndarray], kind: int | None = None) -> pa.RecordBatch:
+    cols = [pa.array(m[c]) for c in ("g", "id", "bucket")] + [_fixed(m[c].reshape(len(m["id"]), -1)) for c in ("v", "ids", "d2", "vecs", "at", "fresh")]
+    if kind is None:
+        return pa.RecordBatch.from_arrays(cols, names=_NAMES[1:])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(m["id"]), kind, np.int32)), *cols], names=_NAMES)
+
+
+def _best(ids: np.ndarray, d2: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k nearest different ids of each row, by distance and id; places without an id have an infinite d2."""
+    order = np.lexsort((ids, d2), axis=1)
+    sorted_ids = np.take_along_axis(ids, order, 1)
+    sorted_d2 = np.take_along_axis(d2, order, 1)
+    again = np.zeros(ids.shape, bool)
+    again[:, 1:] = (sorted_ids[:, 1:] == sorted_ids[:, :-1]) & np.isfinite(sorted_d2[:, 1:])  # one id has one distance
+    return np.take_along_axis(order, np.argsort(again, axis=1, kind="stable")[:, :k], 1)
+
+
+def _kept(m: dict[str, np.ndarray], more: dict[str, np.ndarray], k: int) -> dict[str, np.ndarray]:
+    """List rows with ``more`` members offered, the k nearest kept."""
+    both = {c: np.concatenate([m[c], more[c]], 1) for c in ("ids", "d2", "vecs", "at", "fresh")}
+    twice = (both["ids"][:, :, None] == m["ids"][:, None, :]) & np.isfinite(m["d2"])[:, None, :]
+    twice[:, : m["ids"].shape[1]] = False
+    both["d2"][twice.any(2)] = np.inf
+    pick = _best(both["ids"], both["d2"], k)
+    out = {c: np.take_along_axis(both[c], pick if both[c].ndim == 2 else pick[:, :, None], 1) for c in both}
+    return m | out
 
 
 def _spread(v: np.ndarray) -> np.ndarray:
     """Every bit of a number of up to 21 bits moved to three times its place."""
-    v = v.astype(np.uint64)
-    for shift, mask in ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)):
-        v = (v | (v << np.uint64(shift))) & np.uint64(mask)
-    return v
+    out = np.zeros(len(v), np.uint64)
+    for k in range(BITS + 1):
+        out |= ((v.astype(np.uint64) >> np.uint64(k)) & np.uint64(1)) << np.uint64(DIRECTIONS * k)
+    return out
 
 
-def _coded(nodes: DataFrame, shift: float) -> DataFrame:
-    """``nodes`` (g, id, x, y, z, ...) with ``code``, the place along a shifted Z-order curve over each g's extent."""
-    extent = nodes.groupBy("g").agg(*[f(c).alias(f"{n}_{c}") for c in "xyz" for f, n in ((F.min, "lo"), (F.max, "hi"))])
-    unit = [F.when(F.col(f"hi_{c}") > F.col(f"lo_{c}"), (F.col(c) / 2 - F.col(f"lo_{c}") / 2) / (F.col(f"hi_{c}") / 2 - F.col(f"lo_{c}") / 2)).otherwise(F.lit(0.0)).alias(f"u_{c}") for c in "xyz"]
-    keep = nodes.columns
-    scaled = nodes.join(extent, "g").select(*keep, *unit)
+def _coded(nodes: DataFrame, seed: int) -> DataFrame:
+    """``nodes`` (g, id, v, ...) with ``code``, the place along a curve through the projections of v, scaled to each g's extent."""
+    keep = ", ".join(f"{n} {t}" for n, t in nodes.dtypes)
+    names, own = [f"_u{k}" for k in range(DIRECTIONS)], nodes.columns
+
+    def project(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = _matrix(batch.column("v"), batch.num_rows)
+            way = np.random.default_rng(seed).normal(size=(max(v.shape[1], DIRECTIONS), DIRECTIONS))
+            way, _ = np.linalg.qr(way)
+            scale = np.abs(v).max(1, keepdims=True, initial=1e-300)
+            u = ((v / scale) @ way[: v.shape[1]]) * scale  # finite even for the largest values
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(np.ascontiguousarray(u[:, k])) for k in range(DIRECTIONS)]], names=[*batch.schema.names, *names])
+
+    flat = Scratch(nodes.sparkSession, "projections").save(nodes.mapInArrow(project, f"{keep}, " + ", ".join(f"{n} double" for n in names)), "flat")
+    extent = flat.groupBy("g").agg(*[f(c).alias(f"{c}_{s}") for c in names for f, s in ((F.min, "lo"), (F.max, "hi"))])
+    unit = [F.when(F.col(f"{c}_hi") > F.col(f"{c}_lo"), (F.col(c) / 2 - F.col(f"{c}_lo") / 2) / (F.col(f"{c}_hi") / 2 - F.col(f"{c}_lo") / 2)).otherwise(F.lit(0.0)).alias(c) for c in names]
 
     def code(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total = np.zeros(batch.num_rows, np.uint64)
-            for k, c in enumerate("xyz"):
-                u = np.clip(batch.column(f"u_{c}").to_numpy(zero_copy_only=False), 0.0, 1.0)
-                total |= _spread(((u + shift) * 2**BITS).astype(np.int64)) << np.uint64(k)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(total.astype(np.int64))], names=[*keep, "code"])
+            for k, c in enumerate(names):
+                u = np.clip(batch.column(c).to_numpy(zero_copy_only=False), 0.0, 1.0)
+                total |= _spread((u * 2**BITS).astype(np.int64)) << np.uint64(k)
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in own], pa.array(total.astype(np.int64))], names=[*own, "code"])
 
-    return scaled.mapInArrow(code, ", ".join(f"{n} {t}" for n, t in nodes.dtypes) + ", code long")
+    return flat.join(extent, "g").select(*own, *unit).mapInArrow(code, f"{keep}, code long")
 
 
-def _in_chunks(batches: Iterable[pa.RecordBatch], names: list[str], overlap: int, packed: Callable | None = None) -> Iterator[tuple[dict[str, np.ndarray], int]]:
-    """Consecutive stretches of a sorted partition with ``overlap`` earlier rows; the number of those comes along."""
+def _along_curve(nodes: DataFrame, seed: int) -> DataFrame:
+    return _coded(nodes, seed).repartitionByRange("g", "code", "id").sortWithinPartitions("g", "code", "id")
+
+
+def _stretches(batches: Iterable[pa.RecordBatch], overlap: int) -> Iterator[tuple[dict[str, np.ndarray], int, int]]:
+    """Consecutive rows of a sorted partition with ``overlap`` earlier ones, the number of those, and the place of the first row."""
     held: list[dict[str, np.ndarray]] = []
-    rows, tail = 0, None
+    rows, place, tail = 0, 0, None
 
     def merged():
         parts = ([tail] if tail else []) + held
-        return {n: np.concatenate([p[n] for p in parts]) for n in names}
+        return {n: np.concatenate([p[n] for p in parts]) for n in parts[0]}
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        held.append({n: packed(batch.column(n)) if n == "list" else batch.column(n).to_numpy(zero_copy_only=False) for n in names})
+        held.append({n: _matrix(batch.column(n), batch.num_rows) if n == "v" else batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names})
         rows += batch.num_rows
         if rows >= CHUNK:
-            m = merged()
-            yield m, 0 if tail is None else len(tail["g"])
+            m, old = merged(), 0 if tail is None else len(tail["g"])
+            yield m, old, place - old
+            place += rows
             tail, held, rows = {n: v[-overlap:] for n, v in m.items()}, [], 0
     if rows:
-        yield merged(), 0 if tail is None else len(tail["g"])
+        old = 0 if tail is None else len(tail["g"])
+        yield merged(), old, place - old
 
 
 def _levels(g: np.ndarray, code: np.ndarray) -> Iterator[np.ndarray]:
@@ -108,7 +175,7 @@ def _levels(g: np.ndarray, code: np.ndarray) -> Iterator[np.ndarray]:
     """
     used = np.arange(len(code))
     yield used
-    for bits in range(3, 3 * (BITS + 1), 3):
+    for bits in range(DIRECTIONS, DIRECTIONS * (BITS + 1), DIRECTIONS):
         cell = code >> bits
         first = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (g[1:] != g[:-1])])
         if len(first) < 4:
@@ -118,217 +185,421 @@ def _levels(g: np.ndarray, code: np.ndarray) -> Iterator[np.ndarray]:
             yield used
 
 
-def _packed(column: pa.Array, k: int) -> np.ndarray:
-    """Neighbour lists of equal length, as rows of k ids and 3 k coordinates."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.int64).reshape(len(column), 4 * k)
-
-
-def _merged(own: np.ndarray, ends: np.ndarray, spots: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest different ends of each row and their points; -1 ends are none."""
-    d2 = ((spots - own[:, None]) ** 2).sum(2)
-    d2[ends < 0] = np.inf
-    order = np.lexsort((ends, d2), axis=1)
-    ends, d2 = np.take_along_axis(ends, order, 1), np.take_along_axis(d2, order, 1)
-    twice = np.zeros(ends.shape, bool)
-    twice[:, 1:] = ends[:, 1:] == ends[:, :-1]
-    d2[twice] = np.inf
-    best = np.argsort(d2, axis=1, kind="stable")[:, :k]
-    kept = np.where(np.isfinite(np.take_along_axis(d2, best, 1)), np.take_along_axis(ends, best, 1), -1)
-    return kept, np.take_along_axis(spots, np.take_along_axis(order, best, 1)[:, :, None], 1)
-
-
-def _inside(m: dict[str, np.ndarray], point: np.ndarray, ids: np.ndarray, places: np.ndarray, old: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """NN-descent among the nodes of one stretch: lists, their points, and which links are left to be followed."""
-    n = len(ids)
-    order = np.argsort(m["id"], kind="stable")
-    names = m["id"][order]
-
-    def rows_of(ends):
-        at = np.clip(np.searchsorted(names, ends), 0, n - 1)
-        row = order[at]
-        return np.where((names[at] == ends) & (m["g"][row] == m["g"][:, None]), row, -1)
-
-    changed = np.zeros(ids.shape, bool)
-    for _ in range(LOCAL_ROUNDS):
-        there = rows_of(ids)
-        src, col = np.nonzero(there >= 0)
-        dst = there[src, col]
-        gap = ((point[src] - point[dst]) ** 2).sum(1)
-        by = np.lexsort((gap, dst))
-        src, dst = src[by], dst[by]
-        turn = np.arange(len(dst)) - np.searchsorted(dst, dst)
-        back = np.full((n, k), -1)
-        back[dst[turn < k], turn[turn < k]] = src[turn < k]
-        via = np.concatenate([there, back], 1)
-        reach = ((places - point[:, None]) ** 2).sum(2)
-        reach[ids < 0] = np.inf
-        reach = reach.max(1)
-        before = ids
-        ids, places = ids.copy(), places.copy()
-        for a in range(0, n, LOCAL_ROWS):
-            s = slice(a, min(n, a + LOCAL_ROWS))
-            offer = np.where(via[s][:, :, None] >= 0, there[via[s]], -1).reshape(s.stop - a, -1)
-            d2 = ((point[offer] - point[s][:, None]) ** 2).sum(2)
-            d2[(offer < 0) | (offer == np.arange(a, s.stop)[:, None]) | (d2 > reach[s][:, None])] = np.inf
-            some = np.flatnonzero(np.isfinite(d2).any(1))
-            few = np.argpartition(d2[some], min(4 * k, d2.shape[1] - 1), axis=1)[:, : 4 * k]
-            offer, use = np.take_along_axis(offer[some], few, 1), np.isfinite(np.take_along_axis(d2[some], few, 1))
-            at = some + a
-            ids[at], places[at] = _merged(point[at], np.concatenate([before[at], np.where(use, m["id"][offer], -1)], 1), np.concatenate([places[at], point[offer]], 1), k)
-        changed = ~(ids[:, :, None] == before[:, None, :]).any(2)
-    there = rows_of(ids)
-    there[there < old] = -1
-    whole = (there >= 0).all(1)
-    return ids, places, changed | (there < 0) | ~whole[:, None] | ~whole[there]
-
-
-def _along_curve(k: int, last: bool) -> Callable:
-    """Adds to every node's list the nearest of the ``WINDOW`` nodes before and after it, on every level.
-
-    The list is k ids, -1 for none, and the k points.  The last curve's pass
-    gives one row a link.
-    """
+def _first_graph(k: int):
+    """Lists of the nearest of the ``WINDOW`` nodes before and after each node on every level of the curve, and its bucket."""
     steps = np.concatenate([np.arange(-WINDOW, 0), np.arange(1, WINDOW + 1)])
-    names = ["g", "id", "x", "y", "z", "code", "list"]
 
     def links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for m, old in _in_chunks(batches, names, 2 * WINDOW, lambda c: _packed(c, k)):
-            point = np.stack([m[c] for c in "xyz"], 1)
-            ids, places = m["list"][:, :k].copy(), m["list"][:, k:].copy().view(float).reshape(-1, k, 3)
+        from pyspark import TaskContext
+
+        partition, last, number = TaskContext.get().partitionId() << 32, None, 0
+        for m, old, _ in _stretches(batches, 2 * WINDOW):
+            n, v = len(m["g"]), m["v"]
+            if last is None:
+                last, before = (m["g"][0], 0), np.zeros(0, np.int64)
+            # a bucket ends after BUCKET nodes and with its g
+            bucket = np.empty(n, np.int64)
+            bucket[:old] = before[len(before) - old :] if old else before[:0]
+            edge = np.flatnonzero(np.r_[m["g"][old] != last[0], m["g"][old + 1 :] != m["g"][old:-1]]) if n > old else np.zeros(0, int)
+            start = np.r_[0, edge, n - old]
+            filled = last[1]
+            for a, b in zip(start[:-1], start[1:]):
+                if a in edge:
+                    number, filled = number + 1, 0
+                place = filled + np.arange(b - a)
+                bucket[old + a : old + b] = partition + number + place // BUCKET
+                if b > a:
+                    number, filled = number + int(place[-1] // BUCKET), int(place[-1] % BUCKET) + 1
+            last, before = (m["g"][-1], filled), bucket[-2 * WINDOW :]
+
+            lists = {"g": m["g"], "id": m["id"], "bucket": bucket, "v": v, "ids": np.zeros((n, k), np.int64), "d2": np.full((n, k), np.inf), "vecs": np.zeros((n, k, v.shape[1])), "at": np.zeros((n, k), np.int64), "fresh": np.ones((n, k), bool)}
             for at in _levels(m["g"], m["code"]):
-                place = np.arange(len(at))[:, None] + steps
-                ok = (place >= 0) & (place < len(at))
-                other = at[np.clip(place, 0, len(at) - 1)]
+                other = np.arange(len(at))[:, None] + steps
+                ok = (other >= 0) & (other < len(at))
+                other = at[np.clip(other, 0, len(at) - 1)]
                 ok &= (m["g"][other] == m["g"][at][:, None]) & (m["id"][other] != m["id"][at][:, None])
-                ends = np.concatenate([ids[at], np.where(ok, m["id"][other], -1)], 1)
-                ids[at], places[at] = _merged(point[at], ends, np.concatenate([places[at], point[other]], 1), k)
-            if not last:
-                lists = np.concatenate([ids, places.reshape(-1, 3 * k).view(np.int64)], 1)[old:]
-                raw, size = lists.tobytes(), 32 * k
-                cols = [*[pa.array(m[c][old:]) for c in names[:5]], pa.array([raw[j : j + size] for j in range(0, len(raw), size)], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=[*names[:5], "list"])
-                continue
-            ids, places, fresh = _inside(m, point, ids, places, old, k)
-            src, col = np.nonzero(ids[old:] >= 0)
-            src += old
-            dst = places[src, col]
-            d = point[src] - dst
-            cols = [m["g"][src], m["id"][src], *point[src].T, ids[src, col], *dst.T, d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2], fresh[src, col]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=[c.split()[0] for c in LINK.split(", ")])
+                gap = v[other] - v[at][:, None]
+                more = {"ids": m["id"][other], "d2": np.where(ok, (gap * gap).sum(2), np.inf), "vecs": v[other], "at": bucket[other], "fresh": np.ones(other.shape, bool)}
+                own = _kept({c: x[at] for c, x in lists.items()}, more, k)
+                for c in ("ids", "d2", "vecs", "at"):
+                    lists[c][at] = own[c]
+            yield _list_rows({c: x[old:] for c, x in lists.items()})
 
     return links
 
 
-def _best(links: DataFrame, k: int) -> DataFrame:
-    """The k nearest different ends of every node; equal distances go by the smaller id.
+def _beside(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Offers (kind 1) of the nodes beside each node on another curve, on every level."""
+    steps = np.concatenate([np.arange(-WINDOW, 0), np.arange(1, WINDOW + 1)])
+    for m, old, _ in _stretches(batches, 2 * WINDOW):
+        for at in _levels(m["g"], m["code"]):
+            other = np.arange(len(at))[:, None] + steps
+            ok = (other >= 0) & (other < len(at))
+            other = at[np.clip(other, 0, len(at) - 1)]
+            ok &= (m["g"][other] == m["g"][at][:, None]) & (m["id"][other] != m["id"][at][:, None]) & (at >= old)[:, None]
+            gap = m["v"][other] - m["v"][at][:, None]
+            d2 = (gap * gap).sum(2)
+            r, c = np.nonzero(ok & (d2 <= m["reach"][at][:, None]))
+            x, y, d2 = at[r], other[r, c], d2[r, c]
+            cols = [pa.array(np.ones(len(x), np.int32)), pa.array(m["g"][x]), pa.array(m["id"][x]), pa.array(m["bucket"][x]), _fixed(m["v"][y]), _fixed(m["id"][y, None]), _fixed(d2[:, None]), _fixed(np.zeros((len(x), 0))), _fixed(m["bucket"][y, None]), _fixed(np.ones((len(x), 1), bool))]
+            yield pa.RecordBatch.from_arrays(cols, names=_NAMES)
+
+
+def _asked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every list (kind 0), and its node (kind 1) in each bucket with neighbours of it: their ids, whether the links are new, and the node's reach."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        m = _lists(batch)
+        yield _list_rows(m, 0)
+        row, col = np.nonzero(np.isfinite(m["d2"]))
+        order = np.lexsort((m["at"][row, col], row))
+        row, col = row[order], col[order]
+        to = m["at"][row, col]
+        first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (to[1:] != to[:-1])]) if len(row) else np.zeros(0, int)
+        sizes = np.diff(np.r_[first, len(row)])
+        who = row[first]
+        nothing = np.zeros((len(who), 0))
+        cols = [pa.array(np.ones(len(who), np.int32)), pa.array(m["g"][who]), pa.array(m["id"][who]), pa.array(to[first]), _fixed(m["v"][who]), _ragged(m["ids"][row, col], sizes), _fixed(m["d2"][who, -1:]), _fixed(nothing), _fixed(m["bucket"][who, None]), _ragged(m["fresh"][row, col], sizes)]
+        yield pa.RecordBatch.from_arrays(cols, names=_NAMES)
+
+
+def _by_bucket(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.RecordBatch]]:
+    """Bucket, kind and rows of consecutive stretches of sorted rows."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        bucket, kind = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "kind"))
+        cuts = (np.flatnonzero((bucket[1:] != bucket[:-1]) | (kind[1:] != kind[:-1])) + 1).tolist()
+        for a, b in zip([0, *cuts], [*cuts, len(bucket)]):
+            yield int(bucket[a]), int(kind[a]), batch.slice(a, b - a)
+
+
+def _joined(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    return parts[0] if len(parts) == 1 else {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
 
-    The dense rank counts repeated links once, so the limit is applied before
-    the shuffle and again after it, and the grouping needs no other shuffle.
-    """
-    near = Window.partitionBy("g", "a").orderBy("d2", "b")
-    kept = links.withColumn("place", F.dense_rank().over(near)).where(F.col("place") <= k)
-    return kept.groupBy("g", "a", "b").agg(*[F.min(c).alias(c) for c in ("ax", "ay", "az", "bx", "by", "bz", "d2")], F.min("fresh").alias("fresh"))
 
+class _Found:
+    """Offers of one bucket: who is offered whom, each with the bucket it lives in."""
 
-def neighbour_graph(nodes: DataFrame, k: int = 5) -> DataFrame:
-    """``g, a, b, d2`` and both points: the (nearly always exact) k nearest nodes b of every node a of the same g.
+    def __init__(self, k: int):
+        self.k, self.parts, self.size = k, [], 0
 
-    ``nodes``: g int, id long, x, y, z double, one finite row per (g, id);
-    other columns are ignored.  Distances are Euclidean, the node itself is
-    left out, equal distances are ranked by the smaller id, nodes at one place
-    are each other's neighbours at distance 0.  A g of fewer than k + 1 nodes
-    links all of them; an empty table gives an empty result.
+    def add(self, to: np.ndarray, x: np.ndarray, y: np.ndarray, d2: np.ndarray, v: np.ndarray, at: np.ndarray) -> None:
+        if len(x):
+            self.parts.append((to, x, y, d2, v, at))
+            self.size += len(x)
+
+    def rows(self, g: int) -> Iterator[pa.RecordBatch]:
+        """The k nearest different offers of each."""
+        if not self.parts:
+            return
+        to, x, y, d2, v, at = (np.concatenate(c) for c in zip(*self.parts))
+        self.parts, self.size = [], 0
+        order = np.lexsort((y, d2, x))
+        order = order[np.r_[True, (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1])]]
+        start = np.flatnonzero(np.r_[True, x[order][1:] != x[order][:-1]])
+        turn = np.arange(len(order)) - np.repeat(start, np.diff(np.r_[start, len(order)]))
+        use = order[turn < self.k]
+        n = len(use)
+        cols = [pa.array(np.ones(n, np.int32)), pa.array(np.full(n, g, np.int32)), pa.array(x[use]), pa.array(to[use]), _fixed(v[use]), _fixed(y[use, None]), _fixed(d2[use, None]), _fixed(np.zeros((n, 0))), _fixed(at[use, None]), _fixed(np.ones((n, 1), bool))]
+        yield pa.RecordBatch.from_arrays(cols, names=_NAMES)
+
+
+def _offers(k: int):
+    """What the lists of each bucket have to offer: to the askers their members and to their owners the askers, and to their members each other."""
+
+    def among_members(own: dict[str, np.ndarray], asked: np.ndarray, found: _Found) -> Iterator[pa.RecordBatch]:
+        n, size = own["ids"].shape
+        step = max(1, DISTANCES // (size * size))
+        for a in range(0, n, step):
+            s = slice(a, min(n, a + step))
+            gap = own["vecs"][s][:, :, None] - own["vecs"][s][:, None]
+            d2 = np.einsum("abcd,abcd->abc", gap, gap)
+            # a member that doesn't ask for this list has only nearer neighbours than its owner
+            ok = (d2 <= own["d2"][s][:, :, None]) & ~asked[s][:, :, None] & (own["fresh"][s][:, :, None] | own["fresh"][s][:, None])
+            there = np.isfinite(own["d2"][s])
+            ok &= there[:, :, None] & there[:, None] & (own["ids"][s][:, :, None] != own["ids"][s][:, None])
+            r, i, j = np.nonzero(ok)
+            ids, at, vecs = own["ids"][s], own["at"][s], own["vecs"][s]
+            found.add(at[r, i], ids[r, i], ids[r, j], d2[r, i, j], vecs[r, j], at[r, j])
+            if found.size > DISTANCES:
+                yield from found.rows(int(own["g"][0]))
+
+    def to_askers(own: dict[str, np.ndarray], order: np.ndarray, asked: np.ndarray, batch: pa.RecordBatch, found: _Found) -> Iterator[pa.RecordBatch]:
+        count = np.diff(batch.column("ids").offsets.to_numpy())
+        who = np.repeat(np.arange(batch.num_rows), count)
+        names = own["id"][order]
+        p = order[np.searchsorted(names, batch.column("ids").flatten().to_numpy())]
+        new = batch.column("fresh").flatten().to_numpy(zero_copy_only=False)
+        ids, v = batch.column("id").to_numpy(), _matrix(batch.column("v"), batch.num_rows)
+        reach, home = batch.column("d2").flatten().to_numpy(), batch.column("at").flatten().to_numpy()
+        step = max(1, DISTANCES // own["ids"].shape[1])
+        for a in range(0, len(p), step):
+            w, q, fresh = who[a : a + step], p[a : a + step], new[a : a + step]
+            there = np.isfinite(own["d2"][q])
+            same = (own["ids"][q] == ids[w][:, None]) & there
+            r, c = np.nonzero(same)
+            asked[q[r], c] = True
+            gap = own["vecs"][q] - v[w][:, None]
+            d2 = np.einsum("abc,abc->ab", gap, gap)
+            r, c = np.nonzero(there & ~same & (fresh[:, None] | own["fresh"][q]) & (d2 <= reach[w][:, None]))
+            found.add(home[w[r]], ids[w[r]], own["ids"][q[r], c], d2[r, c], own["vecs"][q[r], c], own["at"][q[r], c])
+            r, c = np.nonzero(there & ~same & (fresh[:, None] | own["fresh"][q]) & (d2 <= own["d2"][q]))
+            found.add(own["at"][q[r], c], own["ids"][q[r], c], ids[w[r]], d2[r, c], v[w[r]], home[w[r]])
+            gap = own["v"][q] - v[w]
+            d2 = np.einsum("ab,ab->a", gap, gap)
+            r = np.flatnonzero(fresh & ~same.any(1) & (d2 <= own["d2"][q, -1]))
+            found.add(own["bucket"][q[r]], own["id"][q[r]], ids[w[r]], d2[r], v[w[r]], home[w[r]])
+            by = np.lexsort((d2, q))  # askers of one list meet those that are about as far from its owner
+            for lag in range(1, BESIDE + 1):
+                i, j = by[:-lag], by[lag:]
+                use = (q[i] == q[j]) & (fresh[i] | fresh[j])
+                i, j = w[i[use]], w[j[use]]
+                gap = v[i] - v[j]
+                d2 = np.einsum("ab,ab->a", gap, gap)
+                for x, y in ((i, j), (j, i)):
+                    r = np.flatnonzero(d2 <= reach[x])
+                    found.add(home[x[r]], ids[x[r]], ids[y[r]], d2[r], v[y[r]], home[y[r]])
+            if found.size > DISTANCES:
+                yield from found.rows(int(own["g"][0]))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, parts, own, found = None, [], None, _Found(k)
+
+        def done() -> Iterator[pa.RecordBatch]:
+            nonlocal own
+            if parts:
+                own = own or _joined(parts)
+                yield from among_members(own, asked if asked is not None else np.zeros(own["ids"].shape, bool), found)
+                yield from found.rows(int(own["g"][0]))
+
+        asked = order = None
+        for key, kind, batch in _by_bucket(batches):
+            if key != bucket:
+                yield from done()
+                bucket, parts, own, asked = key, [], None, None
+            if kind == 0:
+                parts.append(_lists(batch))
+                continue
+            if own is None:
+                own = _joined(parts)
+                order = np.argsort(own["id"])
+                asked = np.zeros(own["ids"].shape, bool)
+            yield from to_askers(own, order, asked, batch, found)
+        yield from done()
+
+    return run
+
+
+def _taken(k: int):
+    """Lists with the offers they were made; links that were not there before are fresh."""
+
+    def taken(own: dict[str, np.ndarray], offers: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
+        x, y, d2, v, at = (np.concatenate(c) for c in zip(*[(b.column("id").to_numpy(), b.column("ids").flatten().to_numpy(), b.column("d2").flatten().to_numpy(), _matrix(b.column("v"), b.num_rows), b.column("at").flatten().to_numpy()) for b in offers]))
+        order = np.argsort(own["id"])
+        row = order[np.searchsorted(own["id"][order], x)]
+        use = np.lexsort((y, d2, row))
+        use = use[np.r_[True, (row[use][1:] != row[use][:-1]) | (y[use][1:] != y[use][:-1])]]
+        start = np.flatnonzero(np.r_[True, row[use][1:] != row[use][:-1]])
+        turn = np.arange(len(use)) - np.repeat(start, np.diff(np.r_[start, len(use)]))
+        use, turn = use[turn < k], turn[turn < k]
+        n = len(own["id"])
+        more = {"ids": np.zeros((n, k), np.int64), "d2": np.full((n, k), np.inf), "vecs": np.zeros((n, k, v.shape[1])), "at": np.zeros((n, k), np.int64), "fresh": np.ones((n, k), bool)}
+        for c, values in (("ids", y), ("d2", d2), ("vecs", v), ("at", at)):
+            more[c][row[use], turn] = values[use]
+        return _kept(own, more, k)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, parts, own, offers = None, [], None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            nonlocal own
+            if parts:
+                own = own or _joined(parts) | {"fresh": np.zeros(_joined(parts)["ids"].shape, bool)}
+                yield _list_rows(taken(own, offers) if offers else own)
+
+        for key, kind, batch in _by_bucket(batches):
+            if key != bucket:
+                yield from done()
+                bucket, parts, own, offers = key, [], None, []
+            if kind == 0:
+                parts.append(_lists(batch))
+                continue
+            offers.append(batch)
+            if sum(b.num_rows for b in offers) > DISTANCES:
+                own = taken(own or _joined(parts) | {"fresh": np.zeros(_joined(parts)["ids"].shape, bool)}, offers)
+                offers = []
+        yield from done()
+
+    return run
+
+
+def neighbour_lists(nodes: DataFrame, k: int = 5, rounds: int = MAX_ROUNDS) -> DataFrame:
+    """The lists of NN-descent: g, id, v, and of the nearest nodes (k and ``SPARE`` more) ids, d2 and vecs, by distance and id.
+
+    With ``rounds`` below MAX_ROUNDS the descent ends after that many; else it
+    ends when it has settled, and fails if it never does.
     """
-    spark = nodes.sparkSession
-    scratch = Scratch(spark, "neighbours")
-    wanted, k = k, k + SPARE
-    nodes = nodes.select(F.col("g").cast("int").alias("g"), "id", "x", "y", "z")
-    empty = np.concatenate([np.full(k, -1), np.zeros(3 * k, np.int64)]).astype(np.int64).tobytes()
-    lists = scratch.save(nodes.withColumn("list", F.lit(empty)), "curve")
-    for c, shift in enumerate(SHIFTS):
-        run = _coded(lists, shift).repartitionByRange("g", "code", "id").sortWithinPartitions("g", "code", "id")
-        last = c == len(SHIFTS) - 1
-        lists = scratch.save(run.mapInArrow(_along_curve(k, last), LINK if last else "g int, id long, x double, y double, z double, list binary"), f"curve{c}")
-        scratch.drop(f"curve{c - 1}" if c else "curve")
-    graph, size = lists, lists.count()
-    for r in range(MAX_ROUNDS):
-        new = graph.where("fresh")
-        movers = _keys(scratch.save(new.select("g", F.col("a").alias("p")).distinct(), f"movers{r}"))
-        ends = _keys(scratch.save(new.select("g", F.explode(F.array("a", "b")).alias("p")).distinct(), f"ends{r}"))
-        both = graph.select("g", F.explode(F.array(F.struct(F.col("b").alias("p"), F.col("a").alias("q")), F.struct(F.col("a").alias("p"), F.col("b").alias("q")))).alias("e"), F.col("fresh").alias("f1"))
-        both = both.select("g", "e.p", "e.q", "f1")
-        asks = both.where("f1").unionByName(both.where("not f1").join(movers, ["g", "p"], "left_semi"))
-        reach = F.when(F.count("*") < k, F.lit(float("inf"))).otherwise(F.max("d2"))
-        asker = graph.groupBy("g", F.col("a").alias("q")).agg(*[F.min(f"a{c}").alias(f"q{c}") for c in "xyz"], reach.alias("reach"))
-        offers = graph.select("g", F.col("a").alias("p"), F.col("b").alias("r"), F.col("bx").alias("rx"), F.col("by").alias("ry"), F.col("bz").alias("rz"), F.col("fresh").alias("f2")).join(ends, ["g", "p"], "left_semi")
-        met = asks.join(asker, ["g", "q"]).join(offers, ["g", "p"]).where("(f1 or f2) and q <> r").withColumn("d2", _distance2("q", "r")).where("d2 <= reach")
-        met = met.select("g", F.col("q").alias("a"), F.col("qx").alias("ax"), F.col("qy").alias("ay"), F.col("qz").alias("az"), F.col("r").alias("b"), F.col("rx").alias("bx"), F.col("ry").alias("by"), F.col("rz").alias("bz"), "d2", F.lit(True).alias("fresh"))
-        met = scratch.save(met, f"met{r}")
-        told = _keys(scratch.save(met.select("g", "a").distinct(), f"told{r}"))
-        settled = graph.withColumn("fresh", F.lit(False))
-        better = _best(settled.join(told, ["g", "a"], "left_semi").unionByName(met), k)
-        graph = scratch.save(settled.join(told, ["g", "a"], "left_anti").unionByName(better), f"graph{r}")
-        scratch.drop(f"graph{r - 1}" if r else f"curve{len(SHIFTS) - 1}", f"movers{r}", f"ends{r}", f"met{r}", f"told{r}")
-        if graph.where("fresh").count() <= SETTLED * size:
+    scratch = Scratch(nodes.sparkSession, "neighbours")
+    nodes = nodes.select(F.col("g").cast("int").alias("g"), "id", "v")
+    first = nodes.select(F.size("v")).first()
+    k += max(SPARE, (first[0] if first else 0) // 4)
+    lists = scratch.save(_along_curve(nodes, SEEDS[0]).mapInArrow(_first_graph(k), _LIST), "lists0")
+    size = lists.count() * k
+    seeds, done = list(SEEDS[1:]), False
+    for r in range(rounds):
+        if done:  # settled: start again from what another curve has to offer
+            starts = _along_curve(lists.select("g", "id", "v", "bucket", F.array_max("d2").alias("reach")), seeds.pop(0))
+            offers = scratch.save(starts.mapInArrow(_beside, _ROW), f"offers{r}")
+        else:
+            asks = lists.mapInArrow(_asked, _ROW).repartition("bucket").sortWithinPartitions("bucket", "kind")
+            offers = scratch.save(asks.mapInArrow(_offers(k), _ROW), f"offers{r}")
+        both = lists.select(F.lit(0).alias("kind"), "*").unionByName(offers).repartition("bucket").sortWithinPartitions("bucket", "kind")
+        lists = scratch.save(both.mapInArrow(_taken(k), _LIST), f"lists{r + 1}")
+        scratch.drop(f"lists{r}", f"offers{r}")
+        changed = lists.agg(F.sum(F.size(F.filter("fresh", lambda x: x)))).first()[0] or 0
+        done = changed <= SETTLED * size
+        if done and not seeds:
             break
-    near = Window.partitionBy("g", "a").orderBy("d2", "b")
-    return graph.withColumn("place", F.row_number().over(near)).where(F.col("place") <= wanted).drop("fresh", "place")
+    else:
+        if rounds == MAX_ROUNDS:
+            raise RuntimeError("the descent did not settle")
+    return lists.drop("fresh", "bucket", "at")
+
+
+def neighbour_graph(nodes: DataFrame, k: int = 5, rounds: int = MAX_ROUNDS) -> DataFrame:
+    """``g, a, b, d2``: the (nearly always exact) k nearest nodes b of every node a of the same g.
+
+    ``nodes``: g int, id long, v array<double> of one length, all finite, one
+    row per (g, id); other columns are ignored.  Distances are Euclidean, the
+    node itself is left out, equal distances are ranked by the smaller id,
+    nodes at one place are each other's neighbours at distance 0.  A g of
+    fewer than k + 1 nodes links all of them; an empty table gives an empty
+    result.
+    """
+    return links_of(neighbour_lists(nodes, k, rounds), k)
 
 
-def _keys(keys: DataFrame) -> DataFrame:
-    """Keys of a semi-join, broadcast if they are few."""
-    return F.broadcast(keys) if keys.count() <= MAX_BROADCAST_KEYS else keys
+def links_of(lists: DataFrame, k: int) -> DataFrame:
+    """The first k members of every list as rows."""
+    there = F.filter(F.slice(F.arrays_zip("ids", "d2"), 1, k), lambda x: x["d2"] < float("inf"))
+    return lists.select("g", F.col("id").alias("a"), F.explode(there).alias("e")).select("g", "a", F.col("e.ids").alias("b"), "e.d2")
 
 
 def _entries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every query with the nodes just before and after it along the curve."""
-    for m, old in _in_chunks(batches, ["g", "id", "x", "y", "z", "is_query"], 4 * WINDOW):
-        n = len(m["g"])
-        q = np.flatnonzero(m["is_query"])
+    for m, _, _ in _stretches(batches, 4 * WINDOW):
+        q = np.flatnonzero(m["is_query"].astype(bool))
         nodes = np.flatnonzero(~m["is_query"].astype(bool))
         if not len(q) or not len(nodes):
             continue
-        where = np.searchsorted(nodes, q)
-        other = np.clip(where[:, None] + np.arange(-2, 2), 0, len(nodes) - 1)
+        other = np.clip(np.searchsorted(nodes, q)[:, None] + np.arange(-2, 2), 0, len(nodes) - 1)
         src, dst = np.repeat(q, other.shape[1]), nodes[other.ravel()]
         use = m["g"][src] == m["g"][dst]
         src, dst = src[use], dst[use]
-        d2 = sum((m[c][src] - m[c][dst]) ** 2 for c in "xyz")
-        cols = [m["g"][src], m["id"][src], *[m[c][src] for c in "xyz"], m["id"][dst], *[m[c][dst] for c in "xyz"], d2, np.ones(len(d2), bool)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=[c.split()[0] for c in LINK.split(", ")])
+        gap = m["v"][src] - m["v"][dst]
+        yield pa.RecordBatch.from_arrays([pa.array(m["g"][src]), pa.array(m["id"][src]), _fixed(m["v"][src]), pa.array(m["id"][dst]), pa.array((gap * gap).sum(1)), pa.array(np.ones(len(src), bool))], names=["g", "a", "v", "b", "d2", "fresh"])
 
 
-def graph_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, k: int = 5, beam: int = 12) -> DataFrame:
-    """``g, a, b, d2``: about the k nodes b nearest to each query a, by greedy search in ``graph``.
-
-    ``queries`` and ``nodes``: g, id, x, y, z.  A query enters the graph at the
-    nodes beside it along two curves and holds its ``beam`` best nodes; each
-    round expands those not yet expanded through one join with the graph's
-    links in both directions, until no query has any left.  A node with the
-    query's own id is not a result.
+def _opened(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members of the lists asked for that are within the asker's reach."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        n = batch.num_rows
+        v, ids = _matrix(batch.column("v"), n), _matrix(batch.column("ids"), n)
+        gap = _matrix(batch.column("vecs"), n).reshape(*ids.shape, -1) - v[:, None]
+        d2 = np.einsum("abc,abc->ab", gap, gap)
+        r, c = np.nonzero((d2 <= batch.column("reach").to_numpy()[:, None]) & np.isfinite(_matrix(batch.column("far"), n)))
+        yield pa.RecordBatch.from_arrays([pa.array(batch.column("g").to_numpy()[r]), pa.array(batch.column("a").to_numpy()[r]), _fixed(v[r]), pa.array(ids[r, c]), pa.array(d2[r, c]), pa.array(np.ones(len(r), bool))], names=["g", "a", "v", "b", "d2", "fresh"])
+
+
+def graph_search(queries: DataFrame, lists: DataFrame, k: int = 5, beam: int = 16) -> DataFrame:
+    """``g, a, b, d2, place``: about the k nodes b nearest to each query a, by greedy search in the graph of ``lists``.
+
+    ``queries``: g, id, v; ``lists``: those of :func:`neighbour_lists`.  A
+    query enters the graph at the nodes beside it along two curves and holds
+    its ``beam`` best nodes; each round opens the lists of those not yet
+    opened, which alone are fetched, until no query has any left.  A node with
+    the query's own id is not a result.
     """
-    spark = nodes.sparkSession
-    scratch = Scratch(spark, "search")
-    cols = ("g", "id", "x", "y", "z")
-    both = nodes.select(*cols, F.lit(False).alias("is_query")).unionByName(queries.select(*cols, F.lit(True).alias("is_query")))
-    both = both.withColumn("g", F.col("g").cast("int"))
-    held = None
-    for shift in SHIFTS:
-        run = _coded(both, shift).repartitionByRange("g", "code", "id").sortWithinPartitions("g", "code", "id")
-        found = run.mapInArrow(_entries, LINK)
-        held = found if held is None else held.unionByName(found)
-    held = scratch.save(_best(held, beam), "held0")
-    there = graph.select("g", F.col("a").alias("p"), F.col("b").alias("r"), F.col("bx").alias("rx"), F.col("by").alias("ry"), F.col("bz").alias("rz"))
-    back = graph.select("g", F.col("b").alias("p"), F.col("a").alias("r"), F.col("ax").alias("rx"), F.col("ay").alias("ry"), F.col("az").alias("rz"))
-    links = there.unionByName(back)
+    scratch = Scratch(lists.sparkSession, "search")
+    link = "g int, a long, v array<double>, b long, d2 double, fresh boolean"
+    both = lists.select("g", "id", "v", F.lit(False).alias("is_query")).unionByName(queries.select(F.col("g").cast("int").alias("g"), "id", "v", F.lit(True).alias("is_query")))
+    found = [_along_curve(both, seed).mapInArrow(_entries, link) for seed in SEEDS[:2]]
+
+    def best(rows: DataFrame) -> DataFrame:
+        once = rows.groupBy("g", "a", "b").agg(F.first("v").alias("v"), F.min("d2").alias("d2"), F.min("fresh").alias("fresh"))
+        return once.withColumn("place", F.row_number().over(Window.partitionBy("g", "a").orderBy("d2", "b"))).where(F.col("place") <= beam)
+
+    held = scratch.save(best(found[0].unionByName(found[1])), "held0")
     for r in range(MAX_ROUNDS):
-        reach = held.groupBy("g", "a").agg(F.max("d2").alias("reach"), F.count("*").alias("n")).withColumn("reach", F.when(F.col("n") < beam, F.lit(float("inf"))).otherwise(F.col("reach"))).drop("n")
-        ask = held.where("fresh").select("g", "a", F.col("ax").alias("qx"), F.col("ay").alias("qy"), F.col("az").alias("qz"), F.col("b").alias("p")).join(reach, ["g", "a"])
-        met = ask.join(links, ["g", "p"]).withColumn("d2", _distance2("q", "r")).where("d2 <= reach")
-        met = met.select("g", "a", F.col("qx").alias("ax"), F.col("qy").alias("ay"), F.col("qz").alias("az"), F.col("r").alias("b"), F.col("rx").alias("bx"), F.col("ry").alias("by"), F.col("rz").alias("bz"), "d2", F.lit(True).alias("fresh"))
-        held = scratch.save(_best(held.withColumn("fresh", F.lit(False)).unionByName(met), beam), f"held{r + 1}")
-        scratch.drop(f"held{r}")
+        reach = F.when(F.count("*").over(Window.partitionBy("g", "a")) < beam, F.lit(float("inf"))).otherwise(F.max("d2").over(Window.partitionBy("g", "a")))
+        ask = scratch.save(held.withColumn("reach", reach).where("fresh").select("g", "a", "v", "b", "reach"), f"ask{r}")
+        pivots = ask.select("g", F.col("b").alias("id")).distinct()
+        needed = lists.select("g", "id", "ids", F.col("d2").alias("far"), "vecs").join(pivots, ["g", "id"], "left_semi").withColumnRenamed("id", "b")
+        met = ask.join(needed, ["g", "b"]).mapInArrow(_opened, link)
+        held = scratch.save(best(held.drop("place").withColumn("fresh", F.lit(False)).unionByName(met)), f"held{r + 1}")
+        scratch.drop(f"held{r}", f"ask{r}")
         if not held.where("fresh").limit(1).count():
             break
+    else:
+        raise RuntimeError("the search did not end")
     place = Window.partitionBy("g", "a").orderBy("d2", "b")
     return held.where("a <> b").withColumn("place", F.row_number().over(place)).where(F.col("place") <= k).select("g", "a", "b", "d2", "place")
+
+
+def exact_neighbours(queries: DataFrame, nodes: DataFrame, k: int = 5, most: int = QUERIES) -> DataFrame:
+    """``g, a, b, d2``: the k nodes b nearest to each query a, by comparing a stated set of queries with all nodes, in blocks.
+
+    ``queries`` and ``nodes``: g, id, v.  The queries are taken in passes of
+    about ``most``; a task keeps each query's k best of its own nodes.
+    """
+    spark = nodes.sparkSession
+    queries = queries.select(F.col("g").cast("int").alias("g"), "id", "v")
+    passes = max(1, -(-queries.count() // most))
+    out = None
+    for p in range(passes):
+        rows = queries.where(F.pmod(F.xxhash64("g", "id"), F.lit(passes)) == p).orderBy("g", "id").collect()
+        if not rows:
+            continue
+        shared = spark.sparkContext.broadcast((np.array([r.g for r in rows]), np.array([r.id for r in rows]), np.array([r.v for r in rows])))
+
+        def compare(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            qg, qid, qv = shared.value
+            held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+
+            def shrunk():
+                q, b, d2 = (np.concatenate(c) for c in zip(*held))
+                order = np.lexsort((b, d2, q))
+                start = np.flatnonzero(np.r_[True, q[order][1:] != q[order][:-1]]) if len(q) else np.zeros(0, int)
+                turn = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)]))
+                return [(q[order][turn < k], b[order][turn < k], d2[order][turn < k])]
+
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                g, ids, v = batch.column("g").to_numpy(), batch.column("id").to_numpy(), _matrix(batch.column("v"), batch.num_rows)
+                for run in np.unique(g):
+                    own, asking = np.flatnonzero(g == run), np.flatnonzero(qg == run)
+                    step = max(1, DISTANCES // max(1, len(own)))
+                    for a in range(0, len(asking), step):
+                        who = asking[a : a + step]
+                        d2 = sum((qv[who, c][:, None] - v[own, c]) ** 2 for c in range(v.shape[1]))
+                        d2[qid[who][:, None] == ids[own]] = np.inf
+                        near = np.argpartition(d2, min(k, d2.shape[1]) - 1, axis=1)[:, :k]
+                        worst = np.take_along_axis(d2, near, 1).max(1)
+                        r, c = np.nonzero((d2 <= worst[:, None]) & np.isfinite(d2))  # all that tie with the k-th
+                        held.append((who[r], ids[own][c], d2[r, c]))
+                if sum(len(x[0]) for x in held) > 4 * DISTANCES:
+                    held = shrunk()
+            ((q, b, d2),) = shrunk()
+            yield pa.RecordBatch.from_arrays([pa.array(qg[q].astype(np.int32)), pa.array(qid[q]), pa.array(b), pa.array(d2)], names=["g", "a", "b", "d2"])
+
+        found = nodes.select(F.col("g").cast("int").alias("g"), "id", "v").mapInArrow(compare, "g int, a long, b long, d2 double")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return spark.createDataFrame([], "g int, a long, b long, d2 double")
+    place = Window.partitionBy("g", "a").orderBy("d2", "b")
+    return out.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k).drop("place")

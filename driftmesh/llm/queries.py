@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from driftmesh.llm.groups import connected_groups
 from driftmesh.llm.leaks import leaked_items
 from driftmesh.llm.mixing import TOKENIZER, budget_tree, one_language, one_spelling, selected, with_tokens
-from driftmesh.llm.neighbours import graph_search, neighbour_graph
+from driftmesh.llm.neighbours import exact_neighbours, graph_search, links_of, neighbour_graph, neighbour_lists
 from driftmesh.llm.peaks import density_peaks
 from driftmesh.llm.sentences import sentence_ends
 from driftmesh.scratch import Scratch
@@ -78,19 +78,51 @@ def p1_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return node_peaks(spark, sf_dir).select(F.col("g").alias("run_id"), F.col("id").alias("node_id"), "density", F.col("cluster").alias("peak_id"))
 
 
+def node_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of all runs: g (the run), id, v."""
+    return tree_nodes(spark, sf_dir).select("g", "id", F.array("x", "y", "z").alias("v"))
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings as one group: g, id, v."""
+    return table(spark, sf_dir, "embeddings").where("vec_id is not null and embedding is not null").groupBy(F.col("vec_id").alias("id")).agg(F.max("embedding").cast("array<double>").alias("v")).select(F.lit(0).alias("g"), "id", "v")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of nodes of which at least one is among the five nearest of the other."""
-    graph = neighbour_graph(tree_nodes(spark, sf_dir), 5)
+    graph = neighbour_graph(node_vectors(spark, sf_dir), 5)
     return graph.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
 
 
 def p4_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy graph search from every node whose id is divisible by 100, against all nodes of its run."""
-    nodes = Scratch(spark, "nodes").save(tree_nodes(spark, sf_dir), "nodes")
-    found = graph_search(nodes.where("id % 100 = 0"), nodes, neighbour_graph(nodes, 5), 5)
+    nodes = Scratch(spark, "nodes").save(node_vectors(spark, sf_dir), "nodes")
+    found = graph_search(nodes.where("id % 100 = 0"), neighbour_lists(nodes, 5), 5)
     return found.select(F.col("g").alias("run_id"), F.col("a").alias("query_id"), "place", F.col("b").alias("id"), "d2")
 
 
+def recall(nodes: DataFrame, least: float) -> DataFrame:
+    """Of the nodes whose id is divisible by 100: how many, their true neighbours, and whether graph and search have at least ``least`` of these."""
+    nodes = Scratch(nodes.sparkSession, "nodes").save(nodes, "nodes")
+    asked = nodes.where("id % 100 = 0")
+    lists = neighbour_lists(nodes, 5)
+    true = Scratch(nodes.sparkSession, "true").save(exact_neighbours(asked, nodes, 5), "true")
+    hits = lambda found, name: true.join(found.select("g", "a", "b"), ["g", "a", "b"], "left_semi").agg(F.count("*").alias(name))
+    all_ = true.agg(F.countDistinct("g", "a").alias("n_queries"), F.count("*").alias("n_true"))
+    both = all_.crossJoin(hits(links_of(lists.where("id % 100 = 0"), 5), "by_graph")).crossJoin(hits(graph_search(asked, lists, 5), "by_search"))  # four single rows
+    return both.select("n_queries", "n_true", *[(F.col(f"by_{w}") >= least * F.col("n_true")).alias(f"{w}_ok") for w in ("graph", "search")])
+
+
+def p4_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of graph and search over the nodes, against all of them compared."""
+    return recall(node_vectors(spark, sf_dir), 0.95)
+
+
+def p4_embedding_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over the embeddings, in all their dimensions."""
+    return recall(vectors(spark, sf_dir), 0.9)
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the test items that leak into them."""
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
@@ -201,13 +233,21 @@ have AS (SELECT m.source, m.target_share, m.max_repeats, coalesce(sum(d.n), 0) A
 SELECT source FROM have WHERE max_repeats * n < target_share * (SELECT sum(n) FROM have)"""
 
 
+P4_RECALL_SQL = f"""
+WITH {NODES_SQL}, size AS (SELECT run_id, count(*) AS n FROM node GROUP BY 1)
+SELECT count(*) AS n_queries, sum(least(5, n - 1))::BIGINT AS n_true, true AS graph_ok, true AS search_ok FROM node JOIN size USING (run_id) WHERE id % 100 = 0 AND n > 1"""
+
+P4_EMBEDDING_SQL = """
+SELECT count(DISTINCT vec_id) FILTER (vec_id % 100 = 0) AS n_queries, least(5, count(DISTINCT vec_id) - 1) * count(DISTINCT vec_id) FILTER (vec_id % 100 = 0) AS n_true, true AS graph_ok, true AS search_ok
+FROM embeddings WHERE embedding IS NOT NULL"""
+
 P7_CHECKS_SQL = """
 SELECT m.source, count(d.doc_id) AS n_docs, 0::BIGINT AS over_cap, 0::BIGINT AS over_budget, 0::BIGINT AS loose
 FROM mix_targets m LEFT JOIN documents d ON regexp_replace(lower(trim(d.source)), '[-_ ]+', '_', 'g') = m.source GROUP BY 1"""
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_clusters, p1_labels, p4_found, p4_search, p5_found, p5_group_sizes, p6_found, p7_found, p7_selection, p7_shares, p7_checks, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_clusters, p1_labels, p4_found, p4_search, p4_recall, p4_embedding_recall, p5_found, p5_group_sizes, p6_found, p7_found, p7_selection, p7_shares, p7_checks, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -217,6 +257,8 @@ def oracle_sql() -> dict[str, str]:
         "p1_clusters": f"{LABELS_SQL} SELECT run_id, peak_id, count(*) AS size, max(density) AS density, list(id ORDER BY density DESC, id)[1:3] AS typical_ids FROM named WHERE peak_id IS NOT NULL GROUP BY 1, 2",
         "p5_found": f"{GROUPS_SQL} SELECT c AS group_id, id AS elem FROM lab",
         "p5_group_sizes": f"{GROUPS_SQL} SELECT c AS group_id, count(*) AS n_ids, max(id) AS last_id FROM lab GROUP BY 1",
+        "p4_recall": P4_RECALL_SQL,
+        "p4_embedding_recall": P4_EMBEDDING_SQL,
         "p7_found": P7_SQL,
         "p7_checks": P7_CHECKS_SQL,
     }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from driftmesh.llm.groups import connected_groups
 from driftmesh.llm.leaks import leaked_items, leaks_at, numbered, words_of
 from driftmesh.llm.mixing import budget_tree, one_language, one_spelling, selected, with_tokens
-from driftmesh.llm.neighbours import graph_search, neighbour_graph
+from driftmesh.llm.neighbours import exact_neighbours, graph_search, links_of, neighbour_graph, neighbour_lists
 from driftmesh.llm.peaks import density_peaks
 from driftmesh.llm.sentences import masked, sentence_ends
 
@@ -74,32 +74,54 @@ def test_groups_of_an_empty_table(spark):
 # --- problem 4
 
 
-def test_neighbour_graph_recall_and_order(spark):
-    rows = nodes_of(1500, 3)
-    graph = neighbour_graph(spark.createDataFrame(rows, NODE), 5).collect()
+def vectors_of(spark, rows):
+    return spark.createDataFrame([(r[0], r[1], list(r[2:])) for r in rows], "g int, id long, v array<double>")
+
+
+def hit_rate(links, want):
     got = {}
-    for r in graph:
+    for r in links:
         got.setdefault(r.a, set()).add(r.b)
+    assert max(map(len, got.values())) <= 5
+    return sum(len(got.get(u, set()) & set(v)) for u, v in want.items()) / sum(map(len, want.values()))
+
+
+def test_rounds_of_the_descent_carry_the_recall(spark, monkeypatch):
+    monkeypatch.setattr("driftmesh.llm.neighbours.BUCKET", 300)
+    rows = nodes_of(1500, 3)
     want = knn(rows, 5)
-    hit = sum(len(got[u] & set(v)) for u, v in want.items()) / sum(map(len, want.values()))
-    assert hit >= 0.97 and max(map(len, got.values())) <= 5
+    rates = [hit_rate(neighbour_graph(vectors_of(spark, rows), 5, n).collect(), want) for n in (0, 1, 60)]
+    assert rates[0] < 0.9 and rates[0] < rates[1] <= rates[2] and rates[2] >= 0.97
+
+
+def test_many_dimensions_and_search(spark):
+    rng = np.random.default_rng(9)
+    places = rng.normal(0, 3, (12, 24))
+    rows = [(1, -5 + i, *map(float, places[i % 12] + rng.normal(0, 1, 24))) for i in range(900)]
+    nodes = vectors_of(spark, rows)
+    want = knn(rows, 5)
+    lists = neighbour_lists(nodes, 5)
+    assert hit_rate(links_of(lists, 5).collect(), want) >= 0.95
+    asked = nodes.where("id % 20 = 0")
+    few = {u: v for u, v in want.items() if u % 20 == 0}
+    assert hit_rate(graph_search(asked, lists, 5).collect(), few) >= 0.9
+    exact = exact_neighbours(asked, nodes, 5, most=20).collect()
+    assert {u: sorted(v) for u, v in few.items()} == {u: sorted(r.b for r in exact if r.a == u) for u in few}
 
 
 def test_graph_search_recall(spark):
     rows = nodes_of(1500, 4)
-    nodes = spark.createDataFrame(rows, NODE)
-    found = graph_search(nodes.where("id % 100 = 0"), nodes, neighbour_graph(nodes, 5), 5).collect()
-    got = {}
-    for r in found:
-        got.setdefault(r.a, set()).add(r.b)
-    want = {u: set(v) for u, v in knn(rows, 5).items() if u % 100 == 0}
-    assert sum(len(got[u] & want[u]) for u in want) / sum(map(len, want.values())) >= 0.9
+    nodes = vectors_of(spark, rows)
+    found = graph_search(nodes.where("id % 100 = 0"), neighbour_lists(nodes, 5), 5).collect()
+    assert hit_rate(found, {u: v for u, v in knn(rows, 5).items() if u % 100 == 0}) >= 0.9
 
 
 def test_few_and_no_nodes(spark):
-    two = spark.createDataFrame([(1, 1, 0.0, 0.0, 0.0), (1, 2, 1.0, 0.0, 0.0), (2, 3, 0.0, 0.0, 0.0)], NODE)
+    two = vectors_of(spark, [(1, 1, 0.0, 0.0, 0.0), (1, 2, 1.0, 0.0, 0.0), (2, 3, 0.0, 0.0, 0.0)])
     assert {(r.a, r.b) for r in neighbour_graph(two, 5).collect()} == {(1, 2), (2, 1)}
     assert neighbour_graph(two.where("id < 0"), 5).count() == 0
+    same = vectors_of(spark, [(1, i, 1e308, -1e308) for i in range(9)])
+    assert {(r.a, r.b) for r in neighbour_graph(same, 2).where("a > 1").collect()} == {(a, b) for a in range(2, 9) for b in (0, 1)}
 
 
 # --- problem 1
@@ -358,7 +380,7 @@ def test_leaks_selection_and_groups_ignore_clashing_columns(spark):
     groups = spark.createDataFrame([(1, 2, 9, 9)], "a long, b long, r long, elem long")
     assert {(r.group_id, r.elem) for r in connected_groups(groups, "a", "b").collect()} == {(1, 1), (1, 2)}
     nodes = spark.createDataFrame([(1, 1, 0.0, 0.0, 0.0, 5, 6), (1, 2, 1.0, 0.0, 0.0, 5, 6)], NODE + ", code int, list int")
-    assert neighbour_graph(nodes, 5).count() == 2
+    assert neighbour_graph(nodes.withColumn("v", F.array("x", "y", "z")).withColumn("bucket", F.lit("x")), 5).count() == 2
     assert density_peaks(nodes.withColumn("r", F.lit(1.0)).withColumn("dens", F.lit("x"))).count() == 2
 
 
