@@ -42,11 +42,13 @@ CHUNK, BUCKET, DISTANCES = 40_000, 2048, 500_000
 #: Other askers of the same list that each asker is offered on either side.
 BESIDE = 4
 #: The descent ends when a round changes at most this share of all links, and fails after so many rounds.
-SETTLED, MAX_ROUNDS = 0.001, 60
+SETTLED, MAX_ROUNDS = 0.02, 60
 #: Queries of one pass of the exact search: bounds what is broadcast.
 QUERIES = 100_000
 
-_LIST = "g int, id long, bucket long, v array<double>, ids array<long>, d2 array<double>, vecs array<double>, at array<long>, fresh array<boolean>"
+#: Rows between the joins.  A blob holds 8-byte words: of a list (kind 0) the vector and, member by member, id, distance,
+#: bucket, whether the link is new, and vector; of what is sent to a bucket (kind 1) see :func:`_asked` and :class:`_Found`.
+_LIST = "g int, id long, bucket long, changed int, blob binary"
 _ROW = f"kind int, {_LIST}"
 _NAMES = [c.split()[0] for c in _ROW.split(", ")]
 
@@ -57,8 +59,27 @@ def _fixed(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * n), pa.array(np.ascontiguousarray(values).ravel()))
 
 
-def _ragged(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(values))
+def _blobs(words: np.ndarray, sizes: np.ndarray | None = None) -> pa.Array:
+    """Words as a column of blobs: a row of a matrix each, or so many words each."""
+    sizes = np.full(len(words), words.shape[1]) if sizes is None else sizes
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64) * 8
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(words).tobytes())]).cast(pa.binary())
+
+
+def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The words of a column of blobs, and where each blob begins and ends."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    return np.frombuffer(raw.tobytes(), np.int64), (offsets - offsets[0]) // 8
+
+
+def _f(words: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(words).view(float)
+
+
+def _w(values: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(values, float).view(np.int64)
 
 
 def _matrix(column: pa.Array, n: int) -> np.ndarray:
@@ -66,19 +87,29 @@ def _matrix(column: pa.Array, n: int) -> np.ndarray:
     return flat.reshape(n, -1) if n else flat.reshape(0, 1)
 
 
-def _lists(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-    """The columns of list rows as arrays and matrices."""
-    m = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("g", "id", "bucket")}
-    m |= {c: _matrix(batch.column(c), batch.num_rows) for c in ("v", "ids", "d2", "vecs", "at", "fresh")}
-    m["vecs"] = m["vecs"].reshape(*m["ids"].shape, m["v"].shape[1])
-    return m
+def _lists(batch: pa.RecordBatch, k: int) -> dict[str, np.ndarray]:
+    """List rows as arrays and matrices."""
+    m = {c: batch.column(c).to_numpy() for c in ("g", "id", "bucket")}
+    words = _words(batch.column("blob"))[0].reshape(batch.num_rows, -1)
+    dim = (words.shape[1] - 4 * k) // (k + 1)
+    links = words[:, dim:].reshape(-1, k, 4 + dim)
+    return m | {"v": _f(words[:, :dim]), "ids": links[:, :, 0], "d2": _f(links[:, :, 1]), "at": links[:, :, 2], "fresh": links[:, :, 3] > 0, "vecs": _f(links[:, :, 4:])}
 
 
 def _list_rows(m: dict[str, np.ndarray], kind: int | None = None) -> pa.RecordBatch:
-    cols = [pa.array(m[c]) for c in ("g", "id", "bucket")] + [_fixed(m[c].reshape(len(m["id"]), -1)) for c in ("v", "ids", "d2", "vecs", "at", "fresh")]
+    n, k = m["ids"].shape
+    links = np.concatenate([m["ids"][:, :, None], _w(m["d2"])[:, :, None], m["at"][:, :, None], m["fresh"].astype(np.int64)[:, :, None], _w(m["vecs"])], 2)
+    blob = _blobs(np.concatenate([_w(m["v"]), links.reshape(n, -1)], 1))
+    cols = [pa.array(m[c]) for c in ("g", "id", "bucket")] + [pa.array(m["fresh"].sum(1).astype(np.int32)), blob]
     if kind is None:
         return pa.RecordBatch.from_arrays(cols, names=_NAMES[1:])
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(m["id"]), kind, np.int32)), *cols], names=_NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *cols], names=_NAMES)
+
+
+def _sent(g: np.ndarray, ids: np.ndarray, to: np.ndarray, blob: pa.Array) -> pa.RecordBatch:
+    """Rows of kind 1."""
+    n = len(ids)
+    return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.array(g), pa.array(ids), pa.array(to), pa.array(np.zeros(n, np.int32)), blob], names=_NAMES)
 
 
 def _best(ids: np.ndarray, d2: np.ndarray, k: int) -> np.ndarray:
@@ -241,27 +272,41 @@ def _beside(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             d2 = (gap * gap).sum(2)
             r, c = np.nonzero(ok & (d2 <= m["reach"][at][:, None]))
             x, y, d2 = at[r], other[r, c], d2[r, c]
-            cols = [pa.array(np.ones(len(x), np.int32)), pa.array(m["g"][x]), pa.array(m["id"][x]), pa.array(m["bucket"][x]), _fixed(m["v"][y]), _fixed(m["id"][y, None]), _fixed(d2[:, None]), _fixed(np.zeros((len(x), 0))), _fixed(m["bucket"][y, None]), _fixed(np.ones((len(x), 1), bool))]
-            yield pa.RecordBatch.from_arrays(cols, names=_NAMES)
+            yield _sent(m["g"][x], m["id"][x], m["bucket"][x], _offer(m["id"][y], d2, m["bucket"][y], m["v"][y]))
 
 
-def _asked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every list (kind 0), and its node (kind 1) in each bucket with neighbours of it: their ids, whether the links are new, and the node's reach."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        m = _lists(batch)
-        yield _list_rows(m, 0)
-        row, col = np.nonzero(np.isfinite(m["d2"]))
-        order = np.lexsort((m["at"][row, col], row))
-        row, col = row[order], col[order]
-        to = m["at"][row, col]
-        first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (to[1:] != to[:-1])]) if len(row) else np.zeros(0, int)
-        sizes = np.diff(np.r_[first, len(row)])
-        who = row[first]
-        nothing = np.zeros((len(who), 0))
-        cols = [pa.array(np.ones(len(who), np.int32)), pa.array(m["g"][who]), pa.array(m["id"][who]), pa.array(to[first]), _fixed(m["v"][who]), _ragged(m["ids"][row, col], sizes), _fixed(m["d2"][who, -1:]), _fixed(nothing), _fixed(m["bucket"][who, None]), _ragged(m["fresh"][row, col], sizes)]
-        yield pa.RecordBatch.from_arrays(cols, names=_NAMES)
+def _offer(ids: np.ndarray, d2: np.ndarray, at: np.ndarray, v: np.ndarray) -> pa.Array:
+    """Blobs of offers: id, distance, bucket and vector of who is offered."""
+    return _blobs(np.concatenate([ids[:, None], _w(d2)[:, None], at[:, None], _w(v)], 1))
+
+
+def _asked(k: int):
+    """Every list, and its node (kind 1) in each bucket with neighbours of it: reach, bucket, vector, and id and newness of each such link."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            m = _lists(batch, k)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, np.int32)), *batch.columns], names=_NAMES)
+            row, col = np.nonzero(np.isfinite(m["d2"]))
+            if not len(row):
+                continue
+            order = np.lexsort((m["at"][row, col], row))
+            row, col = row[order], col[order]
+            to = m["at"][row, col]
+            first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (to[1:] != to[:-1])])
+            links, who = np.diff(np.r_[first, len(row)]), row[first]
+            head = 2 + m["v"].shape[1]
+            sizes = head + 2 * links
+            start = np.cumsum(sizes) - sizes
+            words = np.empty(int(sizes.sum()), np.int64)
+            words[start[:, None] + np.arange(head)] = np.concatenate([_w(m["d2"][who, -1:]), m["bucket"][who, None], _w(m["v"][who])], 1)
+            place = np.repeat(start + head - 2 * first, links) + 2 * np.arange(len(row))
+            words[place], words[place + 1] = m["ids"][row, col], m["fresh"][row, col]
+            yield _sent(m["g"][who], m["id"][who], to[first], _blobs(words, sizes))
+
+    return run
 
 
 def _by_bucket(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.RecordBatch]]:
@@ -301,9 +346,7 @@ class _Found:
         start = np.flatnonzero(np.r_[True, x[order][1:] != x[order][:-1]])
         turn = np.arange(len(order)) - np.repeat(start, np.diff(np.r_[start, len(order)]))
         use = order[turn < self.k]
-        n = len(use)
-        cols = [pa.array(np.ones(n, np.int32)), pa.array(np.full(n, g, np.int32)), pa.array(x[use]), pa.array(to[use]), _fixed(v[use]), _fixed(y[use, None]), _fixed(d2[use, None]), _fixed(np.zeros((n, 0))), _fixed(at[use, None]), _fixed(np.ones((n, 1), bool))]
-        yield pa.RecordBatch.from_arrays(cols, names=_NAMES)
+        yield _sent(np.full(len(use), g, np.int32), x[use], to[use], _offer(y[use], d2[use], at[use], v[use]))
 
 
 def _offers(k: int):
@@ -327,13 +370,15 @@ def _offers(k: int):
                 yield from found.rows(int(own["g"][0]))
 
     def to_askers(own: dict[str, np.ndarray], order: np.ndarray, asked: np.ndarray, batch: pa.RecordBatch, found: _Found) -> Iterator[pa.RecordBatch]:
-        count = np.diff(batch.column("ids").offsets.to_numpy())
+        words, ends = _words(batch.column("blob"))
+        dim = own["v"].shape[1]
+        head = ends[:-1, None] + np.arange(2 + dim)
+        reach, home, v, ids = _f(words[head[:, 0]]), words[head[:, 1]], _f(words[head[:, 2:]]), batch.column("id").to_numpy()
+        count = (np.diff(ends) - 2 - dim) // 2
         who = np.repeat(np.arange(batch.num_rows), count)
-        names = own["id"][order]
-        p = order[np.searchsorted(names, batch.column("ids").flatten().to_numpy())]
-        new = batch.column("fresh").flatten().to_numpy(zero_copy_only=False)
-        ids, v = batch.column("id").to_numpy(), _matrix(batch.column("v"), batch.num_rows)
-        reach, home = batch.column("d2").flatten().to_numpy(), batch.column("at").flatten().to_numpy()
+        place = np.repeat(ends[:-1] + 2 + dim - 2 * (np.cumsum(count) - count), count) + 2 * np.arange(len(who))
+        p = order[np.searchsorted(own["id"][order], words[place])]
+        new = words[place + 1] > 0
         step = max(1, DISTANCES // own["ids"].shape[1])
         for a in range(0, len(p), step):
             w, q, fresh = who[a : a + step], p[a : a + step], new[a : a + step]
@@ -380,7 +425,7 @@ def _offers(k: int):
                 yield from done()
                 bucket, parts, own, asked = key, [], None, None
             if kind == 0:
-                parts.append(_lists(batch))
+                parts.append(_lists(batch, k))
                 continue
             if own is None:
                 own = _joined(parts)
@@ -396,7 +441,9 @@ def _taken(k: int):
     """Lists with the offers they were made; links that were not there before are fresh."""
 
     def taken(own: dict[str, np.ndarray], offers: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
-        x, y, d2, v, at = (np.concatenate(c) for c in zip(*[(b.column("id").to_numpy(), b.column("ids").flatten().to_numpy(), b.column("d2").flatten().to_numpy(), _matrix(b.column("v"), b.num_rows), b.column("at").flatten().to_numpy()) for b in offers]))
+        x = np.concatenate([b.column("id").to_numpy() for b in offers])
+        words = np.concatenate([_words(b.column("blob"))[0] for b in offers]).reshape(len(x), -1)
+        y, d2, at, v = words[:, 0], _f(words[:, 1]), words[:, 2], _f(words[:, 3:])
         order = np.argsort(own["id"])
         row = order[np.searchsorted(own["id"][order], x)]
         use = np.lexsort((y, d2, row))
@@ -424,7 +471,7 @@ def _taken(k: int):
                 yield from done()
                 bucket, parts, own, offers = key, [], None, []
             if kind == 0:
-                parts.append(_lists(batch))
+                parts.append(_lists(batch, k))
                 continue
             offers.append(batch)
             if sum(b.num_rows for b in offers) > DISTANCES:
@@ -435,8 +482,39 @@ def _taken(k: int):
     return run
 
 
-def neighbour_lists(nodes: DataFrame, k: int = 5, rounds: int = MAX_ROUNDS) -> DataFrame:
-    """The lists of NN-descent: g, id, v, and of the nearest nodes (k and ``SPARE`` more) ids, d2 and vecs, by distance and id.
+class Graph:
+    """The lists of NN-descent, ``k`` members each (k asked for and some to spare), by distance and id."""
+
+    def __init__(self, lists: DataFrame, k: int, dim: int):
+        self.lists, self.k, self.dim = lists, k, dim
+
+    def nodes(self) -> DataFrame:
+        """``g, id, v`` of every node."""
+        k = self.k
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column("g"), batch.column("id"), _fixed(_lists(batch, k)["v"])], names=["g", "id", "v"])
+
+        return self.lists.mapInArrow(run, "g int, id long, v array<double>")
+
+    def links(self, most: int) -> DataFrame:
+        """The first members of every list as rows: g, a, b, d2."""
+        k = self.k
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    m = _lists(batch, k)
+                    r, c = np.nonzero(np.isfinite(m["d2"][:, :most]))
+                    yield pa.RecordBatch.from_arrays([pa.array(m["g"][r]), pa.array(m["id"][r]), pa.array(m["ids"][r, c]), pa.array(m["d2"][r, c])], names=["g", "a", "b", "d2"])
+
+        return self.lists.mapInArrow(run, "g int, a long, b long, d2 double")
+
+
+def neighbour_lists(nodes: DataFrame, k: int = 5, rounds: int = MAX_ROUNDS) -> Graph:
+    """The graph of NN-descent over ``nodes``, as for :func:`neighbour_graph`.
 
     With ``rounds`` below MAX_ROUNDS the descent ends after that many; else it
     ends when it has settled, and fails if it never does.
@@ -444,28 +522,41 @@ def neighbour_lists(nodes: DataFrame, k: int = 5, rounds: int = MAX_ROUNDS) -> D
     scratch = Scratch(nodes.sparkSession, "neighbours")
     nodes = nodes.select(F.col("g").cast("int").alias("g"), "id", "v")
     first = nodes.select(F.size("v")).first()
-    k += max(SPARE, (first[0] if first else 0) // 4)
+    dim = first[0] if first else 1
+    k += max(SPARE, dim // 4)
     lists = scratch.save(_along_curve(nodes, SEEDS[0]).mapInArrow(_first_graph(k), _LIST), "lists0")
     size = lists.count() * k
     seeds, done = list(SEEDS[1:]), False
     for r in range(rounds):
         if done:  # settled: start again from what another curve has to offer
-            starts = _along_curve(lists.select("g", "id", "v", "bucket", F.array_max("d2").alias("reach")), seeds.pop(0))
-            offers = scratch.save(starts.mapInArrow(_beside, _ROW), f"offers{r}")
+            starts = _along_curve(_placed(lists, k), seeds.pop(0))
+            offers = starts.mapInArrow(_beside, _ROW)
         else:
-            asks = lists.mapInArrow(_asked, _ROW).repartition("bucket").sortWithinPartitions("bucket", "kind")
-            offers = scratch.save(asks.mapInArrow(_offers(k), _ROW), f"offers{r}")
+            asks = lists.mapInArrow(_asked(k), _ROW).repartition("bucket").sortWithinPartitions("bucket", "kind")
+            offers = asks.mapInArrow(_offers(k), _ROW)
         both = lists.select(F.lit(0).alias("kind"), "*").unionByName(offers).repartition("bucket").sortWithinPartitions("bucket", "kind")
         lists = scratch.save(both.mapInArrow(_taken(k), _LIST), f"lists{r + 1}")
-        scratch.drop(f"lists{r}", f"offers{r}")
-        changed = lists.agg(F.sum(F.size(F.filter("fresh", lambda x: x)))).first()[0] or 0
+        scratch.drop(f"lists{r}")
+        changed = lists.agg(F.sum("changed")).first()[0] or 0
         done = changed <= SETTLED * size
         if done and not seeds:
             break
     else:
         if rounds == MAX_ROUNDS:
             raise RuntimeError("the descent did not settle")
-    return lists.drop("fresh", "bucket", "at")
+    return Graph(lists, k, dim)
+
+
+def _placed(lists: DataFrame, k: int) -> DataFrame:
+    """``g, id, v, bucket, reach`` of every node."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                m = _lists(batch, k)
+                yield pa.RecordBatch.from_arrays([batch.column("g"), batch.column("id"), _fixed(m["v"]), batch.column("bucket"), pa.array(m["d2"][:, -1])], names=["g", "id", "v", "bucket", "reach"])
+
+    return lists.mapInArrow(run, "g int, id long, v array<double>, bucket long, reach double")
 
 
 def neighbour_graph(nodes: DataFrame, k: int = 5, rounds: int = MAX_ROUNDS) -> DataFrame:
@@ -478,13 +569,7 @@ def neighbour_graph(nodes: DataFrame, k: int = 5, rounds: int = MAX_ROUNDS) -> D
     fewer than k + 1 nodes links all of them; an empty table gives an empty
     result.
     """
-    return links_of(neighbour_lists(nodes, k, rounds), k)
-
-
-def links_of(lists: DataFrame, k: int) -> DataFrame:
-    """The first k members of every list as rows."""
-    there = F.filter(F.slice(F.arrays_zip("ids", "d2"), 1, k), lambda x: x["d2"] < float("inf"))
-    return lists.select("g", F.col("id").alias("a"), F.explode(there).alias("e")).select("g", "a", F.col("e.ids").alias("b"), "e.d2")
+    return neighbour_lists(nodes, k, rounds).links(k)
 
 
 def _entries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -502,31 +587,36 @@ def _entries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(m["g"][src]), pa.array(m["id"][src]), _fixed(m["v"][src]), pa.array(m["id"][dst]), pa.array((gap * gap).sum(1)), pa.array(np.ones(len(src), bool))], names=["g", "a", "v", "b", "d2", "fresh"])
 
 
-def _opened(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _opened(k: int):
     """The members of the lists asked for that are within the asker's reach."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        n = batch.num_rows
-        v, ids = _matrix(batch.column("v"), n), _matrix(batch.column("ids"), n)
-        gap = _matrix(batch.column("vecs"), n).reshape(*ids.shape, -1) - v[:, None]
-        d2 = np.einsum("abc,abc->ab", gap, gap)
-        r, c = np.nonzero((d2 <= batch.column("reach").to_numpy()[:, None]) & np.isfinite(_matrix(batch.column("far"), n)))
-        yield pa.RecordBatch.from_arrays([pa.array(batch.column("g").to_numpy()[r]), pa.array(batch.column("a").to_numpy()[r]), _fixed(v[r]), pa.array(ids[r, c]), pa.array(d2[r, c]), pa.array(np.ones(len(r), bool))], names=["g", "a", "v", "b", "d2", "fresh"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            m = _lists(batch, k)
+            v = _matrix(batch.column("v"), batch.num_rows)
+            gap = m["vecs"] - v[:, None]
+            d2 = np.einsum("abc,abc->ab", gap, gap)
+            r, c = np.nonzero((d2 <= batch.column("reach").to_numpy()[:, None]) & np.isfinite(m["d2"]))
+            yield pa.RecordBatch.from_arrays([pa.array(m["g"][r]), pa.array(batch.column("a").to_numpy()[r]), _fixed(v[r]), pa.array(m["ids"][r, c]), pa.array(d2[r, c]), pa.array(np.ones(len(r), bool))], names=["g", "a", "v", "b", "d2", "fresh"])
+
+    return run
 
 
-def graph_search(queries: DataFrame, lists: DataFrame, k: int = 5, beam: int = 16) -> DataFrame:
-    """``g, a, b, d2, place``: about the k nodes b nearest to each query a, by greedy search in the graph of ``lists``.
+def graph_search(queries: DataFrame, graph: Graph, k: int = 5, beam: int = 16) -> DataFrame:
+    """``g, a, b, d2, place``: about the k nodes b nearest to each query a, by greedy search in ``graph``.
 
-    ``queries``: g, id, v; ``lists``: those of :func:`neighbour_lists`.  A
+    ``queries``: g, id, v; ``graph``: that of :func:`neighbour_lists`.  A
     query enters the graph at the nodes beside it along two curves and holds
     its ``beam`` best nodes; each round opens the lists of those not yet
     opened, which alone are fetched, until no query has any left.  A node with
     the query's own id is not a result.
     """
+    lists = graph.lists
     scratch = Scratch(lists.sparkSession, "search")
     link = "g int, a long, v array<double>, b long, d2 double, fresh boolean"
-    both = lists.select("g", "id", "v", F.lit(False).alias("is_query")).unionByName(queries.select(F.col("g").cast("int").alias("g"), "id", "v", F.lit(True).alias("is_query")))
+    both = graph.nodes().withColumn("is_query", F.lit(False)).unionByName(queries.select(F.col("g").cast("int").alias("g"), "id", "v", F.lit(True).alias("is_query")))
     found = [_along_curve(both, seed).mapInArrow(_entries, link) for seed in SEEDS[:2]]
 
     def best(rows: DataFrame) -> DataFrame:
@@ -538,8 +628,8 @@ def graph_search(queries: DataFrame, lists: DataFrame, k: int = 5, beam: int = 1
         reach = F.when(F.count("*").over(Window.partitionBy("g", "a")) < beam, F.lit(float("inf"))).otherwise(F.max("d2").over(Window.partitionBy("g", "a")))
         ask = scratch.save(held.withColumn("reach", reach).where("fresh").select("g", "a", "v", "b", "reach"), f"ask{r}")
         pivots = ask.select("g", F.col("b").alias("id")).distinct()
-        needed = lists.select("g", "id", "ids", F.col("d2").alias("far"), "vecs").join(pivots, ["g", "id"], "left_semi").withColumnRenamed("id", "b")
-        met = ask.join(needed, ["g", "b"]).mapInArrow(_opened, link)
+        needed = lists.join(pivots, ["g", "id"], "left_semi")
+        met = ask.withColumnRenamed("b", "id").join(needed, ["g", "id"]).mapInArrow(_opened(graph.k), link)
         held = scratch.save(best(held.drop("place").withColumn("fresh", F.lit(False)).unionByName(met)), f"held{r + 1}")
         scratch.drop(f"held{r}", f"ask{r}")
         if not held.where("fresh").limit(1).count():

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from driftmesh.llm.groups import connected_groups
 from driftmesh.llm.leaks import leaked_items
 from driftmesh.llm.mixing import TOKENIZER, budget_tree, one_language, one_spelling, selected, with_tokens
-from driftmesh.llm.neighbours import exact_neighbours, graph_search, links_of, neighbour_graph, neighbour_lists
+from driftmesh.llm.neighbours import exact_neighbours, graph_search, neighbour_graph, neighbour_lists
 from driftmesh.llm.peaks import density_peaks
 from driftmesh.llm.sentences import sentence_ends
 from driftmesh.scratch import Scratch
@@ -109,7 +109,7 @@ def recall(nodes: DataFrame, least: float) -> DataFrame:
     true = Scratch(nodes.sparkSession, "true").save(exact_neighbours(asked, nodes, 5), "true")
     hits = lambda found, name: true.join(found.select("g", "a", "b"), ["g", "a", "b"], "left_semi").agg(F.count("*").alias(name))
     all_ = true.agg(F.countDistinct("g", "a").alias("n_queries"), F.count("*").alias("n_true"))
-    both = all_.crossJoin(hits(links_of(lists.where("id % 100 = 0"), 5), "by_graph")).crossJoin(hits(graph_search(asked, lists, 5), "by_search"))  # four single rows
+    both = all_.crossJoin(hits(lists.links(5), "by_graph")).crossJoin(hits(graph_search(asked, lists, 5), "by_search"))  # four single rows
     return both.select("n_queries", "n_true", *[(F.col(f"by_{w}") >= least * F.col("n_true")).alias(f"{w}_ok") for w in ("graph", "search")])
 
 

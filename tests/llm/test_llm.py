@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from driftmesh.llm.groups import connected_groups
 from driftmesh.llm.leaks import leaked_items, leaks_at, numbered, words_of
 from driftmesh.llm.mixing import budget_tree, one_language, one_spelling, selected, with_tokens
-from driftmesh.llm.neighbours import exact_neighbours, graph_search, links_of, neighbour_graph, neighbour_lists
+from driftmesh.llm.neighbours import exact_neighbours, graph_search, neighbour_graph, neighbour_lists
 from driftmesh.llm.peaks import density_peaks
 from driftmesh.llm.sentences import masked, sentence_ends
 
@@ -101,7 +101,7 @@ def test_many_dimensions_and_search(spark):
     nodes = vectors_of(spark, rows)
     want = knn(rows, 5)
     lists = neighbour_lists(nodes, 5)
-    assert hit_rate(links_of(lists, 5).collect(), want) >= 0.95
+    assert hit_rate(lists.links(5).collect(), want) >= 0.95
     asked = nodes.where("id % 20 = 0")
     few = {u: v for u, v in want.items() if u % 20 == 0}
     assert hit_rate(graph_search(asked, lists, 5).collect(), few) >= 0.9
