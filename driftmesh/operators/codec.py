@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import product
 
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from driftmesh.operators.grid import cell_starts, morton, visit_order
+
 #: Neutral quantisation code; codes are the open interval (0, 2 * MIDDLE).
 MIDDLE = 32768
 #: Points a packed block holds.
@@ -31,8 +34,8 @@ def quantised(visits: DataFrame) -> DataFrame:
     While no code overflows this has a closed form: with ``k`` the rounded
     number of steps of 2 xi from the corner, a code is the difference of
     consecutive ``k`` and the reconstruction is ``corner + 2 xi k``.  Codes
-    can overflow only if a cell is wider than about 65,530 xi; such frames
-    go through :func:`chained`.
+    can overflow only if a cell is wider than about 65,530 xi; those are for
+    :func:`followed`.
     """
     order = Window.partitionBy("run_id", "cell_id").orderBy("seq")
     out = visits
@@ -46,94 +49,194 @@ def quantised(visits: DataFrame) -> DataFrame:
     return out.drop("kx", "ky", "kz")
 
 
-def may_overflow(params: DataFrame) -> bool:
-    """True if some run's cells are so wide that a code may leave its range."""
-    return params.where((F.col("g") + F.col("xi")) / (2 * F.col("xi")) + 0.5 >= MIDDLE).limit(1).count() > 0
+def wide(g: Column, xi: Column) -> Column:
+    """True where a cell is so wide that a code may leave its range."""
+    return (g + xi) / (2 * xi) + 0.5 >= MIDDLE
 
 
-def chained(visits: DataFrame) -> DataFrame:
-    """As :func:`quantised`, with exact values where a code overflows: run_id, cell_id, seq, id, axis, code, outlier, recon.
+def coded(cells: DataFrame) -> DataFrame:
+    """Codes, outliers and reconstruction of all points along each cell's visiting order.
 
-    The recurrence is followed cell by cell; a stretch between two outliers
-    starts from the exact value of the first.
+    ``cells``: points with their cells and, if runs differ in their order, a
+    column ``mode`` (``kd`` or ``morton``, by default the latter).  Result:
+    run_id, id, x, y, z, dim, b, xi, cell_id, seq, visit_pos, ox, oy, oz (where
+    the first prediction starts: the cell's corner, or its centre in mode
+    ``kd``) and per axis code, outlier and recon.  Where no code can overflow
+    the closed form is used; wide cells, and cells in mode ``kd``, follow the
+    recurrence, cell by cell, with exact values (outliers, code null) where a
+    code overflows.
     """
-    schema = "run_id int, cell_id long, seq long, id long, axis int, code long, outlier long, recon double"
-
-    def chain(cell: pd.DataFrame) -> pd.DataFrame:
-        cell = cell.sort_values("seq")
-        dim, xi = int(cell["dim"].iloc[0]), float(cell["xi"].iloc[0])
-        parts = []
-        for k, a in enumerate(axes_of(dim)):
-            last, codes, flags, recon = float(cell[f"o{a}"].iloc[0]), [], [], []
-            for v in cell[a].to_numpy():
-                steps = (v - last) / (2 * xi)
-                steps = np.copysign(np.floor(abs(steps) + 0.5), steps)
-                fits = -MIDDLE < steps < MIDDLE
-                last = last + steps * 2 * xi if fits else v
-                codes.append(int(steps) + MIDDLE if fits else 0)
-                flags.append(int(not fits))
-                recon.append(last)
-            parts.append(pd.DataFrame({"run_id": cell["run_id"], "cell_id": cell["cell_id"], "seq": cell["seq"], "id": cell["id"], "axis": k, "code": codes, "outlier": flags, "recon": recon}))
-        return pd.concat(parts)
-
-    return visits.groupBy("run_id", "cell_id").applyInPandas(chain, schema)
+    mode = F.col("mode") if "mode" in cells.columns else F.lit("morton")
+    placed = cells.withColumn("mode", F.coalesce(mode, F.lit("morton"))).withColumn("slow", (F.col("mode") == "kd") | wide(F.col("g"), F.col("xi")))
+    starts = cell_starts(cells)
+    keep = ["run_id", "id", "x", "y", "z", "dim", "b", "xi", "cell_id", "seq", "visit_pos", "ox", "oy", "oz", *[f"{c}_{a}" for a in "xyz" for c in ("code", "outlier", "recon")]]
+    plain = quantised(visit_order(placed.where("not slow"), starts)).select(keep)
+    slow = followed(placed.where("slow")).join(starts, ["run_id", "cell_id"]).withColumn("visit_pos", F.col("start") + F.col("seq"))
+    return plain.unionByName(slow.select(keep))
 
 
-def decoded(codes: DataFrame) -> DataFrame:
-    """Reconstruction from codes alone (run_id, cell_id, seq, id, dim, xi, ox.., code_x..): sums of codes along each cell."""
-    so_far = Window.partitionBy("run_id", "cell_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = codes
-    for a in "xyz":
-        used = F.lit(True) if a != "z" else F.col("dim") == 3
-        out = out.withColumn(f"recon_{a}", F.when(used, F.col(f"o{a}") + 2 * F.col("xi") * F.sum(F.col(f"code_{a}") - MIDDLE).over(so_far)).otherwise(F.lit(0.0)))
-    return out
+def _steps(v: np.ndarray) -> np.ndarray:
+    return np.copysign(np.floor(np.abs(v) + 0.5), v)
 
 
-def greedy_order(cells: DataFrame, most: int = 4096) -> DataFrame:
-    """``run_id, cell_id, seq, id``: each next point is the unvisited one nearest to the last, from the cell's centre.
+def chained(values: np.ndarray, start: float, xi: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes, outlier flags and reconstruction of one axis along a cell.
 
-    The walk is a recurrence within a cell; cells stream by in order. A cell of more than
-    ``most`` points is walked in that many points at a time along its Morton
-    code, one walk after the other.
+    Between two outliers the chain has a closed form from the value it starts
+    at, so it is worked out in stretches that end at the next outlier.
     """
-    from driftmesh.operators.grid import morton
+    n = len(values)
+    codes, out, recon = np.zeros(n, np.int64), np.zeros(n, bool), np.empty(n)
+    at, base, before, size = 0, start, 0.0, n
+    while at < n:
+        stop = min(n, at + size)
+        k = _steps((values[at:stop] - base) / (2 * xi))
+        step = np.diff(k, prepend=before)
+        over = np.flatnonzero(~(np.abs(step) < MIDDLE))
+        upto = at + (int(over[0]) if len(over) else stop - at)
+        codes[at:upto] = step[: upto - at] + MIDDLE
+        recon[at:upto] = base + 2 * xi * k[: upto - at]
+        if len(over):
+            out[upto], recon[upto], base, before, size = True, values[upto], values[upto], 0.0, 64
+            at = upto + 1
+        else:
+            before, at, size = k[-1], upto, 2 * size
+    return codes, out, recon
+
 
-    inside = Window.partitionBy("run_id", "cell_id").orderBy("m", "id")
-    cut = cells.withColumn("m", morton(cells)).withColumn("part", F.floor((F.row_number().over(inside) - 1) / most))
+#: Points of a cell beyond which the next point is looked for through a grid.
+GRID_FROM = 512
 
-    def walk(points: np.ndarray, centre: np.ndarray) -> list[int]:
-        at, left, order = centre, np.ones(len(points), bool), []
-        for _ in range(len(points)):
-            k = int(np.where(left, ((points - at) ** 2).sum(1), np.inf).argmin())
-            order.append(k)
-            left[k], at = False, points[k]
-        return order
 
-    def walks(batches):
-        rest = None
+def walked(points: np.ndarray, start: np.ndarray, xi: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Order, codes, outlier flags and reconstruction of a cell in which each next point is the unvisited one nearest to the last reconstruction.
+
+    Of equally near points the first one counts.
+    """
+    n, dim = points.shape
+    order, codes, out, recon = np.empty(n, np.int64), np.zeros((n, dim), np.int64), np.zeros((n, dim), bool), np.empty((n, dim))
+    near = _Nearest(points)
+    last = start.astype(float)
+    for t in range(n):
+        k = near.take(last)
+        steps = _steps((points[k] - last) / (2 * xi))
+        fits = np.abs(steps) < MIDDLE
+        last = np.where(fits, last + np.where(fits, steps, 0) * 2 * xi, points[k])
+        order[t], codes[t], out[t], recon[t] = k, np.where(fits, steps + MIDDLE, 0), ~fits, last
+    return order, codes, out, recon
+
+
+class _Nearest:
+    """The unvisited point nearest to a place, over a grid with a few points a cell if there are many."""
+
+    def __init__(self, points: np.ndarray):
+        self.points, self.left = points, np.ones(len(points), bool)
+        self.cells: dict[tuple, list[int]] | None = None
+        if len(points) > GRID_FROM:
+            dim = points.shape[1]
+            self.low, extent = points.min(0), points.max(0) - points.min(0)
+            self.many = max(1, int((len(points) / 4) ** (1 / dim)))
+            self.side = np.where(extent > 0, extent / self.many, 1.0)
+            self.cells = {}
+            for k, c in enumerate(map(tuple, np.minimum(((points - self.low) / self.side).astype(int), self.many - 1).tolist())):
+                self.cells.setdefault(c, []).append(k)
+
+    def take(self, place: np.ndarray) -> int:
+        k = self._plain(place) if self.cells is None else self._by_rings(place)
+        self.left[k] = False
+        return k
+
+    def _plain(self, place: np.ndarray) -> int:
+        return int(np.where(self.left, ((self.points - place) ** 2).sum(1), np.inf).argmin())
+
+    def _by_rings(self, place: np.ndarray) -> int:
+        mid = np.clip(((place - self.low) / self.side).astype(int), 0, self.many - 1)
+        best, ring = (np.inf, -1), 0
+        while ring <= self.many:
+            for c in self._ring(mid, ring):
+                own = self.cells.get(c)
+                if not own:
+                    continue
+                own[:] = [k for k in own if self.left[k]]
+                for k in own:
+                    gap = self.points[k] - place
+                    best = min(best, (float((gap * gap).sum()), k))
+            # what lies beyond the ring is at least this far off
+            beyond = min((place[a] - self.low[a] - (mid[a] - ring) * self.side[a] if mid[a] > ring else np.inf, self.low[a] + (mid[a] + ring + 1) * self.side[a] - place[a] if mid[a] + ring + 1 < self.many else np.inf)[s] for a in range(len(mid)) for s in (0, 1))
+            if beyond == np.inf or (beyond > 0 and best[0] < beyond * beyond * (1 - 1e-12)):
+                break
+            ring += 1
+        return best[1]
+
+    def _ring(self, mid: np.ndarray, ring: int) -> Iterator[tuple]:
+        spans = [range(max(0, m - ring), min(self.many, m + ring + 1)) for m in mid.tolist()]
+        for c in product(*spans):
+            if max(abs(v - m) for v, m in zip(c, mid.tolist())) == ring:
+                yield c
+
+
+def followed(cells: DataFrame) -> DataFrame:
+    """The recurrence of :func:`coded` for cells of any width and mode; cells stream by in order, one at a time."""
+    columns = ["run_id", "id", "x", "y", "z", "dim", "b", "xi", "cell_id", "ox", "oy", "oz", "g", "mode"]
+    names = [f"{c}_{a}" for a in "xyz" for c in ("code", "outlier", "recon")]
+    schema = "run_id int, id long, x double, y double, z double, dim int, b double, xi double, cell_id long, ox double, oy double, oz double, seq long, " + ", ".join(f"code_{a} long, outlier_{a} long, recon_{a} double" for a in "xyz")
+
+    def one(cell: pd.DataFrame) -> pd.DataFrame:
+        dim, xi, kd = int(cell["dim"].iloc[0]), float(cell["xi"].iloc[0]), cell["mode"].iloc[0] == "kd"
+        points, start = cell[["x", "y", "z"]].to_numpy()[:, :dim], cell[["ox", "oy", "oz"]].to_numpy()[0][:dim]
+        if kd:
+            start = start + 0.5 * float(cell["g"].iloc[0])
+            order, codes, out, recon = walked(points, start, xi)
+            cell = cell.iloc[order]
+        else:
+            codes, out, recon = (np.stack(c, 1) for c in zip(*[chained(points[:, k], start[k], xi) for k in range(dim)]))
+        rows = cell[columns[:9]].reset_index(drop=True)
+        for k, a in enumerate("xyz"):
+            rows[f"o{a}"] = start[k] if k < dim else 0.0
+        rows["seq"] = np.arange(len(rows))
+        for k, a in enumerate("xyz"):
+            rows[f"code_{a}"] = pd.array(np.where(out[:, k], 0, codes[:, k]), "Int64") if k < dim else pd.array([pd.NA] * len(rows), "Int64")
+            rows[f"outlier_{a}"] = pd.array(out[:, k].astype(np.int64), "Int64") if k < dim else pd.array([pd.NA] * len(rows), "Int64")
+            rows[f"recon_{a}"] = recon[:, k] if k < dim else 0.0
+            if k < dim:
+                rows.loc[out[:, k], f"code_{a}"] = pd.NA
+        return rows
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
         for batch in batches:
-            rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            key = rest[["run_id", "cell_id", "part"]].to_numpy()
-            cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
-            if len(cuts):
-                yield block(rest.iloc[: cuts[-1]], [0, *cuts])
-                rest = rest.iloc[cuts[-1] :].reset_index(drop=True)
-        if rest is not None and len(rest):
-            yield block(rest, [0, len(rest)])
-
-    def block(rows: pd.DataFrame, cuts: list[int]) -> pd.DataFrame:
-        points, first = rows[["x", "y", "z"]].to_numpy(), rows[["ox", "oy", "oz"]].to_numpy()
-        flat = (rows["dim"] == 3).to_numpy()
-        side, part = rows["g"].to_numpy(), rows["part"].to_numpy()
-        order, seq = np.arange(len(rows)), part * most
-        for a, b in zip(cuts, cuts[1:]):
-            if b - a > 1:
-                order[a:b] = a + np.array(walk(points[a:b], (first[a] + 0.5 * side[a]) * np.array([1, 1, flat[a]])))
-                seq[a:b] += np.arange(b - a)
-        return pd.DataFrame({"run_id": rows["run_id"].to_numpy()[order], "cell_id": rows["cell_id"].to_numpy()[order], "seq": seq, "id": rows["id"].to_numpy()[order]})
-
-    keyed = cut.select("run_id", "cell_id", "part", "id", "x", "y", "z", "ox", "oy", "oz", "g", "dim").repartition("run_id", "cell_id", "part")
-    return keyed.sortWithinPartitions("run_id", "cell_id", "part", "id").mapInPandas(walks, "run_id int, cell_id long, seq long, id long")
+            key = batch[["run_id", "cell_id"]].to_numpy()
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(batch)]
+            for a, b in zip(cuts, cuts[1:]):
+                part = batch.iloc[a:b]
+                if held and tuple(held[0][["run_id", "cell_id"]].iloc[0]) != tuple(part[["run_id", "cell_id"]].iloc[0]):
+                    yield one(pd.concat(held))
+                    held = []
+                if len(part):
+                    held.append(part)
+        if held:
+            yield one(pd.concat(held))
+
+    ordered = cells.withColumn("_order", F.when(F.col("mode") == "kd", F.lit(0)).otherwise(morton(cells)))
+    streams = ordered.select(*columns, "_order").repartition("run_id", "cell_id").sortWithinPartitions("run_id", "cell_id", "_order", "id")
+    return streams.drop("_order").mapInPandas(run, schema)
+
+
+def decoded(codes: DataFrame) -> DataFrame:
+    """Reconstruction from codes and exact values (run_id, cell_id, seq, id, dim, xi, ox.., code_x.., and exact_x.. where there are outliers).
+
+    Codes are summed along each cell, anew from every exact value.
+    """
+    along = Window.partitionBy("run_id", "cell_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = codes
+    for a in "xyz":
+        used = F.lit(True) if a != "z" else F.col("dim") == 3
+        exact = F.col(f"exact_{a}") if f"exact_{a}" in codes.columns else F.lit(None).cast("double")
+        out = out.withColumn("_exact", exact).withColumn("_sum", F.sum(F.when(F.col("_exact").isNull(), F.col(f"code_{a}") - MIDDLE).otherwise(F.lit(0))).over(along))
+        since = F.col("_sum") - F.coalesce(F.last(F.when(F.col("_exact").isNotNull(), F.col("_sum")), True).over(along), F.lit(0))
+        base = F.coalesce(F.last("_exact", True).over(along), F.col(f"o{a}"))
+        out = out.withColumn(f"recon_{a}", F.when(used, base + 2 * F.col("xi") * since).otherwise(F.lit(0.0))).drop("_exact", "_sum")
+    return out
 
 
 def code_rows(quantised_points: DataFrame) -> DataFrame:
@@ -181,39 +284,65 @@ def code_table(counts: DataFrame) -> dict[int, tuple[int, int]]:
     return huffman_table([(r.symbol, r.freq) for r in rows])
 
 
-def pack_codes(codes: DataFrame, table: dict[int, tuple[int, int]]) -> DataFrame:
-    """``run_id, block, n, n_bits, blob``: byte-aligned blocks of coded symbols, most significant bit first, compressed."""
+Table = dict[int, tuple[int, int]]
+
+
+def packed(symbols: np.ndarray, table: Table) -> tuple[bytes, int]:
+    """Coded symbols, most significant bit first, and the number of bits."""
+    known = np.array(sorted(table), np.int64)
+    at = np.searchsorted(known, symbols)
+    code, length = (np.array([table[s][k] for s in known.tolist()], np.int64)[at] for k in (0, 1))
+    stop = np.cumsum(length)
+    place = np.arange(stop[-1] if len(stop) else 0) - np.repeat(stop - length, length)
+    bits = (np.repeat(code, length) >> (np.repeat(length, length) - 1 - place)) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes(), len(bits)
+
+
+def unpacked(raw: bytes, n: int, table: Table) -> np.ndarray:
+    """The ``n`` symbols of :func:`packed`: the symbol that would begin at every bit is looked up at once, then one step a symbol."""
+    if not n:
+        return np.zeros(0, np.int64)
+    longest = max(length for _, length in table.values())
+    aligned = sorted((code << (longest - length), symbol, length) for symbol, (code, length) in table.items())
+    first = np.array([a for a, _, _ in aligned], np.uint64)
+    byte = np.frombuffer(raw + bytes(8), np.uint8).astype(np.uint64)
+    word = np.zeros(len(raw), np.uint64)
+    for k in range(8):
+        word = (word << np.uint64(8)) | byte[k : k + len(raw)]
+    window = (np.repeat(word, 8) << np.tile(np.arange(8, dtype=np.uint64), len(raw))) >> np.uint64(64 - longest)
+    which = np.searchsorted(first, window, "right") - 1
+    length = np.array([size for *_, size in aligned])[which].tolist()
+    places, at = [], 0
+    for _ in range(n):
+        if at >= len(length):
+            raise ValueError("the bits end early")
+        places.append(at)
+        at += length[at]
+    if at > len(length):
+        raise ValueError("the bits end early")
+    return np.array([s for _, s, _ in aligned], np.int64)[which[places]]
+
+
+def pack_codes(codes: DataFrame, table: Table) -> DataFrame:
+    """``run_id, block, n, n_bits, blob``: byte-aligned blocks of coded symbols, compressed."""
     shared = codes.sparkSession.sparkContext.broadcast(table)
 
     def pack(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("pos")
-        pairs = [shared.value[c] for c in block["code"].tolist()]
-        bits = "".join(format(c, f"0{n}b") for c, n in pairs)
-        raw = np.packbits(np.frombuffer(bits.encode(), np.uint8) - 48).tobytes()
-        return pd.DataFrame({"run_id": block["run_id"].iloc[:1].to_numpy(), "block": block["block"].iloc[:1].to_numpy(), "n": [len(block)], "n_bits": [len(bits)], "blob": [zstandard.compress(raw, 3)]})
+        raw, bits = packed(block.sort_values("pos")["code"].to_numpy(), shared.value)
+        return pd.DataFrame({"run_id": block["run_id"].iloc[:1].to_numpy(), "block": block["block"].iloc[:1].to_numpy(), "n": [len(block)], "n_bits": [bits], "blob": [zstandard.compress(raw, 3)]})
 
     cut = codes.withColumn("block", F.floor(F.col("pos") / BLOCK_POINTS))
     return cut.groupBy("run_id", "block").applyInPandas(pack, "run_id int, block long, n long, n_bits long, blob binary")
 
 
-def unpack_codes(blocks: DataFrame, table: dict[int, tuple[int, int]]) -> DataFrame:
+def unpack_codes(blocks: DataFrame, table: Table) -> DataFrame:
     """The rows of :func:`pack_codes` as run_id, pos, code again."""
-    shared = blocks.sparkSession.sparkContext.broadcast({(n, c): s for s, (c, n) in table.items()})
+    shared = blocks.sparkSession.sparkContext.broadcast(table)
 
     def unpack(frames):
         for frame in frames:
             for run, block, n, blob in zip(frame["run_id"], frame["block"], frame["n"], frame["blob"]):
-                codes, code, length = [], 0, 0
-                for bit in np.unpackbits(np.frombuffer(zstandard.decompress(blob), np.uint8)).tolist():
-                    code, length = code << 1 | bit, length + 1
-                    symbol = shared.value.get((length, code))
-                    if symbol is not None:
-                        codes.append(symbol)
-                        code, length = 0, 0
-                        if len(codes) == n:
-                            break
-                if len(codes) != n:
-                    raise ValueError(f"block {block} of run {run} ends early")
+                codes = unpacked(zstandard.decompress(blob), n, shared.value)
                 yield pd.DataFrame({"run_id": np.int32(run), "pos": np.arange(n) + block * BLOCK_POINTS, "code": codes})
 
     return blocks.select("run_id", "block", "n", "blob").mapInPandas(unpack, "run_id int, pos long, code long")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftmesh.operators.components import components
@@ -13,7 +13,7 @@ from driftmesh.scratch import Scratch
 
 #: Levels of a quantised edit.
 LEVELS = 65_535
-#: Pairs a task edits at once, and pairs beyond which a component gets exact values instead.
+#: Pairs a task edits at once, and pairs beyond which a component is spread over many tasks.
 BUCKET_PAIRS, MOST_PAIRS = 20_000, 1_000_000
 #: Constants of the Adam update.
 BETA1, BETA2, EPSILON = 0.9, 0.999, 1e-8
@@ -56,15 +56,28 @@ def _descend(pos, org, i, j, apart, b, xi, dim, lr, steps, losses=None):
     return pos
 
 
+def edit_of(q: Column, xi: Column) -> Column:
+    """The move that a quantised edit stands for."""
+    return q * (4 * xi / LEVELS) - 2 * xi
+
+
 def gradient_edit(recon: DataFrame, points: DataFrame, pairs: DataFrame, lr: float = 0.01, max_iter: int = 1000) -> DataFrame:
-    """The reconstruction with its vulnerable points moved, within xi of their true places, until the links are right.
+    """The reconstruction with its vulnerable points moved, within xi of their true places, until the links are right."""
+    edits = gradient_edits(recon, points, pairs, lr, max_iter)
+    params = pairs.groupBy("run_id").agg(F.first("xi").alias("xi"), F.first("dim").alias("dim"))
+    out = recon.select("run_id", "id", "x", "y", "z").join(params, "run_id", "left").join(edits, ["run_id", "id"], "left")
+    return out.select("run_id", "id", *[(F.col(a) + F.coalesce(edit_of(F.col(f"q{a}"), F.col("xi")), F.lit(0.0))).alias(a) for a in "xyz"], F.col("qx").isNotNull().cast("long").alias("edited"))
+
+
+def gradient_edits(recon: DataFrame, points: DataFrame, pairs: DataFrame, lr: float = 0.01, max_iter: int = 1000) -> DataFrame:
+    """``run_id, id, qx, qy, qz``: quantised moves of all points of vulnerable pairs; qz is null in two dimensions.
 
     Loss and updates are separable over the components of the vulnerable
     pairs; only the step at which a run stops, the first whose loss is below
     the squared tolerance, belongs to the whole run.  Components are packed
     into buckets, a first pass notes each bucket's losses, Spark sums them by
-    step, and a second pass repeats exactly the steps of the run.  Edits are
-    quantised to 16 bits.  Components beyond MOST_PAIRS get exact values.
+    step, and a second pass repeats exactly the steps of the run.  Components
+    of more than MOST_PAIRS pairs take the same steps as joins, one a step.
     """
     scratch = Scratch(recon.sparkSession, "edit")
     comp = components(pairs.select("run_id", "i", "j"))
@@ -74,14 +87,14 @@ def gradient_edit(recon: DataFrame, points: DataFrame, pairs: DataFrame, lr: flo
     true = points.select("run_id", "id", *[F.col(a).alias(f"t{a}") for a in "xyz"])
     place = recon.select("run_id", "id", "x", "y", "z").join(true, ["run_id", "id"])
     for p in "ij":
-        held = held.join(place.select("run_id", F.col("id").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("x", "y", "z", "tx", "ty", "tz")]), ["run_id", p])
+        held = held.join(place.select("run_id", F.col("id").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in _PLACE]), ["run_id", p])
     held = scratch.save(held, "pairs")
     buckets = max(1, -(-held.count() // BUCKET_PAIRS))
     small = held.where(F.col("size") <= MOST_PAIRS).withColumn("bucket", F.pmod(F.xxhash64("run_id", "cluster_id"), F.lit(buckets)).cast("int"))
 
     def arrays(part: pd.DataFrame):
         dim = int(part["dim"].iloc[0])
-        ends = pd.concat([part[[p] + [f"{p}_{c}" for c in ("x", "y", "z", "tx", "ty", "tz")]].set_axis(["id", "x", "y", "z", "tx", "ty", "tz"], axis=1) for p in "ij"]).drop_duplicates("id")
+        ends = pd.concat([part[[p] + [f"{p}_{c}" for c in _PLACE]].set_axis(["id", *_PLACE], axis=1) for p in "ij"]).drop_duplicates("id")
         index = pd.Index(ends["id"])
         pos, org = ends[["x", "y", "z"]].to_numpy()[:, :dim], ends[["tx", "ty", "tz"]].to_numpy()[:, :dim]
         return ends["id"].to_numpy(), pos, org, index.get_indexer(part["i"]), index.get_indexer(part["j"]), part["sign"].to_numpy() == 1, float(part["b"].iloc[0]), float(part["xi"].iloc[0]), dim
@@ -94,21 +107,66 @@ def gradient_edit(recon: DataFrame, points: DataFrame, pairs: DataFrame, lr: flo
 
     noted = small.groupBy("run_id", "bucket").applyInPandas(note, "run_id int, xi double, dim int, losses array<double>")
     by_step = noted.select("run_id", "xi", "dim", F.posexplode("losses").alias("step", "loss")).groupBy("run_id", "xi", "dim", "step").agg(F.sum("loss").alias("loss"))
-    tol = 2 * F.col("xi") / LEVELS * 2 * F.sqrt(F.col("dim").cast("double"))
-    stop = by_step.groupBy("run_id").agg(F.coalesce(F.min(F.when(F.col("loss") < tol * tol, F.col("step"))), F.lit(max_iter)).alias("steps"))
+    by_step = scratch.save(by_step, "losses")
+    big = held.where(F.col("size") > MOST_PAIRS)
+    moved, stop = _by_joins(big, by_step, scratch, lr, max_iter) if big.limit(1).count() else (None, None)
+    plain = by_step.groupBy("run_id").agg(F.coalesce(F.min(F.when(F.col("loss") < _tolerance2(), F.col("step"))), F.lit(max_iter)).alias("steps"))
+    stop = plain if stop is None else plain.join(stop, "run_id", "left_anti").unionByName(stop)
     stop = scratch.save(stop, "stop")
 
     def move(part: pd.DataFrame) -> pd.DataFrame:
         ids, pos, org, i, j, apart, b, xi, dim = arrays(part)
         new = _descend(pos, org, i, j, apart, b, xi, dim, lr, int(part["steps"].iloc[0]))
         q = np.clip(np.floor((new - pos + 2 * xi) * (LEVELS / (4 * xi))), 0, LEVELS).astype(np.int64)
-        q = np.pad(q, ((0, 0), (0, 3 - dim)))
-        return pd.DataFrame({"run_id": part["run_id"].iloc[0], "id": ids, "qx": q[:, 0], "qy": q[:, 1], "qz": q[:, 2], "steps": part["steps"].iloc[0]})
-
-    edits = small.join(stop, "run_id").groupBy("run_id", "bucket").applyInPandas(move, "run_id int, id long, qx long, qy long, qz long, steps int")
-    params = pairs.select("run_id", "xi", "dim").distinct()
-    big = held.where(F.col("size") > MOST_PAIRS).select("run_id", F.explode(F.array("i", "j")).alias("id")).distinct().withColumn("exact", F.lit(True))
-    out = place.join(params, "run_id", "left").join(edits, ["run_id", "id"], "left").join(big, ["run_id", "id"], "left")
-    moved = lambda a: F.col(a) + F.coalesce(F.col(f"q{a}") * (4 * F.col("xi") / LEVELS) - 2 * F.col("xi"), F.lit(0.0))
-    axis = lambda a: F.when(F.col("exact"), F.col(f"t{a}")).otherwise(moved(a) if a != "z" else F.when(F.col("dim") == 3, moved("z")).otherwise(F.col("z")))
-    return out.select("run_id", "id", *[axis(a).alias(a) for a in "xyz"], (F.col("qx").isNotNull() | F.coalesce("exact", F.lit(False))).cast("long").alias("edited"))
+        out = pd.DataFrame({"run_id": part["run_id"].iloc[0], "id": ids, "qx": q[:, 0], "qy": q[:, 1]})
+        out["qz"] = pd.array(q[:, 2] if dim == 3 else [pd.NA] * len(q), "Int64")
+        return out
+
+    edits = small.join(stop, "run_id").groupBy("run_id", "bucket").applyInPandas(move, "run_id int, id long, qx long, qy long, qz long")
+    return edits if moved is None else edits.unionByName(moved)
+
+
+_PLACE = ("x", "y", "z", "tx", "ty", "tz")
+
+
+def _tolerance2() -> Column:
+    tol = 2 * F.col("xi") / LEVELS * 2 * F.sqrt(F.col("dim").cast("double"))
+    return tol * tol
+
+
+def _by_joins(held: DataFrame, losses: DataFrame, scratch: Scratch, lr: float, max_iter: int) -> tuple[DataFrame, DataFrame]:
+    """The edits of components too large for a task, and the steps of their runs: each step joins the pairs with the places.
+
+    ``losses``: those of the runs' other components, by step.
+    """
+    pairs = scratch.save(held.select("run_id", "dim", "b", "xi", "i", "j", (F.col("sign") == 1).alias("apart")), "big")
+    ends = [held.select("run_id", "dim", "xi", F.col(p).alias("id"), *[F.col(f"{p}_{c}").alias(c) for c in _PLACE]) for p in "ij"]
+    state = ends[0].unionByName(ends[1]).distinct().select("*", *[F.col(a).alias(f"s{a}") for a in "xyz"], *[F.lit(0.0).alias(f"{m}{a}") for m in "mv" for a in "xyz"], F.lit(None).cast("int").alias("steps"))
+    state = scratch.save(state, "state0")
+    tol = F.sqrt(_tolerance2())
+    for t in range(max_iter):
+        side = lambda p, s=state: s.select("run_id", F.col("id").alias(p), *[F.col(a).alias(f"{p}{a}") for a in "xyz"])
+        met = pairs.join(side("i"), ["run_id", "i"]).join(side("j"), ["run_id", "j"]).withColumns({f"d{a}": F.col(f"i{a}") - F.col(f"j{a}") for a in "xyz"})
+        met = scratch.save(met.withColumn("d", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz"))), f"met{t}")
+        over = F.when(F.col("apart"), F.least(F.col("d") - F.col("b") - tol, F.lit(0.0))).otherwise(F.greatest(F.col("d") - F.col("b") + tol, F.lit(0.0)))
+        loss = met.groupBy("run_id", "xi", "dim").agg(F.sum(over * over).alias("own"))
+        loss = loss.join(losses.where(F.col("step") == t).select("run_id", "loss"), "run_id", "left").select("run_id", (F.col("own") + F.coalesce("loss", F.lit(0.0)) < _tolerance2()).alias("now"))
+        active = met.where((F.col("d") >= tol) & (F.col("apart") == (F.col("d") <= F.col("b"))))
+        way = F.explode(F.array(F.struct(F.col("i").alias("id"), F.lit(1.0).alias("w")), F.struct(F.col("j").alias("id"), F.lit(-1.0).alias("w"))))
+        pull = active.select("run_id", way.alias("e"), *[(2 * (F.col("d") - F.col("b")) / F.col("d") * F.col(f"d{a}")).alias(f"p{a}") for a in "xyz"])
+        grad = pull.groupBy("run_id", "e.id").agg(*[F.sum(F.col("e.w") * F.col(f"p{a}")).alias(f"g{a}") for a in "xyz"])
+        new = state.join(loss, "run_id", "left").join(grad, ["run_id", "id"], "left").withColumn("steps", F.coalesce("steps", F.when(F.col("now"), F.lit(t))))
+        rate = lr * float(np.sqrt(1 - BETA2 ** (t + 1)) / (1 - BETA1 ** (t + 1)))
+        runs = F.col("steps").isNull()
+        for a in "xyz":
+            g = F.coalesce(f"g{a}", F.lit(0.0))
+            new = new.withColumns({f"m{a}": BETA1 * F.col(f"m{a}") + (1 - BETA1) * g, f"v{a}": BETA2 * F.col(f"v{a}") + (1 - BETA2) * g * g})
+            step = F.col(a) - rate * F.col(f"m{a}") / (F.sqrt(f"v{a}") + EPSILON)
+            new = new.withColumn(a, F.when(runs, F.least(F.greatest(step, F.col(f"t{a}") - F.col("xi")), F.col(f"t{a}") + F.col("xi"))).otherwise(F.col(a)))
+        state = scratch.save(new.select(*state.columns), f"state{t + 1}")
+        scratch.drop(f"state{t}", f"met{t}")
+        if not state.where("steps is null").limit(1).count():
+            break
+    q = lambda a: F.least(F.greatest(F.floor((F.col(a) - F.col(f"s{a}") + 2 * F.col("xi")) * (LEVELS / (4 * F.col("xi")))), F.lit(0)), F.lit(LEVELS)).cast("long")
+    edits = state.select("run_id", "id", q("x").alias("qx"), q("y").alias("qy"), F.when(F.col("dim") == 3, q("z")).alias("qz"))
+    return edits, state.groupBy("run_id").agg(F.coalesce(F.first("steps"), F.lit(max_iter)).alias("steps"))

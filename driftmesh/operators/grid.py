@@ -28,20 +28,30 @@ def axis_ranges(points: DataFrame) -> DataFrame:
     return points.groupBy("run_id", "dim", "link_len").agg(*agg).select("*", *[(F.col(f"max_{a}") - F.col(f"min_{a}")).alias(f"range_{a}") for a in AXES])
 
 
-def grid_params(points: DataFrame, xi_share: float = XI_SHARE) -> DataFrame:
+def error_bound(xi: float, bound: str) -> Column:
+    """xi as a share of the linking length (``link``), of the smallest range of a run's axes (``rel``), or as it is (``abs``)."""
+    smallest = F.when(F.col("dim") == 3, F.least("range_x", "range_y", "range_z")).otherwise(F.least("range_x", "range_y"))
+    return {"link": F.col("b") * xi, "rel": smallest * xi, "abs": F.lit(float(xi))}[bound]
+
+
+def grid_params(points: DataFrame, xi: float | DataFrame = XI_SHARE, bound: str = "link", d: float | None = None) -> DataFrame:
     """Per run the linking length b, error bound xi, cell side g and cells per axis.
 
-    The side is ``b + 2 * sqrt(dim) * xi``, so that points of neighbouring cells
-    at most are within reach after each coordinate moved by xi.
+    b is the run's own linking length, or, with ``d``, that of its extent; for
+    ``bound`` see :func:`error_bound`, or give a table of run_id, xi.  The side is ``b + 2 * sqrt(dim) * xi``,
+    so that points of neighbouring cells at most are within reach after each
+    coordinate moved by xi.
     """
-    p = axis_ranges(points).withColumn("b", F.col("link_len")).withColumn("xi", F.col("b") * xi_share)
+    p = axis_ranges(points)
+    p = p.withColumn("b", F.col("link_len")) if d is None else linking_length(p, d).withColumnRenamed("b_of_extent", "b")
+    p = p.join(xi.select("run_id", "xi"), "run_id") if isinstance(xi, DataFrame) else p.withColumn("xi", error_bound(xi, bound))
     p = p.withColumn("g", F.col("b") + 2 * F.sqrt(F.col("dim").cast("double")) * F.col("xi"))
     return p.select("*", *[F.greatest(F.lit(1), F.ceil(F.col(f"range_{a}") / F.col("g"))).alias(f"cells_{a}") for a in AXES]).drop("link_len")
 
 
-def saved_params(points: DataFrame, xi_share: float = XI_SHARE) -> DataFrame:
+def saved_params(points: DataFrame, xi: float | DataFrame = XI_SHARE, bound: str = "link", d: float | None = None) -> DataFrame:
     """:func:`grid_params`, worked out once; a row a run, so Spark broadcasts it as long as it is small."""
-    return Scratch(points.sparkSession, "params").save(grid_params(points, xi_share), "params")
+    return Scratch(points.sparkSession, "params").save(grid_params(points, xi, bound, d), "params")
 
 
 def linking_length(ranges: DataFrame, d: float = 0.2) -> DataFrame:
@@ -51,18 +61,25 @@ def linking_length(ranges: DataFrame, d: float = 0.2) -> DataFrame:
     return ranges.withColumn("b_of_extent", b)
 
 
+def with_linking_length(points: DataFrame, d: float) -> DataFrame:
+    """``points`` whose linking length is that of their run's extent."""
+    lengths = linking_length(axis_ranges(points), d).select("run_id", F.col("b_of_extent").alias("link_len"))
+    return points.drop("link_len").join(lengths, "run_id")
+
+
 def coarsened(params: DataFrame, steps: int = 200) -> DataFrame:
     """Cell sides grown until a run has at most a cell for every four points.
 
-    The first growth is the root of the excess; then 1 per cent a step.
+    The first growth is the root of the excess; then 1 per cent a step.  A run
+    that needs more than ``steps`` steps fails the job.
     """
     most = F.greatest(F.lit(1), F.floor(F.col("n") / 4))
     cells = lambda g: F.greatest(F.lit(1), F.ceil(F.col("range_x") / g)) * F.greatest(F.lit(1), F.ceil(F.col("range_y") / g)) * F.greatest(F.lit(1), F.ceil(F.col("range_z") / g))
     first = F.when(cells(F.col("g")) > most, F.col("g") * F.pow(cells(F.col("g")) / most, F.lit(1.0) / F.col("dim"))).otherwise(F.col("g"))
     tried = params.withColumn("first", first).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps))))
     side = F.col("first") * F.pow(F.lit(1.01), F.col("step"))
-    fits = tried.where(cells(side) <= most).groupBy("run_id").agg(F.min(F.struct("step", side.alias("g"))).alias("m"))
-    return fits.select("run_id", "m.g")
+    fits = tried.groupBy("run_id").agg(F.min(F.when(cells(side) <= most, F.struct("step", side.alias("g")))).alias("m"))
+    return fits.select("run_id", F.when(F.col("m").isNotNull(), F.col("m.g")).otherwise(F.raise_error(F.lit("a grid needs more steps to be coarse enough")).cast("double")).alias("g"))
 
 
 def with_cells(points: DataFrame, params: DataFrame) -> DataFrame:
@@ -125,11 +142,16 @@ def morton(cells: DataFrame) -> Column:
     return F.shiftleft(spread_bits(z), 2).bitwiseOR(F.shiftleft(spread_bits(ten("y")), 1)).bitwiseOR(spread_bits(ten("x")))
 
 
-def visit_order(cells: DataFrame) -> DataFrame:
+def cell_starts(cells: DataFrame) -> DataFrame:
+    """``run_id, cell_id, start``: points before each occupied cell in raster order."""
+    counts = cells.groupBy("run_id", "cell_id").agg(F.count("*").alias("n"))
+    return prefix_sum(counts, ["run_id"], "cell_id", "n", "start").select("run_id", "cell_id", "start")
+
+
+def visit_order(cells: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """``seq`` within the cell by Morton code and id, and ``visit_pos`` within the run by cell and seq."""
     coded = cells.withColumn("morton", morton(cells))
     inside = Window.partitionBy("run_id", "cell_id").orderBy("morton", "id")
     ranked = coded.withColumn("seq", (F.row_number().over(inside) - 1).cast("long"))
-    counts = cells.groupBy("run_id", "cell_id").agg(F.count("*").alias("n"))
-    starts = prefix_sum(counts, ["run_id"], "cell_id", "n", "start").select("run_id", "cell_id", "start")
+    starts = cell_starts(cells) if starts is None else starts
     return ranked.join(starts, ["run_id", "cell_id"]).withColumn("visit_pos", F.col("start") + F.col("seq")).drop("start")

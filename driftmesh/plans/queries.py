@@ -101,8 +101,13 @@ def celled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def visited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The particles in visiting order with their codes and reconstruction."""
-    visits = grid.visit_order(celled(spark, sf_dir))
-    return Scratch(spark, "visits").save(codec.quantised(visits), "codes")
+    return Scratch(spark, "visits").save(codec.coded(celled(spark, sf_dir)), "codes")
+
+
+def modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``run_id, mode``: the order every run was built in, however it is spelled."""
+    kd = F.lower(F.coalesce("order_mode", F.lit(""))).contains("kd")
+    return table(spark, sf_dir, "runs").where("run_id is not null").groupBy("run_id").agg(F.max(F.when(kd, "kd").otherwise("morton")).alias("mode"))
 
 
 def recon_of(codes: DataFrame) -> DataFrame:
@@ -178,8 +183,27 @@ def visit_order(spark, sf_dir):
 
 
 def kd_order(spark, sf_dir):
-    """Greedy nearest-neighbour order of the particles of every cell."""
-    return codec.greedy_order(celled(spark, sf_dir))
+    """Greedy nearest-neighbour order of the particles of every cell, each next one nearest to the last one's reconstruction."""
+    return codec.followed(celled(spark, sf_dir).withColumn("mode", F.lit("kd"))).select("run_id", "cell_id", "seq", "id")
+
+
+def kd_codes(spark, sf_dir):
+    """Quantisation codes of the runs built in greedy order, and their places in it."""
+    built = celled(spark, sf_dir).join(modes(spark, sf_dir).where("mode = 'kd'"), "run_id")
+    return codec.coded(built).select("run_id", "id", "seq", "visit_pos", "code_x", "code_y", "code_z")
+
+
+def outlier_roundtrip(spark, sf_dir):
+    """Outliers of every run and axis under a bound so tight that codes overflow, and particles that decoding puts off by more than the bound."""
+    points = particles(spark, sf_dir)
+    q = Scratch(spark, "tight").save(codec.coded(grid.with_cells(points, grid.saved_params(points, TIGHT))), "codes")
+    back = codec.decoded(q.drop(*[f"recon_{a}" for a in AXES]).select("*", *[F.when(F.col(f"outlier_{a}") == 1, F.col(a)).alias(f"exact_{a}") for a in AXES]))
+    off = F.greatest(*[F.abs(F.col(a) - F.col(f"recon_{a}")) for a in AXES]) > F.col("xi") * (1 + 1e-6)
+    return back.groupBy("run_id").agg(F.count("*").alias("n"), F.count_if(off).alias("violations"), *[F.coalesce(F.sum(f"outlier_{a}"), F.lit(0)).alias(f"outliers_{a}") for a in AXES])
+
+
+#: Error bound, as a share of the linking length, under which many codes overflow.
+TIGHT = 2e-6
 
 
 def quantize_codes(spark, sf_dir):
@@ -290,7 +314,7 @@ def link_confusion(spark, sf_dir):
 def _two_clusterings(spark, sf_dir, recon=None):
     """Contingency of the clusters of the particles and of a reconstruction, by default the unedited one."""
     q = visited(spark, sf_dir)
-    points = q.select("run_id", "id", *AXES, "dim", "link_len")
+    points = q.select("run_id", "id", *AXES, "dim", F.col("b").alias("link_len"))
     other = (recon or (lambda q: recon_of(q)))(q).select("run_id", "id", *AXES).join(points.select("run_id", "id", "dim", "link_len"), ["run_id", "id"])
     one, two = pairs.clusters(points), pairs.clusters(other)
     return metrics.contingency(one, two)
@@ -306,11 +330,25 @@ def pair_confusion(spark, sf_dir):
     return metrics.adjusted_rand(metrics.pair_confusion(_two_clusterings(spark, sf_dir))).withColumn("ari", F.round("ari", 9))
 
 
-def ari_sampled(spark, sf_dir, share=0.25):
-    """Adjusted Rand index over a sample of particles drawn by the hash of their id."""
-    q = visited(spark, sf_dir)
-    some = q.where(F.pmod(F.xxhash64("id", F.lit(42)), F.lit(1000)) < int(share * 1000))
-    points = some.select("run_id", "id", *AXES, "dim", "link_len")
+#: Particles of a run beyond which the Rand index may be taken over a sample, and of the sample.
+SAMPLE_FROM, SAMPLE = 500_000, 100_000
+
+
+def sampled(points, most=SAMPLE, beyond=SAMPLE_FROM):
+    """The points of every run, but of runs with more than ``beyond`` about ``most``, drawn by the hash of their id.
+
+    The share of each run is fixed beforehand, so no run is ordered.
+    """
+    sizes = points.groupBy("run_id").agg(F.count("*").alias("_n"))
+    level = F.when(F.col("_n") > beyond, most / F.col("_n")).otherwise(1.0)
+    drawn = (F.pmod(F.xxhash64("id", F.lit(42)), F.lit(1 << 30)) / (1 << 30)) < level
+    return points.join(sizes, "run_id").where(drawn).drop("_n")
+
+
+def ari_sampled(spark, sf_dir):
+    """Adjusted Rand index, of runs with more than SAMPLE_FROM particles over a sample."""
+    some = sampled(visited(spark, sf_dir))
+    points = some.select("run_id", "id", *AXES, "dim", F.col("b").alias("link_len"))
     other = recon_of(some).join(points.select("run_id", "id", "dim", "link_len"), ["run_id", "id"])
     one, two = pairs.clusters(points), pairs.clusters(other)
     return metrics.adjusted_rand(metrics.pair_confusion(metrics.contingency(one, two))).withColumn("ari", F.round("ari", 9))
@@ -319,7 +357,7 @@ def ari_sampled(spark, sf_dir, share=0.25):
 def error_stats(spark, sf_dir):
     """Errors of the reconstruction, rounded."""
     q = visited(spark, sf_dir)
-    points = q.select("run_id", "id", *AXES, "dim", "link_len")
+    points = q.select("run_id", "id", *AXES, "dim", F.col("b").alias("link_len"))
     e = metrics.error_stats(points, recon_of(q), grid.axis_ranges(points))
     return e.select("run_id", "n", *[F.round(c, 6).alias(c) for c in ("max_error", "mse", "rmse", "nrmse", "psnr")])
 
@@ -387,10 +425,11 @@ def huffman_code_lengths(spark, sf_dir):
 
 
 def huffman_bits(spark, sf_dir):
-    """Coded blocks of every run, their bits and packed bytes."""
+    """Codes of all runs, their bits as packed, and distinct symbols."""
     codes = Scratch(spark, "codes").save(codec.code_rows(visited(spark, sf_dir)), "codes")
-    blocks = codec.pack_codes(codes, codec.code_table(codec.symbol_counts(codes)))
-    return blocks.groupBy("run_id").agg(F.count("*").alias("blocks"), F.sum("n").alias("codes"), F.sum("n_bits").alias("bits"), F.sum(F.octet_length("blob")).alias("bytes"))
+    counts = Scratch(spark, "symbols").save(codec.symbol_counts(codes), "counts")
+    blocks = codec.pack_codes(codes, codec.code_table(counts))
+    return blocks.agg(F.sum("n").alias("codes"), F.sum("n_bits").alias("bits")).crossJoin(counts.agg(F.count("*").alias("symbols")))  # two single rows
 
 
 def entropy_roundtrip(spark, sf_dir):
@@ -419,10 +458,48 @@ def unpack_flags(spark, sf_dir):
     return bits.groupBy("run_id").agg(F.count("*").alias("bits"), F.sum("flag").alias("set_bits"))
 
 
+def _contained(spark, sf_dir, **how) -> tuple[DataFrame, DataFrame, str]:
+    """Particles, what comes out of a container of them, and the container's path."""
+    points = particles(spark, sf_dir)
+    path = Scratch(spark, "container").path("runs")
+    container.compress(points, path, **how)
+    return points, container.decompress(spark, path), path
+
+
+def _compared(points, back):
+    """Per run the particles, those off by more than the error bound (and the rounding of an edit), the edited ones and those of them that are exact."""
+    both = points.join(back.select("run_id", "id", "edited", *[F.col(a).alias(f"r{a}") for a in AXES]), ["run_id", "id"], "left")
+    most = F.greatest(*[F.abs(F.col(a) - F.col(f"r{a}")) for a in AXES])
+    off = most > F.col("link_len") * grid.XI_SHARE * (1 + 4 / edit.LEVELS + 1e-9)
+    return both.groupBy("run_id").agg(F.count("*").alias("n"), F.count_if(off | F.col("rx").isNull()).alias("violations"), F.count_if("edited").alias("edited"), F.count_if(F.col("edited") & (most == 0)).alias("exact"))
+
+
+def container_edit_roundtrip(spark, sf_dir):
+    """Compressing with gradient edits and decompressing: particles, particles off, edited particles."""
+    points, back, _ = _contained(spark, sf_dir, modes=modes(spark, sf_dir), how="gradient", steps=50)
+    return _compared(points, back).drop("exact")
+
+
+def container_lossless_roundtrip(spark, sf_dir):
+    """Compressing with exact values of vulnerable particles and decompressing: particles, particles off, edited and exact ones."""
+    points, back, _ = _contained(spark, sf_dir, how="exact")
+    return _compared(points, back)
+
+
+def edit_only_roundtrip(spark, sf_dir):
+    """A container of exact edits alone, applied to the base it was made for: particles, particles off, edited and exact ones."""
+    q = visited(spark, sf_dir)
+    points, base = q.select("run_id", "id", *AXES, "dim", F.col("b").alias("link_len")), recon_of(q)
+    path = Scratch(spark, "container").path("edits")
+    container.compress_edits(points, base, path, grid.XI_SHARE, how="exact")
+    return _compared(points, container.decompress(spark, path, base))
+
+
 def size_accounting(spark, sf_dir):
-    """Bytes of the coded stream against raw doubles, and bits per particle and axis."""
-    sizes = huffman_bits(spark, sf_dir)
-    return sizes.select("run_id", (F.col("codes") * 8).alias("raw_bytes"), F.col("bytes").alias("payload_bytes"), (F.col("codes") * 8 / F.col("bytes")).alias("ratio"), (F.col("bytes") * 8 / F.col("codes")).alias("bits_per_value"))
+    """Particles, values, outliers, exact edits and raw bytes of a container, and whether it takes less than the raw values."""
+    _, _, path = _contained(spark, sf_dir, how="exact")
+    r = container.size_report(spark, path)
+    return r.select("particles", "values", "outliers", "exact_edits", "raw_bytes", (F.col("payload_bytes") < F.col("raw_bytes")).alias("smaller"))
 
 
 def _widths(points: DataFrame) -> DataFrame:
@@ -480,6 +557,11 @@ def particle_scan_events2d(spark, sf_dir):
     return _scan(adapters.events2d(spark, sf_dir))
 
 
+def particle_scan_lineitem3d(spark, sf_dir):
+    """Line items as particles."""
+    return _scan(adapters.lineitem3d(spark, sf_dir))
+
+
 def particle_scan_emb3d(spark, sf_dir):
     """Embeddings as particles."""
     return _scan(adapters.emb3d(spark, sf_dir))
@@ -499,6 +581,17 @@ def fof_clusters_events2d(spark, sf_dir):
     return _clusters_of(adapters.events2d(spark, sf_dir))
 
 
+def fof_clusters_lineitem3d(spark, sf_dir):
+    """Friends-of-friends clusters of line items."""
+    return _clusters_of(adapters.lineitem3d(spark, sf_dir))
+
+
+def pairs_lineitem3d(spark, sf_dir):
+    """Vulnerable pairs of line items, with sign."""
+    points = Scratch(spark, "adapted").save(adapters.lineitem3d(spark, sf_dir), "points")
+    return pairs.vulnerable_pairs(points, grid.saved_params(points)).select("i", "j", "sign")
+
+
 def fof_clusters_emb3d(spark, sf_dir):
     """Friends-of-friends clusters of embeddings."""
     return _clusters_of(adapters.emb3d(spark, sf_dir))
@@ -508,8 +601,7 @@ def raw_roundtrip(spark, sf_dir):
     """Number and extent of the particles of three axes after writing and reading raw coordinate files."""
     raw.register(spark)
     scratch = Scratch(spark, "raw")
-    path = scratch.path("points").removeprefix("file:")
-    path = "/" + path.lstrip("/") if path.startswith("//") else path
+    path = scratch.path("points")
     particles(spark, sf_dir).where("dim = 3").select(*AXES).write.format("raw_points").mode("append").options(path=path, dim="3").save()
     back = spark.read.format("raw_points").options(path=path, dim="3").load()
     return back.agg(F.count("*").alias("n"), *[f(a).alias(f"{n}_{a}") for a in AXES for f, n in ((F.min, "min"), (F.max, "max"))])
@@ -537,9 +629,9 @@ def arrival_windows(spark, sf_dir):
 
 
 _QUERIES = (
-    particle_scan_orders2d, particle_scan_events2d, particle_scan_emb3d, fof_clusters_orders2d, fof_clusters_events2d, fof_clusters_emb3d, raw_roundtrip, container_roundtrip, arrival_windows,
+    particle_scan_orders2d, particle_scan_events2d, particle_scan_emb3d, particle_scan_lineitem3d, fof_clusters_lineitem3d, pairs_lineitem3d, fof_clusters_orders2d, fof_clusters_events2d, fof_clusters_emb3d, raw_roundtrip, container_roundtrip, container_edit_roundtrip, container_lossless_roundtrip, edit_only_roundtrip, arrival_windows,
     p2_found, p2_rank_stats, p3_found, run_ranges, derive_params, extent_linking_length, grid_coarsen, cell_assign, cell_histogram, cell_decode_coords,
-    cell_offsets, cell_gap_runs, morton_code, visit_order, kd_order, quantize_codes, quantize_recon, outlier_flags, decode_recon, roundtrip_check,
+    cell_offsets, cell_gap_runs, morton_code, visit_order, kd_order, kd_codes, outlier_roundtrip, quantize_codes, quantize_recon, outlier_flags, decode_recon, roundtrip_check,
     fof_links, fof_clusters, halo_catalog, halo_size_hist, halo_topk, vulnerable_pairs, editable_points, pair_summary, violated_pairs, link_confusion,
     contingency, pair_confusion, ari_sampled, error_stats, auto_xi, pgd_loss0, pgd_gradient0, pgd_edit, lossless_edit, lossless_edit_ari, symbol_freq,
     huffman_code_lengths, huffman_bits, entropy_roundtrip, pack_flags, unpack_flags, size_accounting, bbox_by_block, neighbor_blocks, ghost_rows,

@@ -122,10 +122,42 @@ pla AS (SELECT 0 AS run_id, {3 if z else 2} AS dim, {link_len}::DOUBLE AS b, 0.0
 _ADAPTED = {
     "orders2d": _adapted("SELECT o_orderkey AS id, o_totalprice AS x, date_diff('day', DATE '1970-01-01', o_orderdate::DATE)::DOUBLE AS y FROM orders", False, 4.0),
     "events2d": _adapted("SELECT event_id AS id, epoch_us(ts)::DOUBLE AS x, value AS y FROM events", False, 2.0),
+    "lineitem3d": _adapted("SELECT (l_orderkey * 10 + l_linenumber) * 4096 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS id, l_extendedprice AS x, date_diff('day', DATE '1970-01-01', l_shipdate::DATE)::DOUBLE AS y, l_partkey::DOUBLE AS z FROM lineitem", True, 2.371262),
     "emb3d": _adapted("SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings", True, 25.0),
 }
 
 
+_WALK_STEP = "CASE WHEN abs(round((p.{a} - w.{a}) / (2 * w.xi))) < 32768 THEN w.{a} + round((p.{a} - w.{a}) / (2 * w.xi)) * 2 * w.xi ELSE p.{a} END AS {a}"
+#: The greedy walk of every cell: the place so far (x, y, z), the particles visited and the last of them.
+WALK = f"""{CELLS},
+kdp AS (SELECT run_id, cell_id, list({{'id': id, 'x': x, 'y': y, 'z': z}} ORDER BY id) AS pts, any_value(dim) AS dim, any_value(xi) AS xi, {', '.join(f"any_value(o{a}) + 0.5 * any_value(g){' * (any_value(dim) = 3)::INT' if a == 'z' else ''} AS {a}" for a in _AXES)} FROM cel GROUP BY 1, 2),
+wlk AS (
+  SELECT run_id, cell_id, dim, xi, pts, x, y, z, -1::BIGINT AS seq, NULL::BIGINT AS id, 0.0::DOUBLE AS px, 0.0::DOUBLE AS py, 0.0::DOUBLE AS pz, x AS qx, y AS qy, z AS qz FROM kdp
+  UNION ALL
+  SELECT w.run_id, w.cell_id, w.dim, w.xi, list_filter(w.pts, lambda e: e.id <> p.id) AS pts, {', '.join(_WALK_STEP.format(a=a) for a in _AXES)}, w.seq + 1 AS seq, p.id, p.x AS px, p.y AS py, p.z AS pz, w.x AS qx, w.y AS qy, w.z AS qz
+  FROM (SELECT *, list_sort(list_transform(pts, lambda e: {{'d': (e.x - x) * (e.x - x) + (e.y - y) * (e.y - y) + (e.z - z) * (e.z - z), 'id': e.id, 'x': e.x, 'y': e.y, 'z': e.z}}))[1] AS p FROM wlk WHERE len(pts) > 0) w)"""
+#: The chain of every cell under a tight bound, with outliers.
+_CHAIN_STEP = "CASE WHEN abs(round((v.{a} - c.r{a}) / (2 * c.xi))) < 32768 THEN c.r{a} + round((v.{a} - c.r{a}) / (2 * c.xi)) * 2 * c.xi ELSE v.{a} END AS r{a}, (abs(round((v.{a} - c.r{a}) / (2 * c.xi))) >= 32768)::INT AS f{a}"
+
+
+def _chain(visits: str) -> str:
+    return f"""{visits},
+chn AS (
+  SELECT run_id, cell_id, any_value(xi) AS xi, {', '.join(f'any_value(o{a}) AS r{a}, 0 AS f{a}' for a in _AXES)}, -1::BIGINT AS seq FROM vis GROUP BY 1, 2
+  UNION ALL
+  SELECT c.run_id, c.cell_id, c.xi, {', '.join(_CHAIN_STEP.format(a=a) for a in _AXES)}, c.seq + 1 FROM chn c JOIN vis v ON v.run_id = c.run_id AND v.cell_id = c.cell_id AND v.seq = c.seq + 1)"""
+
+
+#: A Huffman tree: the trees left (weight, age, symbols), the lightest two joined a step; the symbols of each step's new tree get one bit longer.
+HUFFMAN = f"""{CODES},
+frq AS (SELECT symbol, count(*) AS freq FROM (SELECT code_x AS symbol FROM qua UNION ALL SELECT code_y FROM qua UNION ALL SELECT code_z FROM qua WHERE dim = 3) GROUP BY 1),
+huf AS (
+  SELECT list_sort(list({{'f': freq, 'k': k, 'm': [symbol]}})) AS trees, []::BIGINT[] AS m, max(k) + 1 AS k FROM (SELECT *, row_number() OVER (ORDER BY symbol) AS k FROM frq)
+  UNION ALL
+  SELECT list_sort(list_append(trees[3:], {{'f': trees[1].f + trees[2].f, 'k': k, 'm': list_concat(trees[1].m, trees[2].m)}})), list_concat(trees[1].m, trees[2].m), k + 1 FROM huf WHERE len(trees) > 1),
+dep AS (SELECT symbol, greatest(count(*), 1) AS length FROM (SELECT unnest(m) AS symbol FROM huf) GROUP BY 1)"""
+
+
 def _w(ctes: str, select: str) -> str:
     return f"WITH RECURSIVE {ctes}\n{select}"
 
@@ -177,6 +209,7 @@ lc AS (SELECT run_id, count(*) FILTER (sign = 1 AND r2 > b * b) AS tp, count(*)
             "SELECT *, round((tp::DOUBLE * tn - fp::DOUBLE * fn) / nullif(sqrt(tp::DOUBLE + fp) * sqrt(tp::DOUBLE + fn) * sqrt(tn::DOUBLE + fp) * sqrt(tn::DOUBLE + fn), 0), 6) AS mcc FROM lc",
         ),
         "contingency": _w(_BASE, "SELECT run_id, one AS cluster_id, other AS recon_cluster_id, n FROM two"),
+        "ari_sampled": _w(_BASE, f"SELECT run_id, tp::DOUBLE AS tp, fp::DOUBLE AS fp, fn::DOUBLE AS fn, tn::DOUBLE AS tn, {_ARI} AS ari FROM con"),
         "pair_confusion": _w(_BASE, f"SELECT run_id, tp::DOUBLE AS tp, fp::DOUBLE AS fp, fn::DOUBLE AS fn, tn::DOUBLE AS tn, {_ARI} AS ari FROM con"),
         "lossless_edit_ari": _w(_EXACT, f"SELECT run_id, {_ARI} AS ari FROM con"),
         "lossless_edit": _w(
@@ -199,6 +232,20 @@ act AS (SELECT *, 2 * (d - b) / d AS pull FROM mea WHERE d >= tol AND sign = (d
 ends AS (SELECT run_id, i AS id, pull * dx AS px, pull * dy AS py, pull * dz AS pz FROM act UNION ALL SELECT run_id, j, -pull * dx, -pull * dy, -pull * dz FROM act)""",
             "SELECT run_id, id, round(sum(px) + 0.0, 6) AS grad_x, round(sum(py) + 0.0, 6) AS grad_y, round(sum(pz) + 0.0, 6) AS grad_z FROM ends GROUP BY 1, 2",
         ),
+        "kd_order": _w(WALK, "SELECT run_id, cell_id, seq, id FROM wlk WHERE seq >= 0"),
+        "kd_codes": _w(
+            f"""{WALK},
+sta AS (SELECT run_id, cell_id, sum(n) OVER (PARTITION BY run_id ORDER BY cell_id) - n AS start FROM (SELECT run_id, cell_id, count(*) AS n FROM cel GROUP BY 1, 2))""",
+            f"SELECT w.run_id, w.id, w.seq, (s.start + w.seq)::BIGINT AS visit_pos, {', '.join(('CASE WHEN dim = 3 THEN ' if a == 'z' else '') + f'round((p{a} - q{a}) / (2 * xi))::BIGINT + 32768' + (' END' if a == 'z' else '') + f' AS code_{a}' for a in _AXES)} FROM wlk w JOIN sta s ON w.run_id = s.run_id AND w.cell_id = s.cell_id WHERE seq >= 0 AND w.run_id IN (SELECT run_id FROM runs WHERE lower(order_mode) LIKE '%kd%')",
+        ),
+        "outlier_roundtrip": _w(_chain(VISITS.replace("link_len * 0.05", "link_len * 2e-6")), "SELECT run_id, count(*) AS n, 0::BIGINT AS violations, sum(fx)::BIGINT AS outliers_x, sum(fy)::BIGINT AS outliers_y, sum(fz)::BIGINT AS outliers_z FROM chn WHERE seq >= 0 GROUP BY 1"),
+        "huffman_code_lengths": _w(HUFFMAN, "SELECT symbol, freq, length::INT AS length FROM frq JOIN dep USING (symbol)"),
+        "huffman_bits": _w(HUFFMAN, "SELECT sum(freq)::BIGINT AS codes, sum(freq * length)::BIGINT AS bits, count(*) AS symbols FROM frq JOIN dep USING (symbol)"),
+        "container_edit_roundtrip": _w(f"{PAIRS}, {EDITABLE}", "SELECT q.run_id, count(*) AS n, 0::BIGINT AS violations, count(e.id) AS edited FROM qua q LEFT JOIN edi e ON q.run_id = e.run_id AND q.id = e.id GROUP BY 1"),
+        "container_lossless_roundtrip": _w(f"{PAIRS}, {EDITABLE}", "SELECT q.run_id, count(*) AS n, 0::BIGINT AS violations, count(e.id) AS edited, count(e.id) AS exact FROM qua q LEFT JOIN edi e ON q.run_id = e.run_id AND q.id = e.id GROUP BY 1"),
+        "edit_only_roundtrip": _w(f"{PAIRS}, {EDITABLE}", "SELECT q.run_id, count(*) AS n, 0::BIGINT AS violations, count(e.id) AS edited, count(e.id) AS exact FROM qua q LEFT JOIN edi e ON q.run_id = e.run_id AND q.id = e.id GROUP BY 1"),
+        "size_accounting": _w(f"{PAIRS}, {EDITABLE}", "SELECT count(*) AS particles, sum(q.dim)::BIGINT AS values, 0::BIGINT AS outliers, sum(CASE WHEN e.id IS NOT NULL THEN q.dim ELSE 0 END)::BIGINT AS exact_edits, sum(q.dim)::BIGINT * 8 AS raw_bytes, true AS smaller FROM qua q LEFT JOIN edi e ON q.run_id = e.run_id AND q.id = e.id"),
+        "pairs_lineitem3d": _w(_ADAPTED["lineitem3d"].replace("0.0 AS xi", "2.371262::DOUBLE * 0.05::DOUBLE AS xi").replace("x / 2.371262", "x / 4").replace("y / 2.371262", "y / 4").replace("z / 2.371262", "z / 4") + "," + _near("pla", _BAND, "vul"), "SELECT i, j, (d2 > b * b)::INT::BIGINT AS sign FROM vul"),
         "symbol_freq": _w(CODES, "SELECT symbol, count(*) AS freq FROM (SELECT code_x AS symbol FROM qua UNION ALL SELECT code_y FROM qua UNION ALL SELECT code_z FROM qua WHERE dim = 3) GROUP BY 1"),
         "entropy_roundtrip": _w(CODES, "SELECT run_id, sum(dim)::BIGINT AS codes, 0::BIGINT AS changed FROM qua GROUP BY 1"),
         "pack_flags": _w(f"{PAIRS}, {EDITABLE}", "SELECT q.run_id, q.visit_pos // 8 AS byte_no, sum(CASE WHEN e.id IS NULL THEN 0 ELSE 1::BIGINT << (7 - q.visit_pos % 8)::INT END)::BIGINT AS byte FROM qua q LEFT JOIN edi e ON q.run_id = e.run_id AND q.id = e.id GROUP BY 1, 2"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from driftmesh.sources.tables import table
 
@@ -34,3 +35,11 @@ def events2d(spark: SparkSession, sf_dir: str, link_len: float = 2.0) -> DataFra
 def emb3d(spark: SparkSession, sf_dir: str, link_len: float = 25.0) -> DataFrame:
     """Embeddings by their first three values."""
     return as_particles(table(spark, sf_dir, "embeddings"), F.col("vec_id"), [F.get("embedding", F.lit(k)) for k in range(3)], link_len)
+
+
+def lineitem3d(spark: SparkSession, sf_dir: str, link_len: float = 2.371262) -> DataFrame:
+    """Line items by price, day of shipping and part; the id is made of order, line and, where these repeat, the row's place among its like."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    like = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    rows = rows.withColumn("ident", (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 4096 + F.row_number().over(like))
+    return as_particles(rows, F.col("ident"), [F.col("l_extendedprice"), F.unix_date(F.to_date("l_shipdate")), F.col("l_partkey")], link_len)

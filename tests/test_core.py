@@ -189,35 +189,66 @@ def test_prefix_sum_over_stretches(spark):
 # --- codec
 
 
-def test_closed_form_equals_the_chain_and_decodes(spark):
-    points, _ = cloud(spark, 250)
-    visits = grid.visit_order(grid.with_cells(points, grid.grid_params(points)))
-    q = codec.quantised(visits).cache()
-    chain = {(r.id, r.axis): (r.code, r.recon) for r in codec.chained(visits).collect()}
-    for r in q.collect():
-        for k, a in enumerate("xyz"):
-            assert chain[r.id, k][0] == r[f"code_{a}"] and abs(chain[r.id, k][1] - r[f"recon_{a}"]) < 1e-9
-            assert abs(r[f"recon_{a}"] - r[a]) <= r.xi * (1 + 1e-9)
-    back = {r.id: r.recon_x for r in codec.decoded(q.drop("recon_x", "recon_y", "recon_z")).collect()}
-    assert all(abs(back[r.id] - r.recon_x) < 1e-9 for r in q.collect())
-
-
-def test_chain_keeps_overflowing_coordinates_exact(spark):
-    points, _ = cloud(spark, 60)
-    params = grid.grid_params(points, 1e-6)
-    assert codec.may_overflow(params)
-    visits = grid.visit_order(grid.with_cells(points, params))
-    truth = {(r.id, k): r[a] for r in visits.collect() for k, a in enumerate("xyz")}
-    rows = codec.chained(visits).collect()
-    assert any(r.outlier for r in rows)
-    assert all(abs(r.recon - truth[r.id, r.axis]) <= 1e-6 * (1 + 1e-6) for r in rows)
-
-
-def test_greedy_order_visits_every_point_once(spark):
-    points, rows = cloud(spark, 80)
-    order = codec.greedy_order(grid.with_cells(points, grid.grid_params(points)), most=3).collect()
-    assert sorted(r.id for r in order) == sorted(r[1] for r in rows)
-    assert len({(r.cell_id, r.seq) for r in order}) == len(rows)
+def cells_of(points, xi=0.05, mode="morton"):
+    return grid.with_cells(points, grid.grid_params(points, xi)).withColumn("mode", F.lit(mode))
+
+
+def plain_chain(values, start, xi):
+    codes, last = [], start
+    for v in values:
+        k = (v - last) / (2 * xi)
+        k = int(math.copysign(math.floor(abs(k) + 0.5), k))
+        codes.append(k + 32768 if abs(k) < 32768 else None)
+        last = last + k * 2 * xi if abs(k) < 32768 else v
+    return codes, last
+
+
+@pytest.mark.parametrize("xi", [0.05, 1e-5, 1e-6])
+@pytest.mark.parametrize("mode", ["morton", "kd"])
+def test_codes_follow_the_recurrence_and_decode(spark, xi, mode):
+    points, _ = cloud(spark, 150)
+    rows = codec.coded(cells_of(points, xi, mode)).cache()
+    by_cell = {}
+    for r in sorted(rows.collect(), key=lambda r: (r.cell_id, r.seq)):
+        by_cell.setdefault(r.cell_id, []).append(r)
+    for cell in by_cell.values():
+        assert [r.seq for r in cell] == list(range(len(cell)))
+        for a in "xyz":
+            assert [r[f"code_{a}"] for r in cell] == plain_chain([r[a] for r in cell], cell[0][f"o{a}"], xi)[0]
+            assert all(abs(r[f"recon_{a}"] - r[a]) <= xi * (1 + 1e-6) and r[f"outlier_{a}"] == (r[f"code_{a}"] is None) for r in cell)
+        if mode == "kd":  # each next point is nearest to the last reconstruction
+            at = np.array([cell[0].ox, cell[0].oy, cell[0].oz])
+            for k, r in enumerate(cell):
+                far = [((np.array([q.x, q.y, q.z]) - at) ** 2).sum() for q in cell[k:]]
+                assert far[0] <= min(far) + 1e-12
+                at = np.array([r.recon_x, r.recon_y, r.recon_z])
+    assert sorted(r.visit_pos for c in by_cell.values() for r in c) == list(range(150))
+    back = codec.decoded(rows.drop(*[f"recon_{a}" for a in "xyz"]).select("*", *[F.when(F.col(f"outlier_{a}") == 1, F.col(a)).alias(f"exact_{a}") for a in "xyz"]))
+    recon = {r.id: r for r in rows.collect()}
+    assert all(abs(r[f"recon_{a}"] - recon[r.id][f"recon_{a}"]) < 1e-9 for r in back.collect() for a in "xyz")
+
+
+def test_the_grid_finds_the_same_next_points(monkeypatch):
+    rng = np.random.default_rng(3)
+    for dim in (2, 3):
+        points = np.round(rng.uniform(0, 4, (400, dim)), 1)
+        points[:40] = points[0]
+        plain = codec.walked(points, np.full(dim, 2.0), 0.01)
+        monkeypatch.setattr(codec, "GRID_FROM", 10)
+        grid_ = codec.walked(points, np.full(dim, 2.0), 0.01)
+        monkeypatch.undo()
+        assert all((a == b).all() for a, b in zip(plain, grid_))
+
+
+def test_symbols_come_back_from_bits():
+    rng = np.random.default_rng(6)
+    for weights in ([5], [5, 1], [2**k for k in range(30)], rng.integers(1, 50, 300).tolist()):
+        table = codec.huffman_table([(7 * k, w) for k, w in enumerate(weights)])
+        symbols = rng.choice([7 * k for k in range(len(weights))], 500)
+        raw, bits = codec.packed(symbols, table)
+        assert bits == sum(table[s][1] for s in symbols.tolist()) and (codec.unpacked(raw, 500, table) == symbols).all()
+    with pytest.raises(ValueError, match="early"):
+        codec.unpacked(raw[:3], 500, table)
 
 
 def test_huffman_goldens():
@@ -293,6 +324,22 @@ def test_raw_files_come_back(spark, tmp_path):
         spark.read.format("raw_points").options(path=str(tmp_path / "bad.bin"), dim="3").load().count()
 
 
+def test_raw_writer_gives_one_file_an_axis_and_vectors_are_read(spark, tmp_path):
+    raw.register(spark)
+    points, rows = cloud(spark, 40)
+    path = str(tmp_path / "axes")
+    points.write.format("raw_points").mode("append").options(path=path, dim="3", dtype="f32", layout="axes").save()
+    import os
+
+    assert {f.split(".", 1)[1] for f in os.listdir(path)} == {"xx.f32", "yy.f32", "zz.f32"}
+    back = spark.read.format("raw_points").options(path=path, dim="3", dtype="f32").load()
+    assert sorted(tuple(r) for r in back.select("x", "y", "z").collect()) == sorted(tuple(r[2:5]) for r in rows)
+    np.arange(5.0).tofile(tmp_path / "v.bin")
+    assert [r.x for r in spark.read.format("raw_points").options(path=str(tmp_path / "v.bin"), dim="1").load().orderBy("idx").collect()] == [0, 1, 2, 3, 4]
+    with pytest.raises(Exception, match="mounted"):
+        spark.read.format("raw_points").options(path="hdfs://a/b", dim="3").load().count()
+
+
 def test_raw_files_one_an_axis(spark, tmp_path):
     raw.register(spark)
     for a in "xy":
@@ -308,13 +355,66 @@ def test_container_keeps_every_particle_within_the_bound(spark, tmp_path):
     assert all(abs(u - v) <= 0.05 * (1 + 1e-9) for r in rows for u, v in zip(r[2:5], back[r[1]])) and len(back) == len(rows)
 
 
+@pytest.mark.parametrize("how,mode,xi", [("gradient", "kd", 0.05), ("exact", "morton", 0.05), ("none", "morton", 1e-6)])
+def test_containers_keep_links_and_bounds(spark, tmp_path, how, mode, xi):
+    points, rows = cloud(spark, 300, side=6.0)
+    container.compress(points, str(tmp_path / "c"), xi, modes=points.select("run_id", F.lit(mode).alias("mode")).distinct(), how=how, steps=300)
+    back = container.decompress(spark, str(tmp_path / "c")).cache()
+    got = {r.id: (r.x, r.y, r.z) for r in back.collect()}
+    assert len(got) == 300 and all(abs(u - v) <= xi * (1 + 1e-4) for r in rows for u, v in zip(r[2:5], got[r[1]]))
+    vp = pairs.vulnerable_pairs(points, grid.grid_params(points, xi))
+    wrong = pairs.with_distance(vp, back).where("(r2 > b * b) <> (sign = 1)").count()
+    assert wrong == 0 if how == "exact" else wrong <= 5
+    r = container.size_report(spark, str(tmp_path / "c")).first()
+    assert r.particles == 300 and (r.outliers > 0) == (xi < 1e-3) and (r.edits > 0) == (how == "gradient") and (r.exact_edits > 0) == (how == "exact")
+
+
+def test_edits_alone_repair_a_foreign_base(spark, tmp_path):
+    points, _ = cloud(spark, 200, dim=2, side=9.0)
+    base = points.withColumn("x", F.col("x") + F.when(F.col("id") % 2 == 0, 0.03).otherwise(-0.03))
+    container.compress_edits(points, base, str(tmp_path / "e"), how="exact")
+    back = container.decompress(spark, str(tmp_path / "e"), base)
+    params = spark.read.parquet(str(tmp_path / "e" / "params"))
+    assert abs(params.first().xi - 0.03) < 1e-9
+    vp = pairs.vulnerable_pairs(points, params)
+    assert pairs.with_distance(vp, back).where("(r2 > b * b) <> (sign = 1)").count() == 0
+
+
+def test_large_components_take_the_same_steps(spark, monkeypatch):
+    points, _ = cloud(spark, 120, side=4.0)
+    params = grid.grid_params(points)
+    q = codec.coded(grid.with_cells(points, params)).cache()
+    recon = q.select("run_id", "id", *[F.col(f"recon_{a}").alias(a) for a in "xyz"])
+    vp = pairs.vulnerable_pairs(points, params).cache()
+    one = {r.id: (r.qx, r.qy, r.qz) for r in edit.gradient_edits(recon, points, vp, max_iter=4).collect()}
+    monkeypatch.setattr(edit, "MOST_PAIRS", 3)
+    two = {r.id: (r.qx, r.qy, r.qz) for r in edit.gradient_edits(recon, points, vp, max_iter=4).collect()}
+    assert set(one) == set(two) and max(abs(u - v) for k in one for u, v in zip(one[k], two[k])) <= 1
+
+
+def test_error_bounds_and_linking_lengths(spark):
+    points, _ = cloud(spark, 50)
+    ranges = grid.axis_ranges(points).first()
+    smallest = min(ranges.range_x, ranges.range_y, ranges.range_z)
+    p = lambda *a: grid.grid_params(points, *a).first()
+    assert p(0.1).xi == 0.1 and p(0.2, "abs").xi == 0.2 and abs(p(0.01, "rel").xi - 0.01 * smallest) < 1e-12
+    assert abs(p(0.1, "abs", 0.2).b - 0.2 * (ranges.range_x * ranges.range_y * ranges.range_z / 50) ** (1 / 3)) < 1e-9
+
+
 def test_command_line(spark, tmp_path):
-    from driftmesh.cli import parse, score
+    from driftmesh.cli import main, parse, score
 
     with pytest.raises(SystemExit):
         parse(["compress", "--out", "x"])
     points, _ = cloud(spark, 150)
     moved = points.withColumn("x", F.col("x") + 0.04)
+    with pytest.raises(SystemExit):
+        parse(["edit", "--points", "a", "--recon", "b", "--out", "x", "--edit", "none"])
+    points.write.parquet(str(tmp_path / "p"))
+    main(["compress", "--points", str(tmp_path / "p"), "--out", str(tmp_path / "c"), "--bound", "rel", "--xi", "0.001", "--order", "kd", "--edit", "exact"])
+    main(["decompress", "--container", str(tmp_path / "c"), "--out", str(tmp_path / "xyz"), "--raw", "3"])
+    raw.register(spark)
+    assert spark.read.format("raw_points").options(path=str(tmp_path / "xyz"), dim="3").load().count() == 150
     r = score(points, moved, "exact").first()
     assert r.ari == 1.0 and r.n == 150 and r.max_error <= 0.04 + 1e-9
 
