@@ -61,5 +61,5 @@ def connected_groups(pairs: DataFrame, a: str, b: str, seed: int = 17) -> DataFr
         above = labels.select(F.col("u").alias("r"), F.col("r").alias("top"))
         labels = scratch.save(hooks.join(above, "r", "left").select("u", F.coalesce("top", "r").alias("r")), f"labels{k}")
         scratch.drop(f"hooks{k + 1}", f"labels{k + 1}")
-    smallest = labels.groupBy("r").agg(F.min("u").alias("group_id"))
+    smallest = scratch.save(labels.groupBy("r").agg(F.min("u").alias("group_id")), "smallest")  # a table of its own, so that a giant group is split in the join
     return labels.join(smallest, "r").select("group_id", F.col("u").alias("elem"))

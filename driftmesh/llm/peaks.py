@@ -1,15 +1,18 @@
 """Clusters of mutually close records by density peaks.
 
 Records are cut into blocks of at most ``BLOCK`` records of one grid cell, cell
-side = radius.  A directory of the blocks (a key and a bounding box each) is
-joined with itself on neighbouring cells and pruned by box distance; only the
-surviving block pairs are given their coordinates, and each pair is one small
-numpy distance matrix.  A crowded cell is many blocks, spread over many tasks.
+side = radius, and consecutive blocks into groups.  A directory (a key and a
+bounding box a block or group) says which blocks a group may have neighbours
+in; each of these is sent to the group once, whatever the number of its blocks
+that need it, and compared with them in small numpy distance matrices.  A
+block that lies within the radius of a group altogether is only counted.  A
+crowded cell is many blocks, spread over many tasks.
 
 The first pass counts the records within the radius of each record, its
-density.  The second finds for each record the nearest denser one within the
-radius.  Records without one are peaks; everyone else follows the pointers to
-denser records, by pointer doubling, up to a peak.
+density.  The second finds for each record the nearest denser one and its
+distance, delta.  Peaks are the records with a delta beyond the radius and a
+density of at least ``min_size``; everyone else follows the pointers to denser
+records, by pointer doubling, up to a peak.
 """
 
 from __future__ import annotations
@@ -28,15 +31,22 @@ BLOCK = 256
 #: Sub-cells per axis by which a cell's records are ordered before they are cut into blocks.
 SUB = 8
 MAX_ROUNDS = 60
-_BLOCK_SCHEMA = "g int, b long, cx long, cy long, cz long, n int, r double, lo array<double>, hi array<double>, least long, most long, ids binary, xyz binary, dens binary"
+#: Records and blocks after which a group ends.
+GROUP, GROUP_BLOCKS = 2048, 64
+_BOX = ("x0", "x1", "y0", "y1", "z0", "z1")
+_BLOCK_SCHEMA = "g int, b long, grp long, cx long, cy long, cz long, n int, r double, " + ", ".join(f"{c} double" for c in _BOX) + ", least long, most long, ids binary, xyz binary, dens binary"
+_NAMES = [c.split()[0] for c in _BLOCK_SCHEMA.split(", ")]
 
 
 def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of a partition sorted by g, cell and place in the cell."""
+    from pyspark import TaskContext
+
     names = ["g", "cx", "cy", "cz", "id", "x", "y", "z", "dens", "r"]
-    rest = None
+    rest, group, own, last = None, TaskContext.get().partitionId() << 32, [0, 0], None
 
     def blocks(m: dict, upto: int, starts: np.ndarray) -> pa.RecordBatch:
+        nonlocal group, last
         rows = []
         for a, b in zip(starts, [*starts[1:], upto]):
             for c in range(a, b, BLOCK):
@@ -44,9 +54,14 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 order = np.argsort(m["id"][s])
                 xyz = np.stack([m[k][s][order] for k in "xyz"])
                 ids, dens = m["id"][s][order], m["dens"][s][order]
-                rows.append((m["g"][a], ids[0], m["cx"][a], m["cy"][a], m["cz"][a], len(ids), m["r"][a], xyz.min(1), xyz.max(1), dens.min(), dens.max(), ids.tobytes(), xyz.tobytes(), dens.tobytes()))
-        types = [pa.int32(), *[pa.int64()] * 4, pa.int32(), pa.float64(), *[pa.list_(pa.float64())] * 2, pa.int64(), pa.int64(), *[pa.binary()] * 3]
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names=[c.split()[0] for c in _BLOCK_SCHEMA.split(", ")])
+                if last is not None and (last != m["g"][a] or own[0] >= GROUP or own[1] >= GROUP_BLOCKS):
+                    group, own[:] = group + 1, [0, 0]
+                last = m["g"][a]
+                own[0], own[1] = own[0] + len(ids), own[1] + 1
+                box = np.stack([xyz.min(1), xyz.max(1)], 1).ravel()
+                rows.append((m["g"][a], ids[0], group, m["cx"][a], m["cy"][a], m["cz"][a], len(ids), m["r"][a], *box, dens.min(), dens.max(), ids.tobytes(), xyz.tobytes(), dens.tobytes()))
+        types = [pa.int32(), *[pa.int64()] * 5, pa.int32(), *[pa.float64()] * 7, *[pa.int64()] * 2, *[pa.binary()] * 3]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names=_NAMES)
 
     for batch in batches:
         if not batch.num_rows:
@@ -56,104 +71,139 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = {n: np.concatenate([rest[n], m[n]]) for n in names}
         key = np.stack([m[n] for n in ("g", "cx", "cy", "cz")])
         starts = np.r_[0, np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1]
-        last = starts[-1]
-        last += (len(m["g"]) - last) // BLOCK * BLOCK  # whole blocks of a crowded cell need not wait for its end
-        if last > 0:
-            yield blocks(m, last, starts[starts < last])
-        rest = {n: v[last:] for n, v in m.items()}
+        upto = starts[-1]
+        upto += (len(m["g"]) - upto) // BLOCK * BLOCK  # whole blocks of a crowded cell need not wait for its end
+        if upto > 0:
+            yield blocks(m, upto, starts[starts < upto])
+        rest = {n: v[upto:] for n, v in m.items()}
     if rest is not None and len(rest["g"]):
         key = np.stack([rest[n] for n in ("g", "cx", "cy", "cz")])
         yield blocks(rest, len(rest["g"]), np.r_[0, np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1])
 
 
+#: Cells of a side of the tiles by which blocks are ordered, so that a group lies together.
+TILE = 8
+
+
 def _blocks(nodes: DataFrame) -> DataFrame:
     """Blocks of ``nodes`` (g, id, x, y, z, r, dens)."""
     far = 1e15
     cell = lambda c: F.floor(F.greatest(F.lit(-far), F.least(F.lit(far), F.col(c) / (F.col("r") * (1 + 1e-9)))))
     sub = lambda c: F.pmod(F.floor(F.greatest(F.lit(-far), F.least(F.lit(far), F.col(c) / F.col("r") * SUB))), F.lit(SUB))
     placed = nodes.select("*", *[cell(c).alias(f"c{c}") for c in "xyz"], (sub("x") * SUB * SUB + sub("y") * SUB + sub("z")).alias("sub"))
-    order = ["g", "cx", "cy", "cz", "sub", "id"]
+    placed = placed.withColumns({f"t{c}": F.floor(F.col(f"c{c}") / TILE) for c in "xyz"})
+    order = ["g", "tx", "ty", "tz", "cx", "cy", "cz", "sub", "id"]
     return placed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_cut, _BLOCK_SCHEMA)
 
 
-def _pairs(blocks: DataFrame, denser: bool) -> DataFrame:
-    """Block pairs (a, b) that may hold records within the radius, with their contents.
+def _met(blocks: DataFrame, denser: bool = False) -> DataFrame:
+    """``g, grp, b, n, inside``: blocks in which a group may have records within the radius; ``inside``: all of them are.
 
-    ``denser``: only pairs in which b may hold a record denser than one of a.
+    ``denser``: only blocks that may hold a record denser than one of the group.
     """
-    directory = blocks.select("g", "b", "cx", "cy", "cz", "r", "lo", "hi", "least", "most")
     step = F.array(*[F.lit(k).cast("long") for k in (-1, 0, 1)])
-    moved = directory
+    around = blocks.select("g", "grp", "cx", "cy", "cz").distinct()
     for c in "xyz":
-        moved = moved.withColumn("d", F.explode(step)).withColumn(f"c{c}", F.col(f"c{c}") + F.col("d")).drop("d")
-    moved = moved.select("g", "cx", "cy", "cz", "r", F.col("b").alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"), F.col("least").alias("aleast"))
-    met = moved.join(directory.drop("r"), ["g", "cx", "cy", "cz"])
-    gap = [F.greatest(F.lit(0.0), F.get("lo", F.lit(k)) - F.get("ahi", F.lit(k)), F.get("alo", F.lit(k)) - F.get("hi", F.lit(k))) for k in range(3)]
-    met = met.where(gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2] <= F.col("r") * F.col("r"))
+        around = around.withColumn("d", F.explode(step)).withColumn(f"c{c}", F.col(f"c{c}") + F.col("d")).drop("d")
+    groups = blocks.groupBy("g", "grp").agg(*[(F.min if c.endswith("0") else F.max)(c).alias(f"g{c}") for c in _BOX], F.min("least").alias("gleast"))
+    met = around.distinct().join(blocks.select("g", "b", "n", "r", "cx", "cy", "cz", *_BOX, "most"), ["g", "cx", "cy", "cz"]).join(groups, ["g", "grp"])
+    gap = [F.greatest(F.lit(0.0), F.col(f"{a}0") - F.col(f"g{a}1"), F.col(f"g{a}0") - F.col(f"{a}1")) for a in "xyz"]
+    reach = [F.greatest(F.col(f"{a}1") - F.col(f"g{a}0"), F.col(f"g{a}1") - F.col(f"{a}0")) for a in "xyz"]
+    square = lambda d: d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
+    met = met.where(square(gap) <= F.col("r") * F.col("r"))
     if denser:
-        met = met.where("most >= aleast")
-    met = met.select("g", "a", "b")
-    right = blocks.select("g", "b", F.col("ids").alias("bids"), F.col("xyz").alias("bxyz"), F.col("dens").alias("bdens"))
-    left = blocks.select("g", F.col("b").alias("a"), "r", F.col("ids").alias("aids"), F.col("xyz").alias("axyz"), F.col("dens").alias("adens"))
-    return met.join(right, ["g", "b"]).join(left, ["g", "a"])
-
-
-def _scrambled(ids: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each id."""
-    v = ids.astype(np.uint64)
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        v = (v ^ (v >> np.uint64(shift))) * np.uint64(factor)
-    return (v ^ (v >> np.uint64(31))).astype(np.int64)
-
-
-def _matrices(batch: pa.RecordBatch) -> Iterator[tuple]:
-    """g, radius, and the contents and squared distances of each block pair of a batch."""
-    cols = [batch.column(n) for n in ("g", "r", "aids", "axyz", "adens", "bids", "bxyz", "bdens")]
-    for k in range(batch.num_rows):
-        g, r, *raw = (c[k].as_py() for c in cols)
-        aids, adens, bids, bdens = (np.frombuffer(raw[i], np.int64) for i in (0, 2, 3, 5))
-        a, b = np.frombuffer(raw[1]).reshape(3, -1), np.frombuffer(raw[4]).reshape(3, -1)
-        d = a[0][:, None] - b[0]
-        d2 = d * d
-        for axis in (1, 2):
-            d = a[axis][:, None] - b[axis]
-            d2 += d * d
-        yield g, r, aids, adens, bids, bdens, d2
-
-
-def _emit(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    g = np.concatenate([np.full(len(r[1]), r[0], np.int32) for r in rows])
-    return pa.RecordBatch.from_arrays([pa.array(g), *[pa.array(np.concatenate([r[k] for r in rows])) for k in range(1, len(names))]], names=names)
-
-
-def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per record of the left block: how many of the right are within the radius, their smallest id, the xor of their hashes."""
-    top = np.iinfo(np.int64).max
+        met = met.where("most >= gleast")
+    return met.select("g", "grp", "b", "n", (square(reach) <= F.col("r") * F.col("r")).alias("inside"))
+
+
+def _delivered(blocks: DataFrame, met: DataFrame) -> DataFrame:
+    """The blocks of every group (kind 0), then those it needs (kind 1), group by group."""
+    content = blocks.select("g", "b", "r", *_BOX, "ids", "xyz", "dens")
+    own = blocks.select(F.lit(0).alias("kind"), "grp", *content.columns)
+    needed = met.select("g", "grp", "b").join(content, ["g", "b"]).select(F.lit(1).alias("kind"), "grp", *content.columns)
+    return own.unionByName(needed).repartition("g", "grp").sortWithinPartitions("g", "grp", "kind")
+
+
+def _groups(batches: Iterable[pa.RecordBatch], start, meet, end) -> Iterator[pa.RecordBatch]:
+    """Runs over delivered rows: ``start`` makes a state of a group's records, ``meet`` compares some of them with a block, ``end`` gives rows."""
+    key, own, state = None, [], None
+
+    def whole() -> dict:
+        boxes = np.array([[r[c] for c in _BOX] for r in own])
+        parts = [np.frombuffer(r["xyz"]).reshape(3, -1) for r in own]
+        m = {"g": own[0]["g"], "grp": own[0]["grp"], "r": own[0]["r"], "boxes": boxes, "ends": np.cumsum([0, *[p.shape[1] for p in parts]]), "xyz": np.concatenate(parts, 1)}
+        m["ids"], m["dens"] = (np.concatenate([np.frombuffer(r[c], np.int64) for r in own]) for c in ("ids", "dens"))
+        return m | start(m)
+
     for batch in batches:
-        rows = []
-        for g, r, aids, _, bids, _, d2 in _matrices(batch):
-            near = d2 <= r * r
-            n = near.sum(1)
-            if n.any():
-                rows.append((g, aids, n, np.where(near, bids, top).min(1), np.bitwise_xor.reduce(np.where(near, _scrambled(bids), 0), axis=1)))
-        if rows:
-            yield _emit(rows, ["g", "id", "n", "first", "sign"])
+        for row in batch.to_pylist():
+            if (row["g"], row["grp"]) != key:
+                if own:
+                    yield end(state or whole())
+                key, own, state = (row["g"], row["grp"]), [], None
+            if row["kind"] == 0:
+                own.append(row)
+                continue
+            state = state or whole()
+            box = [row[c] for c in _BOX]
+            gap = np.stack([np.maximum(0.0, np.maximum(box[2 * k] - state["boxes"][:, 2 * k + 1], state["boxes"][:, 2 * k] - box[2 * k + 1])) for k in range(3)])
+            near = np.flatnonzero((gap * gap).sum(0) <= state["r"] ** 2)
+            if not len(near):
+                continue
+            at = np.concatenate([np.arange(state["ends"][k], state["ends"][k + 1]) for k in near])
+            ids, xyz, dens = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["xyz"]).reshape(3, -1), np.frombuffer(row["dens"], np.int64)
+            for a in range(0, len(at), GROUP):
+                some = at[a : a + GROUP]
+                d = state["xyz"][0][some][:, None] - xyz[0]
+                d2 = d * d
+                for axis in (1, 2):
+                    d = state["xyz"][axis][some][:, None] - xyz[axis]
+                    d2 += d * d
+                meet(state, some, ids, dens, d2)
+    if own:
+        yield end(state or whole())
+
+
+def _counts(same: bool):
+    """Per record: how many delivered records are within the radius; ``same``: only those with its own value of dens."""
+
+    def meet(m: dict, at: np.ndarray, ids: np.ndarray, dens: np.ndarray, d2: np.ndarray) -> None:
+        near = d2 <= m["r"] ** 2
+        if same:
+            near &= m["dens"][at][:, None] == dens
+        m["n"][at] += near.sum(1)
+
+    def end(m: dict) -> pa.RecordBatch:
+        size = len(m["ids"])
+        cols = [np.full(size, m["g"], np.int32), np.full(size, m["grp"], np.int64), m["ids"], m["n"]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["g", "grp", "id", "n"])
+
+    return lambda batches: _groups(batches, lambda m: {"n": np.zeros(len(m["ids"]), np.int64)}, meet, end)
 
 
 def _climb(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per record of the left block: the nearest denser record of the right within the radius."""
-    for batch in batches:
-        rows = []
-        for g, r, aids, adens, bids, bdens, d2 in _matrices(batch):
-            denser = (bdens > adens[:, None]) | ((bdens == adens[:, None]) & (bids < aids[:, None]))
-            d2[~denser | (d2 > r * r)] = np.inf
-            best = d2.argmin(1)  # ids ascend, so the first of equal distances has the smallest id
-            dist = d2[np.arange(len(aids)), best]
-            use = np.isfinite(dist)
-            if use.any():
-                rows.append((g, aids[use], dist[use], bids[best[use]]))
-        if rows:
-            yield _emit(rows, ["g", "id", "d2", "up"])
+    """Per record: the nearest denser one within the radius, if any, and its squared distance."""
+
+    def meet(m: dict, at: np.ndarray, ids: np.ndarray, dens: np.ndarray, d2: np.ndarray) -> None:
+        mine, names = m["dens"][at][:, None], m["ids"][at][:, None]
+        d2[~((dens > mine) | ((dens == mine) & (ids < names))) | (d2 > m["r"] ** 2)] = np.inf
+        best = d2.argmin(1)  # ids ascend, so the first of equal distances has the smallest id
+        dist, up = d2[np.arange(len(at)), best], ids[best]
+        better = (dist < m["d2"][at]) | ((dist == m["d2"][at]) & np.isfinite(dist) & (up < m["up"][at]))
+        m["d2"][at[better]], m["up"][at[better]] = dist[better], up[better]
+
+    def end(m: dict) -> pa.RecordBatch:
+        none = ~np.isfinite(m["d2"])
+        cols = [pa.array(np.full(len(m["ids"]), m["g"], np.int32)), pa.array(m["ids"]), pa.array(np.sqrt(m["d2"]), mask=none), pa.array(m["up"], mask=none)]
+        return pa.RecordBatch.from_arrays(cols, names=["g", "id", "delta", "up"])
+
+    return _groups(batches, lambda m: {"d2": np.full(len(m["ids"]), np.inf), "up": np.zeros(len(m["ids"]), np.int64)}, meet, end)
+
+
+def mutual_counts(nodes: DataFrame, label: str) -> DataFrame:
+    """``g, id, n``: for each of ``nodes`` (g, id, x, y, z, r and ``label``) the records with its label within its radius, itself included."""
+    blocks = Scratch(nodes.sparkSession, "mutual").save(_blocks(nodes.select("g", "id", "x", "y", "z", "r", F.col(label).alias("dens"))), "blocks")
+    return _delivered(blocks, _met(blocks)).mapInArrow(_counts(True), "g int, grp long, id long, n long").drop("grp")
 
 
 def density_peaks(nodes: DataFrame, min_size: int = 12) -> DataFrame:
@@ -161,11 +211,10 @@ def density_peaks(nodes: DataFrame, min_size: int = 12) -> DataFrame:
 
     ``nodes``: g int, id long, x, y, z double, r double (the radius, one value
     per g), one finite row per (g, id); other columns are ignored.  Result: g,
-    id, density (records within r, itself included), up (the nearest denser
-    record within r; null for a peak), peak, cluster (the peak's id, or null
-    where the peak has a density below ``min_size``: noise), and first and
-    sign, the smallest id and the xor of the hashes of the records within r,
-    which are equal for records with the same neighbours.  Of equally dense
+    id, density (records within r, itself included), delta (the distance of
+    the nearest denser record; null where it is beyond r) and up (that
+    record), peak (where the pointers lead), cluster (the peak's id, or null
+    where the peak has a density below ``min_size``: noise).  Of equally dense
     records the one with the smaller id counts as denser, of equally near ones
     the smaller id is followed.  Records at one place are neighbours at
     distance 0.  An empty table gives an empty result.
@@ -173,15 +222,16 @@ def density_peaks(nodes: DataFrame, min_size: int = 12) -> DataFrame:
     scratch = Scratch(nodes.sparkSession, "peaks")
     nodes = scratch.save(nodes.select(F.col("g").cast("int").alias("g"), "id", "x", "y", "z", "r"), "nodes")
     blocks = scratch.save(_blocks(nodes.withColumn("dens", F.lit(0).cast("long"))), "blocks")
-    counted = _pairs(blocks, False).mapInArrow(_count, "g int, id long, n long, first long, sign long")
-    density = counted.groupBy("g", "id").agg(F.sum("n").alias("density"), F.min("first").alias("first"), F.bit_xor("sign").alias("sign"))
+    met = scratch.save(_met(blocks), "met")
+    counted = _delivered(blocks, met.where("not inside")).mapInArrow(_counts(False), "g int, grp long, id long, n long")
+    inside = scratch.save(met.where("inside").groupBy("g", "grp").agg(F.sum("n").alias("more")), "inside")
+    density = counted.join(inside, ["g", "grp"], "left").select("g", "id", (F.col("n") + F.coalesce("more", F.lit(0))).alias("density"))
     density = scratch.save(density, "density")
 
     blocks = scratch.save(_blocks(nodes.join(density.select("g", "id", F.col("density").alias("dens")), ["g", "id"])), "denser")
-    climbs = _pairs(blocks, True).mapInArrow(_climb, "g int, id long, d2 double, up long")
-    up = climbs.groupBy("g", "id").agg(F.min(F.struct("d2", "up")).alias("m")).select("g", "id", F.col("m.up").alias("up"))
-    tree = scratch.save(density.join(up, ["g", "id"], "left").withColumn("peak", F.coalesce("up", "id")), "tree")
-    scratch.drop("blocks", "denser")
+    up = _delivered(blocks, _met(blocks, True)).mapInArrow(_climb, "g int, id long, delta double, up long")
+    tree = scratch.save(density.join(up, ["g", "id"]).withColumn("peak", F.coalesce("up", "id")), "tree")
+    scratch.drop("blocks", "met", "inside", "denser")
 
     # Pointer doubling; what has arrived at a peak is set aside, so no join meets a crowded key but the first.
     peaks = tree.where("up is null").select("g", F.col("id").alias("peak"), F.lit(True).alias("top"))
@@ -197,8 +247,12 @@ def density_peaks(nodes: DataFrame, min_size: int = 12) -> DataFrame:
         open_ = scratch.save(moving.join(ahead, ["g", "peak"]).select("g", "id", F.col("next").alias("peak"), "top").unionByName(done.select("g", "id", "peak", F.lit(True).alias("top"))), f"step{k + 1}")
         scratch.drop(f"step{k}")
         done, moving = open_.where("top").select("g", "id", "peak"), open_.where("not top").select("g", "id", "peak")
+    else:
+        if moving.limit(1).count():
+            raise RuntimeError("the pointers did not arrive")
     ends = done.unionByName(tree.where("up is null").select("g", "id", "peak"))
-    out = density.join(tree.select("g", "id", "up"), ["g", "id"]).join(ends, ["g", "id"])
+    out = tree.drop("peak").join(ends, ["g", "id"])
     strong = tree.where("up is null").select("g", F.col("id").alias("peak"), (F.col("density") >= min_size).alias("strong"))
+    strong = scratch.save(strong, "strong")  # a table of its own, so that a crowded cluster is split in the join
     out = out.join(strong, ["g", "peak"]).withColumn("cluster", F.when(F.col("strong"), F.col("peak")))
-    return out.select("g", "id", "density", "up", "peak", "cluster", "first", "sign")
+    return out.select("g", "id", "density", "delta", "up", "peak", "cluster")

@@ -12,7 +12,7 @@ from driftmesh.llm.groups import connected_groups
 from driftmesh.llm.leaks import leaked_items
 from driftmesh.llm.mixing import TOKENIZER, budget_tree, one_language, one_spelling, selected, with_tokens
 from driftmesh.llm.neighbours import exact_neighbours, graph_search, neighbour_graph, neighbour_lists
-from driftmesh.llm.peaks import density_peaks
+from driftmesh.llm.peaks import density_peaks, mutual_counts
 from driftmesh.llm.sentences import sentence_ends
 from driftmesh.scratch import Scratch
 from driftmesh.sources.tables import placed_nodes, run_params, table
@@ -42,26 +42,32 @@ def tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 PEAK_RADIUS, MIN_SIZE = 6.0, 12
 
 
+def reaching_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of every run with the radius of its peaks."""
+    return tree_nodes(spark, sf_dir).withColumn("r", F.col("link_len") * PEAK_RADIUS)
+
+
 def node_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Density peaks over the nodes of every run."""
-    nodes = tree_nodes(spark, sf_dir).withColumn("r", F.col("link_len") * PEAK_RADIUS)
-    return density_peaks(nodes, MIN_SIZE)
+    return density_peaks(reaching_nodes(spark, sf_dir), MIN_SIZE)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members of the clusters whose nodes are all within the radius of each other and of no other node.
 
-    The clusters are those of density peaks; one is reported if the records
-    within the radius of each member are exactly its members.
+    The clusters are those of density peaks.  In such a cluster every density
+    is its size; of the clusters of which that holds, those remain whose
+    members have all of each other within the radius, so that nobody else is.
     """
-    peaks = node_peaks(spark, sf_dir).where("cluster is not null")
-    peaks = Scratch(spark, "found").save(peaks, "peaks")
-    whole = (
-        peaks.groupBy("g", "cluster")
-        .agg(F.count("*").alias("n"), F.min("density").alias("d0"), F.max("density").alias("d1"), F.min("first").alias("f0"), F.max("first").alias("f1"), F.min("sign").alias("s0"), F.max("sign").alias("s1"), F.min("id").alias("cluster_id"))
-        .where(f"n >= {MIN_SIZE} and d0 = n and d1 = n and f0 = f1 and s0 = s1")
-    )
-    return peaks.join(whole.select("g", "cluster", "cluster_id"), ["g", "cluster"]).select("cluster_id", F.col("id").alias("node_id"))
+    scratch = Scratch(spark, "found")
+    nodes = scratch.save(reaching_nodes(spark, sf_dir).select("g", "id", "x", "y", "z", "r"), "nodes")
+    peaks = scratch.save(density_peaks(nodes, MIN_SIZE).where("cluster is not null").select("g", "id", "density", "cluster"), "peaks")
+    sizes = peaks.groupBy("g", "cluster").agg(F.count("*").alias("size"), F.min("density").alias("d0"), F.max("density").alias("d1"), F.min("id").alias("cluster_id"))
+    even = scratch.save(sizes.where(f"size >= {MIN_SIZE} and d0 = size and d1 = size").select("g", "cluster", "size", "cluster_id"), "even")
+    members = scratch.save(peaks.join(even, ["g", "cluster"]).select("g", "id", "size", "cluster_id"), "members")
+    met = mutual_counts(nodes.join(members, ["g", "id"]), "cluster_id").join(members, ["g", "id"])
+    apart = scratch.save(met.where("n <> size").select("cluster_id").distinct(), "apart")
+    return members.join(apart, "cluster_id", "left_anti").select("cluster_id", F.col("id").alias("node_id"))
 
 
 def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +75,7 @@ def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     peaks = Scratch(spark, "clusters").save(node_peaks(spark, sf_dir).where("cluster is not null"), "peaks")
     best = Window.partitionBy("g", "cluster").orderBy(F.desc("density"), "id")
     typical = peaks.withColumn("k", F.row_number().over(best)).where("k <= 3").groupBy("g", "cluster").agg(F.sort_array(F.collect_list(F.struct("k", "id"))).alias("t"))
-    size = peaks.groupBy("g", "cluster").agg(F.count("*").alias("size"), F.max("density").alias("density"))
+    size = Scratch(spark, "sizes").save(peaks.groupBy("g", "cluster").agg(F.count("*").alias("size"), F.max("density").alias("density")), "sizes")
     return size.join(typical, ["g", "cluster"]).select(F.col("g").alias("run_id"), F.col("cluster").alias("peak_id"), "size", "density", F.col("t.id").alias("typical_ids"))
 
 

@@ -127,8 +127,10 @@ def test_few_and_no_nodes(spark):
 # --- problem 1
 
 
-def test_density_peaks_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr("driftmesh.llm.peaks.BLOCK", 16)
+@pytest.mark.parametrize("block,group", [(256, 2048), (8, 20)])
+def test_density_peaks_equal_brute_force(spark, monkeypatch, block, group):
+    monkeypatch.setattr("driftmesh.llm.peaks.BLOCK", block)
+    monkeypatch.setattr("driftmesh.llm.peaks.GROUP", group)
     rows = nodes_of(500, 6)
     nodes = spark.createDataFrame(rows, NODE).withColumn("r", F.lit(2.0))
     got = {r.id: r for r in density_peaks(nodes, 12).collect()}
@@ -146,6 +148,7 @@ def test_density_peaks_equal_brute_force(spark, monkeypatch):
             while up[top] is not None:
                 top = up[top]
             assert got[u].density == dens[i] and got[u].up == up[u] and got[u].peak == top
+            assert got[u].delta is None if up[u] is None else abs(got[u].delta - d2[i][list(ids).index(up[u])] ** 0.5) < 1e-12
             assert got[u].cluster == (top if dens[list(ids).index(top)] >= 12 else None)
 
 
