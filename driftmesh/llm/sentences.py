@@ -26,8 +26,8 @@ from driftmesh.scratch import Scratch
 
 #: Least score of an abbreviation and least share of its periods that visibly end nothing.
 ABBREVIATION, GOES_ON = 0.3, 0.1
-#: Uses of a word that count for its score where nothing visibly goes on behind its periods.
-FEW = 20
+#: Uses to which the score of a word is scaled where nothing visibly goes on behind its periods.
+USES = 20
 #: Uses without a period, per use with one, that an abbreviation may have.
 WITHOUT = 0.2
 #: Least log-likelihood ratios of a sentence starter, of one with at least the share MOSTLY of its capitalised uses at
@@ -71,8 +71,12 @@ _OTHER = re.compile("[\u0370-\u04ff\u0600-\u06ff\u0900-\u097f\u0e00-\u0e7f\u3040
 _SAYS = re.compile(r"[^\W_]")
 _KANA = re.compile("[\u3040-\u30ff]")
 _BLANKS = re.compile("[ \t\r\n\u00a0\x05\x07]+")
+_BLANK = re.compile(r"[\s\x07]")
+#: Characters of final marks and of what closes behind them.
+_ENDINGS = ".!?\u2026\u3002\uff01\uff1f\uff0e\u0964\u0965\u061f\u06d4\u037e;\u202f\u00a0\u00bb\u201d\u2019\"')]\uff09\u300d\u300f\u300b\u3011\u201c\x01"
 _LATIN = re.compile("[A-Za-z]")
-_LANGUAGES = {"de": {"der", "die", "das", "und", "den"}, "fr": {"le", "la", "les", "des", "du"}, "es": {"el", "los", "las", "una", "del"}, "en": {"the", "of", "and", "to", "in"}}
+#: The language of blocks in Latin letters whose document has none, or one of another script: all languages together.
+_ANY = "any"
 
 
 def _filled(stand_in: str):
@@ -115,15 +119,12 @@ def masked(text: str) -> tuple[str, int]:
 
 
 def _language(block: str, lang: str) -> str:
-    """The document's language, or another one if the block's script or words rule it out."""
+    """The document's language, or another one if the block's script rules it out."""
     for name, script in _SCRIPTS if not block.isascii() and _OTHER.search(block) else ():
         found = len(script.findall(block))
         if found and found * (2 if name in ("zh",) else 1) >= len(_LATIN.findall(block)) * 0.5:
             return ("ja" if _KANA.search(block) else "zh") if name == "zh" else name
-    if lang in ("th", "zh", "ja", "ar", "hi", "ru", "el", "") or lang is None:
-        words = set(block.lower().split())
-        return max(("en", "de", "fr", "es"), key=lambda k: len(words & _LANGUAGES[k]))
-    return lang
+    return _ANY if lang in ("th", "zh", "ja", "ar", "hi", "ru", "el", "") or lang is None else lang
 
 
 def _kind(c: str) -> str:
@@ -154,7 +155,11 @@ def _first(block: str, at: int, lang: str) -> str:
 
 def _before(block: str, at: int) -> str:
     """The word that ends just before a place, or nothing."""
-    part = block[max(0, at - 60) : at]
+    size = 60
+    part = block[max(0, at - size) : at]
+    while size < at and not _BLANK.search(part):  # a longer word is taken whole
+        size *= 2
+        part = block[max(0, at - size) : at]
     if part.isascii():  # most words need no pattern
         words = part.replace("\x07", " ").split()
         if not words or not part[-1:].isalnum():
@@ -286,7 +291,7 @@ def _candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _tail(body: str) -> int:
     """End of a block's last sentence: its final mark with what closes after it, else its last character."""
     last = None
-    for last in _MARKS.finditer(body, max(0, len(body) - 12)):
+    for last in _MARKS.finditer(body, len(body.rstrip(_ENDINGS))):
         pass
     if last and last.end() == len(body):
         return last.start(1) + len(last.group(1).rstrip(_MARK))
@@ -307,7 +312,8 @@ def sentence_ends(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
 
     Rows with a null id or text have no sentences, nor has a text without any
     letter or digit in its running text; a null or misspelt language is put
-    right by the script and the words; repeated rows give one result row each
+    right by the script, and where that leaves it open the statistics of all
+    languages together count; repeated rows give one result row each
     place, an empty table an empty result; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "sentences")
@@ -315,12 +321,14 @@ def sentence_ends(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     found = texts.mapInArrow(_candidates, "row string, doc_id long, end int, lang string, w string, x string, n long")
     found.write.partitionBy("row").parquet(scratch.path("rows"))
     rows = docs.sparkSession.read.schema(found.schema).parquet(scratch.path("rows"))
-    count = lambda kind, *keys: rows.where(F.col("row") == kind).groupBy("lang", *keys).agg(F.sum("n").alias("n"))
+    # what is counted in any language counts for blocks without a known one, too
+    kinds = lambda kind: rows.where(F.col("row") == kind).withColumn("lang", F.explode(F.array_distinct(F.array("lang", F.lit(_ANY)))))
+    count = lambda kind, *keys: kinds(kind).groupBy("lang", *keys).agg(F.sum("n").alias("n"))
 
     # Bound words: the log-likelihood ratio of "the period belongs to the word" over chance, weighed down by the word's
     # length, and few uses without a period.  They may be abbreviations, or merely end sentences.
     words = count("word", "w")
-    dots = rows.where("row = 'n_dot'").groupBy("lang", "w").agg(F.sum("n").alias("n_dot"), F.sum(F.when(F.col("x") == "on", F.col("n")).otherwise(0)).alias("n_on"))
+    dots = kinds("n_dot").groupBy("lang", "w").agg(F.sum("n").alias("n_dot"), F.sum(F.when(F.col("x") == "on", F.col("n")).otherwise(0)).alias("n_on"))
     lower = words.groupBy("lang", F.when(F.length("w") > 1, F.lower("w")).otherwise(F.col("w")).alias("w")).agg(F.sum("n").alias("n_all"))
     per_lang = lower.groupBy("lang").agg(F.sum("n_all").alias("n_words")).join(dots.groupBy("lang").agg(F.sum("n_dot").alias("n_dots")), "lang")
     p = F.least(F.lit(0.99), F.greatest(F.lit(1e-6), F.col("n_dots") / F.col("n_words")))
@@ -330,14 +338,14 @@ def sentence_ends(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     score = F.when(without <= WITHOUT * F.col("n_dot"), ratio * F.exp(-size) * (F.length("w") - size + 1)).otherwise(0.0)
     # a word behind which nothing visibly goes on has to be short, however often it occurs
     seen = (F.col("n_on") >= GOES_ON * F.col("n_dot")) & (score >= ABBREVIATION)
-    short = score * F.least(F.lit(FEW), F.col("n_dot")) / F.col("n_dot") >= ABBREVIATION
+    short = score * USES / F.col("n_dot") >= ABBREVIATION
     special = (F.col("w") == "##") | F.col("w").rlike(r"^\p{Lu}$")
     bound = dots.join(lower, ["lang", "w"], "left").join(per_lang, "lang").where(seen | short | special).select("lang", "w", "n_dot", "n_on")
     bound = scratch.save(bound, "bound")
 
     # Sentence starters: words bound by their log-likelihood ratio to sure beginnings, which are those of blocks, behind
     # other final marks, and behind the periods of words that are not bound to them.
-    after = rows.where("row = 'dot'").select("lang", "w", "x")
+    after = kinds("dot").select("lang", "w", "x")
     plain = after.join(bound, ["lang", "w"], "left_anti").groupBy("lang", "x").agg(F.count("*").alias("n"))
     starts = count("n_start", "x").unionByName(plain).groupBy("lang", "x").agg(F.sum("n").alias("n_start"))
     starts = scratch.save(starts, "starts")
@@ -353,7 +361,7 @@ def sentence_ends(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     # nothing.
     follow = after.join(starter.where("mostly"), ["lang", "x"], "left").groupBy("lang", "w").agg(F.count("*").alias("n_open"), F.count_if(F.col("starter").isNull()).alias("n_other"))
     others = F.coalesce(F.col("n_other") / F.col("n_open"), F.lit(0.0))
-    goes_on = F.when(F.col("w") == "##", (others >= 0.5) & (F.col("lang") != "en")).when(special, F.lit(True)).otherwise((F.col("n_on") / F.col("n_dot") >= GOES_ON) | ((others >= NO_STARTERS) & (F.col("n_open") >= 3)))
+    goes_on = F.when(F.col("w") == "##", others >= 0.5).when(special, F.lit(True)).otherwise((F.col("n_on") / F.col("n_dot") >= GOES_ON) | ((others >= NO_STARTERS) & (F.col("n_open") >= 3)))
     abbreviation = bound.join(follow, ["lang", "w"], "left").where(goes_on).select("lang", "w", F.lit(True).alias("abbreviation"))
 
     # Collocations: followers, other than those that mostly begin sentences, that the periods of an abbreviation or a
