@@ -32,7 +32,7 @@ BLOCK = 256
 SUB = 8
 MAX_ROUNDS = 60
 #: Records and blocks after which a group ends.
-GROUP, GROUP_BLOCKS = 2048, 64
+GROUP, GROUP_BLOCKS = 4096, 512
 _BOX = ("x0", "x1", "y0", "y1", "z0", "z1")
 _BLOCK_SCHEMA = "g int, b long, grp long, cx long, cy long, cz long, n int, r double, " + ", ".join(f"{c} double" for c in _BOX) + ", least long, most long, ids binary, xyz binary, dens binary"
 _NAMES = [c.split()[0] for c in _BLOCK_SCHEMA.split(", ")]
@@ -101,16 +101,20 @@ def _met(blocks: DataFrame, denser: bool = False) -> DataFrame:
 
     ``denser``: only blocks that may hold a record denser than one of the group.
     """
-    step = F.array(*[F.lit(k).cast("long") for k in (-1, 0, 1)])
-    around = blocks.select("g", "grp", "cx", "cy", "cz").distinct()
+    square = lambda d: d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
+    extent = lambda p: [(F.min if c.endswith("0") else F.max)(c).alias(f"{p}{c}") for c in _BOX]
+    tiled = blocks.select("g", "grp", "b", "n", "r", *_BOX, "least", "most", "cx", "cy", "cz", *[F.floor(F.col(f"c{c}") / TILE).alias(f"t{c}") for c in "xyz"])
+    # what a group has in a tile, in every tile that it may reach from there
+    parts = tiled.groupBy("g", "grp", "tx", "ty", "tz").agg(*extent("p"), *[f(f"c{c}").alias(f"{n}{c}") for c in "xyz" for f, n in ((F.min, "l"), (F.max, "h"))])
     for c in "xyz":
-        around = around.withColumn("d", F.explode(step)).withColumn(f"c{c}", F.col(f"c{c}") + F.col("d")).drop("d")
-    groups = blocks.groupBy("g", "grp").agg(*[(F.min if c.endswith("0") else F.max)(c).alias(f"g{c}") for c in _BOX], F.min("least").alias("gleast"))
-    met = around.distinct().join(blocks.select("g", "b", "n", "r", "cx", "cy", "cz", *_BOX, "most"), ["g", "cx", "cy", "cz"]).join(groups, ["g", "grp"])
-    gap = [F.greatest(F.lit(0.0), F.col(f"{a}0") - F.col(f"g{a}1"), F.col(f"g{a}0") - F.col(f"{a}1")) for a in "xyz"]
+        parts = parts.withColumn(f"t{c}", F.explode(F.sequence(F.floor((F.col(f"l{c}") - 1) / TILE), F.floor((F.col(f"h{c}") + 1) / TILE))))
+    parts = parts.select("g", "grp", "tx", "ty", "tz", *[f"p{c}" for c in _BOX])
+    met = parts.join(tiled.drop("grp", "least", "cx", "cy", "cz"), ["g", "tx", "ty", "tz"])
+    gap = [F.greatest(F.lit(0.0), F.col(f"{a}0") - F.col(f"p{a}1"), F.col(f"p{a}0") - F.col(f"{a}1")) for a in "xyz"]
+    met = met.where(square(gap) <= F.col("r") * F.col("r")).select("g", "grp", "b", "n", "r", *_BOX, "most").distinct()
+    groups = tiled.groupBy("g", "grp").agg(*extent("g"), F.min("least").alias("gleast"))
+    met = met.join(groups, ["g", "grp"])
     reach = [F.greatest(F.col(f"{a}1") - F.col(f"g{a}0"), F.col(f"g{a}1") - F.col(f"{a}0")) for a in "xyz"]
-    square = lambda d: d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
-    met = met.where(square(gap) <= F.col("r") * F.col("r"))
     if denser:
         met = met.where("most >= gleast")
     return met.select("g", "grp", "b", "n", (square(reach) <= F.col("r") * F.col("r")).alias("inside"))
