@@ -8,6 +8,7 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -176,50 +177,57 @@ class _Nearest:
 
 
 def followed(cells: DataFrame) -> DataFrame:
-    """The recurrence of :func:`coded` for cells of any width and mode; cells stream by in order, one at a time."""
-    columns = ["run_id", "id", "x", "y", "z", "dim", "b", "xi", "cell_id", "ox", "oy", "oz", "g", "mode"]
-    names = [f"{c}_{a}" for a in "xyz" for c in ("code", "outlier", "recon")]
+    """The recurrence of :func:`coded` for cells of any width and mode; cells stream by in order."""
+    keep = ["run_id", "id", "x", "y", "z", "dim", "b", "xi", "cell_id"]
+    columns = [*keep, "ox", "oy", "oz", "g", "mode"]
     schema = "run_id int, id long, x double, y double, z double, dim int, b double, xi double, cell_id long, ox double, oy double, oz double, seq long, " + ", ".join(f"code_{a} long, outlier_{a} long, recon_{a} double" for a in "xyz")
 
-    def one(cell: pd.DataFrame) -> pd.DataFrame:
-        dim, xi, kd = int(cell["dim"].iloc[0]), float(cell["xi"].iloc[0]), cell["mode"].iloc[0] == "kd"
-        points, start = cell[["x", "y", "z"]].to_numpy()[:, :dim], cell[["ox", "oy", "oz"]].to_numpy()[0][:dim]
-        if kd:
-            start = start + 0.5 * float(cell["g"].iloc[0])
-            order, codes, out, recon = walked(points, start, xi)
-            cell = cell.iloc[order]
-        else:
-            codes, out, recon = (np.stack(c, 1) for c in zip(*[chained(points[:, k], start[k], xi) for k in range(dim)]))
-        rows = cell[columns[:9]].reset_index(drop=True)
-        for k, a in enumerate("xyz"):
-            rows[f"o{a}"] = start[k] if k < dim else 0.0
-        rows["seq"] = np.arange(len(rows))
-        for k, a in enumerate("xyz"):
-            rows[f"code_{a}"] = pd.array(np.where(out[:, k], 0, codes[:, k]), "Int64") if k < dim else pd.array([pd.NA] * len(rows), "Int64")
-            rows[f"outlier_{a}"] = pd.array(out[:, k].astype(np.int64), "Int64") if k < dim else pd.array([pd.NA] * len(rows), "Int64")
-            rows[f"recon_{a}"] = recon[:, k] if k < dim else 0.0
-            if k < dim:
-                rows.loc[out[:, k], f"code_{a}"] = pd.NA
-        return rows
-
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+    def block(m: dict[str, np.ndarray], cuts: np.ndarray) -> pa.RecordBatch:
+        """Whole cells, beginning at ``cuts``."""
+        n = len(m["id"])
+        points, kd = np.stack([m[a] for a in "xyz"], 1), m["mode"] == "kd"
+        flat = m["dim"] == 2
+        start = np.stack([m[f"o{a}"] for a in "xyz"], 1) + np.where(kd, 0.5 * m["g"], 0.0)[:, None]
+        start[flat, 2] = 0.0
+        xi = m["xi"]
+        # a first point is coded alike everywhere; only cells with more points need the chain
+        steps = _steps((points - start) / (2 * xi[:, None]))
+        out = ~(np.abs(steps) < MIDDLE)
+        codes = np.where(out, 0, steps).astype(np.int64) + MIDDLE
+        recon = np.where(out, points, start + np.where(out, 0, steps) * 2 * xi[:, None])
+        order, seq = np.arange(n), np.zeros(n, np.int64)
+        ends = np.append(cuts[1:], n)
+        for a, b in zip(cuts[ends - cuts > 1].tolist(), ends[ends - cuts > 1].tolist()):
+            dim = int(m["dim"][a])
+            if kd[a]:
+                way, codes[a:b, :dim], out[a:b, :dim], recon[a:b, :dim] = walked(points[a:b, :dim], start[a, :dim], xi[a])
+                order[a:b] = a + way
+            else:
+                for k in range(dim):
+                    codes[a:b, k], out[a:b, k], recon[a:b, k] = chained(points[a:b, k], start[a, k], xi[a])
+            seq[a:b] = np.arange(b - a)
+        cols = [pa.array(m[c][order]) for c in keep] + [pa.array(np.ascontiguousarray(start[:, k])) for k in range(3)] + [pa.array(seq)]
+        for k in range(3):
+            unused = flat if k == 2 else np.zeros(n, bool)
+            cols += [pa.array(codes[:, k], mask=unused | out[:, k]), pa.array(out[:, k].astype(np.int64), mask=unused), pa.array(np.where(unused, 0.0, recon[:, k]))]
+        return pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in schema.split(", ")])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: dict[str, np.ndarray] | None = None
         for batch in batches:
-            key = batch[["run_id", "cell_id"]].to_numpy()
-            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(batch)]
-            for a, b in zip(cuts, cuts[1:]):
-                part = batch.iloc[a:b]
-                if held and tuple(held[0][["run_id", "cell_id"]].iloc[0]) != tuple(part[["run_id", "cell_id"]].iloc[0]):
-                    yield one(pd.concat(held))
-                    held = []
-                if len(part):
-                    held.append(part)
-        if held:
-            yield one(pd.concat(held))
+            m = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in columns}
+            m = m if rest is None else {c: np.concatenate([rest[c], m[c]]) for c in columns}
+            cuts = np.flatnonzero((m["cell_id"][1:] != m["cell_id"][:-1]) | (m["run_id"][1:] != m["run_id"][:-1])) + 1
+            if len(cuts):
+                yield block({c: v[: cuts[-1]] for c, v in m.items()}, np.append(0, cuts[:-1]))
+                m = {c: v[cuts[-1] :] for c, v in m.items()}
+            rest = m
+        if rest is not None and len(rest["id"]):
+            yield block(rest, np.array([0]))
 
     ordered = cells.withColumn("_order", F.when(F.col("mode") == "kd", F.lit(0)).otherwise(morton(cells)))
     streams = ordered.select(*columns, "_order").repartition("run_id", "cell_id").sortWithinPartitions("run_id", "cell_id", "_order", "id")
-    return streams.drop("_order").mapInPandas(run, schema)
+    return streams.drop("_order").mapInArrow(run, schema)
 
 
 def decoded(codes: DataFrame) -> DataFrame:

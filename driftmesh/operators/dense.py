@@ -92,15 +92,32 @@ def dense_stats(rows: DataFrame, group: str, number: str, values: Sequence[str]
     clean = rows.where(rows[group].isNotNull() & rows[number].isNotNull()).select(
         rows[group].cast("long").alias("g"), rows[number].cast("long").alias("k"), *[rows[v].cast("double").alias(f"v{i}") for i, v in enumerate(values)]
     )
-    parts = clean.mapInArrow(scatter, schema)
-    slots = parts.select("grp", "block", F.posexplode(F.arrays_zip(*names[2:])).alias("slot", "s")).where("s.n > 0")
-    total = slots.groupBy("grp", "block", "slot").agg(
-        F.sum("s.n").alias("n"), *[f(f"s.{c}").alias(c) for c in names[3:] for f in [F.min if c.startswith("lo") else F.max]]
-    )
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Equal blocks of all tasks, which follow each other, added slot by slot."""
+        rest: dict[str, np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            m = {c: batch.column(c).to_numpy() for c in names[:2]} | {c: batch.column(c).flatten().to_numpy().reshape(-1, SLOTS) for c in names[2:]}
+            m = m if rest is None else {c: np.concatenate([rest[c], m[c]]) for c in names}
+            first = np.flatnonzero(np.r_[True, (m["grp"][1:] != m["grp"][:-1]) | (m["block"][1:] != m["block"][:-1])])
+            sums = {c: m[c][first] for c in names[:2]} | {c: (np.add if c == "n" else np.minimum if c.startswith("lo") else np.maximum).reduceat(m[c], first, axis=0) for c in names[2:]}
+            yield slots({c: v[:-1] for c, v in sums.items()})
+            rest = {c: v[-1:] for c, v in sums.items()}
+        if rest is not None:
+            yield slots(rest)
+
+    def slots(sums: dict[str, np.ndarray]) -> pa.RecordBatch:
+        row, slot = np.nonzero(sums["n"])
+        cols = [sums["grp"][row], sums["block"][row] * SLOTS + slot, *[sums[c][row, slot] for c in names[2:]]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["grp", "number", *names[2:]])
+
+    parts = clean.mapInArrow(scatter, schema).repartition("grp", "block").sortWithinPartitions("grp", "block")
+    total = parts.mapInArrow(add, "grp long, number long, n long" + "".join(f", {c} double" for c in names[3:]))
     none = lambda c: F.when(F.abs(F.col(c)) < float("inf"), F.col(c))
     return total.select(
         F.col("grp").alias(group),
-        (F.col("block") * SLOTS + F.col("slot")).alias(number),
+        F.col("number").alias(number),
         "n",
         *[none(f"{side}{k}").alias(f"{name}_{v}") for k, v in enumerate(values) for side, name in (("lo", "min"), ("hi", "max"))],
     )

@@ -127,11 +127,14 @@ def cell_gaps(cells: DataFrame) -> DataFrame:
     return prefix_sum(cells.withColumn("_one", F.lit(1)), ["run_id"], "cell_id", "_one", "rank").drop("_one")
 
 
+#: Fixed values of 30-bit Morton codes: factor and mask of each step.
+MORTON = ((0x00010001, 0xFF0000FF), (0x101, 0x0F00F00F), (0x11, 0xC30C30C3), (5, 0x49249249))
+
+
 def spread_bits(v: Column) -> Column:
     """The ten low bits of a number, each moved to three times its place."""
-    low32 = 0xFFFFFFFF
-    for factor, mask in ((0x00010001, 0xFF0000FF), (0x101, 0x0F00F00F), (0x11, 0xC30C30C3), (5, 0x49249249)):  # fixed values of 30-bit Morton codes
-        v = (v * factor).bitwiseAND(F.lit(low32)).bitwiseAND(F.lit(mask))
+    for factor, mask in MORTON:
+        v = (v * factor).bitwiseAND(F.lit(mask))  # the masks have 32 bits
     return v
 
 

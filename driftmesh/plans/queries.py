@@ -624,7 +624,7 @@ def arrival_windows(spark, sf_dir):
     scratch = Scratch(spark, "arrivals")
     stream = arrivals.windowed_counts(arrivals.arrivals(spark, path, spark.read.parquet(path).schema))
     arrivals.run_once(stream, scratch.path("out"), scratch.path("state"))
-    out = spark.read.parquet(scratch.path("out"))
+    out = arrivals.latest(spark.read.parquet(scratch.path("out")))
     return out.select("run_id", F.unix_timestamp("start").alias("start"), "n", "min_x", "max_x")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from driftmesh.operators.grid import MORTON
+
 #: Usable rows of a point table, the last arrived of each id.
 _LAST = """
 {name} AS (
@@ -28,8 +30,8 @@ cel AS (SELECT *, cz * cells_x * cells_y + cy * cells_x + cx AS cell_id, {', '.j
 
 
 def _spread(v: str) -> str:
-    for factor, mask in ((65537, 4278190335), (257, 251719695), (17, 3272356035), (5, 1227133513)):  # fixed values of 30-bit Morton codes
-        v = f"((({v}) * {factor}) & 4294967295 & {mask})"
+    for factor, mask in MORTON:
+        v = f"((({v}) * {factor}) & {mask})"
     return v
 
 

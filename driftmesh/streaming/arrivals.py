@@ -25,7 +25,17 @@ def windowed_counts(rows: DataFrame, width: str = "10 minutes", late: str = "1 h
 
 
 def run_once(stream: DataFrame, out: str, checkpoint: str) -> None:
-    """Works off what is there and leaves the whole result so far as Parquet files under ``out``."""
-    keep = lambda result, _: result.write.mode("overwrite").parquet(out)
-    query = stream.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Works off what is there; every changed window is appended to the Parquet files under ``out`` with the number of its batch.
+
+    Only windows that changed leave a batch, so the state of windows behind
+    the watermark is dropped.
+    """
+    keep = lambda changed, batch: changed.withColumn("batch", F.lit(batch)).write.mode("append").parquet(out)
+    query = stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def latest(rows: DataFrame) -> DataFrame:
+    """The last state of every run and window of what :func:`run_once` left; a batch that was run again leaves equal rows."""
+    values = [c for c in rows.columns if c not in ("run_id", "start", "batch")]
+    return rows.groupBy("run_id", "start").agg(F.max(F.struct("batch", *values)).alias("last")).select("run_id", "start", *[f"last.{c}" for c in values])
