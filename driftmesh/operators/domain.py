@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from driftmesh.operators.dense import dense_stats
+from driftmesh.operators.grid import prefix_sum, previous, ranged
 
 
 def rank_boxes(points: DataFrame) -> DataFrame:
@@ -22,13 +22,25 @@ def padded(boxes: DataFrame, widths: DataFrame) -> DataFrame:
 
 
 def neighbour_ranks(boxes: DataFrame, widths: DataFrame) -> DataFrame:
-    """``run_id, rank_no, neighbour``: ranks whose tight box meets a rank's padded box, but itself."""
-    own = padded(boxes, widths)
+    """``run_id, rank_no, neighbour``: ranks whose tight box meets a rank's padded box, but itself.
+
+    An equi-join on run and band of y; a band is as high as the run's highest
+    padded box, so a box stands in two or three at most.
+    """
+    grown = padded(boxes, widths)
+    height = grown.groupBy("run_id").agg(F.max(F.col("hi_y") - F.col("lo_y")).alias("height"))
+
+    def banded(rows: DataFrame, lo: str, hi: str) -> DataFrame:
+        band = lambda c: F.floor(F.when(F.col("height") > 0, F.col(c) / F.col("height")).otherwise(F.lit(0.0)))
+        return rows.join(height, "run_id").withColumn("first", band(lo)).withColumn("band", F.explode(F.sequence("first", band(hi)))).drop("height")
+
+    own = banded(grown, "lo_y", "hi_y").withColumnRenamed("first", "own_first")
     other = boxes.select("run_id", F.col("rank_no").alias("neighbour"), *[F.col(f"{s}_{a}").alias(f"o{s}_{a}") for a in "xyz" for s in ("lo", "hi")])
-    meet = F.lit(True)
+    meet = F.col("band") == F.greatest("own_first", "first")  # once a pair
     for a in "xyz":
         meet = meet & (F.col(f"olo_{a}") <= F.col(f"hi_{a}")) & (F.col(f"ohi_{a}") >= F.col(f"lo_{a}"))
-    return own.join(other, "run_id").where(meet & (F.col("rank_no") != F.col("neighbour"))).select("run_id", "rank_no", "neighbour")
+    met = own.join(banded(other, "olo_y", "ohi_y"), ["run_id", "band"])
+    return met.where(meet & (F.col("rank_no") != F.col("neighbour"))).select("run_id", "rank_no", "neighbour")
 
 
 def ghosts(points: DataFrame, boxes: DataFrame, widths: DataFrame, bands: int = 16) -> DataFrame:
@@ -63,9 +75,10 @@ def axis_islands(points: DataFrame, widths: DataFrame) -> DataFrame:
     p = _in_bins(points, widths)
     axes = F.explode(F.array(*[F.struct(F.lit(k).alias("axis"), F.col(f"bin_{a}").alias("bin"), F.col(a).alias("v")) for k, a in enumerate("xyz")]))
     bins = p.select("run_id", "dim", "width", axes.alias("s")).where("s.axis < dim").groupBy("run_id", "width", "s.axis", "s.bin").agg(F.min("s.v").alias("lo"), F.max("s.v").alias("hi"), F.count("*").alias("n"))
-    order = Window.partitionBy("run_id", "axis").orderBy("bin")
-    new = F.coalesce((F.col("lo") - F.lag("hi").over(order) > F.col("width")).cast("long"), F.lit(0))
-    return bins.withColumn("new", new).withColumn("island", F.sum("new").over(order)).drop("new", "width")
+    part = ["run_id", "axis"]
+    cut = previous(ranged(bins, part, "bin"), part, "bin", "hi", "_hi")
+    cut = cut.withColumn("new", F.coalesce((F.col("lo") - F.col("_hi") > F.col("width")).cast("long"), F.lit(0))).drop("_hi", "_piece", "width")
+    return prefix_sum(cut, part, "bin", "new", "before").withColumn("island", F.col("before") + F.col("new")).drop("new", "before")
 
 
 def islands(bins: DataFrame) -> DataFrame:

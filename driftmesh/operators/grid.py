@@ -18,8 +18,6 @@ from driftmesh.scratch import Scratch
 AXES = ("x", "y", "z")
 #: Error bound as a share of the linking length, where none is given.
 XI_SHARE = 0.05
-#: Consecutive keys that a prefix sum orders in one task.
-STRETCH = 4096
 
 
 def axis_ranges(points: DataFrame) -> DataFrame:
@@ -107,24 +105,47 @@ def cell_coords(cells: DataFrame) -> DataFrame:
     return c.select("*", *[(F.col(f"min_{a}") + F.col(f"c{a}") * F.col("g")).alias(f"corner_{a}") for a in AXES], *[(F.col(f"min_{a}") + (F.col(f"c{a}") + 0.5) * F.col("g")).alias(f"centre_{a}") for a in AXES])
 
 
-def prefix_sum(df: DataFrame, part: Sequence[str], order: str, value: str, out: str, stretch: int = STRETCH) -> DataFrame:
-    """Exclusive running sum of ``value`` by a long ``order`` within ``part``, without a task for a whole part.
+def ranged(df: DataFrame, part: Sequence[str], order: str) -> DataFrame:
+    """``df``, written once, with ``_piece``: consecutive pieces of about equal size in the order of ``part`` and ``order``."""
+    cut = df.repartitionByRange(*part, order).withColumn("_piece", F.spark_partition_id())
+    return Scratch(df.sparkSession, "ranged").save(cut, "pieces")
 
-    Sums of stretches of consecutive order numbers are summed first; rows are
-    ordered only within their stretch.
+
+def prefix_sum(df: DataFrame, part: Sequence[str], order: str, value: str, out: str) -> DataFrame:
+    """Exclusive running sum of ``value`` by ``order`` within ``part``, without a task for a whole part.
+
+    Sums of pieces of the sorted rows are summed first, a row a piece; rows
+    are ordered only within their piece.
     """
-    cut = df.withColumn("_stretch", F.floor(F.col(order) / stretch))
-    sums = cut.groupBy(*part, "_stretch").agg(F.sum(value).alias("_sum"))
-    before = Window.partitionBy(*part).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    return _summed(ranged(df, part, order), part, order, value, out).drop("_piece")
+
+
+def _summed(cut: DataFrame, part: Sequence[str], order: str, value: str, out: str) -> DataFrame:
+    sums = cut.groupBy(*part, "_piece").agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy(*part).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
-    within = Window.partitionBy(*part, "_stretch").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = cut.join(sums, [*part, "_stretch"])
-    return joined.withColumn(out, F.col("_before") + F.coalesce(F.sum(value).over(within), F.lit(0))).drop("_stretch", "_before")
+    within = Window.partitionBy(*part, "_piece").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return cut.join(sums, [*part, "_piece"]).withColumn(out, F.col("_before") + F.coalesce(F.sum(value).over(within), F.lit(0))).drop("_before")
+
+
+def previous(cut: DataFrame, part: Sequence[str], order: str, value: str, out: str) -> DataFrame:
+    """The ``value`` of the row before in the order of the pieces of :func:`ranged`; null for the first of a part."""
+    last = cut.groupBy(*part, "_piece").agg(F.max_by(value, order).alias("_last"))
+    carried = F.lag("_last").over(Window.partitionBy(*part).orderBy("_piece"))
+    within = Window.partitionBy(*part, "_piece").orderBy(order)
+    return cut.join(last.select(*part, "_piece", carried.alias("_carried")), [*part, "_piece"]).withColumn(out, F.coalesce(F.lag(value).over(within), "_carried")).drop("_carried")
 
 
 def cell_gaps(cells: DataFrame) -> DataFrame:
-    """Empty cells in raster order before each occupied one; the gap before a stretch's first cell looks one stretch back."""
-    return prefix_sum(cells.withColumn("_one", F.lit(1)), ["run_id"], "cell_id", "_one", "rank").drop("_one")
+    """``run_id, cell_id, gap``: empty cells in raster order before each occupied one."""
+    cut = previous(ranged(cells, ["run_id"], "cell_id"), ["run_id"], "cell_id", "cell_id", "_prev")
+    return cut.select("run_id", "cell_id", (F.col("cell_id") - F.coalesce("_prev", F.lit(-1)) - 1).alias("gap"))
+
+
+def trailing_gaps(cells: DataFrame, params: DataFrame) -> DataFrame:
+    """``run_id, gap``: empty cells behind each run's last occupied one."""
+    last = cells.groupBy("run_id").agg(F.max("cell_id").alias("last")).join(params.select("run_id", "cells_x", "cells_y", "cells_z"), "run_id")
+    return last.select("run_id", (F.col("cells_x") * F.col("cells_y") * F.col("cells_z") - 1 - F.col("last")).alias("gap"))
 
 
 #: Fixed values of 30-bit Morton codes: factor and mask of each step.

@@ -166,9 +166,14 @@ def cell_offsets(spark, sf_dir):
 
 def cell_gap_runs(spark, sf_dir):
     """Empty cells between each occupied cell and the one before it in raster order."""
-    ranked = grid.cell_gaps(celled(spark, sf_dir).select("run_id", "cell_id").distinct())
-    before = ranked.select("run_id", (F.col("rank") + 1).alias("rank"), F.col("cell_id").alias("prev"))
-    return ranked.join(before, ["run_id", "rank"], "left").select("run_id", "cell_id", (F.col("cell_id") - F.coalesce("prev", F.lit(-1)) - 1).alias("gap"))
+    return grid.cell_gaps(celled(spark, sf_dir).select("run_id", "cell_id").distinct())
+
+
+def trailing_gaps(spark, sf_dir):
+    """Empty cells behind the last occupied cell of every run."""
+    points = particles(spark, sf_dir)
+    params = grid.saved_params(points)
+    return grid.trailing_gaps(grid.with_cells(points, params), params)
 
 
 def morton_code(spark, sf_dir):
@@ -631,7 +636,7 @@ def arrival_windows(spark, sf_dir):
 _QUERIES = (
     particle_scan_orders2d, particle_scan_events2d, particle_scan_emb3d, particle_scan_lineitem3d, fof_clusters_lineitem3d, pairs_lineitem3d, fof_clusters_orders2d, fof_clusters_events2d, fof_clusters_emb3d, raw_roundtrip, container_roundtrip, container_edit_roundtrip, container_lossless_roundtrip, edit_only_roundtrip, arrival_windows,
     p2_found, p2_rank_stats, p3_found, run_ranges, derive_params, extent_linking_length, grid_coarsen, cell_assign, cell_histogram, cell_decode_coords,
-    cell_offsets, cell_gap_runs, morton_code, visit_order, kd_order, kd_codes, outlier_roundtrip, quantize_codes, quantize_recon, outlier_flags, decode_recon, roundtrip_check,
+    cell_offsets, cell_gap_runs, trailing_gaps, morton_code, visit_order, kd_order, kd_codes, outlier_roundtrip, quantize_codes, quantize_recon, outlier_flags, decode_recon, roundtrip_check,
     fof_links, fof_clusters, halo_catalog, halo_size_hist, halo_topk, vulnerable_pairs, editable_points, pair_summary, violated_pairs, link_confusion,
     contingency, pair_confusion, ari_sampled, error_stats, auto_xi, pgd_loss0, pgd_gradient0, pgd_edit, lossless_edit, lossless_edit_ari, symbol_freq,
     huffman_code_lengths, huffman_bits, entropy_roundtrip, pack_flags, unpack_flags, size_accounting, bbox_by_block, neighbor_blocks, ghost_rows,

@@ -188,6 +188,7 @@ tri AS (SELECT f.*, s.k, g0 * pow(1.01, s.k) AS gk FROM fst f, range(0, 201) s(k
         "cell_decode_coords": _w(CELLS, f"SELECT DISTINCT run_id, cell_id, cx, cy, cz, {axes('min_{a} + c{a} * g AS corner_{a}')}, {axes('min_{a} + (c{a} + 0.5::DOUBLE) * g AS centre_{a}')} FROM cel"),
         "cell_offsets": _w(CELLS, "SELECT run_id, cell_id, n, (coalesce(sum(n) OVER (PARTITION BY run_id ORDER BY cell_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start FROM (SELECT run_id, cell_id, count(*) AS n FROM cel GROUP BY 1, 2)"),
         "cell_gap_runs": _w(CELLS, "SELECT run_id, cell_id, cell_id - coalesce(lag(cell_id) OVER (PARTITION BY run_id ORDER BY cell_id), -1) - 1 AS gap FROM (SELECT DISTINCT run_id, cell_id FROM cel)"),
+        "trailing_gaps": _w(CELLS, "SELECT c.run_id, any_value(p.cells_x * p.cells_y * p.cells_z) - 1 - max(c.cell_id) AS gap FROM cel c JOIN par p ON c.run_id = p.run_id GROUP BY 1"),
         "morton_code": _w(VISITS, "SELECT run_id, id, cell_id, morton FROM vis"),
         "visit_order": _w(VISITS, "SELECT run_id, id, cell_id, seq, visit_pos FROM vis"),
         "quantize_codes": _w(CODES, "SELECT run_id, id, code_x, code_y, code_z FROM qua"),

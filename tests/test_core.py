@@ -181,9 +181,9 @@ def test_long_chain_is_one_component(spark):
 
 
 def test_prefix_sum_over_stretches(spark):
-    df = spark.range(100).select(F.lit(1).alias("g"), (F.col("id") * 7).alias("o"), F.lit(2).alias("v"))
-    got = {r.o: r.s for r in grid.prefix_sum(df, ["g"], "o", "v", "s", stretch=50).collect()}
-    assert got == {i * 7: 2 * i for i in range(100)}
+    df = spark.range(100).select((F.col("id") % 3).alias("g"), (F.col("id") * 7).alias("o"), F.lit(2).alias("v"))
+    got = {r.o: (r.s, r.p) for r in grid.prefix_sum(df, ["g"], "o", "v", "s").join(grid.previous(grid.ranged(df, ["g"], "o"), ["g"], "o", "o", "p").select("o", "p"), "o").collect()}
+    assert got == {i * 7: (2 * (i // 3), i * 7 - 21 if i > 2 else None) for i in range(100)}
 
 
 # --- codec
