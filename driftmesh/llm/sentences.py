@@ -322,13 +322,17 @@ def sentence_ends(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     found.write.partitionBy("row").parquet(scratch.path("rows"))
     rows = docs.sparkSession.read.schema(found.schema).parquet(scratch.path("rows"))
     # what is counted in any language counts for blocks without a known one, too
-    kinds = lambda kind: rows.where(F.col("row") == kind).withColumn("lang", F.explode(F.array_distinct(F.array("lang", F.lit(_ANY)))))
-    count = lambda kind, *keys: kinds(kind).groupBy("lang", *keys).agg(F.sum("n").alias("n"))
+    def pooled(counts: DataFrame, *keys: str) -> DataFrame:
+        every = counts.withColumn("lang", F.explode(F.array_distinct(F.array("lang", F.lit(_ANY)))))
+        return every.groupBy("lang", *keys).agg(F.sum("n").alias("n"))
+
+    count = lambda kind, *keys: pooled(rows.where(F.col("row") == kind).groupBy("lang", *keys).agg(F.sum("n").alias("n")), *keys)
+    after = scratch.save(pooled(rows.where("row = 'dot'").groupBy("lang", "w", "x").agg(F.count("*").alias("n")), "w", "x"), "after")
 
     # Bound words: the log-likelihood ratio of "the period belongs to the word" over chance, weighed down by the word's
     # length, and few uses without a period.  They may be abbreviations, or merely end sentences.
-    words = count("word", "w")
-    dots = kinds("n_dot").groupBy("lang", "w").agg(F.sum("n").alias("n_dot"), F.sum(F.when(F.col("x") == "on", F.col("n")).otherwise(0)).alias("n_on"))
+    words = scratch.save(count("word", "w"), "words")
+    dots = count("n_dot", "w", "x").groupBy("lang", "w").agg(F.sum("n").alias("n_dot"), F.sum(F.when(F.col("x") == "on", F.col("n")).otherwise(0)).alias("n_on"))
     lower = words.groupBy("lang", F.when(F.length("w") > 1, F.lower("w")).otherwise(F.col("w")).alias("w")).agg(F.sum("n").alias("n_all"))
     per_lang = lower.groupBy("lang").agg(F.sum("n_all").alias("n_words")).join(dots.groupBy("lang").agg(F.sum("n_dot").alias("n_dots")), "lang")
     p = F.least(F.lit(0.99), F.greatest(F.lit(1e-6), F.col("n_dots") / F.col("n_words")))
@@ -345,8 +349,7 @@ def sentence_ends(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
 
     # Sentence starters: words bound by their log-likelihood ratio to sure beginnings, which are those of blocks, behind
     # other final marks, and behind the periods of words that are not bound to them.
-    after = kinds("dot").select("lang", "w", "x")
-    plain = after.join(bound, ["lang", "w"], "left_anti").groupBy("lang", "x").agg(F.count("*").alias("n"))
+    plain = after.join(bound, ["lang", "w"], "left_anti").groupBy("lang", "x").agg(F.sum("n").alias("n"))
     starts = count("n_start", "x").unionByName(plain).groupBy("lang", "x").agg(F.sum("n").alias("n_start"))
     starts = scratch.save(starts, "starts")
     breaks = starts.groupBy("lang").agg(F.sum("n_start").alias("n_breaks"))
@@ -356,18 +359,20 @@ def sentence_ends(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     ratio = _dunning(F.col("n_start"), uses, F.col("n_breaks"), F.greatest("n_words", F.col("n_breaks") + uses - F.col("n_start")))
     mostly = F.col("n_start") >= MOSTLY * F.col("n_all")
     starter = begun.where((ratio >= STARTER) | (ratio >= LIKELY) & mostly).select("lang", "x", F.lit(True).alias("starter"), mostly.alias("mostly"))
+    starter = scratch.save(starter, "starters")
 
     # Abbreviations: bound words behind whose periods the text visibly goes on, or goes on with words that mostly begin
     # nothing.
-    follow = after.join(starter.where("mostly"), ["lang", "x"], "left").groupBy("lang", "w").agg(F.count("*").alias("n_open"), F.count_if(F.col("starter").isNull()).alias("n_other"))
+    follow = after.join(starter.where("mostly"), ["lang", "x"], "left").groupBy("lang", "w").agg(F.sum("n").alias("n_open"), F.sum(F.when(F.col("starter").isNull(), F.col("n")).otherwise(0)).alias("n_other"))
     others = F.coalesce(F.col("n_other") / F.col("n_open"), F.lit(0.0))
     goes_on = F.when(F.col("w") == "##", others >= 0.5).when(special, F.lit(True)).otherwise((F.col("n_on") / F.col("n_dot") >= GOES_ON) | ((others >= NO_STARTERS) & (F.col("n_open") >= 3)))
     abbreviation = bound.join(follow, ["lang", "w"], "left").where(goes_on).select("lang", "w", F.lit(True).alias("abbreviation"))
+    abbreviation = scratch.save(abbreviation, "abbreviations")
 
     # Collocations: followers, other than those that mostly begin sentences, that the periods of an abbreviation or a
     # number have more often than sure beginnings have them, by the log-likelihood ratio; such a period ends nothing.
     pair = after.join(abbreviation.select("lang", "w").unionByName(bound.where("w = '##'").select("lang", "w")).distinct(), ["lang", "w"], "left_semi")
-    pair = scratch.save(pair.groupBy("lang", "w", "x").agg(F.count("*").alias("n_pair")), "pairs")
+    pair = scratch.save(pair.withColumnRenamed("n", "n_pair"), "pairs")
     pair = pair.join(pair.groupBy("lang", "w").agg(F.sum("n_pair").alias("n_open")), ["lang", "w"])
     pair = pair.join(starter.where("mostly"), ["lang", "x"], "left_anti").join(starts, ["lang", "x"], "left").join(breaks, "lang", "left").fillna(0, ["n_start", "n_breaks"])
     ratio = _dunning(F.col("n_pair"), F.col("n_open"), F.col("n_pair") + F.col("n_start"), F.col("n_open") + F.col("n_breaks"))
