@@ -43,6 +43,8 @@ CHUNK, BUCKET, DISTANCES = 40_000, 2048, 500_000
 BESIDE = 4
 #: The descent ends when a round changes at most this share of all links, and fails after so many rounds.
 SETTLED, MAX_ROUNDS = 0.02, 60
+#: Keys of a semi-join that are broadcast (about 40 bytes each); more are joined by a shuffle.
+MAX_KEYS = 500_000
 #: Queries of one pass of the exact search: bounds what is broadcast.
 QUERIES = 100_000
 
@@ -520,7 +522,8 @@ def neighbour_lists(nodes: DataFrame, k: int = 5, rounds: int = MAX_ROUNDS) -> G
     ends when it has settled, and fails if it never does.
     """
     scratch = Scratch(nodes.sparkSession, "neighbours")
-    nodes = nodes.select(F.col("g").cast("int").alias("g"), "id", "v")
+    nodes = nodes.select(F.col("g").cast("int").alias("g"), "id", "v").where("g is not null and id is not null and v is not null and size(v) > 0")
+    nodes = scratch.save(nodes.where(F.forall("v", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))), "nodes")
     first = nodes.select(F.size("v")).first()
     dim = first[0] if first else 1
     k += max(SPARE, dim // 4)
@@ -562,8 +565,9 @@ def _placed(lists: DataFrame, k: int) -> DataFrame:
 def neighbour_graph(nodes: DataFrame, k: int = 5, rounds: int = MAX_ROUNDS) -> DataFrame:
     """``g, a, b, d2``: the (nearly always exact) k nearest nodes b of every node a of the same g.
 
-    ``nodes``: g int, id long, v array<double> of one length, all finite, one
-    row per (g, id); other columns are ignored.  Distances are Euclidean, the
+    ``nodes``: g int, id long, v array<double> of one length (other lengths
+    fail the job), one row per (g, id); rows with a null or a value that isn't
+    finite are no nodes, other columns are ignored.  Distances are Euclidean, the
     node itself is left out, equal distances are ranked by the smaller id,
     nodes at one place are each other's neighbours at distance 0.  A g of
     fewer than k + 1 nodes links all of them; an empty table gives an empty
@@ -627,11 +631,11 @@ def graph_search(queries: DataFrame, graph: Graph, k: int = 5, beam: int = 16) -
     for r in range(MAX_ROUNDS):
         reach = F.when(F.count("*").over(Window.partitionBy("g", "a")) < beam, F.lit(float("inf"))).otherwise(F.max("d2").over(Window.partitionBy("g", "a")))
         ask = scratch.save(held.withColumn("reach", reach).where("fresh").select("g", "a", "v", "b", "reach"), f"ask{r}")
-        pivots = ask.select("g", F.col("b").alias("id")).distinct()
-        needed = lists.join(pivots, ["g", "id"], "left_semi")
+        pivots = scratch.save(ask.select("g", F.col("b").alias("id")).distinct(), f"pivots{r}")
+        needed = lists.join(F.broadcast(pivots) if pivots.count() <= MAX_KEYS else pivots, ["g", "id"], "left_semi")
         met = ask.withColumnRenamed("b", "id").join(needed, ["g", "id"]).mapInArrow(_opened(graph.k), link)
         held = scratch.save(best(held.drop("place").withColumn("fresh", F.lit(False)).unionByName(met)), f"held{r + 1}")
-        scratch.drop(f"held{r}", f"ask{r}")
+        scratch.drop(f"held{r}", f"ask{r}", f"pivots{r}")
         if not held.where("fresh").limit(1).count():
             break
     else:

@@ -214,7 +214,8 @@ def density_peaks(nodes: DataFrame, min_size: int = 12) -> DataFrame:
     """Every record with its density and its cluster, or none.
 
     ``nodes``: g int, id long, x, y, z double, r double (the radius, one value
-    per g), one finite row per (g, id); other columns are ignored.  Result: g,
+    per g), one row per (g, id); rows with a null or NaN are no records, other
+    columns are ignored.  Result: g,
     id, density (records within r, itself included), delta (the distance of
     the nearest denser record; null where it is beyond r) and up (that
     record), peak (where the pointers lead), cluster (the peak's id, or null
@@ -224,7 +225,7 @@ def density_peaks(nodes: DataFrame, min_size: int = 12) -> DataFrame:
     distance 0.  An empty table gives an empty result.
     """
     scratch = Scratch(nodes.sparkSession, "peaks")
-    nodes = scratch.save(nodes.select(F.col("g").cast("int").alias("g"), "id", "x", "y", "z", "r"), "nodes")
+    nodes = scratch.save(nodes.select(F.col("g").cast("int").alias("g"), "id", "x", "y", "z", "r").dropna(), "nodes")  # NaN counts as null
     blocks = scratch.save(_blocks(nodes.withColumn("dens", F.lit(0).cast("long"))), "blocks")
     met = scratch.save(_met(blocks), "met")
     counted = _delivered(blocks, met.where("not inside")).mapInArrow(_counts(False), "g int, grp long, id long, n long")

@@ -120,6 +120,8 @@ def test_few_and_no_nodes(spark):
     two = vectors_of(spark, [(1, 1, 0.0, 0.0, 0.0), (1, 2, 1.0, 0.0, 0.0), (2, 3, 0.0, 0.0, 0.0)])
     assert {(r.a, r.b) for r in neighbour_graph(two, 5).collect()} == {(1, 2), (2, 1)}
     assert neighbour_graph(two.where("id < 0"), 5).count() == 0
+    bad = spark.createDataFrame([(1, 1, [0.0, 0.0]), (1, 2, [1.0, 0.0]), (1, 3, None), (1, None, [1.0, 1.0]), (None, 4, [1.0, 1.0]), (1, 5, [float("nan"), 0.0]), (1, 6, [None, 0.0]), (1, 7, [])], "g int, id long, v array<double>")
+    assert {(r.a, r.b) for r in neighbour_graph(bad, 5).collect()} == {(1, 2), (2, 1)}
     same = vectors_of(spark, [(1, i, 1e308, -1e308) for i in range(9)])
     assert {(r.a, r.b) for r in neighbour_graph(same, 2).where("a > 1").collect()} == {(a, b) for a in range(2, 9) for b in (0, 1)}
 
@@ -152,7 +154,9 @@ def test_density_peaks_equal_brute_force(spark, monkeypatch, block, group):
             assert got[u].cluster == (top if dens[list(ids).index(top)] >= 12 else None)
 
 
-def test_density_peaks_of_no_nodes(spark):
+def test_density_peaks_of_no_nodes_and_nulls(spark):
+    bad = spark.createDataFrame([(1, 1, 0.0, 0.0, 0.0), (1, 2, None, 0.0, 0.0), (1, None, 0.0, 0.0, 0.0), (1, 4, float("nan"), 0.0, 0.0)], NODE)
+    assert [(r.id, r.density, r.delta) for r in density_peaks(bad.withColumn("r", F.lit(1.0)), 1).collect()] == [(1, 1, None)]
     assert density_peaks(spark.createDataFrame([], NODE).withColumn("r", F.lit(1.0))).count() == 0
 
 
