@@ -9,7 +9,7 @@ import pytest
 from driftmesh.plans.queries import oracle_sql, queries
 
 SHORT = (
-    "p2_found", "p2_rank_stats", "p3_found", "cell_assign", "cell_offsets", "cell_gap_runs", "cell_decode_coords", "visit_order", "quantize_codes", "decode_recon",
+    "p2_found", "p2_rank_stats", "p3_found", "kd_codes", "outlier_roundtrip", "trailing_gaps", "cell_assign", "cell_offsets", "cell_gap_runs", "cell_decode_coords", "visit_order", "quantize_codes", "decode_recon",
     "fof_links", "fof_clusters", "vulnerable_pairs", "link_confusion", "pgd_gradient0", "lossless_edit", "pack_flags", "neighbor_blocks", "ghost_rows", "occupied_boxes", "arrival_windows",
 )
 
