@@ -38,7 +38,7 @@ SEEDS = (11, 12, 13)
 #: A coarser level of the curve is used once it has at most this share of the nodes of the last one.
 THINNED = 0.6
 #: Rows of a sorted partition that are worked on at once, nodes of a bucket, and distances computed at once.
-CHUNK, BUCKET, DISTANCES = 40_000, 2048, 500_000
+CHUNK, BUCKET, DISTANCES = 20_000, 2048, 200_000
 #: Other askers of the same list that each asker is offered on either side.
 BESIDE = 4
 #: The descent ends when a round changes at most this share of all links, and fails after so many rounds.
