@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +13,10 @@ from driftmesh.scratch import Scratch
 
 #: Levels of a quantised edit.
 LEVELS = 65_535
-#: Pairs a task edits at once, and pairs beyond which a component is spread over many tasks.
-BUCKET_PAIRS, MOST_PAIRS = 20_000, 1_000_000
+#: Pairs a task edits at once, and pairs (about 45 bytes each in a task) beyond which a component is spread over many tasks.
+BUCKET_PAIRS, MOST_PAIRS = 100_000, 10_000_000
+#: Pairs whose distance is looked at at once, and steps between two looks for resting points.
+NEAR_BLOCK, RESTING = 100_000, 8
 #: Constants of the Adam update.
 BETA1, BETA2, EPSILON = 0.9, 0.999, 1e-8
 
@@ -32,28 +34,89 @@ def tolerance(xi: float, dim: int) -> float:
     return 2 * xi / LEVELS * 2 * np.sqrt(dim)
 
 
-def _loss_terms(d: np.ndarray, apart: np.ndarray, b: float, tol: float) -> np.ndarray:
-    over = np.where(apart, np.minimum(d - b - tol, 0.0), np.maximum(d - b + tol, 0.0))
-    return over * over
+def _descend(pos, org, i, j, apart, b, tol, xi, run, whole, lr, steps, keep_losses=True):
+    """``steps`` projected Adam updates of all points at once: the places, and each run's loss before each step.
 
+    ``b``, ``tol`` and ``xi`` are those of the runs, ``run`` is that of each point.  A run that is ``whole`` stops at its
+    first loss below the squared tolerance.  A pair farther from its bound than its points may still move adds neither
+    loss nor pull, so only the pairs near theirs are looked at until some point has moved too far; a point that no pair
+    pulls and that its momentum moves no more rests until a pair pulls it again.
+    """
+    pos, n, runs = pos.copy(), len(pos), len(b)
+    one = runs == 1
+    of = (lambda x, p: x[0]) if one else (lambda x, p: x[run[p]])
+    m, v, seen, slot = np.zeros_like(pos), np.zeros_like(pos), np.zeros(n, np.int64), np.full(n, -1)
+    live = np.zeros(0, np.int64)
+    losses, going = np.zeros((runs, steps if keep_losses else 0)), np.ones(runs, bool)
+    stride, reach, spread = lr * np.sqrt(pos.shape[1]), 0.0, np.sqrt(float(np.median(xi)) / 2)
+
+    def near() -> np.ndarray:
+        found = []
+        for a in range(0, len(i), NEAR_BLOCK):
+            s = slice(a, a + NEAR_BLOCK)
+            gap = pos[i[s]] - pos[j[s]]
+            d = np.sqrt((gap * gap).sum(1))
+            over = np.where(apart[s], d - of(b, i[s]), of(b, i[s]) - d)
+            found.append(a + np.flatnonzero(over < of(tol, i[s]) + 2 * reach * (1 + 1e-9) + 1e-12 * d))
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
 
-def _descend(pos, org, i, j, apart, b, xi, dim, lr, steps, losses=None):
-    """``steps`` projected Adam updates of all points at once; ``losses`` collects the loss before each."""
-    tol = tolerance(xi, dim)
-    m, v = np.zeros_like(pos), np.zeros_like(pos)
+    stale = True
     for t in range(1, steps + 1):
-        diff = pos[i] - pos[j]
+        if stale:
+            reach = spread * np.sqrt(stride)
+            held = near()
+            hi, hj, hapart, place, stale = i[held], j[held], apart[held], pos.copy(), False
+            hb, htol = of(b, hi), of(tol, hi)
+        diff = pos[hi] - pos[hj]
         d = np.sqrt((diff * diff).sum(1))
-        if losses is not None:
-            losses.append(_loss_terms(d, apart, b, tol).sum())
-        active = (d >= tol) & (apart == (d <= b))
-        pull = np.where(active, 2 * (d - b) / np.where(d > 0, d, 1), 0.0)[:, None] * diff
-        grad = np.stack([np.bincount(i, pull[:, k], len(pos)) - np.bincount(j, pull[:, k], len(pos)) for k in range(pos.shape[1])], 1)
-        m = BETA1 * m + (1 - BETA1) * grad
-        v = BETA2 * v + (1 - BETA2) * grad * grad
+        over = np.where(hapart, np.minimum(d - hb - htol, 0.0), np.maximum(d - hb + htol, 0.0))
+        loss = np.array([(over * over).sum()]) if one else np.bincount(run[hi], over * over, runs)
+        if keep_losses:
+            losses[:, t - 1] = loss
+        ended = whole & going & (loss < tol * tol)
+        if ended.any():
+            going &= ~ended
+            if not going.any():
+                break
+            left, hleft, still = going[run[i]], going[run[hi]], going[run[live]]
+            i, j, apart = i[left], j[left], apart[left]
+            hi, hj, hapart, hb, htol, diff, d = hi[hleft], hj[hleft], hapart[hleft], hb[hleft], htol[hleft], diff[hleft], d[hleft]
+            slot[live[~still]] = -1
+            live = live[still]
+            slot[live] = np.arange(len(live))
+        pulled = np.flatnonzero((d >= htol) & (hapart == (d <= hb)))
+        pi, pj = hi[pulled], hj[pulled]
+        new = np.unique(np.concatenate([pi[slot[pi] < 0], pj[slot[pj] < 0]]))
+        if len(new):  # what their momentum has faded to since
+            rest = (t - 1 - seen[new])[:, None]
+            m[new] *= BETA1**rest
+            v[new] *= BETA2**rest
+            slot[new] = len(live) + np.arange(len(new))
+            live = np.concatenate([live, new])
+        pull = (2 * (d[pulled] - (hb if one else hb[pulled])) / np.where(d[pulled] > 0, d[pulled], 1))[:, None] * diff[pulled]
+        grad = np.stack([np.bincount(slot[pi], pull[:, k], len(live)) - np.bincount(slot[pj], pull[:, k], len(live)) for k in range(pos.shape[1])], 1)
+        m[live] = mom = BETA1 * m[live] + (1 - BETA1) * grad
+        v[live] = var = BETA2 * v[live] + (1 - BETA2) * grad * grad
         rate = lr * np.sqrt(1 - BETA2**t) / (1 - BETA1**t)
-        pos = np.clip(pos - rate * m / (np.sqrt(v) + EPSILON), org - xi, org + xi)
-    return pos
+        bound = of(xi, live) if one else of(xi, live)[:, None]
+        old = pos[live]
+        pos[live] = now = np.clip(old - rate * mom / (np.sqrt(var) + EPSILON), org[live] - bound, org[live] + bound)
+        moved = np.abs(now - old).max(1, initial=0.0)
+        if not len(pulled) and not moved.any():
+            if keep_losses:
+                losses[:, t:] = losses[:, t - 1 : t]
+            break
+        far = now - place[live]
+        if (far * far).sum(1).max(initial=0.0) > reach * reach:
+            stale, stride = True, max(float(moved.max()), 1e-9 * lr)
+        if t % RESTING == 0:
+            rests = moved == 0
+            rests[slot[pi]] = rests[slot[pj]] = False
+            if rests.any():
+                seen[live[rests]], slot[live[rests]] = t, -1
+                live = live[~rests]
+                slot[live] = np.arange(len(live))
+    return pos, losses
 
 
 def edit_of(q: Column, xi: Column) -> Column:
@@ -75,57 +138,106 @@ def gradient_edits(recon: DataFrame, points: DataFrame, pairs: DataFrame, lr: fl
     Loss and updates are separable over the components of the vulnerable
     pairs; only the step at which a run stops, the first whose loss is below
     the squared tolerance, belongs to the whole run.  Components are packed
-    into buckets, a first pass notes each bucket's losses, Spark sums them by
-    step, and a second pass repeats exactly the steps of the run.  Components
-    of more than MOST_PAIRS pairs take the same steps as joins, one a step.
+    into buckets: small runs share one and stop in it; of a run in several,
+    Spark sums the losses by step, and should it stop before the last step,
+    a second pass repeats exactly its steps.  Components of more than
+    MOST_PAIRS pairs take the same steps as joins, one a step.
     """
     scratch = Scratch(recon.sparkSession, "edit")
     comp = components(pairs.select("run_id", "i", "j"))
-    held = pairs.select("run_id", "dim", "b", "xi", "i", "j", "sign").join(comp.withColumnRenamed("id", "i"), ["run_id", "i"])
-    sizes = held.groupBy("run_id", "cluster_id").agg(F.count("*").alias("size"))
-    held = held.join(sizes, ["run_id", "cluster_id"])
+    params = scratch.save(pairs.groupBy("run_id").agg(F.first("dim").alias("dim"), F.first("b").alias("b"), F.first("xi").alias("xi"), F.count("*").alias("pairs")), "params")
+    of_i = comp.withColumnRenamed("id", "i")
+    held = pairs.select("run_id", "i", "j", (F.col("sign") == 1).alias("apart")).join(of_i, ["run_id", "i"])
+    sizes = pairs.groupBy("run_id", "i").agg(F.count("*").alias("size")).join(of_i, ["run_id", "i"]).groupBy("run_id", "cluster_id").agg(F.sum("size").alias("size"))
+    big = scratch.save(sizes.where(F.col("size") > MOST_PAIRS), "large")
+    n_big = big.count()
     true = points.select("run_id", "id", *[F.col(a).alias(f"t{a}") for a in "xyz"])
-    place = recon.select("run_id", "id", "x", "y", "z").join(true, ["run_id", "id"])
-    for p in "ij":
-        held = held.join(place.select("run_id", F.col("id").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in _PLACE]), ["run_id", p])
-    held = scratch.save(held, "pairs")
-    buckets = max(1, -(-held.count() // BUCKET_PAIRS))
-    small = held.where(F.col("size") <= MOST_PAIRS).withColumn("bucket", F.pmod(F.xxhash64("run_id", "cluster_id"), F.lit(buckets)).cast("int"))
-
-    def arrays(part: pd.DataFrame):
-        dim = int(part["dim"].iloc[0])
-        ends = pd.concat([part[[p] + [f"{p}_{c}" for c in _PLACE]].set_axis(["id", *_PLACE], axis=1) for p in "ij"]).drop_duplicates("id")
-        index = pd.Index(ends["id"])
-        pos, org = ends[["x", "y", "z"]].to_numpy()[:, :dim], ends[["tx", "ty", "tz"]].to_numpy()[:, :dim]
-        return ends["id"].to_numpy(), pos, org, index.get_indexer(part["i"]), index.get_indexer(part["j"]), part["sign"].to_numpy() == 1, float(part["b"].iloc[0]), float(part["xi"].iloc[0]), dim
-
-    def note(part: pd.DataFrame) -> pd.DataFrame:
-        _, pos, org, i, j, apart, b, xi, dim = arrays(part)
-        losses: list[float] = []
-        _descend(pos, org, i, j, apart, b, xi, dim, lr, max_iter, losses)
-        return pd.DataFrame({"run_id": part["run_id"].iloc[:1].to_numpy(), "xi": [xi], "dim": [dim], "losses": [losses]})
-
-    noted = small.groupBy("run_id", "bucket").applyInPandas(note, "run_id int, xi double, dim int, losses array<double>")
-    by_step = noted.select("run_id", "xi", "dim", F.posexplode("losses").alias("step", "loss")).groupBy("run_id", "xi", "dim", "step").agg(F.sum("loss").alias("loss"))
-    by_step = scratch.save(by_step, "losses")
-    big = held.where(F.col("size") > MOST_PAIRS)
-    moved, stop = _by_joins(big, by_step, scratch, lr, max_iter) if big.limit(1).count() else (None, None)
-    plain = by_step.groupBy("run_id").agg(F.coalesce(F.min(F.when(F.col("loss") < _tolerance2(), F.col("step"))), F.lit(max_iter)).alias("steps"))
-    stop = plain if stop is None else plain.join(stop, "run_id", "left_anti").unionByName(stop)
-    stop = scratch.save(stop, "stop")
-
-    def move(part: pd.DataFrame) -> pd.DataFrame:
-        ids, pos, org, i, j, apart, b, xi, dim = arrays(part)
-        new = _descend(pos, org, i, j, apart, b, xi, dim, lr, int(part["steps"].iloc[0]))
-        q = np.clip(np.floor((new - pos + 2 * xi) * (LEVELS / (4 * xi))), 0, LEVELS).astype(np.int64)
-        out = pd.DataFrame({"run_id": part["run_id"].iloc[0], "id": ids, "qx": q[:, 0], "qy": q[:, 1]})
-        out["qz"] = pd.array(q[:, 2] if dim == 3 else [pd.NA] * len(q), "Int64")
-        return out
-
-    edits = small.join(stop, "run_id").groupBy("run_id", "bucket").applyInPandas(move, "run_id int, id long, qx long, qy long, qz long")
-    return edits if moved is None else edits.unionByName(moved)
+    place = scratch.save(recon.select("run_id", "id", "x", "y", "z").join(comp, ["run_id", "id"]).join(true, ["run_id", "id"]), "places")
+
+    whole = (F.col("pairs") <= BUCKET_PAIRS) & F.col("has_big").isNull()
+    params = params.join(big.select("run_id").distinct().withColumn("has_big", F.lit(True)), "run_id", "left").withColumn("whole", whole)
+    many, shared = params.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in (F.col("pairs"), F.when(F.col("whole"), F.col("pairs")))]).first()
+    share = F.pmod(F.xxhash64("run_id"), F.lit(max(1, -(-shared // BUCKET_PAIRS))))
+    own = F.pmod(F.xxhash64("run_id", "cluster_id"), F.ceil(F.col("pairs") / BUCKET_PAIRS))
+    group = [F.when(F.col("whole"), F.lit(None)).otherwise(F.col("run_id")).cast("long").alias("of"), F.when(F.col("whole"), share).otherwise(own).cast("long").alias("bucket")]
+    parts = int(min(10_000, max(1, -(-many // BUCKET_PAIRS))))
+    small = held.join(F.broadcast(big), ["run_id", "cluster_id"], "left_anti") if n_big else held
+    place_small = place.join(F.broadcast(big), ["run_id", "cluster_id"], "left_anti") if n_big else place
+
+    def descended(runs: DataFrame, final: bool) -> DataFrame:
+        """Edits after each run's ``steps``, and, unless ``final``, the losses of runs in several buckets."""
+        a = small.join(runs.select("run_id", "pairs", "whole"), "run_id").select(*group, "run_id", "i", "j", "apart").repartition(parts, "of", "bucket")
+        p = place_small.join(runs, "run_id").select(*group, "run_id", "id", *_PLACE, "dim", "b", "xi", "steps", "whole").repartition(parts, "of", "bucket")
+        return a.groupBy("of", "bucket").cogroup(p.groupBy("of", "bucket")).applyInArrow(_bucket(lr, final), _MOVED)
+
+    moved = scratch.save(descended(params.withColumn("steps", F.lit(max_iter)), False), "moved")
+    noted = moved.where("losses is not null").select("run_id", F.posexplode("losses").alias("step", "loss")).groupBy("run_id", "step").agg(F.sum("loss").alias("loss"))
+    by_step = scratch.save(noted.join(params.select("run_id", "xi", "dim"), "run_id"), "losses")
+    stop = by_step.groupBy("run_id").agg(F.coalesce(F.min(F.when(F.col("loss") < _tolerance2(), F.col("step"))), F.lit(max_iter)).alias("steps"))
+    joined = None
+    if n_big:
+        wide = held.join(F.broadcast(big), ["run_id", "cluster_id"]).withColumn("sign", F.col("apart").cast("long")).join(params.select("run_id", "dim", "b", "xi"), "run_id")
+        for p in "ij":
+            wide = wide.join(place.select("run_id", F.col("id").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in _PLACE]), ["run_id", p])
+        joined, other = _by_joins(scratch.save(wide, "wide"), by_step, scratch, lr, max_iter)
+        stop = stop.join(other, "run_id", "left_anti").unionByName(other)
+    early = scratch.save(stop.where(F.col("steps") < max_iter), "early")
+    edits = moved.where("id is not null").drop("losses")
+    if early.limit(1).count():
+        again = scratch.save(descended(params.join(early, "run_id"), True), "again")
+        edits = edits.join(early.select("run_id"), "run_id", "left_anti").unionByName(again.drop("losses"))
+    return edits if joined is None else edits.unionByName(joined)
+
+
+def _bucket(lr: float, final: bool):
+    """A bucket's edits and, unless ``final``, the losses of its runs that aren't whole."""
+
+    def run(pairs: pa.Table, points: pa.Table) -> pa.Table:
+        c = {n: points.column(n).to_numpy() for n in points.column_names if n not in ("of", "bucket")}
+        order = np.lexsort((c["id"], c["run_id"]))
+        c = {n: x[order] for n, x in c.items()}
+        runs, first, run = np.unique(c["run_id"], return_index=True, return_inverse=True)
+        dim, b, xi, whole = (c[n][first] for n in ("dim", "b", "xi", "whole"))
+        used = np.stack([np.ones(len(run), bool)] * 2 + [dim[run] == 3], 1)
+        pos, org = (np.where(used, np.stack([c[n] for n in names], 1), 0.0) for names in (_PLACE[:3], _PLACE[3:]))
+        if not (dim == 3).any():
+            pos, org = np.ascontiguousarray(pos[:, :2]), np.ascontiguousarray(org[:, :2])
+        end = [*first[1:], len(run)]
+        asked = pairs.column("run_id").to_numpy()
+        i, j, known = np.zeros(len(asked), np.int64), np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+        for r in range(len(runs)):
+            own = np.flatnonzero(asked == runs[r])
+            ids, there = c["id"][first[r] : end[r]], True
+            for name, out in (("i", i), ("j", j)):
+                want = pairs.column(name).to_numpy()[own]
+                at = np.minimum(np.searchsorted(ids, want), len(ids) - 1)
+                there = there & (ids[at] == want)
+                out[own] = first[r] + at
+            known[own] = there
+        apart = pairs.column("apart").to_numpy()
+        del pairs, points, asked
+        if not known.all():  # the reconstruction lacks particles
+            i, j, apart = i[known], j[known], apart[known]
+        paired = np.zeros(len(run), bool)
+        paired[i] = paired[j] = True
+        tol = np.array([tolerance(x, d) for x, d in zip(xi, dim)])
+        new, losses = _descend(pos, org, i, j, apart, b, tol, xi, run, whole, lr, int(c["steps"].max(initial=0)), not final)
+        q = np.clip(np.floor((new - pos + 2 * xi[run][:, None]) * (LEVELS / (4 * xi[run][:, None]))), 0, LEVELS).astype(np.int64)
+        c, q, used = {n: c[n][paired] for n in ("run_id", "id")}, q[paired], used[paired]
+        qz = pa.array(q[:, 2], mask=~used[:, 2]) if q.shape[1] == 3 else pa.nulls(len(q), pa.int64())
+        out = [pa.array(c["run_id"].astype(np.int32)), pa.array(c["id"]), pa.array(q[:, 0]), pa.array(q[:, 1]), qz, pa.nulls(len(q), pa.list_(pa.float64()))]
+        parts = [pa.Table.from_arrays(out, schema=_MOVED_ARROW)]
+        told = np.flatnonzero(~whole) if not final else np.zeros(0, int)
+        if len(told):
+            none = pa.nulls(len(told), pa.int64())
+            parts.append(pa.Table.from_arrays([pa.array(runs[told].astype(np.int32)), none, none, none, none, pa.array([losses[r] for r in told], pa.list_(pa.float64()))], schema=_MOVED_ARROW))
+        return pa.concat_tables(parts)
+
+    return run
 
 
+_MOVED = "run_id int, id long, qx long, qy long, qz long, losses array<double>"
+_MOVED_ARROW = pa.schema([("run_id", pa.int32()), *[(c, pa.int64()) for c in ("id", "qx", "qy", "qz")], ("losses", pa.list_(pa.float64()))])
 _PLACE = ("x", "y", "z", "tx", "ty", "tz")
 
 

@@ -300,7 +300,7 @@ def _vulnerable_of(q):
 
 def _measured(spark, sf_dir):
     q = visited(spark, sf_dir)
-    vp = Scratch(spark, "pairs").save(_vulnerable_of(q), "pairs")
+    vp = Scratch(spark, "pairs").save(_vulnerable_of(q).drop("d2"), "pairs")
     return q, vp, pairs.with_distance(vp, recon_of(q))
 
 
@@ -397,11 +397,18 @@ def pgd_gradient0(spark, sf_dir):
 
 def pgd_edit(spark, sf_dir):
     """Vulnerable pairs of every run before and after gradient edits, and how many are violated."""
-    q, vp, before = _measured(spark, sf_dir)
+    q, vp, _ = _measured(spark, sf_dir)
     edited = edit.gradient_edit(recon_of(q), q.select("run_id", "id", *AXES), vp)
-    wrong = ((F.col("r2") > F.col("b") * F.col("b")).cast("long") != F.col("sign"))
-    count = lambda df, name: df.groupBy("run_id").agg(F.count("*").alias(f"pairs_{name}"), F.count_if(wrong).alias(f"violated_{name}"))
-    return count(before, "before").join(count(pairs.with_distance(vp, edited), "after"), "run_id")
+    both = edited.join(recon_of(q).select("run_id", "id", *[F.col(a).alias(f"r{a}") for a in AXES]), ["run_id", "id"])
+    both = vp.join(_ends(both, "i"), ["run_id", "i"]).join(_ends(both, "j"), ["run_id", "j"])
+    far = lambda r: sum((d * d for d in (F.col(f"i_{r}{a}") - F.col(f"j_{r}{a}") for a in AXES)), F.lit(0.0)) > F.col("b") * F.col("b")
+    count = lambda r, name: [F.count("*").alias(f"pairs_{name}"), F.count_if(far(r).cast("long") != F.col("sign")).alias(f"violated_{name}")]
+    return both.groupBy("run_id").agg(*count("r", "before"), *count("", "after"))
+
+
+def _ends(places: DataFrame, end: str) -> DataFrame:
+    """The places of pairs' ends, before (r) and after the edits."""
+    return places.select("run_id", F.col("id").alias(end), *[F.col(f"{r}{a}").alias(f"{end}_{r}{a}") for r in ("", "r") for a in AXES])
 
 
 def lossless_edit(spark, sf_dir):

@@ -441,3 +441,34 @@ def test_registered_gradient_edit_runs_all_steps(monkeypatch):
     monkeypatch.setattr(edit, "gradient_edit", seen)
     with pytest.raises(Seen, match="^1000$"):
         queries.pgd_edit(None, "")
+
+
+def test_edits_of_many_runs_in_one_bucket_are_those_of_plain_steps():
+    rng = np.random.default_rng(4)
+    n, lr, steps = 150, 0.01, 400
+    b, xi = np.array([1.0, 1.5]), np.array([0.05, 0.075])
+    tol, run = np.array([edit.tolerance(x, 3) for x in xi]), np.repeat([0, 1], n)
+    org = rng.uniform(0, 4, (2 * n, 3))
+    pos = org + rng.uniform(-1, 1, org.shape) * xi[run, None]
+    gap = np.sqrt(((org[:, None] - org) ** 2).sum(2))
+    i, j = np.nonzero((run[:, None] == run) & (np.arange(2 * n)[:, None] < np.arange(2 * n)) & (np.abs(gap - b[run]) < 2 * np.sqrt(3) * xi[run]))
+    apart = gap[i, j] > b[run[i]]
+    plain, losses = pos, np.zeros((2, steps))
+    m = v = np.zeros_like(pos)
+    for t in range(1, steps + 1):
+        way = plain[i] - plain[j]
+        d = np.sqrt((way * way).sum(1))
+        over = np.where(apart, np.minimum(d - b[run[i]] - tol[run[i]], 0), np.maximum(d - b[run[i]] + tol[run[i]], 0))
+        losses[:, t - 1] = np.bincount(run[i], over * over, 2)
+        pull = np.where((d >= tol[run[i]]) & (apart == (d <= b[run[i]])), 2 * (d - b[run[i]]) / d, 0)[:, None] * way
+        grad = np.zeros_like(pos)
+        np.add.at(grad, i, pull)
+        np.add.at(grad, j, -pull)
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
+        rate = lr * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
+        plain = np.clip(plain - rate * m / (np.sqrt(v) + 1e-8), org - xi[run, None], org + xi[run, None])
+    got, noted = edit._descend(pos, org, i, j, apart, b, tol, xi, run, np.zeros(2, bool), lr, steps)
+    assert np.abs(got - plain).max() < 1e-9 and np.allclose(noted, losses, rtol=1e-6, atol=1e-15)
+    alone = run[i] == 1  # a run that is whole stops by itself, others go on
+    far = edit._descend(pos, org, i, j, apart, b, np.array([tol[0], 10.0]), xi, run, np.array([False, True]), lr, steps)[0]
+    assert (far[run == 1] == pos[run == 1]).all() and np.abs(far[run == 0] - plain[run == 0]).max() < 1e-9 and alone.any()
