@@ -94,7 +94,7 @@ def _edited(rows: DataFrame, how: str, recon: DataFrame, points: DataFrame, para
     """``rows`` with the edits that keep the links: quantised (``gradient``) or a mark for exact values (``exact``)."""
     if how == "none":
         return rows
-    vulnerable = Scratch(rows.sparkSession, "vulnerable").save(pairs.vulnerable_pairs(points, params), "pairs")
+    vulnerable = Scratch(rows.sparkSession, "vulnerable").save(pairs.vulnerable_pairs(points, params).drop("d2"), "pairs")
     marks = edit.gradient_edits(recon, points, vulnerable, lr, steps) if how == "gradient" else pairs.editable_points(vulnerable)
     return rows.join(marks.withColumn("edited", F.lit(1)), ["run_id", "id"], "left")
 
