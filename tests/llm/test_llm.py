@@ -397,3 +397,20 @@ def test_a_hot_group_of_identical_texts_and_a_hub(spark):
     assert leaked_items(docs, items).count() == 300
     hub = spark.range(1, 3000).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
     assert {r.group_id for r in connected_groups(hub, "a", "b").collect()} == {0}
+
+
+def test_fast_patterns_find_what_the_plain_ones_find():
+    import random
+    import re
+
+    from driftmesh.llm import sentences
+
+    plain_marks = re.compile(f"(?:[.!?\u2026\u3002\uff01\uff1f\uff0e\u0964\u0965\u061f\u06d4]|\u037e|;(?=\\s)(?<=[\u0370-\u03ff];))+({sentences._CLOSERS})")
+    plain_words = re.compile(r"[^\W\d_](?:[\w\u0900-\u0963\u0e31-\u0e4e]|[\x01\x05](?=\w))*(?:\.(?=\w)\w+)*|\d[\d.,]*\d|\d")
+    rng = random.Random(3)
+    for _ in range(20_000):
+        text = "".join(rng.choice("ab1.,;!? \n\x01\x05\x07\u03b1\u037e\u0915\u094d\u0e31\u2026\u3002\u00bb\"')_-A") for _ in range(12))
+        found = lambda p: [(m.span(), m.groups()) for m in p.finditer(text)]  # noqa: B023, E731
+        assert found(plain_marks) == found(sentences._MARKS) and found(plain_words) == found(sentences._WORD)
+    # a set of characters comes first: re skips to the next mark by it
+    assert sentences._MARKS.pattern.startswith("[")
