@@ -116,6 +116,35 @@ def test_graph_search_recall(spark):
     assert hit_rate(found, {u: v for u, v in knn(rows, 5).items() if u % 100 == 0}) >= 0.9
 
 
+def test_groups_that_fit_a_task_send_no_lists(spark, monkeypatch):
+    def joined(*_):
+        raise AssertionError("a round of joins")
+
+    monkeypatch.setattr("driftmesh.llm.neighbours._asked", joined)
+    rows = nodes_of(1200, 5)
+    other = [(r[0] + 9, r[1], *[3 * x for x in r[2:]]) for r in rows]  # the same ids in other groups
+    links = neighbour_graph(vectors_of(spark, rows + other), 5).collect()
+    for part, lift in ((rows, 0), (other, 9)):
+        groups = {r[0] for r in part}
+        assert hit_rate([r for r in links if r.g in groups], knn(part, 5)) >= 0.98, lift
+
+
+@pytest.mark.parametrize("dim", [3, 16])
+def test_cut_groups_meet_across_their_pieces(spark, monkeypatch, dim):
+    from driftmesh.llm import neighbours
+
+    monkeypatch.setattr(neighbours, "BUCKET", 200)
+    monkeypatch.setattr(neighbours, "JOINED", 90)
+    joins, plain = [], neighbours._asked
+    monkeypatch.setattr(neighbours, "_asked", lambda k: joins.append(k) or plain(k))
+    rng = np.random.default_rng(dim)
+    rows = [(1, 7 * i - 50, *map(float, rng.normal(0, 1, dim))) for i in range(900)] + [(2, 7 * i - 50, *map(float, rng.normal(0, 1, dim))) for i in range(40)]
+    links = neighbour_graph(vectors_of(spark, rows), 5).collect()
+    for g in (1, 2):
+        assert hit_rate([r for r in links if r.g == g], knn([r for r in rows if r[0] == g], 5)) >= 0.95
+    assert joins or dim == 3
+
+
 def test_few_and_no_nodes(spark):
     two = vectors_of(spark, [(1, 1, 0.0, 0.0, 0.0), (1, 2, 1.0, 0.0, 0.0), (2, 3, 0.0, 0.0, 0.0)])
     assert {(r.a, r.b) for r in neighbour_graph(two, 5).collect()} == {(1, 2), (2, 1)}
